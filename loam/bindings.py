@@ -128,7 +128,7 @@ CHANGES = [
 
 # Account events of one billing epoch: counters and query charges only.
 EPOCH_EVENTS = [
-    "CAST(o_custkey % 25 AS STRING) AS tenant_id", "o_orderdate AS at", "o_orderkey AS id",
+    "CAST(o_custkey % 25 AS STRING) AS tenant_id", "o_orderdate AS happened_at", "o_orderkey AS id",
     "CASE o_orderstatus WHEN 'F' THEN 'messages' WHEN 'O' THEN 'query' ELSE 'sensors' END AS kind",
     "CASE WHEN o_orderstatus = 'F' THEN (o_orderkey % 50) * 1000 ELSE 0 END AS messages",
     "CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END ELSE 0 END "
@@ -138,7 +138,7 @@ EPOCH_EVENTS = [
 
 # Account events with top-ups and cycle ends.
 ACCOUNT_EVENTS = [
-    "CAST(o_custkey % 25 AS STRING) AS tenant_id", "o_orderdate AS at", "o_orderkey AS id",
+    "CAST(o_custkey % 25 AS STRING) AS tenant_id", "o_orderdate AS happened_at", "o_orderkey AS id",
     "CASE o_orderstatus WHEN 'F' THEN 'messages' WHEN 'O' THEN 'query' ELSE "
     "CASE o_orderkey % 8 WHEN 0 THEN 'topup' WHEN 1 THEN 'cycle' ELSE 'sensors' END END AS kind",
     "CAST(CASE o_orderstatus WHEN 'F' THEN (o_orderkey % 50) * 1000 WHEN 'O' THEN 0 ELSE "
@@ -189,7 +189,7 @@ _SOURCES = {
     "account_events": ("orders", ACCOUNT_EVENTS),
 }
 _TIMES = {"readings": ["event_time"], "ledger": ["created_at"], "query_stats": ["run_at"],
-          "changes": ["changed_at"], "epoch_events": ["at"], "account_events": ["at"],
+          "changes": ["changed_at"], "epoch_events": ["happened_at"], "account_events": ["happened_at"],
           "messages": ["timestamp"], "samples": ["ts"]}
 
 

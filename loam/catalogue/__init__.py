@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loam.bindings import Tables, oracle
 
-SECTIONS = ["projections"]
+SECTIONS = ["projections", "scalars", "joins", "aggregates", "windows", "ordering", "sources",
+            "streams", "statements"]
 
 
 @dataclass(frozen=True)

@@ -73,7 +73,7 @@ def history_entries(rows: Column) -> Column:
     filled = F.filter(rows, lambda r: (r["year"] != "") & (r["crops"] != ""))
     return F.transform(filled, lambda r: F.struct(
         r["year"].try_cast("int").alias("year"),
-        F.transform(F.split(r["crops"], ","), F.trim).alias("crops"),
+        F.transform(F.split(r["crops"], ","), lambda c: F.trim(c)).alias("crops"),
         F.nullif(r["yield_tons"], F.lit("")).try_cast("double").alias("yield_tons")))
 
 

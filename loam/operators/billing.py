@@ -39,7 +39,7 @@ def amount_due_series(events: DataFrame, subscriptions: DataFrame, mode: str = "
     so query charges count only since the last counter event; `additive` keeps them.
     """
     counter = F.col("kind") != "query"
-    sums = Ordered.of(events, ["tenant_id"], ["at", "id"], row_limit).scan(
+    sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"], row_limit).scan(
         cum_messages=running_sum(F.col("messages")), _sensors=running_sum(F.col("sensors")),
         _cost=running_sum(F.col("cost")))
     marks = sums.scan(_low=running_min(F.col("_sensors")),
@@ -64,7 +64,7 @@ def overdraft_freeze(events: DataFrame, balances: DataFrame, subscriptions: Data
     freezes the amount; the counters go on. Both are plain aggregates over the
     series, so a tenant's rows are never gathered in one place.
     """
-    rank = F.struct("at", "id")
+    rank = F.struct("happened_at", "id")
     over = F.col("due") > F.col("balance")
     series = amount_due_series(events, subscriptions, mode, prices, row_limit)
     state = series.join(balances, "tenant_id").groupBy("tenant_id").agg(

@@ -54,7 +54,7 @@ class BillingFold(StatefulProcessor):
         self.state = handle.getValueState("billing", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        events = pd.concat(list(rows)).sort_values(["happened_at", "id"], kind="stable")
         before = tuple(self.state.get()) if self.state.exists() else START
         after = fold(before, events)
         self.state.update(after)
@@ -66,8 +66,8 @@ class BillingFold(StatefulProcessor):
 
 
 def billing_states(events: DataFrame) -> DataFrame:
-    """Update-mode stream of billing states; events: tenant_id, at, id, kind, quantity, amount."""
-    return (events.select("tenant_id", "at", "id", "kind", "quantity", "amount")
+    """Update-mode stream of billing states; events: tenant_id, happened_at, id, kind, quantity, amount."""
+    return (events.select("tenant_id", "happened_at", "id", "kind", "quantity", "amount")
             .groupBy("tenant_id")
             .transformWithStateInPandas(BillingFold(), outputStructType=OUTPUT,
                                         outputMode="Update", timeMode="None"))
