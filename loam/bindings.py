@@ -45,7 +45,7 @@ SENSORS = [
     "CASE WHEN c_acctbal < 0 THEN 'error' WHEN c_acctbal < 1000 THEN 'inactive' ELSE 'active' END AS status",
     "(c_custkey * 37) % 100000 AS message_count",
     "CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey * 1000 END AS storage_bytes",
-    "CASE WHEN c_acctbal >= 5000 THEN NULL ELSE round(abs(c_acctbal) / 200, 2) END AS budget",
+    "CASE WHEN c_acctbal >= 5000 THEN NULL ELSE abs(c_acctbal) / 200 END AS budget",
     "c_acctbal AS balance",
     "CASE WHEN c_custkey % 5 > 0 THEN concat('Field ', CAST(c_custkey % 90 AS STRING)) END AS location",
 ]
@@ -86,7 +86,7 @@ QUERY_STATS = [
 
 FARMS = [
     "concat('f-', CAST(s_suppkey AS STRING)) AS farm_id", "CAST(s_nationkey AS STRING) AS tenant_id",
-    "s_name AS farm_name", "round(abs(s_acctbal) / 100, 2) AS farm_size_ha",
+    "s_name AS farm_name", "abs(s_acctbal) / 100 AS farm_size_ha",
     "CASE WHEN s_suppkey % 4 > 0 THEN concat(CAST(s_suppkey AS STRING), ' Mill Road') ELSE '' END AS address",
     "CASE WHEN s_suppkey % 3 > 0 THEN concat('Country ', CAST(s_nationkey AS STRING)) END AS country",
 ]
@@ -133,7 +133,7 @@ EPOCH_EVENTS = [
     "CASE WHEN o_orderstatus = 'F' THEN (o_orderkey % 50) * 1000 ELSE 0 END AS messages",
     "CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END ELSE 0 END "
     "AS sensors",
-    "CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice / 100000, 4) ELSE 0.0e0 END AS cost",
+    "CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 10) / 1e6 ELSE 0.0e0 END AS cost",
 ]
 
 # Account events with top-ups and cycle ends.
@@ -144,8 +144,8 @@ ACCOUNT_EVENTS = [
     "CAST(CASE o_orderstatus WHEN 'F' THEN (o_orderkey % 50) * 1000 WHEN 'O' THEN 0 ELSE "
     "CASE WHEN o_orderkey % 8 > 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END ELSE 0 END END AS BIGINT) "
     "AS quantity",
-    "CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice / 100000, 4) "
-    "WHEN o_orderstatus <> 'F' AND o_orderkey % 8 = 0 THEN round(o_totalprice / 20000, 2) ELSE 0.0e0 END AS amount",
+    "CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 10) / 1e6 "
+    "WHEN o_orderstatus <> 'F' AND o_orderkey % 8 = 0 THEN round(o_totalprice / 200) / 1e2 ELSE 0.0e0 END AS amount",
 ]
 
 BROKEN_TOPIC = ("CASE WHEN event_id % 89 = 0 THEN 'iot.7' WHEN event_id % 83 = 0 THEN 'iot.a.b.c' "

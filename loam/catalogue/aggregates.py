@@ -10,6 +10,10 @@ from loam.operators import billing, farms, metering, monitoring, readings, regis
 from loam.plans import panes
 
 
+# Exact sum of ledger amounts, which have six decimals.
+SUM = "CAST(sum(CAST(round(amount * 1e6) AS BIGINT)) AS DOUBLE) / 1e6"
+
+
 def windowed(keys: str) -> str:
     """Sliding 5 minute windows every 15 seconds, by copying every row into its 20 windows."""
     return f"""
@@ -76,20 +80,20 @@ def total_messages(t):
 @query("agg8_running_cost", f"""
 WITH m AS (SELECT tenant_id, sum(messages * 0.0005e0) AS message_cost,
     sum({_STORED} / 1024e0 * (0.50e0 / 1048576)) AS storage_cost FROM {_OVERLAID} x GROUP BY tenant_id),
-q AS (SELECT CAST(billing_id AS STRING) AS tenant_id, sum(amount) AS query_cost FROM ledger
+q AS (SELECT CAST(billing_id AS STRING) AS tenant_id, {SUM} AS query_cost FROM ledger
   WHERE reference LIKE 'QRY-%' AND billing_id < 20 GROUP BY 1),
 g AS (SELECT m.*, coalesce(q.query_cost, 0) AS query_cost FROM m LEFT JOIN q ON m.tenant_id = q.tenant_id),
 s AS (SELECT *, message_cost + storage_cost + query_cost AS grand_total FROM g)
-SELECT tenant_id, round(message_cost, 4) AS message_cost, round(storage_cost, 4) AS storage_cost,
-  round(query_cost, 4) AS query_cost, round(grand_total, 4) AS grand_total,
+SELECT tenant_id, round(message_cost, 6) AS message_cost, round(storage_cost, 6) AS storage_cost,
+  query_cost, round(grand_total, 6) AS grand_total,
   round(message_cost / grand_total * 100, 1) AS message_pct, round(storage_cost / grand_total * 100, 1) AS storage_pct,
   round(query_cost / grand_total * 100, 1) AS query_pct FROM s""")
 def running_cost(t):
     spend = metering.query_spend(t.ledger.filter("billing_id < 20")) \
         .withColumn("tenant_id", F.col("billing_id").cast("string"))
     rows = metering.running_cost(metering.with_costs(overlaid(t)), spend)
-    rounded = [F.round(c, 4).alias(c) for c in ("message_cost", "storage_cost", "query_cost", "grand_total")]
-    return rows.select("tenant_id", *rounded, "message_pct", "storage_pct", "query_pct")
+    rounded = [F.round(c, 6).alias(c) for c in ("message_cost", "storage_cost", "grand_total")]
+    return rows.select("tenant_id", "query_cost", *rounded, "message_pct", "storage_pct", "query_pct")
 
 
 @query("agg8_sensor_costs", f"""
@@ -134,7 +138,7 @@ def stored_volume(t):
         .withColumn("total_gb", F.round("total_gb", 9))
 
 
-_SPEND = """count(*) AS query_count, CAST(sum(data_points) AS DOUBLE) AS total_qu, round(sum(amount), 4) AS total_cost"""
+_SPEND = f"""count(*) AS query_count, CAST(sum(data_points) AS DOUBLE) AS total_qu, {SUM} AS total_cost"""
 
 
 @query("agg12_query_spend", f"""
@@ -146,26 +150,24 @@ WHERE reference LIKE 'QRY-%' AND contains(lower(description), 'f-3') GROUP BY 1"
 def query_spend(t):
     scopes = {"all": {}, "sensor": {"sensor_id": "S-14", "farm_id": "f-3"}, "farm": {"farm_id": "f-3"}}
     parts = [metering.query_spend(t.ledger, **ids).select(
-        "billing_id", F.lit(name).alias("scope"), "query_count", "total_qu",
-        F.round("total_cost", 4).alias("total_cost")) for name, ids in scopes.items()]
+        "billing_id", F.lit(name).alias("scope"), "query_count", "total_qu", "total_cost") for name, ids in scopes.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("agg13_cycle_summary", """
+@query("agg13_cycle_summary", f"""
 WITH g AS (SELECT billing_id, usage_period,
   arg_max(amount, (created_at, id)) FILTER (reference LIKE 'CYCLE-%') AS amount,
   arg_max(data_points, (created_at, id)) FILTER (reference LIKE 'CYCLE-%') AS messages,
   arg_max(created_at, (created_at, id)) FILTER (reference LIKE 'CYCLE-%') AS cycle_date,
   CAST(count(*) FILTER (type = 'usage') AS BIGINT) AS query_items,
-  coalesce(sum(amount) FILTER (type = 'usage'), 0) AS qc, coalesce(sum(data_points) FILTER (type = 'usage'), 0) AS qu
+  coalesce(CAST(sum(CAST(round(amount * 1e6) AS BIGINT)) FILTER (type = 'usage') AS DOUBLE) / 1e6, 0) AS qc, coalesce(sum(data_points) FILTER (type = 'usage'), 0) AS qu
   FROM ledger GROUP BY 1, 2)
 SELECT billing_id, usage_period, coalesce(amount, 0) AS cycle_amount, cycle_date, coalesce(messages, 0) AS message_count,
-  round(coalesce(messages, 0) * 0.0005e0, 6) AS message_cost, query_items, round(qc, 4) AS query_total_cost,
+  round(coalesce(messages, 0) * 0.0005e0, 6) AS message_cost, query_items, qc AS query_total_cost,
   CAST(qu AS DOUBLE) AS query_total_qu,
-  round(greatest(0e0, coalesce(amount, 0) - coalesce(messages, 0) * 0.0005e0 - qc), 4) AS storage_cost FROM g""")
+  round(greatest(0e0, coalesce(amount, 0) - coalesce(messages, 0) * 0.0005e0 - qc), 6) AS storage_cost FROM g""")
 def cycle_summary(t):
-    return metering.cycle_summary(t.ledger).withColumn("query_total_cost", F.round("query_total_cost", 4)) \
-        .withColumn("storage_cost", F.round("storage_cost", 4))
+    return metering.cycle_summary(t.ledger).withColumn("storage_cost", F.round("storage_cost", 6))
 
 
 @query("agg13_cycle_items", """
@@ -258,19 +260,19 @@ def highest_lag(t):
 
 @query("agg22_rolling_day", """
 SELECT event_id, sensor_id, min(value) OVER w AS min_value, max(value) OVER w AS max_value,
-  round(avg(value) OVER w, 6) AS avg_value FROM (SELECT *, CAST(floor(epoch(event_time)) AS BIGINT) AS s FROM readings) x
+  round(avg(value) OVER w, 8) AS avg_value FROM (SELECT *, CAST(floor(epoch(event_time)) AS BIGINT) AS s FROM readings) x
 WINDOW w AS (PARTITION BY sensor_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
 def rolling_day(t):
     return panes.with_trailing_stats(t.readings, "event_time", ["sensor_id"], "value").select(
-        "event_id", "sensor_id", "min_value", "max_value", F.round("avg_value", 6).alias("avg_value"))
+        "event_id", "sensor_id", "min_value", "max_value", F.round("avg_value", 8).alias("avg_value"))
 
 
-@query("agg23_query_averages", """
-SELECT billing_id, round(avg(amount), 6) AS avg_cost, round(avg(data_points), 6) AS avg_qu FROM ledger
+@query("agg23_query_averages", f"""
+SELECT billing_id, {SUM} / count(*) AS avg_cost, CAST(sum(data_points) AS DOUBLE) / count(*) AS avg_qu FROM ledger
 WHERE reference LIKE 'QRY-%' GROUP BY billing_id""")
 def query_averages(t):
     rows = metering.with_averages(metering.query_spend(t.ledger))
-    return rows.select("billing_id", F.round("avg_cost", 6).alias("avg_cost"), F.round("avg_qu", 6).alias("avg_qu"))
+    return rows.select("billing_id", "avg_cost", "avg_qu")
 
 
 @query("agg24_recount", """

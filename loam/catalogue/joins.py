@@ -90,17 +90,16 @@ def new_farms(t):
 
 
 @query("jn9_query_spend_by_sensor", """
-WITH c AS (SELECT amount, data_points, lower(description) AS d FROM ledger WHERE reference LIKE 'QRY-%'),
+WITH c AS (SELECT CAST(round(amount * 1e6) AS BIGINT) AS amount, data_points, lower(description) AS d FROM ledger WHERE reference LIKE 'QRY-%'),
 own AS (SELECT s.sensor_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
   FROM sensors s JOIN c ON contains(c.d, s.sensor_id) GROUP BY 1),
 farm AS (SELECT f.farm_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
   FROM (SELECT DISTINCT farm_id FROM sensors) f JOIN c ON contains(c.d, f.farm_id) GROUP BY 1)
 SELECT s.sensor_id, s.farm_id, coalesce(o.n, f.n, 0) AS query_count,
-  CAST(coalesce(o.qu, f.qu, 0) AS DOUBLE) AS total_qu, round(coalesce(o.cost, f.cost, 0), 4) AS total_cost
+  CAST(coalesce(o.qu, f.qu, 0) AS DOUBLE) AS total_qu, CAST(coalesce(o.cost, f.cost, 0) AS DOUBLE) / 1e6 AS total_cost
 FROM sensors s LEFT JOIN own o ON s.sensor_id = o.sensor_id LEFT JOIN farm f ON s.farm_id = f.farm_id""")
 def query_spend_by_sensor(t):
-    return metering.query_spend_by_sensor(t.ledger, t.sensors).withColumn(
-        "total_cost", F.round("total_cost", 4))
+    return metering.query_spend_by_sensor(t.ledger, t.sensors)
 
 
 @query("jn10_routed_messages", """

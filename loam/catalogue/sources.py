@@ -227,3 +227,8 @@ SELECT concat('s-', CAST(e.user_id AS STRING)) AS sensor_id, CAST(e.user_id % 7
 {_ACCEPTED}""")
 def union_view(t):
     return t.spark.table(f"{ingested(t, 'ddl5').database}.sensor_data")
+
+
+@query("udf1_first_field", "SELECT DISTINCT split_part(value, ',', 1) AS first_field FROM messages")
+def first_field(t):
+    return readings.first_field(t.messages)

@@ -8,6 +8,7 @@ from loam.catalogue.aggregates import windowed
 from loam.catalogue.sources import _ACCEPTED, _CLOSED, _TYPE, ingested, new_lake
 from loam.operators import billing, readings
 from loam.session import scratch
+from loam.sources import streams
 from loam.streaming import billing_fold, counters, ingest, runs, windows
 
 
@@ -36,6 +37,31 @@ def ingest_by_type(t):
     return rows.groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("str5_restart", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} GROUP BY 1")
+def restart(t):
+    """A second start from the same checkpoint finds nothing new."""
+    target, state = new_lake(t, "str5"), scratch(t.spark, "str5-state")
+    for _ in range(2):
+        ingest.ingest(t.streamed("messages"), target, state, None).awaitTermination()
+    return t.spark.table(target.readings).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str6_bounded_batches", """
+SELECT CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, count(*) AS n, 1 AS batches FROM events GROUP BY 1""")
+def bounded_batches(t):
+    """One file per week of events, one file per micro-batch."""
+    root = scratch(t.spark, "str6")
+    week = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 604800)
+    weekly = t.table("events").withColumn("week", week)
+    weeks = weekly.select("week").distinct().count()
+    weekly.repartitionByRange(weeks, "week").write.parquet(f"{root}/in")
+    stream = streams.file_stream(t.spark, f"{root}/in", weekly.schema, files_per_trigger=1)
+    writer = stream.writeStream.foreachBatch(runs.changelog(f"{root}/out"))
+    runs.start(writer, f"{root}/state", None).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").groupBy("week").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_batch").cast("int").alias("batches"))
+
+
 @query("str7_dead_letter_table", """
 SELECT topic AS raw_topic, partition AS _partition, "offset" AS _offset, value,
   CASE WHEN topic IN ('iot.7', 'iot.a.b.c') THEN 'bad_topic' ELSE 'bad_json' END AS reject_reason
@@ -89,13 +115,13 @@ f(tenant_id, rn, status, balance, due, messages, sensors, last_id, left_over) AS
         CASE e.kind WHEN 'cycle' THEN 0 WHEN 'messages' THEN f.messages + e.quantity ELSE f.messages END AS nm,
         CASE e.kind WHEN 'sensors' THEN greatest(0, f.sensors + e.quantity) ELSE f.sensors END AS ns
       FROM f JOIN e ON e.tenant_id = f.tenant_id AND e.rn = f.rn + 1) a) b)
-SELECT tenant_id, status, round(balance, 4) AS balance, round(due, 4) AS amount_due, messages AS message_count,
+SELECT tenant_id, status, round(balance, 6) AS balance, round(due, 6) AS amount_due, messages AS message_count,
   sensors AS sensor_count, last_id FROM f WHERE left_over = 0""")
 def folded_billing(t):
     states = billing_fold.billing_states(t.streamed("account_events"))
     latest = runs.update_now(states, ["tenant_id"], "str11")
-    return latest.withColumn("balance", F.round("balance", 4)) \
-        .withColumn("amount_due", F.round("amount_due", 4))
+    return latest.withColumn("balance", F.round("balance", 6)) \
+        .withColumn("amount_due", F.round("amount_due", 6))
 
 
 @query("str12_budget_deactivation", """

@@ -21,11 +21,11 @@ def share_of_total(t):
 
 
 @query("win2_balance_after", f"""
-SELECT id, billing_id, amount, round(sum(amount) OVER (PARTITION BY billing_id ORDER BY created_at, id {ROWS}), 4)
-  AS balance_after FROM ledger WHERE type = 'credit'""")
+SELECT id, billing_id, amount, CAST(sum(CAST(round(amount * 1e6) AS BIGINT)) OVER (
+  PARTITION BY billing_id ORDER BY created_at, id {ROWS}) AS DOUBLE) / 1e6 AS balance_after FROM ledger WHERE type = 'credit'""")
 def balance_after(t):
     return billing.balance_after(t.ledger.filter("type = 'credit'")).select(
-        "id", "billing_id", "amount", F.round("balance_after", 4).alias("balance_after"))
+        "id", "billing_id", "amount", "balance_after")
 
 
 @query("win3_clamped_count", f"""
@@ -40,24 +40,24 @@ def clamped_count(t):
 
 def _series(kept: str) -> str:
     return f"""
-WITH a AS (SELECT *, sum(messages) OVER w AS cm, sum(sensors) OVER w AS rs, sum(cost) OVER w AS cc
+WITH a AS (SELECT *, sum(messages) OVER w AS cm, sum(sensors) OVER w AS rs, sum(CAST(round(cost * 1e6) AS BIGINT)) OVER w AS cc
   FROM epoch_events WINDOW w AS (PARTITION BY tenant_id ORDER BY happened_at, id {ROWS})),
 b AS (SELECT *, rs - least(0, min(rs) OVER w) AS cs,
     last_value(CASE WHEN kind <> 'query' THEN cc END IGNORE NULLS) OVER w AS counted
   FROM a WINDOW w AS (PARTITION BY tenant_id ORDER BY happened_at, id {ROWS})),
 d AS (SELECT b.*, l.balance, CASE WHEN counted IS NULL THEN 0 ELSE cm * 1e-6 + cs * 1.0e0 + s.subscription_cost END
-    + cc - {kept} AS due FROM b JOIN balances l ON b.tenant_id = l.tenant_id
+    + (cc - {kept}) / 1e6 AS due FROM b JOIN balances l ON b.tenant_id = l.tenant_id
   JOIN subscriptions s ON b.tenant_id = s.tenant_id)
 SELECT tenant_id, CASE WHEN count(*) FILTER (due > balance) > 0 THEN 'suspended' ELSE 'active' END AS status,
   arg_min(id, (happened_at, id)) FILTER (due > balance) AS suspended_by,
-  round(coalesce(arg_min(due, (happened_at, id)) FILTER (due > balance), arg_max(due, (happened_at, id))), 4) AS amount_due,
+  round(coalesce(arg_min(due, (happened_at, id)) FILTER (due > balance), arg_max(due, (happened_at, id))), 6) AS amount_due,
   CAST(arg_max(cm, (happened_at, id)) AS BIGINT) AS message_count, CAST(arg_max(cs, (happened_at, id)) AS BIGINT) AS sensor_count
 FROM d GROUP BY tenant_id"""
 
 
 def freeze(t, mode):
     rows = billing.overdraft_freeze(t.epoch_events, t.balances, t.subscriptions, mode)
-    return rows.withColumn("amount_due", F.round("amount_due", 4)) \
+    return rows.withColumn("amount_due", F.round("amount_due", 6)) \
         .withColumn("sensor_count", F.col("sensor_count").cast("long"))
 
 

@@ -10,6 +10,18 @@ from loam.schemas import BYTES_PER_MESSAGE, PRICES, QUERY_UNITS, Prices, QueryUn
 KB, MB, GB = 1024.0, 1024.0 ** 2, 1024.0 ** 3
 
 
+def micros(amount: Column) -> Column:
+    """A ledger amount, kept at six decimals, as a whole number.
+
+    Sums of these are exact, so totals do not depend on how rows are partitioned.
+    """
+    return F.round(amount * 1e6).cast("long")
+
+
+def from_micros(total: Column) -> Column:
+    return total / F.lit(1e6)
+
+
 def query_units(processed_bytes: Column, cpu_ms: Column, peak_bytes: Column, wall_ms: Column,
                 weights: QueryUnits = QUERY_UNITS) -> Column:
     def known(x: Column) -> Column:

@@ -14,8 +14,9 @@ from loam.schemas import PRICES, Prices
 
 def balance_after(topups: DataFrame, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Top-ups with the billing's balance after each."""
-    return (Ordered.of(topups, ["billing_id"], ["created_at", "id"], row_limit)
-            .scan(balance_after=running_sum(F.col("amount"))).result())
+    rows = Ordered.of(topups, ["billing_id"], ["created_at", "id"], row_limit) \
+        .scan(_total=running_sum(money.micros(F.col("amount")))).result()
+    return rows.withColumn("balance_after", money.from_micros(F.col("_total"))).drop("_total")
 
 
 def clamped_counts(changes: DataFrame, keys: list[str], order: list[str], delta: str,
@@ -41,7 +42,7 @@ def amount_due_series(events: DataFrame, subscriptions: DataFrame, mode: str = "
     counter = F.col("kind") != "query"
     sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"], row_limit).scan(
         cum_messages=running_sum(F.col("messages")), _sensors=running_sum(F.col("sensors")),
-        _cost=running_sum(F.col("cost")))
+        _cost=running_sum(money.micros(F.col("cost"))))
     marks = sums.scan(_low=running_min(F.col("_sensors")),
                       _counted=last_known(F.when(counter, F.col("_cost"))))
     rows = marks.result().withColumn(
@@ -49,9 +50,9 @@ def amount_due_series(events: DataFrame, subscriptions: DataFrame, mode: str = "
     rows = rows.join(subscriptions, "tenant_id", "left")
     counters = money.amount_due(F.col("cum_messages"), F.col("cum_sensors"),
                                 F.col("subscription_cost"), prices)
-    dropped = F.coalesce("_counted", F.lit(0.0)) if mode == "reference" else F.lit(0.0)
+    dropped = F.coalesce("_counted", F.lit(0)) if mode == "reference" else F.lit(0)
     base = F.when(F.col("_counted").isNotNull(), counters).otherwise(0.0)
-    return (rows.withColumn("due", base + F.col("_cost") - dropped)
+    return (rows.withColumn("due", base + money.from_micros(F.col("_cost") - dropped))
             .drop("_sensors", "_cost", "_low", "_counted", "subscription_cost"))
 
 

@@ -112,7 +112,8 @@ def _query_charges(ledger: DataFrame) -> DataFrame:
 def _spend() -> list[Column]:
     return [F.count(F.lit(1)).alias("query_count"),
             F.coalesce(F.sum("data_points"), F.lit(0)).cast("double").alias("total_qu"),
-            F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_cost")]
+            F.coalesce(money.from_micros(F.sum(money.micros(F.col("amount")))), F.lit(0.0))
+            .alias("total_cost")]
 
 
 def query_spend(ledger: DataFrame, sensor_id: str | None = None,
@@ -168,11 +169,11 @@ def cycle_summary(ledger: DataFrame, prices: Prices = PRICES) -> DataFrame:
     cycle = F.max_by(F.struct("amount", "data_points", "created_at"), rank)
     grouped = ledger.groupBy("billing_id", "usage_period").agg(
         cycle.alias("_c"), F.count_if(is_usage).alias("query_items"),
-        F.sum(F.when(is_usage, F.col("amount")).otherwise(0.0)).alias("_query_cost"),
+        F.sum(F.when(is_usage, money.micros(F.col("amount"))).otherwise(0)).alias("_query_cost"),
         F.sum(F.when(is_usage, F.col("data_points")).otherwise(0)).alias("_query_qu"))
     messages = F.coalesce("_c.data_points", F.lit(0))
     message_cost = F.round(money.message_cost(messages, prices), 6)
-    query_cost = F.round("_query_cost", 6)
+    query_cost = money.from_micros(F.col("_query_cost"))
     amount = F.coalesce("_c.amount", F.lit(0.0))
     return grouped.select(
         "billing_id", "usage_period", amount.alias("cycle_amount"),

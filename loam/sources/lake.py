@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam import schemas
 
-# Pruning columns. Farm and hour stay ordinary columns: as folders they would
-# leave a swarm of tiny files.
-LAYOUT = ["sensor_type", "tenant_id", "event_date"]
+# Folders. Tenant, farm and hour stay ordinary columns: as folders they would leave
+# a swarm of tiny files with every micro-batch. Files are sorted by tenant and
+# sensor instead, so their row-group statistics prune a tenant's reads.
+LAYOUT = ["sensor_type", "event_date", "commit_id"]
+CLUSTERING = ["tenant_id", "sensor_id", "event_time"]
+ROWS_PER_FILE = 2_000_000
 SOURCE_COLUMNS = [("_partition", "int"), ("_offset", "bigint")]
 SNAPSHOT_DAYS = 7
 
@@ -24,12 +29,10 @@ class Lake:
         """Create what is missing; existing tables are left alone."""
         run = self.spark.sql
         run(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
-        tenant = ("tenant_id", "string")
-        plain = [c for c in schemas.LAKE_COLUMNS if c != tenant] + SOURCE_COLUMNS
-        columns = ", ".join(f"{name} {kind}" for name, kind in plain)
+        columns = ", ".join(f"{name} {kind}" for name, kind in schemas.LAKE_COLUMNS + SOURCE_COLUMNS)
         run(f"CREATE TABLE IF NOT EXISTS {self.readings} ({columns}, sensor_type string, "
-            "tenant_id string, event_date date, commit_id string) USING parquet "
-            "PARTITIONED BY (sensor_type, tenant_id, event_date, commit_id) "
+            "event_date date, commit_id string) USING parquet "
+            f"PARTITIONED BY ({', '.join(LAYOUT)}) "
             f"TBLPROPERTIES ('snapshot.max-age-days' = '{SNAPSHOT_DAYS}')")
         run(f"CREATE TABLE IF NOT EXISTS {self.dead_letters} (raw_topic string, _partition int, "
             "_offset bigint, value string, reject_reason string, commit_id string) USING parquet "
@@ -49,26 +52,31 @@ class Lake:
             self.spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({name} {kind})")
 
     def append(self, rows: DataFrame, commit_id: str) -> None:
-        """One write for all types and tenants.
+        """One write for all types and tenants; `rows` should be persisted.
 
         The commit id is the last partition level and is overwritten as a whole,
-        so repeating a commit replaces its rows instead of adding them again. The
-        rebalance hint joins small partitions and splits those of a busy tenant.
+        so repeating a commit replaces its rows instead of adding them again.
         """
-        self._commit(rows, self.readings, commit_id, LAYOUT)
+        self._commit(rows, self.readings, commit_id, LAYOUT, CLUSTERING)
 
     def append_dead(self, rows: DataFrame, commit_id: str) -> None:
-        self._commit(rows, self.dead_letters, commit_id, [])
+        self._commit(rows, self.dead_letters, commit_id, ["commit_id"], ["raw_topic"])
 
-    def _commit(self, rows: DataFrame, table: str, commit_id: str, layout: list[str]) -> None:
+    def _commit(self, rows: DataFrame, table: str, commit_id: str, layout: list[str],
+                clustering: list[str]) -> None:
         session = rows.sparkSession
         session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # A small commit gets one file per folder. In a large one the rows of a
+        # folder are dealt out evenly, so neither a busy type nor a busy tenant
+        # or sensor ends up in a single task.
+        pieces = math.ceil(rows.count() / ROWS_PER_FILE)
+        if not pieces:
+            return
+        piece = F.pmod(F.xxhash64("raw_topic", "_partition", "_offset"), F.lit(pieces))
         order = session.table(table).columns
         (rows.withColumn("commit_id", F.lit(commit_id)).select(*order)
-         .hint("rebalance", *layout).write.mode("overwrite").insertInto(table))
-
-    def union_by_name(self, newer: DataFrame, older: DataFrame) -> DataFrame:
-        return newer.unionByName(older, allowMissingColumns=True)
+         .repartition(*layout, piece).sortWithinPartitions(*layout, *clustering)
+         .write.mode("overwrite").insertInto(table))
 
     def expired_dates(self, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
         """Partitions whose whole day is older than the kept time."""

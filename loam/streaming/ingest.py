@@ -21,10 +21,11 @@ def without_replays(messages: DataFrame, horizon: str = REPLAY_HORIZON) -> DataF
 
 
 def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
-    """Micro-batch sink: parse once, then one lake write and one dead-letter write."""
+    """Micro-batch sink: parse once, then one lake write and one dead-letter write.
+
+    A commit without rows writes nothing.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         rows = parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             commit = runs.commit_id(batch, batch_id)
