@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.session import configure
+from loam.sources.streams import file_stream
 from loam.sources.tables import parquet_table
 
 NOW = "2024-01-31 00:00:00"
 LEDGER_NOW = "2001-08-02 00:00:00"
+# Files one micro-batch may take, so that its size does not grow with the table.
+FILES_PER_TRIGGER = 64
 
 _TYPE = ("CASE event_type WHEN 'view' THEN 'soil_moisture' WHEN 'click' THEN 'CO2_Sensor' "
          "WHEN 'purchase' THEN 'weather_station' WHEN 'signup' THEN 'temp_sensor' ELSE 'other' END")
@@ -205,7 +208,8 @@ class Tables:
     def stream(self, name: str) -> DataFrame:
         """A driver table as a file stream. The trailing pattern also matches a folder of files."""
         path = f"{self.folder}/{name}.parquet"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path + "*")
+        return file_stream(self.spark, path + "*", self.spark.read.parquet(path).schema,
+                           files_per_trigger=FILES_PER_TRIGGER)
 
     def bind(self, name: str, raw: DataFrame) -> DataFrame:
         if name == "messages":

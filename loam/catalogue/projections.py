@@ -89,9 +89,9 @@ def lake_rows(t):
 SELECT {_KEYS}, CASE WHEN {_GOOD} THEN replace(e.props, ' ', '') ELSE m.value END AS metrics
 FROM messages m JOIN events e ON m.event_id = e.event_id""")
 def terminal_block(t):
-    return t.messages.select(F.col("topic").alias("raw_topic"), F.col("partition").alias("_partition"),
-                             F.col("offset").alias("_offset"),
-                             E.terminal_block(F.col("value")).alias("metrics"))
+    return readings.with_terminal_block(t.messages).select(
+        F.col("topic").alias("raw_topic"), F.col("partition").alias("_partition"),
+        F.col("offset").alias("_offset"), "metrics")
 
 
 @query("prj10_typed_metrics", """

@@ -34,8 +34,13 @@ def topic_is_valid(topic: Column) -> Column:
     return F.size(F.split(topic, r"\.")) == 3
 
 
-def is_json_object(text: Column) -> Column:
-    return F.coalesce(F.get_json_object(text, "$").startswith("{"), F.lit(False))
+def payload(json: Column) -> Column:
+    """Envelope, location and measurement blocks in one pass over the text."""
+    return F.from_json(json, schemas.PAYLOAD, {"columnNameOfCorruptRecord": schemas.CORRUPT})
+
+
+def payload_is_valid(parsed: Column) -> Column:
+    return parsed.isNotNull() & parsed[schemas.CORRUPT].isNull()
 
 
 def canonical_type(raw: Column) -> Column:
@@ -44,20 +49,14 @@ def canonical_type(raw: Column) -> Column:
     return F.coalesce(known, F.lit(schemas.UNKNOWN_TYPE))
 
 
-def metric_block(json: Column, sensor_type: Column) -> Column:
+def metric_block(parsed: Column, sensor_type: Column) -> Column:
     """The measurement block of the row's own type as JSON text, null for unknown types."""
     block = F.lit(None).cast("string")
-    for name, path in schemas.METRIC_BLOCKS.items():
-        block = F.when(sensor_type == name, F.get_json_object(json, f"$.{path}")).otherwise(block)
+    for name, field in schemas.METRIC_BLOCKS.items():
+        block = F.when(sensor_type == name, parsed[field]).otherwise(block)
     return block
 
 
-def terminal_block(json: Column) -> Column:
-    """First known block present, else the whole payload."""
-    found = [F.get_json_object(json, f"$.{name}") for name in schemas.TERMINAL_BLOCKS]
-    return F.coalesce(*found, json)
-
-
 def topic_of_path(path: Column) -> Column:
     """`a/b/c/data` as the stream topic `a.b.c`."""
     return F.regexp_replace(F.regexp_replace(path, "/data$", ""), "/", ".")

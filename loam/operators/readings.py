@@ -13,30 +13,26 @@ from loam.plans.paging import newest
 def parsed(messages: DataFrame) -> DataFrame:
     """Stream records with envelope, keys, type, metrics, calendar and a reject reason.
 
-    One lazy projection for all topics and types; nothing is collected.
+    One lazy projection for all topics and types; the JSON text is read once and
+    nothing is collected.
     """
-    json = F.col("value").cast("string")
-    env = F.from_json(F.col("_json"), schemas.ENVELOPE)
-    named = (messages.withColumn("_json", json).withColumn("_env", env)
-             .withColumn("sensor_type", E.canonical_type(F.coalesce(
-                 F.col("_env.sensor_type"),
-                 F.get_json_object("_json", "$.sensor_type")))))
-    topic = F.col("topic")
+    topic, env = F.col("topic"), F.col("_env")
+    read = (messages.withColumn("_json", F.col("value").cast("string"))
+            .withColumn("_env", E.payload(F.col("_json")))
+            .withColumn("sensor_type", E.canonical_type(env["sensor_type"]))
+            .withColumn("event_time", E.iso_timestamp(env["timestamp"])))
     reason = (F.when(~E.topic_is_valid(topic), "bad_topic")
-              .when(~E.is_json_object(F.col("_json")), "bad_json"))
-    event_time = E.iso_timestamp(F.col("_env.timestamp"))
-    return named.select(
-        F.coalesce(E.topic_part(topic, 1), F.col("_env.tenant_id")).alias("tenant_id"),
-        F.col("_env.farm_id").alias("farm_id"),
-        F.coalesce(E.topic_part(topic, 2), F.col("_env.sensor_id")).alias("sensor_id"),
-        F.col("_env.device_id").alias("device_id"),
-        event_time.alias("event_time"),
-        F.get_json_object("_json", "$.location").alias("location"),
-        E.metric_block(F.col("_json"), F.col("sensor_type")).alias("metrics"),
+              .when(~E.payload_is_valid(env), "bad_json"))
+    return read.select(
+        F.coalesce(E.topic_part(topic, 1), env["tenant_id"]).alias("tenant_id"),
+        env["farm_id"].alias("farm_id"),
+        F.coalesce(E.topic_part(topic, 2), env["sensor_id"]).alias("sensor_id"),
+        env["device_id"].alias("device_id"),
+        "event_time", env["location"].alias("location"),
+        E.metric_block(env, F.col("sensor_type")).alias("metrics"),
         topic.alias("raw_topic"),
-        *[part.alias(name) for name, part in E.calendar_parts(event_time).items()],
-        "sensor_type",
-        F.to_date(event_time).alias("event_date"),
+        *[part.alias(name) for name, part in E.calendar_parts(F.col("event_time")).items()],
+        "sensor_type", F.to_date("event_time").alias("event_date"),
         F.col("partition").alias("_partition"), F.col("offset").alias("_offset"),
         F.col("_json").alias("_raw"), reason.alias("reject_reason"))
 
@@ -90,6 +86,14 @@ def terminal_lines(messages: DataFrame) -> DataFrame:
     return messages.select("topic", "partition", "offset", line.alias("line"))
 
 
+def with_terminal_block(messages: DataFrame) -> DataFrame:
+    """The first known measurement block of a payload, else the whole payload."""
+    text = F.col("value").cast("string")
+    names = [f"_block_{i}" for i, _ in enumerate(schemas.TERMINAL_BLOCKS)]
+    found = messages.select("*", F.json_tuple(text, *schemas.TERMINAL_BLOCKS).alias(*names))
+    return found.withColumn("metrics", F.coalesce(*names, text)).drop(*names)
+
+
 def message_counters(readings: DataFrame, increment: str = "increment") -> DataFrame:
     """Per sensor: messages, last arrival and the single activation event."""
     return readings.groupBy("tenant_id", "sensor_id").agg(

@@ -13,6 +13,8 @@ ENVELOPE = T.StructType([
     for name in ("device_id", "timestamp", "sensor_id", "tenant_id", "farm_id", "sensor_type")
 ])
 
+CORRUPT = "_corrupt"
+
 MESSAGE = T.StructType([
     T.StructField("topic", T.StringType()),
     T.StructField("value", T.BinaryType()),
@@ -79,6 +81,13 @@ METRIC_FIELDS = {
 }
 TEXT_METRICS = {"pressure_trend"}
 
+# What one pass over a message's JSON yields: nested objects are kept as JSON text.
+PAYLOAD = T.StructType([
+    *ENVELOPE.fields,
+    *[T.StructField(name, T.StringType()) for name in ("location", *METRIC_BLOCKS.values())],
+    T.StructField(CORRUPT, T.StringType()),
+])
+
 # Blocks the live terminal looks for, first one present wins.
 TERMINAL_BLOCKS = ["soil_metrics", "air_quality", "weather_data", "temperature_data",
                    "pollution_metrics"]

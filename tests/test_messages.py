@@ -67,9 +67,15 @@ def test_typed_pressure_keeps_the_trend_text(spark):
 
 
 def test_terminal_block_prefers_known_blocks(spark):
-    both = json.dumps({"air_quality": {"co2_ppm": 1}, "weather_data": {"uv_index": 2}})
-    frame = spark.createDataFrame([(both,), ('{"x":1}',)], "j string")
-    assert [r[0] for r in frame.select(E.terminal_block(F.col("j"))).collect()] == ['{"co2_ppm":1}', '{"x":1}']
+    both = {"air_quality": {"co2_ppm": 1}, "weather_data": {"uv_index": 2}}
+    frame = readings.with_terminal_block(messages(spark, [("t", both), ("t", b'{"x":1}'), ("t", b"no")]))
+    assert [r.metrics for r in frame.orderBy("offset").collect()] == ['{"co2_ppm":1}', '{"x":1}', "no"]
+
+
+def test_nested_json_is_compact_and_keeps_scalars(spark):
+    text = b'{"location": {"a": 1.50, "c":[1, 2]}, "soil_metrics":  "txt", "sensor_type": "soil"}'
+    row = readings.parsed(messages(spark, [("iot.7.s-1", text)])).first()
+    assert (row.location, row.metrics) == ('{"a":1.5,"c":[1,2]}', "txt")
 
 
 @pytest.mark.parametrize("text,label", [
