@@ -1,11 +1,12 @@
 """Running values per key that survive one key holding most of the rows.
 
-A plain window puts every row of a key into one task. Here the largest key is
-measured first (one map-side combined count over the key columns only). While it
-is small the plain window is used. Beyond the limit the rows are range
-partitioned on (keys, order), so a big key is cut into consecutive chunks of
-bounded size; each chunk is scanned on its own and the value carried in from the
-chunks before it is added. The result is the same either way.
+A plain window puts every row of a key into one task. Here keys with more rows
+than a task should hold are looked for first (one map-side combined count that
+reads the key columns only). All other keys go through the plain window. Rows of
+the big keys are range partitioned on (keys, order), which cuts each key into
+consecutive chunks of bounded size; every chunk is scanned on its own and the
+value carried in from the chunks before it is added. The result is the same
+either way.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 from loam.session import checkpoint_root
 
 # Rows of one key that a single window task may hold.
-GROUP_ROW_LIMIT = 2_000_000
+GROUP_ROW_LIMIT = 20_000_000
+# Big keys listed one by one; with more of them all rows are cut into chunks.
+MAX_LISTED_KEYS = 10_000
+MAX_CHUNKS = 20_000
 CHUNK = "_chunk"
 
 
@@ -48,49 +52,71 @@ def previous(value: Column) -> Measure:
     return Measure("previous", value, False)
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows whose groups fit a task: whole keys, or chunks of keys."""
+
+    frame: DataFrame
+    chunked: bool
+
+
 class Ordered:
     """A frame with a total order inside each key; `order` must end in a unique column."""
 
-    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], chunked: bool = False):
-        self.frame, self.keys, self.order, self.chunked = frame, keys, order, chunked
+    def __init__(self, keys: list[str], order: list[str], parts: list[Part]):
+        self.keys, self.order, self.parts = keys, order, parts
 
     @classmethod
     def of(cls, frame: DataFrame, keys: list[str], order: list[str],
            row_limit: int = GROUP_ROW_LIMIT) -> Ordered:
-        sizes = (frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-                 .agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first())
-        if (sizes.largest or 0) <= row_limit:
-            return cls(frame, keys, order)
-        checkpoint_root(frame.sparkSession)
-        chunks = max(2, math.ceil(2 * sizes.total / row_limit))
-        # The chunk number must not change when a task is run again, so the
-        # assignment is frozen on shared storage.
-        cut = (frame.repartitionByRange(chunks, *keys, *order)
-               .withColumn(CHUNK, F.spark_partition_id()).checkpoint())
-        return cls(cut, keys, order, True)
+        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        big = sizes.filter(F.col("_n") > row_limit)
+        listed = big.limit(MAX_LISTED_KEYS + 1).collect()
+        if not listed:
+            return cls(keys, order, [Part(frame, False)])
+        if len(listed) > MAX_LISTED_KEYS:
+            rows = sizes.agg(F.sum("_n")).first()[0]
+            return cls(keys, order, [Part(_cut(frame, keys, order, rows, row_limit), True)])
+        rows = sum(r["_n"] for r in listed)
+        names = frame.sparkSession.createDataFrame(listed, sizes.schema).drop("_n")
+        # At most MAX_LISTED_KEYS rows, so safe to broadcast.
+        small = F.broadcast(names.select(*[F.col(k).alias(f"_big_{k}") for k in keys]))
+        same = [F.col(k).eqNullSafe(F.col(f"_big_{k}")) for k in keys]
+        hot = _cut(frame.join(small, same, "left_semi"), keys, order, rows, row_limit)
+        return cls(keys, order, [Part(frame.join(small, same, "left_anti"), False), Part(hot, True)])
 
     def scan(self, **measures: Measure) -> Ordered:
-        groups = self.keys + ([CHUNK] if self.chunked else [])
+        scanned = [Part(self._chunks(p.frame, measures) if p.chunked else self._whole(p.frame, measures),
+                        p.chunked) for p in self.parts]
+        return Ordered(self.keys, self.order, scanned)
+
+    def result(self) -> DataFrame:
+        whole, *rest = [p.frame.drop(CHUNK) for p in self.parts]
+        for frame in rest:
+            whole = whole.unionByName(frame)
+        return whole
+
+    def _whole(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
+        base = Window.partitionBy(*self.keys).orderBy(*self.order)
+        return frame.select("*", *[_finish(m, _over(m, base), None).alias(n) for n, m in measures.items()])
+
+    def _chunks(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
+        groups = self.keys + [CHUNK]
         base = Window.partitionBy(*groups).orderBy(*self.order)
-        local = {name: _over(m, base) for name, m in measures.items()}
-        if not self.chunked:
-            frame = self.frame.select("*", *[_finish(m, local[n], None).alias(n)
-                                             for n, m in measures.items()])
-            return Ordered(frame, self.keys, self.order)
-        carried = self._carry(measures)
-        scanned = self.frame.select("*", *[c.alias(f"_local_{n}") for n, c in local.items()])
+        carried = self._carry(frame, measures)
+        scanned = frame.select("*", *[_over(m, base).alias(f"_local_{n}") for n, m in measures.items()])
         # At most one key continues across each chunk border, so `carried` has
         # fewer rows than there are chunks and is safe to broadcast.
         same = [scanned[k].eqNullSafe(carried[f"_key_{k}"]) for k in groups]
         joined = scanned.join(F.broadcast(carried), same, "left")
-        kept = [scanned[c] for c in self.frame.columns]
+        kept = [scanned[c] for c in frame.columns]
         values = [_finish(m, scanned[f"_local_{n}"], carried[f"_carry_{n}"]).alias(n)
                   for n, m in measures.items()]
-        return Ordered(joined.select(*kept, *values), self.keys, self.order, True)
+        return joined.select(*kept, *values)
 
-    def _carry(self, measures: dict[str, Measure]) -> DataFrame:
+    def _carry(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
         rank = F.struct(*self.order)
-        totals = self.frame.groupBy(*self.keys, CHUNK).agg(
+        totals = frame.groupBy(*self.keys, CHUNK).agg(
             *[_total(m, rank).alias(n) for n, m in measures.items()])
         before = (Window.partitionBy(*self.keys).orderBy(CHUNK)
                   .rowsBetween(Window.unboundedPreceding, -1))
@@ -101,8 +127,17 @@ class Ordered:
             F.count(F.lit(1)).over(before).alias("_chunks_before"))
             .filter("_chunks_before > 0").drop("_chunks_before"))
 
-    def result(self) -> DataFrame:
-        return self.frame.drop(CHUNK)
+
+def _cut(frame: DataFrame, keys: list[str], order: list[str], rows: int, row_limit: int) -> DataFrame:
+    """Rows with the number of their chunk.
+
+    The number must not change when a task is run again, so the assignment is
+    frozen on shared storage.
+    """
+    checkpoint_root(frame.sparkSession)
+    chunks = min(max(2, math.ceil(2 * rows / row_limit)), MAX_CHUNKS)
+    return (frame.repartitionByRange(chunks, *keys, *order)
+            .withColumn(CHUNK, F.spark_partition_id()).checkpoint())
 
 
 def _over(m: Measure, base) -> Column:

@@ -2,14 +2,17 @@
 
 The order of events decides when a billing is suspended and which amount is
 frozen, so this is the one operator that keeps per-key state in Python. Its state
-is one small row per tenant, and a call sees one micro-batch of a tenant, whose
-size the source's per-trigger limit bounds.
+is one small row per tenant. A call sees one micro-batch of a tenant, whose size
+the source's per-trigger limit bounds, and works on whole stretches of events:
+only top-ups and cycle ends, which are rare, are taken one at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,34 +22,62 @@ from loam.schemas import PRICES, Prices
 STATE = ("status string, balance double, amount_due double, message_count long, "
          "sensor_count long, last_id long")
 OUTPUT = f"tenant_id string, {STATE}"
-START = ("active", 0.0, 0.0, 0, 0, -1)
 
 
-def fold(state: tuple, events: pd.DataFrame, prices: Prices = PRICES) -> tuple:
+class Billing(NamedTuple):
+    status: str = "active"
+    balance: float = 0.0
+    amount_due: float = 0.0
+    message_count: int = 0
+    sensor_count: int = 0
+    last_id: int = -1
+
+
+def fold(state: Billing, events: pd.DataFrame, prices: Prices = PRICES) -> Billing:
     """State after `events`, which must be in order."""
-    status, balance, due, messages, sensors, last_id = state
-    for kind, quantity, amount, last_id in zip(
-            events["kind"], events["quantity"], events["amount"], events["id"]):
-        if kind == "topup":
-            balance, status = balance + amount, "active"
-            continue
-        if kind == "cycle":
-            balance -= min(due, balance)
-            due, messages = 0.0, 0
-            status = "suspended" if balance <= 0 else "active"
-            continue
-        if kind == "messages":
-            messages += quantity
-        elif kind == "sensors":
-            sensors = max(0, sensors + quantity)
-        if status == "active":
-            if kind == "query":
-                due += amount
-            else:
-                due = messages * prices.ledger_message + sensors * prices.sensor_onboarding
-            if due > balance:
-                status = "suspended"
-    return status, float(balance), float(due), int(messages), int(sensors), int(last_id)
+    kind = events["kind"].to_numpy(dtype=object)
+    quantity = events["quantity"].to_numpy(dtype=np.int64)
+    amount = events["amount"].to_numpy(dtype=np.float64)
+    begin = 0
+    for stop in [*np.flatnonzero((kind == "topup") | (kind == "cycle")), len(kind)]:
+        state = _usage(state, kind[begin:stop], quantity[begin:stop], amount[begin:stop], prices)
+        if stop < len(kind):
+            state = _topup(state, amount[stop]) if kind[stop] == "topup" else _cycle(state)
+        begin = stop + 1
+    return state._replace(last_id=int(events["id"].iloc[-1])) if len(kind) else state
+
+
+def _topup(state: Billing, amount: float) -> Billing:
+    return state._replace(status="active", balance=float(state.balance + amount))
+
+
+def _cycle(state: Billing) -> Billing:
+    left = state.balance - min(state.amount_due, state.balance)
+    return state._replace(status="suspended" if left <= 0 else "active", balance=float(left),
+                          amount_due=0.0, message_count=0)
+
+
+def _usage(state: Billing, kind, quantity, amount, prices: Prices) -> Billing:
+    """Counter events and query charges up to the next top-up or cycle end."""
+    if not len(kind):
+        return state
+    messages = state.message_count + np.cumsum(np.where(kind == "messages", quantity, 0))
+    plain = state.sensor_count + np.cumsum(np.where(kind == "sensors", quantity, 0))
+    sensors = plain - np.minimum(0, np.minimum.accumulate(plain))
+    after = state._replace(message_count=int(messages[-1]), sensor_count=int(sensors[-1]))
+    if state.status != "active":
+        return after
+    query = kind == "query"
+    charged = np.cumsum(np.where(query, np.rint(amount * 1e6), 0).astype(np.int64))
+    counter = np.maximum.accumulate(np.where(query, -1, np.arange(len(kind))))
+    counted = counter >= 0
+    base = np.where(counted, messages[counter] * prices.ledger_message
+                    + sensors[counter] * prices.sensor_onboarding, state.amount_due)
+    due = base + (charged - np.where(counted, charged[counter], 0)) / 1e6
+    over = due > state.balance
+    if over.any():
+        return after._replace(status="suspended", amount_due=float(due[over.argmax()]))
+    return after._replace(amount_due=float(due[-1]))
 
 
 class BillingFold(StatefulProcessor):
@@ -55,9 +86,9 @@ class BillingFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["happened_at", "id"], kind="stable")
-        before = tuple(self.state.get()) if self.state.exists() else START
+        before = Billing(*self.state.get()) if self.state.exists() else Billing()
         after = fold(before, events)
-        self.state.update(after)
+        self.state.update(tuple(after))
         names = [part.split()[0] for part in OUTPUT.split(", ")]
         yield pd.DataFrame([(key[0], *after)], columns=names)
 

@@ -38,7 +38,7 @@ def expected(data):
 def test_scan_matches_brute_force(spark, rows, row_limit):
     data, frame = skewed(spark)
     scanned = Ordered.of(frame, ["k"], ["t", "id"], row_limit)
-    assert scanned.chunked == (row_limit < 10 ** 9)
+    assert [p.chunked for p in scanned.parts] == ([False] if row_limit == 10 ** 9 else [False, True])
     v = F.col("v")
     got = scanned.scan(s=running_sum(v), before=running_sum(v, inclusive=False), low=running_min(v),
                        known=last_known(v), known_before=last_known(v, inclusive=False),
@@ -49,12 +49,22 @@ def test_scan_matches_brute_force(spark, rows, row_limit):
 
 def test_no_chunk_holds_a_hot_key_whole(spark):
     _, frame = skewed(spark)
-    cut = Ordered.of(frame, ["k"], ["t", "id"], 200).frame
+    cut = Ordered.of(frame, ["k"], ["t", "id"], 200).parts[1].frame
     sizes = cut.groupBy("k", CHUNK).count()
     assert sizes.agg(F.max("count")).first()[0] <= 600
     assert sizes.filter("k = 'hot'").count() > 3
 
 
+def test_many_big_keys_are_all_cut(spark, rows, monkeypatch):
+    from loam.plans import ordered
+    monkeypatch.setattr(ordered, "MAX_LISTED_KEYS", 2)
+    data, frame = skewed(spark)
+    scanned = Ordered.of(frame, ["k"], ["t", "id"], 100)
+    assert [p.chunked for p in scanned.parts] == [True]
+    got = scanned.scan(s=running_sum(F.col("v"))).result()
+    assert rows(got, "k", "id", "s") == sorted([e[:3] for e in expected(data)], key=repr)
+
+
 def test_scans_can_follow_each_other(spark, rows):
     data, frame = skewed(spark)
     frame = frame.na.fill({"v": 0, "k": "none"})

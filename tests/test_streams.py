@@ -40,15 +40,16 @@ def message(sensor, offset, minute=0, **changes):
 
 
 def test_late_row_is_dropped(spark):
+    """The engine drops by the watermark of the batch before, so one row follows 00:30 first."""
     folder = scratch(spark, "late")
-    for i, minute in enumerate([0, 30, 5]):
+    for i, minute in enumerate([0, 30, 31, 5]):
         write(spark, folder, f"{i}", [(at(minute), "t")], READING)
     write(spark, folder, "9", [(at(59, 23), "t")], READING)
     schema = spark.createDataFrame([], READING).schema
     stream = streams.file_stream(spark, f"{folder}/*", schema, files_per_trigger=1)
     counts = windows.sliding_counts(stream, ["tenant_id"], window="5 minutes", slide="5 minutes")
     kept = {(r.window_start, r.event_count) for r in runs.append_now(counts, "late-out").collect()}
-    assert kept == {(at(0), 1), (at(30), 1)}
+    assert kept == {(at(0), 1), (at(30), 2)}
 
 
 def test_replayed_file_does_not_change_the_lake(spark):
@@ -85,7 +86,13 @@ def test_empty_batch_writes_nothing(spark):
 def test_one_busy_sensor_is_spread_over_files(spark, monkeypatch):
     monkeypatch.setattr(lake, "ROWS_PER_FILE", 100)
     target = fresh_lake(spark)
-    ingest.write_batch(target)(spark.createDataFrame([message("s-1", i) for i in range(900)], schemas.MESSAGE), 0)
+    # So few bytes would otherwise be joined into one task again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ingest.write_batch(target)(
+            spark.createDataFrame([message("s-1", i) for i in range(900)], schemas.MESSAGE), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     table = spark.table(target.readings)
     sizes = [r[0] for r in table.groupBy(F.input_file_name()).count().select("count").collect()]
     assert table.count() == 900 and len(sizes) >= 5 and max(sizes) < 400
@@ -122,10 +129,8 @@ def test_billing_fold_over_many_batches(spark, tables):
         billing_fold.billing_states(stream), ["tenant_id"], "fold-out").collect()}
     frame = events.toPandas().sort_values(["happened_at", "id"])
     for tenant, group in frame.groupby("tenant_id"):
-        status, balance, due, messages, sensors, last = billing_fold.fold(billing_fold.START, group)
-        row = got[tenant]
-        assert (row.status, row.message_count, row.sensor_count, row.last_id) == (status, messages, sensors, last)
-        assert row.balance == pytest.approx(balance) and row.amount_due == pytest.approx(due)
+        want, row = billing_fold.fold(billing_fold.Billing(), group), got[tenant]
+        assert row[1:] == pytest.approx(tuple(want))
 
 
 def test_first_message_activates_once(spark, rows):
