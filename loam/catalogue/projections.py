@@ -35,7 +35,7 @@ def keys(t):
 SELECT {_KEYS}, m.value, CASE WHEN m.topic IN ('iot.7', 'iot.a.b.c') THEN 'bad_topic' ELSE 'bad_json' END
   AS reject_reason FROM messages m WHERE m.topic IN ('iot.7', 'iot.a.b.c') OR NOT ({_GOOD})""")
 def dead_letters(t):
-    return readings.dead_letters(readings.parsed(t.messages))
+    return readings.dead_letters(readings.parsed(t.messages)).drop("arrival_date")
 
 
 _CANON = """CASE e.event_type WHEN 'view' THEN 'soil' WHEN 'click' THEN 'co2' WHEN 'purchase' THEN 'weather'

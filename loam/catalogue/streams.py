@@ -67,7 +67,7 @@ SELECT topic AS raw_topic, partition AS _partition, "offset" AS _offset, value,
   CASE WHEN topic IN ('iot.7', 'iot.a.b.c') THEN 'bad_topic' ELSE 'bad_json' END AS reject_reason
 FROM messages WHERE topic IN ('iot.7', 'iot.a.b.c') OR value = 'not json'""")
 def dead_letter_table(t):
-    return t.spark.table(ingested(t, "str7").dead_letters).drop("commit_id")
+    return t.spark.table(ingested(t, "str7").dead_letters).drop("commit_id", "arrival_date")
 
 
 @query("str9_replayed_messages", f"""

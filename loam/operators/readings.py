@@ -35,7 +35,8 @@ def parsed(messages: DataFrame) -> DataFrame:
         *[part.alias(name) for name, part in E.calendar_parts(F.col("event_time")).items()],
         "sensor_type", F.to_date("event_time").alias("event_date"),
         F.col("partition").alias("_partition"), F.col("offset").alias("_offset"),
-        F.col("_json").alias("_raw"), reason.alias("reject_reason"))
+        F.to_date("timestamp").alias("arrival_date"), F.col("_json").alias("_raw"),
+        reason.alias("reject_reason"))
 
 
 def accepted(parsed_rows: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def accepted(parsed_rows: DataFrame) -> DataFrame:
 
 def dead_letters(parsed_rows: DataFrame) -> DataFrame:
     return parsed_rows.filter(F.col("reject_reason").isNotNull()).select(
-        "raw_topic", "_partition", "_offset", F.col("_raw").alias("value"), "reject_reason")
+        "raw_topic", "_partition", "_offset", F.col("_raw").alias("value"), "reject_reason",
+        "arrival_date")
 
 
 def lake_rows(parsed_rows: DataFrame) -> DataFrame:

@@ -12,11 +12,13 @@ from loam import schemas
 # Folders. Tenant, farm and hour stay ordinary columns: as folders they would leave
 # a swarm of tiny files with every micro-batch. Files are sorted by tenant and
 # sensor instead, so their row-group statistics prune a tenant's reads.
-LAYOUT = ["sensor_type", "event_date", "commit_id"]
+LAYOUT = ["sensor_type", "event_date"]
 CLUSTERING = ["tenant_id", "sensor_id", "event_time"]
 ROWS_PER_FILE = 2_000_000
-SOURCE_COLUMNS = [("_partition", "int"), ("_offset", "bigint")]
+IDENTITY = ["raw_topic", "_partition", "_offset"]
+SOURCE_COLUMNS = [("_partition", "int"), ("_offset", "bigint"), ("commit_id", "string")]
 SNAPSHOT_DAYS = 7
+PARTITIONS_PER_DROP = 500
 
 
 class Lake:
@@ -31,12 +33,11 @@ class Lake:
         run(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
         columns = ", ".join(f"{name} {kind}" for name, kind in schemas.LAKE_COLUMNS + SOURCE_COLUMNS)
         run(f"CREATE TABLE IF NOT EXISTS {self.readings} ({columns}, sensor_type string, "
-            "event_date date, commit_id string) USING parquet "
-            f"PARTITIONED BY ({', '.join(LAYOUT)}) "
+            f"event_date date) USING parquet PARTITIONED BY ({', '.join(LAYOUT)}) "
             f"TBLPROPERTIES ('snapshot.max-age-days' = '{SNAPSHOT_DAYS}')")
         run(f"CREATE TABLE IF NOT EXISTS {self.dead_letters} (raw_topic string, _partition int, "
-            "_offset bigint, value string, reject_reason string, commit_id string) USING parquet "
-            "PARTITIONED BY (commit_id)")
+            "_offset bigint, value string, reject_reason string, commit_id string, "
+            "arrival_date date) USING parquet PARTITIONED BY (arrival_date)")
         names = ", ".join(name for name, _ in schemas.LAKE_COLUMNS)
         for kind in [*schemas.METRIC_BLOCKS, schemas.UNKNOWN_TYPE]:
             run(f"CREATE OR REPLACE VIEW {self.database}.{kind}_data AS SELECT {names} "
@@ -51,32 +52,39 @@ class Lake:
         if name not in self.spark.table(table).columns:
             self.spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({name} {kind})")
 
-    def append(self, rows: DataFrame, commit_id: str) -> None:
+    def append(self, rows: DataFrame, commit_id: str, repeated: bool = False) -> None:
         """One write for all types and tenants; `rows` should be persisted.
 
-        The commit id is the last partition level and is overwritten as a whole,
-        so repeating a commit replaces its rows instead of adding them again.
+        With `repeated` the commit may have been tried before: rows of it that are
+        stored already, found by topic, partition and offset, are left out.
         """
-        self._commit(rows, self.readings, commit_id, LAYOUT, CLUSTERING)
+        self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING)
 
-    def append_dead(self, rows: DataFrame, commit_id: str) -> None:
-        self._commit(rows, self.dead_letters, commit_id, ["commit_id"], ["raw_topic"])
+    def append_dead(self, rows: DataFrame, commit_id: str, repeated: bool = False) -> None:
+        self._commit(rows, self.dead_letters, commit_id, repeated, ["arrival_date"], IDENTITY)
 
-    def _commit(self, rows: DataFrame, table: str, commit_id: str, layout: list[str],
-                clustering: list[str]) -> None:
-        session = rows.sparkSession
-        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    def _commit(self, rows: DataFrame, table: str, commit_id: str, repeated: bool,
+                layout: list[str], clustering: list[str]) -> None:
+        day = F.col(layout[-1])
+        extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first"),
+                          F.max(day).alias("last")).first()
+        if not extent.n:
+            return
+        stored = rows.sparkSession.table(table)
+        if repeated:
+            # Folders outside the commit's days are not listed, other commits' row
+            # groups not read.
+            days = day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"]))
+            known = stored.filter(days & (F.col("commit_id") == commit_id)).select(*IDENTITY)
+            rows = rows.join(known, IDENTITY, "left_anti")
         # A small commit gets one file per folder. In a large one the rows of a
         # folder are dealt out evenly, so neither a busy type nor a busy tenant
         # or sensor ends up in a single task.
-        pieces = math.ceil(rows.count() / ROWS_PER_FILE)
-        if not pieces:
-            return
-        piece = F.pmod(F.xxhash64("raw_topic", "_partition", "_offset"), F.lit(pieces))
-        order = session.table(table).columns
-        (rows.withColumn("commit_id", F.lit(commit_id)).select(*order)
+        pieces = math.ceil(extent.n / ROWS_PER_FILE)
+        piece = F.pmod(F.xxhash64(*IDENTITY), F.lit(pieces))
+        (rows.withColumn("commit_id", F.lit(commit_id)).select(*stored.columns)
          .repartition(*layout, piece).sortWithinPartitions(*layout, *clustering)
-         .write.mode("overwrite").insertInto(table))
+         .write.insertInto(table))
 
     def expired_dates(self, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
         """Partitions whose whole day is older than the kept time."""
@@ -86,14 +94,14 @@ class Lake:
         return spec.filter(F.try_to_date(day) < limit)
 
     def expire(self, now: str, days: int = SNAPSHOT_DAYS) -> int:
-        """Drop expired partitions; only catalog entries are looped over, never rows."""
-        dropped = 0
-        for row in self.expired_dates(now, days).toLocalIterator():
-            parts = (p.split("=", 1) for p in row.partition.split("/"))
-            spec = ", ".join(f"{name}='{value}'" for name, value in parts)
-            self.spark.sql(f"ALTER TABLE {self.readings} DROP PARTITION ({spec})")
-            dropped += 1
-        return dropped
+        """Drop expired partitions; only catalog entries pass through here, never rows."""
+        expired = [r.partition for r in self.expired_dates(now, days).toLocalIterator()]
+        for at in range(0, len(expired), PARTITIONS_PER_DROP):
+            specs = [", ".join("{}='{}'".format(*part.split("=", 1)) for part in name.split("/"))
+                     for name in expired[at:at + PARTITIONS_PER_DROP]]
+            self.spark.sql(f"ALTER TABLE {self.readings} DROP "
+                           + ", ".join(f"PARTITION ({spec})" for spec in specs))
+        return len(expired)
 
 
 def retained(rows: DataFrame, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:

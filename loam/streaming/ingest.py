@@ -23,16 +23,22 @@ def without_replays(messages: DataFrame, horizon: str = REPLAY_HORIZON) -> DataF
 def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
     """Micro-batch sink: parse once, then one lake write and one dead-letter write.
 
-    A commit without rows writes nothing.
+    A micro-batch is only ever repeated by a fresh start of the stream, so the
+    first one this sink sees, and any that does not follow the last one, is
+    checked against what is stored. Batches without rows write nothing.
     """
+    done: list[int] = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        repeated = not done or batch_id <= done[-1]
         rows = parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             commit = runs.commit_id(batch, batch_id)
-            lake.append(accepted(rows), commit)
-            lake.append_dead(dead_letters(rows), commit)
+            lake.append(accepted(rows), commit, repeated)
+            lake.append_dead(dead_letters(rows), commit, repeated)
         finally:
             rows.unpersist()
+        done[:] = [batch_id]
     return write
 
 

@@ -77,6 +77,32 @@ def test_repeated_batch_replaces_its_rows_and_new_files_are_added(spark):
     assert spark.table(target.readings).count() == 5
 
 
+def test_commit_that_failed_half_way_is_completed(spark):
+    """Only the rows the first try did not store are added by the second."""
+    target = fresh_lake(spark)
+    batch = spark.createDataFrame([message("s-1", i) for i in range(10)], schemas.MESSAGE)
+    rows = readings.parsed(batch)
+    target.append(readings.accepted(rows).filter("_offset < 4"), "c-1")
+    for _ in range(2):
+        target.append(readings.accepted(rows), "c-1", repeated=True)
+    assert spark.table(target.readings).count() == 10
+    assert spark.table(target.readings).select("_offset").distinct().count() == 10
+
+
+def test_batches_in_a_row_are_not_checked_again(spark):
+    target = fresh_lake(spark)
+    write_one = ingest.write_batch(target)
+    write_one(spark.createDataFrame([message("s-1", 0)], schemas.MESSAGE), 0)
+    checked = []
+    plain = target._commit
+    target._commit = lambda rows, table, commit, repeated, *rest: (
+        checked.append(repeated), plain(rows, table, commit, repeated, *rest))
+    write_one(spark.createDataFrame([message("s-1", 1)], schemas.MESSAGE), 1)
+    write_one(spark.createDataFrame([message("s-1", 1)], schemas.MESSAGE), 1)
+    assert checked == [False, False, True, True]
+    assert spark.table(target.readings).count() == 2
+
+
 def test_empty_batch_writes_nothing(spark):
     target = fresh_lake(spark)
     ingest.write_batch(target)(spark.createDataFrame([], schemas.MESSAGE), 0)
