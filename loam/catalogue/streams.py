@@ -134,3 +134,12 @@ SELECT sensor_id, arg_min(event_id, (event_time, event_id)) AS event_id, min(eve
 FROM c WHERE messages * 0.0005e0 >= budget GROUP BY sensor_id""")
 def budget_deactivation(t):
     return billing.deactivate_over_budget(t.readings, t.sensors).withColumn("cost", F.round("cost", 6))
+
+
+@query("str12_budget_stream", """
+SELECT s.sensor_id, s.budget, 'inactive' AS status FROM sensors s JOIN (
+  SELECT sensor_id, sum(increment) AS messages FROM readings GROUP BY 1) r ON s.sensor_id = r.sensor_id
+WHERE s.status = 'active' AND s.budget > 0 AND r.messages * 0.0005e0 >= s.budget""")
+def budget_stream(t):
+    reached = counters.over_budget(t.streamed("readings"), t.sensors)
+    return runs.update_now(reached, ["sensor_id"], "str12").select("sensor_id", "budget", "status")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions import money
 from loam.operators.readings import terminal_lines
+from loam.schemas import PRICES, Prices
 
 
 def message_counters(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,6 +16,16 @@ def message_counters(readings: DataFrame, keys: list[str]) -> DataFrame:
                                        F.max("event_time").alias("last_message_at"))
 
 
+def over_budget(readings: DataFrame, sensors: DataFrame, prices: Prices = PRICES) -> DataFrame:
+    """Active sensors whose running cost has reached their budget, for update mode."""
+    watched = sensors.filter((F.col("status") == "active") & (F.col("budget") > 0)) \
+                     .select("sensor_id", "budget")
+    cost = money.message_cost(F.col("message_count"), prices)
+    return (message_counters(readings, ["sensor_id"]).join(watched, "sensor_id")
+            .withColumn("cost", cost).filter(F.col("cost") >= F.col("budget"))
+            .withColumn("status", F.lit("inactive")))
+
+
 def route(messages: DataFrame, routes: DataFrame) -> DataFrame:
     """Messages with a registered route, keyed by where they came from; the rest is dropped."""
     known = routes.select(F.col("path").alias("_path"), F.col("target").alias("topic"))
