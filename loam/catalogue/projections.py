@@ -145,6 +145,13 @@ def tenant_function(t):
         "WHERE tenant_id = CURRENT_USER_TENANT() GROUP BY sensor_type")
 
 
+@query("udf2_tenant_macro", """
+SELECT '4' AS tenant, farm_id, count(*) AS n FROM readings WHERE tenant_id = '4' GROUP BY farm_id""")
+def tenant_macro(t):
+    return tenant_console(t, 4).query(
+        "SELECT current_user_tenant() AS tenant, farm_id, count(*) AS n FROM readings GROUP BY farm_id")
+
+
 @query("flt4_clean_statement", """
 SELECT farm_id, CAST(count(*) AS STRING) AS n FROM readings WHERE tenant_id = '2' GROUP BY farm_id""")
 def clean_statement(t):

@@ -6,7 +6,7 @@ from loam import bindings
 from loam.catalogue import query
 from loam.catalogue.aggregates import windowed
 from loam.catalogue.sources import _ACCEPTED, _CLOSED, _TYPE, ingested, new_lake
-from loam.operators import billing, readings
+from loam.operators import account_history, billing
 from loam.session import scratch
 from loam.sources import streams
 from loam.streaming import billing_fold, counters, ingest, runs, windows
@@ -95,7 +95,7 @@ def running_counters(t):
     return runs.update_now(counted, ["tenant_id", "sensor_id"], "str10")
 
 
-@query("str11_billing_fold", """
+_FOLD = """
 WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY happened_at, id) AS rn,
   count(*) OVER (PARTITION BY tenant_id) AS total FROM account_events),
 f(tenant_id, rn, status, balance, due, messages, sensors, last_id, left_over) AS (
@@ -116,7 +116,10 @@ f(tenant_id, rn, status, balance, due, messages, sensors, last_id, left_over) AS
         CASE e.kind WHEN 'sensors' THEN greatest(0, f.sensors + e.quantity) ELSE f.sensors END AS ns
       FROM f JOIN e ON e.tenant_id = f.tenant_id AND e.rn = f.rn + 1) a) b)
 SELECT tenant_id, status, round(balance, 6) AS balance, round(due, 6) AS amount_due, messages AS message_count,
-  sensors AS sensor_count, last_id FROM f WHERE left_over = 0""")
+  sensors AS sensor_count, last_id FROM f WHERE left_over = 0"""
+
+
+@query("str11_billing_fold", _FOLD)
 def folded_billing(t):
     states = billing_fold.billing_states(t.streamed("account_events"))
     latest = runs.update_now(states, ["tenant_id"], "str11")
@@ -124,6 +127,36 @@ def folded_billing(t):
         .withColumn("amount_due", F.round("amount_due", 6))
 
 
+@query("str11_billing_history", _FOLD)
+def billing_history(t):
+    states = account_history.account_states(t.account_events)
+    return states.withColumn("balance", F.round("balance", 6)) \
+        .withColumn("amount_due", F.round("amount_due", 6))
+
+
+@query("str8_empty_batches", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} AND e.ts < TIMESTAMP '2024-01-10' GROUP BY 1")
+def empty_batches(t):
+    """One file per week; the later weeks leave nothing to store and write no files."""
+    root, target = scratch(t.spark, "str8"), new_lake(t, "str8-lake")
+    messages = t.messages.drop("event_id").withColumn("value", F.col("value").cast("binary"))
+    messages.repartitionByRange(5, "timestamp").write.parquet(f"{root}/in")
+    stream = streams.file_stream(t.spark, f"{root}/in", messages.schema, files_per_trigger=1)
+    early = stream.filter(F.col("timestamp") < F.lit("2024-01-10").cast("timestamp"))
+    ingest.ingest(early, target, f"{root}/state", None).awaitTermination()
+    return t.spark.table(target.readings).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("udf3_batch_callback", """
+SELECT sensor_type, tenant_id, count(*) AS n, round(sum(value), 4) AS total FROM readings GROUP BY 1, 2""")
+def batch_callback(t):
+    """Micro-batches handed to a Python callback that writes each of them once."""
+    path = scratch(t.spark, "udf3")
+    writer = t.streamed("readings").writeStream.foreachBatch(runs.changelog(f"{path}/rows"))
+    runs.start(writer, f"{path}/state", None).awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").groupBy("sensor_type", F.col("tenant_id").cast("string").alias("tenant_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("str12_budget_deactivation", """
 WITH c AS (SELECT r.sensor_id, r.event_id, r.event_time, s.budget, sum(r.increment) OVER (PARTITION BY r.sensor_id
     ORDER BY r.event_time, r.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS messages

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loam.session import checkpoint_root
 
 # Rows of one key that a single window task may hold.
-GROUP_ROW_LIMIT = 20_000_000
+GROUP_ROW_LIMIT = 5_000_000
 # Big keys listed one by one; with more of them all rows are cut into chunks.
 MAX_LISTED_KEYS = 10_000
 MAX_CHUNKS = 20_000

@@ -1,6 +1,7 @@
 """Ledger behaviour on literal cases."""
 
 import datetime
+import random
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from loam.functions import money
-from loam.operators import billing, metering
+from loam.operators import account_history, billing, metering
 from loam.streaming import billing_fold
 
 EVENT = "tenant_id string, happened_at timestamp, id long, kind string, messages long, sensors int, cost double"
@@ -204,3 +205,29 @@ def test_fold_equals_the_freeze_of_one_epoch(tables):
         row, want = billing_fold.fold(billing_fold.Billing(balance=balances[tenant]), group), frozen[tenant]
         assert (row.status, row.message_count, row.sensor_count) == (want.status, want.message_count, want.sensor_count)
         assert row.amount_due == pytest.approx(want.amount_due, abs=1e-9)
+
+
+def random_accounts(seed, tenants=12, n=60):
+    rng = random.Random(seed)
+    make = {"messages": lambda: (rng.randrange(400_000), 0.0), "sensors": lambda: (rng.randrange(-3, 4), 0.0),
+            "query": lambda: (0, rng.randrange(1, 3000) / 1000), "topup": lambda: (0, rng.randrange(1, 8) + 0.000123),
+            "cycle": lambda: (0, 0.0)}
+    data = []
+    for tenant in range(tenants):
+        weights = [rng.random() + 0.05 for _ in make]
+        for _ in range(rng.randrange(1, n)):
+            kind = rng.choices(list(make), weights)[0]
+            data.append((f"t{tenant}", T0 + datetime.timedelta(days=rng.randrange(30)), len(data), kind, *make[kind]()))
+    return data
+
+
+@pytest.mark.parametrize("seed,row_limit", [(1, 10 ** 9), (2, 10 ** 9), (3, 15), (4, 15)])
+def test_history_equals_the_rules_one_by_one(spark, seed, row_limit):
+    data = random_accounts(seed)
+    events = spark.createDataFrame(
+        data, "tenant_id string, happened_at timestamp, id long, kind string, quantity long, amount double")
+    got = {r.tenant_id: r for r in account_history.account_states(events, row_limit=row_limit).collect()}
+    assert set(got) == {e[0] for e in data}
+    for tenant, row in got.items():
+        own = sorted((e for e in data if e[0] == tenant), key=lambda e: (e[1], e[2]))
+        same(row, one_by_one(billing_fold.Billing(), [(e[3], e[4], e[5], e[2]) for e in own]))
