@@ -143,14 +143,15 @@ def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame) -> DataFrame:
     """Charges that mention each sensor, or its farm when none mentions the sensor."""
     charges = _query_charges(ledger).select("amount", "data_points", "description")
 
-    def by(shape: str, prefix: str) -> DataFrame:
-        found = mentioned_ids(charges, shape, 3).groupBy("mentioned").agg(*_spend())
-        return found.select(F.col("mentioned"), *[
+    # One pass finds both kinds of id; Spark reuses the exchange for the second join.
+    found = mentioned_ids(charges, r"[sf]-\d+", 3).groupBy("mentioned").agg(*_spend())
+
+    def spend_of(key: str, prefix: str) -> DataFrame:
+        return found.select(F.col("mentioned").alias(key), *[
             F.col(c).alias(f"{prefix}_{c}") for c in ("query_count", "total_qu", "total_cost")])
-    own, farm = by(r"s-\d+", "own"), by(r"f-\d+", "farm")
     joined = (sensors.select("sensor_id", "farm_id")
-              .join(own.withColumnRenamed("mentioned", "sensor_id"), "sensor_id", "left")
-              .join(farm.withColumnRenamed("mentioned", "farm_id"), "farm_id", "left"))
+              .join(spend_of("sensor_id", "own"), "sensor_id", "left")
+              .join(spend_of("farm_id", "farm"), "farm_id", "left"))
     pick = lambda c, zero: F.coalesce(f"own_{c}", f"farm_{c}", F.lit(zero)).alias(c)
     return joined.select("sensor_id", "farm_id", pick("query_count", 0),
                          pick("total_qu", 0.0), pick("total_cost", 0.0))
