@@ -42,10 +42,10 @@ def sensors_by_cost(t):
 
 
 @query("ord5_usage_oldest_first", """
-SELECT id, created_at, amount FROM ledger WHERE type = 'usage' AND billing_id = 3 ORDER BY created_at, id""")
+SELECT billing_id, id, created_at, amount FROM ledger WHERE type = 'usage' ORDER BY billing_id, created_at, id""")
 def usage_oldest_first(t):
-    rows = t.ledger.filter("type = 'usage' AND billing_id = 3")
-    return rows.orderBy("created_at", "id").select("id", "created_at", "amount")
+    rows = t.ledger.filter("type = 'usage'")
+    return rows.orderBy("billing_id", "created_at", "id").select("billing_id", "id", "created_at", "amount")
 
 
 @query("set1_replace_role", """

@@ -38,8 +38,9 @@ def topic_table(t):
 
 
 @query("src4_log_tail", """
-SELECT topic, partition, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY topic, partition
-  ORDER BY "offset" DESC) AS rn FROM messages) x WHERE rn <= 10""")
+SELECT m.topic, m.partition, m."offset" FROM messages m JOIN (
+  SELECT topic, partition, max("offset") + 1 AS high FROM messages GROUP BY 1, 2) h
+ON m.topic = h.topic AND m.partition = h.partition AND m."offset" >= h.high - 10""")
 def log_tail(t):
     return readings.log_tail(t.messages).select("topic", "partition", "offset")
 

@@ -78,8 +78,10 @@ def last_messages(readings: DataFrame, n: int = 5) -> DataFrame:
 
 
 def log_tail(messages: DataFrame, n: int = 10) -> DataFrame:
-    """The last `n` offsets of each partition, never below the oldest one kept."""
-    return newest(messages, ["topic", "partition"], [F.col("offset").desc()], n)
+    """Records at the last `n` offsets of each partition, found without sorting any."""
+    start = messages.groupBy("topic", "partition").agg((F.max("offset") + 1 - n).alias("_start"))
+    return (messages.join(start, ["topic", "partition"])
+            .filter(F.col("offset") >= F.col("_start")).drop("_start"))
 
 
 def terminal_lines(messages: DataFrame) -> DataFrame:

@@ -102,3 +102,10 @@ def test_registry_schema_and_compatibility(spark):
     good, bad = [r[0] for r in frame.select(avro.decode(F.col("v"), declared)).collect()]
     assert good.sensor_id == 3 and good.reading == {"t": 1.5}
     assert bad.sensor_id is None
+
+
+def test_log_tail_takes_offsets_of_each_partition(spark, rows):
+    data = [("a", bytearray(b"x"), p, o, None) for p, top in ((0, 25), (1, 4)) for o in range(top)]
+    got = readings.log_tail(spark.createDataFrame(data, schemas.MESSAGE))
+    assert rows(got, "partition", "offset") == sorted(
+        [(0, o) for o in range(15, 25)] + [(1, o) for o in range(4)], key=repr)

@@ -32,7 +32,7 @@ def test_windows_always_have_a_key(spark, plan, name):
 
 
 def test_rank_limits_apply_before_the_shuffle(spark, plan):
-    for name in ("win7_last_messages", "win6_query_history", "src4_log_tail"):
+    for name in ("win7_last_messages", "win6_query_history"):
         text = plan(QUERIES[name](spark, SMALL))
         assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
 
