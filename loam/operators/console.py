@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from loam.session import configure
 
 RESULT_LIMIT = 1000
+_QUERY = re.compile(r"[(\s]*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 
 
 def clean_sql(text: str) -> str:
@@ -23,25 +26,45 @@ def clean_sql(text: str) -> str:
 class Console:
     """One tenant's session.
 
-    Tables with a tenant_id column are visible through pre-filtered views only,
-    and files cannot be queried by path, so a statement cannot reach other
-    tenants' rows whether or not it uses current_user_tenant().
+    Tables with a tenant_id column are visible through pre-filtered views only. A
+    statement may name those views and nothing else: no other schema's tables, no
+    files by path, no commands. So it cannot reach other tenants' rows whether or
+    not it uses current_user_tenant().
     """
 
     def __init__(self, spark: SparkSession, tenant_id: int,
                  tables: Callable[[SparkSession], dict[str, DataFrame]]):
         tenant = str(int(tenant_id))
         self.session = configure(spark.newSession())
+        self.views = set()
         for name, frame in tables(self.session).items():
             if "tenant_id" in frame.columns:
                 frame = frame.filter(F.col("tenant_id") == tenant)
             frame.createOrReplaceTempView(name)
+            self.views.add(name.lower())
         self.session.sql("CREATE OR REPLACE TEMPORARY FUNCTION current_user_tenant() "
                          f"RETURNS STRING RETURN '{tenant}'")
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
 
     def query(self, text: str, args: dict | None = None) -> DataFrame:
-        return self.session.sql(clean_sql(text), args=args)
+        statement = clean_sql(text)
+        self._check(statement, args)
+        return self.session.sql(statement, args=args)
+
+    def _check(self, statement: str, args: dict | None) -> None:
+        """Refuse what is not a query over the tenant's views, going by Spark's own parse."""
+        if not _QUERY.match(statement):
+            raise ValueError("only queries can be run")
+        explained = self.session.sql("EXPLAIN EXTENDED " + statement, args=args).first()[0]
+        parsed, found, _ = explained.partition("== Analyzed Logical Plan ==")
+        if not found:
+            raise ValueError("the statement cannot be planned")
+        catalog = self.session.catalog
+        for name in _RELATION.findall(parsed):
+            stored = "," in name or (name.lower() not in self.views and catalog.tableExists(
+                f"`{catalog.currentDatabase()}`.`{name}`"))
+            if stored:
+                raise ValueError(f"not a table of this tenant: {name}")
 
     def run(self, text: str, args: dict | None = None, limit: int = RESULT_LIMIT) -> DataFrame:
         """At most `limit` rows with every cell as text, nulls kept."""

@@ -97,12 +97,37 @@ def test_console_refuses(spark):
     with pytest.raises(ValueError):
         Console(spark, "1' OR '1' = '1", own_tables)
     console = Console(spark, 1, own_tables)
-    with pytest.raises(AnalysisException):
+    with pytest.raises(ValueError):
         console.query("SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`")
     with pytest.raises(AnalysisException):
         console.query("SELECT nothing FROM readings")
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM {db}.readings", "SELECT (SELECT max(_offset) FROM {db}.readings) AS m",
+    "WITH c AS (SELECT * FROM {db}.dead_letters) SELECT * FROM c", "TABLE {db}.readings",
+    "SELECT 1 WHERE EXISTS (SELECT 1 FROM spark_catalog.{db}.readings)", "USE {db}", "SHOW TABLES IN {db}",
+    "SELECT v FROM readings WHERE v IN (SELECT _offset FROM {db}.readings)",
+    "FROM readings INSERT INTO {db}.dead_letters SELECT *", "DROP VIEW readings"])
+def test_console_cannot_leave_the_tenants_views(spark, text):
+    console = Console(spark, 1, own_tables)
+    with pytest.raises(ValueError):
+        console.query(text.format(db=fresh_lake(spark).database))
+
+
+def test_console_refuses_tables_of_the_current_database(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS other_tenants (v int) USING parquet")
+    console = Console(spark, 1, own_tables)
+    with pytest.raises(ValueError):
+        console.query("SELECT * FROM other_tenants")
+
+
+def test_console_allows_cte_names_parameters_and_set_operations(spark, rows):
+    console = Console(spark, 2, own_tables)
+    assert rows(console.query("WITH c AS (SELECT v FROM readings WHERE v > :low) SELECT * FROM c", {"low": 20})) == [(30,)]
+    assert rows(console.query("(SELECT v FROM READINGS) EXCEPT (SELECT 20)")) == [(30,)]
+
+
 def test_console_result_limit_and_nulls(spark):
     console = Console(spark, 1, lambda s: {"n": s.range(3000)})
     assert console.run("SELECT id FROM n").count() == 1000
