@@ -4,22 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import mixing
+from loam.llm.embedding_dedup import near_duplicates
+from loam.llm.html_text import extract
+from loam.llm.jaccard_join import jaccard_join
+from loam.llm.language_id import language_id
 from loam.llm.mixing import mix
+from loam.llm.packing import pack
+from loam.llm.quality_model import quality_scores
 from loam.llm.quality_rules import quality_rules
+from loam.llm.quote_links import link_quotes
 from loam.llm.shared import table
+from loam.llm.warc import archived
+from loam.session import scratch
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op4_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(table(spark, folder, "pages"), scratch(spark, "warc"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return link_quotes(table(spark, folder, "conversations"))
+
+
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(table(spark, folder, "documents"), k=3, num=90, den=100)
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
