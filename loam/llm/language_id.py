@@ -74,13 +74,13 @@ def size_class(letters: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = 600, clusters: int = 4, slack: float = 0.05) -> Centroids:
+        per_language: int = 600, clusters: int = 4, reach: float = 0.6) -> Centroids:
     """Centroids from at most `per_language` rows of each language: those with the least hash.
 
     Only their n-gram counts (at most 4,096 each) reach the driver. The least cosine that
     a text of a language and size class (powers of two of letters) is accepted at is
-    `slack` under the lowest one among training texts of that and the next classes; where
-    there are none, none is rejected.
+    `reach` times the lowest one among training texts of that and the next classes; where
+    there are fewer than five, none is rejected.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
@@ -116,12 +116,14 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         for j in range(len(languages)):
             for s in range(16):
                 like = (label == j) & (own == j) & (np.abs(size_class(letters) - s) <= 1)
-                model.floor[j, s] = max(0.0, cosine[like].min() - slack) if like.any() else 0.0
+                model.floor[j, s] = reach * cosine[like].min() if like.sum() >= 5 else 0.0
     return model
 
 
-def identify(docs: DataFrame, model: Centroids, *keep: Column, text_col: str = "text") -> DataFrame:
-    """The kept columns with lang_pred, score (cosine, 0 to 1) and rejected.
+def identify(docs: DataFrame, model: Centroids, *keep: Column, text: int | None = None, text_col: str = "text") -> DataFrame:
+    """The kept columns as k0, k1, ... with lang_pred, score (cosine, 0 to 1) and rejected.
+
+    `text` is the place of the text among the kept columns if it is one of them.
 
     Texts that are null or without letters, and all texts where the model knows no
     language, are `und` with score 0 and rejected. A text whose cosine to the nearest
@@ -131,14 +133,15 @@ def identify(docs: DataFrame, model: Centroids, *keep: Column, text_col: str = "
     """
     names = [f"k{i}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4,096 x 4 numbers a language
-    source = docs.select(*[c.alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("text"))
+    source = docs.select(*[c.alias(n) for c, n in zip(keep, names)], *([F.col(text_col).alias("text")] if text is None else []))
+    at_text = len(names) if text is None else text
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [grams(t or "") for t in batch.column(len(names)).to_pylist()]
+                found = [grams(t or "") for t in batch.column(at_text).to_pylist()]
                 letters = np.array([n for _, n in found])
                 own, cosine = m.nearest(np.array([c for c, _ in found]))
                 known = (letters > 0) & bool(m.languages)
@@ -148,7 +151,7 @@ def identify(docs: DataFrame, model: Centroids, *keep: Column, text_col: str = "
                     [*batch.columns[:len(names)], pa.array(lang, pa.string()), pa.array(np.where(known, cosine, 0.0), pa.float64()),
                      pa.array(~known | (cosine < floor), pa.bool_())], [*names, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:len(names)])
     return source.mapInArrow(predict, f"{schema}{', ' * bool(names)}lang_pred string, score double, rejected boolean")
 
 

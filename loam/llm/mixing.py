@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.shared import stored
@@ -38,25 +38,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
         F.least((F.col("source_size") * cap).cast("double"), F.col("least") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """How often the mix takes each document: (id, source, size, source_size, target, copies, taken).
+def draw(id_col: str) -> Column:
+    """A number below 2^36 for each id."""
+    md5 = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return F.conv(F.substring(md5, 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
-    Size is the number of words (null text: 0). Every document is taken whole
-    floor(target / source_size) times, and once more if its hash lies below its source's
-    threshold. The threshold comes from histograms of size by source and hash bucket:
-    the bucket where the running sum passes the rest of the budget is cut again into
-    4,096, three levels deep, and the last one is taken if that ends nearer the target.
-    No rows are sorted; only the boundary bucket is looked at again. The hash is of the
-    id, so runs agree; rows with equal ids are taken or left together. A null source is a
-    source of its own. Sources without a word have target 0. Empty input: no rows. Other
-    columns are ignored, whatever their names. Histograms hold at most 4,096 rows a source.
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """(source, source_size, target, whole, threshold) from stored (source, size, h) rows.
+
+    Documents of a source are taken `whole` times, and once more if their h is below the
+    threshold. It comes from histograms of size by source and hash bucket: the bucket
+    where the running sum passes the rest of the budget is cut again into 4,096, three
+    levels deep, and the last one is taken if that ends nearer the target. No rows are
+    sorted; only the boundary bucket is looked at again. Histograms hold at most 4,096
+    rows a source.
     """
-    md5 = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = stored(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(md5, 1, LEVELS * BITS // 4), 16, 10).cast("long").alias("h")), "mix")
     plan = targets(sized, weights, cap).select(
         "*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"))
     plan = plan.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -78,10 +75,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             "source", "source_size", "target", "whole", "budget",
             F.coalesce(F.col("cut.start"), F.col("threshold") + (width << BITS)).alias("threshold"),
             F.coalesce(F.col("cut.begin"), F.col("base")).alias("base")), "mix")
+    return plan.select("source", "source_size", "target", "whole", "threshold")
+
+
+def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return stored(docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long").alias("size"), draw(id_col).alias("h")), "mix")
+
+
+def copies() -> Column:
+    return F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """How often the mix takes each document: (id, source, size, source_size, target, copies, taken).
+
+    Size is the number of words (null text: 0). Every document is taken whole
+    floor(target / source_size) times, and once more if its hash lies below its source's
+    threshold (`mix_plan`). The hash is of the id, so runs agree; rows with equal ids are
+    taken or left together. A null source is a source of its own. Sources without a word
+    have target 0. Empty input: no rows. Other columns are ignored, whatever their names.
+    """
+    sized = sized_rows(docs, id_col, text_col, source_col)
+    plan = mix_plan(sized, weights, cap)
     picked = sized.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")))
-    copies = F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
     return picked.select(F.col("id").alias(id_col), F.col("s").alias("source"), "size", "source_size", "target",
-                         copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+                         copies().alias("copies"), (F.col("size") * copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The rows that the mix takes, repeated as often as it takes them, with the columns of docs.
+
+    Only the plan, one row a source, is joined to the documents. Cases as for `mix`.
+    """
+    plan = mix_plan(sized_rows(docs, id_col, text_col, source_col), weights, cap)
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("h", draw(names[docs.columns.index(id_col)]))
+    own = F.col(names[docs.columns.index(source_col)])
+    taken = rows.join(plan, own.eqNullSafe(F.col("source"))).where(copies() > 0)
+    return taken.select(*[F.col(n) for n in names], F.explode(F.sequence(F.lit(1).cast("long"), copies())).alias("copy")) \
+        .select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 ORACLE = r"""

@@ -123,9 +123,11 @@ def _chars(docs: DataFrame, chars_col: str | None) -> Column:
     return (F.col(chars_col) if known else F.lit(None)).cast("long").alias("n_chars")
 
 
-def score(docs: DataFrame, model: Machine, *keep: Column, text_col: str = "text", chars_col: str | None = "n_chars",
-          threshold: float = 0.3) -> DataFrame:
-    """The kept columns with score (0 to 1) and predicted (1 from the threshold on).
+def score(docs: DataFrame, model: Machine, *keep: Column, text: int | None = None, text_col: str = "text",
+          chars_col: str | None = "n_chars", threshold: float = 0.3) -> DataFrame:
+    """The kept columns as k0, k1, ... with score (0 to 1) and predicted (1 from the threshold on).
+
+    `text` is the place of the text among the kept columns if it is one of them.
 
     Null text counts as empty and is scored by its shape alone, a null or missing length
     column is replaced by the text's own length; each row stands for itself; whole texts
@@ -133,17 +135,19 @@ def score(docs: DataFrame, model: Machine, *keep: Column, text_col: str = "text"
     """
     names = [f"k{i}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8,206 x 5 numbers
-    source = docs.select(*[c.alias(n) for c, n in zip(keep, names)], F.col(text_col).alias("text"), _chars(docs, chars_col))
+    source = docs.select(*[c.alias(n) for c, n in zip(keep, names)], _chars(docs, chars_col),
+                         *([F.col(text_col).alias("text")] if text is None else []))
+    at_text = len(names) + 1 if text is None else text
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts, chars = (batch.column(len(names) + i).to_pylist() for i in (0, 1))
+            texts, chars = (batch.column(i).to_pylist() for i in (at_text, len(names)))
             found = np.array([m.score(*features(t or "", n)) for t, n in zip(texts, chars)], dtype=np.float64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(names)], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-2])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:len(names)])
     return source.mapInArrow(scored, f"{schema}{', ' * bool(names)}score double, predicted int")
 
 
