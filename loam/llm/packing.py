@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,59 +17,34 @@ from tokenizers import Tokenizer
 from loam.llm.shared import stored
 
 PIECE = "row long, {id} {kind}, piece int, start long, length long, ids_crc32 long"
-KNOWN = 400_000
-"""Most words a worker remembers the ids of."""
+LONG = 512
+# Fixed value: how a byte-level BPE of this kind cuts a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes; ids of seen words are remembered.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    A byte-level BPE never merges across the blank before a word, nor across a line end
-    between two words, so a text whose white space is only single blanks and line ends
-    can be encoded word by word. Other texts are encoded whole. Ids are the same.
+    The file's vocabulary, read as ranks, gives the same ids with tiktoken in a third of
+    the time. Texts that hold a special token's string, or a run of over `LONG` characters
+    without white space (which tiktoken merges in quadratic time), go to the tokenizers
+    library itself.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
-        for token, i in self.tokenizer.get_vocab().items():  # one character stands for one byte
-            self.width[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.plain = re.compile(r"\s[ \n]|[^\S \n]|[ \n]\s|^\s|\s$|\0").search
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that start with a blank, from one joined text."""
-        ids = np.array(self.tokenizer.encode("".join(new), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.cumsum(self.width[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in new]), side="left") + 1
-        data = ids.tobytes()
-        at = [0, *(4 * cuts).tolist()]
-        return {w: data[a:b] for w, a, b in zip(new, at, at[1:])}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.plain(t) or any(s in t for s in self.special)
-                 else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        known = self.known if len(self.known) < KNOWN else {}
-        if known is not self.known:
-            self.known = known  # forget and start again: memory stays bounded
-        new = {w for ws in split if ws for w in ws if w not in known}
-        ends = [w for w in new if w[-1:] in ".," and w[-2:-1].isalpha()]
-        roots = {w[:-1] for w in ends} | {".", ","}
-        new = (new - set(ends) | {w for w in roots if w not in known}) - {""}
-        blank = [w for w in new if w[0] == " "]
-        known[""] = b""
-        if blank:
-            known |= self.learn(blank)
-        for w in new:
-            if w[0] != " ":
-                known[w] = self.whole(w)
-        for w in ends:
-            known[w] = known[w[:-1]] + known[w[-1]]
-        return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, split)]
+        # A vocabulary entry writes each byte as one character: printable ones as themselves, the rest from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in self.tokenizer.get_vocab().items() if token not in self.special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        if any(x in text for x in self.special) or max(map(len, text.split()), default=0) > LONG:
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -87,8 +62,8 @@ def pieces(docs: DataFrame, path: str, room: int, last: int, id_col: str, text_c
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for i, ids in enumerate(coder.batch([t or "" for t in part.column(2).to_pylist()])):
-                    ids += end
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    ids = coder.ids(text or "") + end
                     n = len(ids) // 4
                     first = n if n <= room else n % room or room
                     starts = [0, *range(first, n, room)]
