@@ -177,7 +177,7 @@ def main_text(page: str) -> str:
         best = next((n for n in best.above() if n.tag == tag), best)
     keep = {best}
     if best.tag not in MAIN and best.up:
-        enough = max(10.0, 0.2 * best.value())
+        enough = 0.2 * best.value()
         keep |= {n for n in nodes if n.up is best.up and n.value() >= enough}
         keep |= {node for node, text, linked in found if node.up is best.up and node.tag in LEAF and (
             len(text) > 80 and linked < 0.25 * len(text) or not linked and text[-1:] in ".!?")}
