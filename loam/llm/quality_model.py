@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +18,7 @@ KNOWN = 200_000
 SHAPES = ["bias", "log_words", "word_length", "distinct", "top_word", "repeats", "symbols", "upper", "digits", "stops",
           "line_length", "dup_lines", "short_words", "log_chars"]
 DIMS = WORDS + len(SHAPES)
-_SYMBOL, _UPPER, _DIGIT, _STOP = (re.compile(p) for p in (rb"[#*$%&|<>]", rb"[A-Z]", rb"[0-9]", rb"[.!?]"))
+_SYMBOLS, _UPPER, _DIGITS, _STOPS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b".!?"
 _bucket: dict[bytes, int] = {}
 
 
@@ -30,23 +30,23 @@ def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(listed)
     if len(_bucket) > KNOWN:
         _bucket.clear()
-    new = counts.keys() - _bucket.keys()
-    _bucket.update(zip(new, (zlib.crc32(w.lower()) % WORDS for w in new)))
+    for w in set(counts).difference(_bucket):
+        _bucket[w] = zlib.crc32(w.lower()) % WORDS
     at = np.fromiter(map(_bucket.__getitem__, counts), dtype=np.int64, count=len(counts))
-    value = np.zeros(WORDS, dtype=np.float32)
-    np.add.at(value, at, np.log1p(np.fromiter(counts.values(), dtype=np.float32, count=len(counts))))
+    times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    value = np.bincount(at, weights=np.log1p(times), minlength=WORDS)
     hit = value.nonzero()[0]
     value = value[hit] / max(float(np.linalg.norm(value)), 1e-9)
-    size, lines = max(len(raw), 1), [x for x in raw.split(b"\n") if x.strip()]
-    chars = sum(map(len, counts.elements())) if n else 0
-    many = max(n, 1)
+    lengths = np.fromiter(map(len, listed), dtype=np.int64, count=n)
+    size, many, lines = max(len(raw), 1), max(n, 1), [x for x in raw.split(b"\n") if x.strip()]
+    number = lambda kind: len(raw) - len(raw.translate(None, kind))
     shape = np.array([
-        1.0, np.log1p(n) / 8, chars / many / 10, len(counts) / many, max(counts.values(), default=0) / many,
-        sum(a == b for a, b in zip(listed, listed[1:])) / many, min(len(_SYMBOL.findall(raw)) / many, 3), len(_UPPER.findall(raw)) / size,
-        len(_DIGIT.findall(raw)) / size, len(_STOP.findall(raw)) / many, min(many / max(len(lines), 1), 100) / 100,
-        1 - len(set(lines)) / max(len(lines), 1), sum(len(w) <= 2 for w in listed) / many,
-        np.log1p(len(text) if n_chars is None else max(n_chars, 0)) / 10], dtype=np.float32)
-    return np.concatenate([hit, np.arange(WORDS, DIMS)]), np.concatenate([value, shape])
+        1.0, np.log1p(n) / 8, lengths.sum() / many / 10, len(counts) / many, times.max(initial=0) / many,
+        sum(map(operator.eq, listed, listed[1:])) / many, min(number(_SYMBOLS) / many, 3), number(_UPPER) / size,
+        number(_DIGITS) / size, number(_STOPS) / many, min(many / max(len(lines), 1), 100) / 100,
+        1 - len(set(lines)) / max(len(lines), 1), (lengths <= 2).sum() / many,
+        np.log1p(len(text) if n_chars is None else max(n_chars, 0)) / 10])
+    return np.concatenate([hit, np.arange(WORDS, DIMS)]), np.concatenate([value, shape]).astype(np.float32)
 
 
 @dataclass
@@ -62,30 +62,34 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.w[at] @ x + pairs, -30, 30))))
 
 
-def learn(x: np.ndarray, y: np.ndarray, rank: int, epochs: int = 40, rate: float = 0.02, decay: float = 1e-4) -> Machine:
+def learn(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int, epochs: int = 30, rate: float = 0.02, decay: float = 1e-4) -> Machine:
     """Logistic loss, Adam over batches in a fixed order; the start is seeded."""
     draw = np.random.default_rng(7)
-    w, v = np.zeros(x.shape[1], dtype=np.float32), draw.normal(0, 0.02, (x.shape[1], rank)).astype(np.float32)
+    w, v = np.zeros(DIMS), draw.normal(0, 0.02, (rank, DIMS))
     if len(y):
         share = np.clip(y.mean(), 0.02, 0.98)
         w[WORDS] = np.log(share / (1 - share))
-    m = [np.zeros_like(p) for p in (w, v)]
-    s = [np.zeros_like(p) for p in (w, v)]
+    m, s = ([np.zeros_like(p) for p in (w, v)] for _ in range(2))
     step = 0
     for _ in range(epochs):
         order = draw.permutation(len(y))
-        for at in range(0, len(y), 256):
-            xb, yb = x[order[at:at + 256]], y[order[at:at + 256]]
-            xv, x2 = xb @ v, xb ** 2
-            z = xb @ w + 0.5 * (xv ** 2 - x2 @ (v ** 2)).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(yb)
-            grads = (xb.T @ g + decay * w, xb.T @ (g[:, None] * xv) - v * (x2.T @ g)[:, None] + decay * v)
+        for begin in range(0, len(y), 256):
+            picked = order[begin:begin + 256]
+            at, x = (np.concatenate([rows[i][k] for i in picked]) for k in (0, 1))
+            sizes = np.array([len(rows[i][0]) for i in picked])
+            starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(picked)), sizes)
+            vx = v[:, at] * x
+            summed = np.add.reduceat(vx, starts, axis=1)
+            z = np.add.reduceat(w[at] * x, starts) + 0.5 * (summed ** 2 - np.add.reduceat(vx ** 2, starts, axis=1)).sum(axis=0)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[picked]) / len(picked))[row] * x
+            grads = (np.bincount(at, g, DIMS) + decay * w,
+                     np.stack([np.bincount(at, g * (summed[f][row] - vx[f]), DIMS) for f in range(rank)]) + decay * v)
             step += 1
             for p, grad, mean, square in zip((w, v), grads, m, s):
                 mean += 0.1 * (grad - mean)
                 square += 0.001 * (grad * grad - square)
                 p -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
-    return Machine(w, v)
+    return Machine(w.astype(np.float32), np.ascontiguousarray(v.T, dtype=np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -112,10 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         .mapInArrow(told_features, "y int, at binary, x binary").collect()
     sample.sort(key=lambda r: (r["y"], r["at"], r["x"]))
     sample = sample[:: max(1, -(-len(sample) // most_rows))]  # repeated rows of the picked ids
-    x, y = np.zeros((len(sample), DIMS), dtype=np.float32), np.array([r["y"] for r in sample], dtype=np.float32)
-    for i, r in enumerate(sample):
-        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], "<f4")
-    return learn(x, y, rank)
+    y = np.array([r["y"] for r in sample], dtype=np.float64)
+    return learn([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in sample], y, rank)
 
 
 def _chars(docs: DataFrame, chars_col: str | None) -> Column:
