@@ -17,6 +17,8 @@ from loam.llm.shared import components, stored
 
 COUNTERS = 1 << 21
 CHUNK = 1 << 16
+PARITY_BITS = 1024
+FILTER_BITS = 1 << 23
 KNOWN = 300_000
 _known: dict[bytes, int] = {}
 
@@ -53,8 +55,16 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return (xxhash.xxh3_64_intdigest(raw) - 2 ** 63, xxhash.xxh64_intdigest(raw, 1) - 2 ** 63)
 
 
+def parities(sets: list[np.ndarray]) -> pa.Array:
+    """For every set, whether the number of its hashes in each of 1,024 ranges is odd, as 16 longs."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * PARITY_BITS
+    at = (np.concatenate(sets) >> np.uint64(54)).astype(np.int64) if sets else of
+    odd = np.packbits((np.bincount(of + at, minlength=len(sets) * PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY_BITS // 64), pa.int32()), pa.array(odd))
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (id, n, f1, f2), and how many documents hold the shingles of each counter.
+    """One row per document (id, n, f1, f2, odd), and how many documents hold the shingles of each counter.
 
     Counters come as compressed chunks (chunk, counts), a few for each task.
     """
@@ -69,33 +79,41 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 prints = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()),
-                     pa.array([b for _, b in prints], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                    ["id", "n", "f1", "f2", "chunk", "counts"])
-        for chunk in range(COUNTERS // CHUNK):
-            part = held[chunk * CHUNK:(chunk + 1) * CHUNK]
-            if part.any():
-                none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, none, none, pa.array([chunk], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    ["id", "n", "f1", "f2", "chunk", "counts"])
+                     pa.array([b for _, b in prints], pa.int64()), parities(sets), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                    ["id", "n", "f1", "f2", "odd", "chunk", "counts"])
+        none = pa.nulls(1, pa.int64())
+        for chunk, blob in chunks(held):
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())],
+                ["id", "n", "f1", "f2", "odd", "chunk", "counts"])
 
-    return docs.mapInArrow(scan, "id long, n long, f1 long, f2 long, chunk int, counts binary")
+    return docs.mapInArrow(scan, "id long, n long, f1 long, f2 long, odd array<long>, chunk int, counts binary")
 
 
-def frequency_classes(chunks: DataFrame) -> np.ndarray:
-    """Class of each counter: 0, or more the further it stands out of what chance gives.
+def chunks(held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The parts of an array of 32-bit counts that are not all zero, compressed."""
+    for chunk in range(len(held) // CHUNK):
+        part = held[chunk * CHUNK:(chunk + 1) * CHUNK]
+        if part.any():
+            yield chunk, zlib.compress(part.tobytes(), 1)
 
-    Sums the chunks of all tasks; what reaches the driver has a fixed size (2 million counters).
-    """
+
+def merged_chunks(frame: DataFrame, size: int, combine: np.ufunc = np.add) -> np.ndarray:
+    """The arrays that tasks left as (chunk, counts), combined; only the result, of a fixed size, reaches the driver."""
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, dtype=np.uint64)
         for blob in group["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
+            combine(total, np.frombuffer(zlib.decompress(blob), dtype=np.uint32), out=total)
         return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    held = np.zeros(COUNTERS, dtype=np.float64)
-    for row in chunks.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+    held = np.zeros(size, dtype=np.uint64)
+    for row in frame.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
         held[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint64)
+    return held
+
+
+def frequency_classes(held: np.ndarray) -> np.ndarray:
+    """Class of each counter: 0, or more the further it stands out of what chance gives."""
     mean = held.mean()
     often = mean + 6 * np.sqrt(mean) + 16
     return np.where(held > often, 1 + np.floor(np.log2(np.maximum(held / often, 1))), 0).astype(np.uint8)
@@ -158,19 +176,57 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(den * F.col("shared").cast("long") >= num * (F.col("n").cast("long") + F.col("m") - F.col("shared")))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s) of the documents named in ids."""
+def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that can reach num / den going by their sketches.
+
+    Every range of hashes in which one set has an odd and the other an even number holds
+    a difference, so the ranges that differ bound the symmetric difference from below.
+    """
+    left, right = (rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o")) for x in "ab")
+    apart = F.aggregate(F.zip_with("ao", "bo", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(apart <= F.col("an") + F.col("bn") - 2 * least_overlap(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
+
+
+def id_places(ids: np.ndarray) -> np.ndarray:
+    h = (ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.stack([h >> np.uint64(41), (h >> np.uint64(18)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size (1 MB) of ids: lets all of them pass, and few others while they are few."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+        for batch in batches:
+            at = id_places(batch.column(0).to_numpy()).ravel()
+            np.bitwise_or.at(held, at // 32, np.uint32(1) << (at % 32).astype(np.uint32))
+        for chunk, blob in chunks(held):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
+
+    return merged_chunks(ids.mapInArrow(mark, "chunk int, counts binary"), FILTER_BITS // 32, np.bitwise_or)
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(id, s): the sets of at least the documents in pairs (a, b). Texts are not shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
+                batch = batch.filter(batch.column(0).is_valid())
+                places = id_places(batch.column(0).to_numpy())
+                known = shared.value[places // 32] >> (places % 32).astype(np.uint64) & np.uint64(1)
+                batch = batch.filter(pa.array(known.all(axis=0)))
                 sets = [shingles(t or b"", k).view(np.int64) for t in batch.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(scan, "id long, s array<long>")
+    return docs.mapInArrow(scan, "id long, s array<long>")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -185,7 +241,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share its answers: a pair within a component adds nothing and is never made. Only
     pairs across components are left, and of them only those that sizes and positions
     allow; a list whose sets all lie in one component is skipped whole. Within a list
-    only sets outside its largest component look for partners.
+    only sets outside its largest component look for partners. Candidate pairs pass a
+    sketch of 1,024 bits, which rules out no link, before whole sets are compared.
 
     Ids are integers. Null or empty texts, and texts without words, have no shingles and
     are linked with nothing, like null ids; each is its own component. Rows that repeat
@@ -194,8 +251,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     scan = stored(sketched(source, k), "sketch")
-    rows = scan.where("chunk is null").select("id", "n", "f1", "f2")
-    classes = frequency_classes(scan.where("chunk is not null").select("chunk", "counts"))
+    rows = scan.where("chunk is null").select("id", "n", "f1", "f2", "odd")
+    classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), COUNTERS))
+    sketches = rows.where("n > 0 and id is not null").select("id", "n", "odd")
     first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep"), "members")
     named = members.where("rep is not null").select("id", "rep").distinct()
@@ -210,8 +268,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max_by(F.struct("id", "n", "pos"), F.struct("shown", (-F.col("id")).alias("low"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
     star = lists.alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
         .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", num, den))
-    star = stored(star.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct(), "star")
-    sets = lambda pairs: stored(shingle_sets(source, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k), "sets")
+    star = stored(plausible(star.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct(), sketches, num, den), "star")
+    sets = lambda pairs: stored(shingle_sets(source, pairs, k), "sets")
     links = stored(verified(star, sets(star), num, den).select("a", "b").union(same_id), "links")
 
     groups = components(links, "groups")
@@ -224,7 +282,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where((F.col("x.c") != F.col("y.c")) & possible("x", "y", num, den))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = stored(plausible(rest.join(tried, ["a", "b"], "left_anti"), sketches, num, den), "rest")
     more = verified(rest, sets(rest), num, den).select("a", "b")
     merged = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "merged")
     return members.join(merged, F.col("rep") == F.col("node"), "left").select(
