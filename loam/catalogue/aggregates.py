@@ -42,6 +42,14 @@ def distinct_topics(t):
     return readings.distinct_topics(t.messages)
 
 
+@query("agg3_distinct_types", """
+SELECT DISTINCT CASE e.event_type WHEN 'view' THEN 'soil' WHEN 'click' THEN 'co2' WHEN 'purchase' THEN 'weather'
+  WHEN 'signup' THEN 'temperature' ELSE 'unknown' END AS sensor_type
+FROM events e JOIN messages m ON e.event_id = m.event_id WHERE m.value <> 'not json' AND m.topic NOT IN ('iot.7', 'iot.a.b.c')""")
+def distinct_types(t):
+    return readings.distinct_types(t.messages)
+
+
 @query("agg4_status_counts", """
 SELECT tenant_id, count(*) AS total, CAST(count(*) FILTER (status = 'active') AS BIGINT) AS active,
   CAST(count(*) FILTER (status = 'error') AS BIGINT) AS error FROM sensors GROUP BY tenant_id""")
@@ -213,7 +221,9 @@ def topic_counts(t):
 SELECT topic, arg_max(concat('v', CAST(event_id % 9 AS STRING)), k) AS firmware_version,
   CAST(arg_max(event_id % 100, k) AS DOUBLE) AS battery_level_percent, arg_max(event_id % 64, k) AS memory_free_mb,
   CAST(128 AS BIGINT) AS memory_total_mb
-FROM (SELECT *, (timestamp, partition, "offset") AS k FROM messages WHERE value <> 'not json' AND event_id % 3 > 0) x
+FROM (SELECT *, (timestamp, partition, "offset") AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic, partition ORDER BY "offset" DESC) AS back FROM messages) y
+  WHERE back <= 10 AND value <> 'not json' AND event_id % 3 > 0) x
 GROUP BY topic""")
 def latest_hardware(t):
     return readings.latest_hardware(t.messages).drop("mac_address", "ip_address")
@@ -246,8 +256,8 @@ def counter_rate(t):
 
 
 @query("agg21_gauges", """
-SELECT topic, CAST(sum(consumer_lag) AS BIGINT) AS sum_value, round(avg(consumer_lag), 6) AS avg_value,
-  count(DISTINCT kafka_partition) AS partitions FROM samples GROUP BY topic""")
+SELECT ts, topic, CAST(sum(consumer_lag) AS BIGINT) AS sum_value, round(avg(consumer_lag), 6) AS avg_value,
+  count(DISTINCT kafka_partition) AS partitions FROM samples GROUP BY ts, topic""")
 def gauges(t):
     return monitoring.gauges(t.samples, "consumer_lag").withColumn("avg_value", F.round("avg_value", 6))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loam import bindings
 from loam.catalogue import query
+from loam.catalogue.scalars import _QU
 from loam.operators import billing, farms, metering, registry
 from loam.streaming import counters
 
@@ -90,16 +91,19 @@ def new_farms(t):
 
 
 @query("jn9_query_spend_by_sensor", """
-WITH c AS (SELECT CAST(round(amount * 1e6) AS BIGINT) AS amount, data_points, lower(description) AS d FROM ledger WHERE reference LIKE 'QRY-%'),
-own AS (SELECT s.sensor_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
-  FROM sensors s JOIN c ON contains(c.d, s.sensor_id) GROUP BY 1),
-farm AS (SELECT f.farm_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
-  FROM (SELECT DISTINCT farm_id FROM sensors) f JOIN c ON contains(c.d, f.farm_id) GROUP BY 1)
-SELECT s.sensor_id, s.farm_id, coalesce(o.n, f.n, 0) AS query_count,
+WITH c AS (SELECT b.tenant_id, CAST(round(l.amount * 1e6) AS BIGINT) AS amount, data_points,
+    regexp_extract_all(lower(description), '[a-z0-9][a-z0-9_-]*') AS d
+  FROM ledger l JOIN billings b ON l.billing_id = b.billing_id WHERE reference LIKE 'QRY-%'),
+own AS (SELECT s.tenant_id, s.sensor_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
+  FROM sensors s JOIN c ON s.tenant_id = c.tenant_id AND list_contains(c.d, s.sensor_id) GROUP BY 1, 2),
+farm AS (SELECT f.tenant_id, f.farm_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
+  FROM (SELECT DISTINCT tenant_id, farm_id FROM sensors) f JOIN c ON f.tenant_id = c.tenant_id AND list_contains(c.d, f.farm_id) GROUP BY 1, 2)
+SELECT s.tenant_id, s.sensor_id, s.farm_id, coalesce(o.n, f.n, 0) AS query_count,
   CAST(coalesce(o.qu, f.qu, 0) AS DOUBLE) AS total_qu, CAST(coalesce(o.cost, f.cost, 0) AS DOUBLE) / 1e6 AS total_cost
-FROM sensors s LEFT JOIN own o ON s.sensor_id = o.sensor_id LEFT JOIN farm f ON s.farm_id = f.farm_id""")
+FROM sensors s LEFT JOIN own o ON s.tenant_id = o.tenant_id AND s.sensor_id = o.sensor_id
+LEFT JOIN farm f ON s.tenant_id = f.tenant_id AND s.farm_id = f.farm_id""")
 def query_spend_by_sensor(t):
-    return metering.query_spend_by_sensor(t.ledger, t.sensors)
+    return metering.query_spend_by_sensor(t.ledger, t.sensors, t.billings)
 
 
 @query("jn10_routed_messages", """
@@ -146,8 +150,21 @@ def subscription_costs(t):
 SELECT q.query_id, q.tenant_id, coalesce(b.balance >= 5000, FALSE) AS allowed FROM query_stats q LEFT JOIN (
   SELECT tenant_id, arg_min(balance, billing_id) AS balance FROM billings GROUP BY 1) b ON q.tenant_id = b.tenant_id""")
 def query_gate(t):
+    return metering.gate_queries(t.query_stats, first_billings(t)).select("query_id", "tenant_id", "allowed")
+
+
+def first_billings(t):
+    """The first billing of each tenant, active from a balance of 5,000 on."""
     first = t.billings.groupBy("tenant_id").agg(F.min_by("balance", "billing_id").alias("balance"))
-    billings = first.withColumn("status", F.when(F.col("balance") >= 5000, "active").otherwise("suspended"))
-    allowed, refused = metering.gate_queries(t.query_stats, billings)
-    flag = lambda rows, ok: rows.select("query_id", "tenant_id", F.lit(ok).alias("allowed"))
-    return flag(allowed, True).unionByName(flag(refused, False))
+    return first.withColumn("status", F.when(F.col("balance") >= 5000, "active").otherwise("suspended"))
+
+
+@query("jn13_metered_runs", f"""
+SELECT query_id, q.tenant_id, user_id, run_at, qu, sql, 'usage' AS type, round(qu * 0.01e0, 6) AS amount,
+  concat('Query — ', printf('%.2f', qu), ' QU · ', substr(sql, 1, 120)) AS description,
+  CAST(round_even(qu, 0) AS INT) AS data_points, strftime(run_at, '%Y-%m') AS usage_period
+FROM (SELECT *, {_QU} AS qu FROM query_stats) q JOIN (
+  SELECT tenant_id, arg_min(balance, billing_id) AS balance FROM billings GROUP BY 1) b
+ON q.tenant_id = b.tenant_id WHERE b.balance >= 5000""")
+def metered_runs(t):
+    return metering.metered_runs(t.query_stats, first_billings(t))

@@ -94,16 +94,30 @@ def terminal_block(t):
         F.col("offset").alias("_offset"), "metrics")
 
 
-@query("prj10_typed_metrics", """
-SELECT tenant_id, farm_id, sensor_id, event_time, value AS moisture_percent,
-  CAST(event_id % 14 AS DOUBLE) AS ph FROM readings WHERE sensor_type = 'soil_moisture'""")
+_TYPES = list(schemas.METRIC_FIELDS)
+_TYPED = " UNION ALL ".join(
+    f"SELECT '{kind}' AS sensor_type, '{name}' AS metric, count(*) AS n, "
+    + ("CAST(NULL AS DOUBLE)" if name in schemas.TEXT_METRICS else f"CAST(sum(event_id % {at + 7}) AS DOUBLE)")
+    + f" AS total FROM readings WHERE event_id % {len(_TYPES)} = {nth}"
+    for nth, kind in enumerate(_TYPES) for at, name in enumerate(schemas.METRIC_FIELDS[kind]))
+
+
+@query("prj10_typed_metrics", _TYPED)
 def typed_metrics(t):
-    block = F.to_json(F.struct(F.col("value").alias("moisture_percent"),
-                               (F.col("event_id") % 14).alias("ph")))
-    rows = t.readings.withColumn("metrics", block) \
-        .withColumn("sensor_type", E.canonical_type(F.col("sensor_type")))
-    return readings.typed_metrics(rows, "soil").select(
-        "tenant_id", "farm_id", "sensor_id", "event_time", "moisture_percent", "ph")
+    """The typed views of all nine types, each over the readings of its type."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("event_id") % len(_TYPES) + 1).cast("int"))
+    block = F.coalesce(*[F.when(F.col("sensor_type") == k, F.to_json(F.struct(*[
+        ((F.col("event_id") % (at + 7)).cast("string") if name in schemas.TEXT_METRICS else F.col("event_id") % (at + 7)).alias(name)
+        for at, name in enumerate(names)]))) for k, names in schemas.METRIC_FIELDS.items()])
+    rows = t.readings.withColumn("sensor_type", kind).withColumn("metrics", block)
+    result = None
+    for name, fields in schemas.METRIC_FIELDS.items():
+        seen = readings.typed_metrics(rows, name).agg(F.array(*[F.struct(
+            F.lit(f).alias("metric"), F.count(f).alias("n"),
+            (F.lit(None) if f in schemas.TEXT_METRICS else F.sum(f)).cast("double").alias("total")) for f in fields]).alias("all"))
+        seen = seen.select(F.lit(name).alias("sensor_type"), F.inline("all"))
+        result = seen if result is None else result.unionByName(seen)
+    return result
 
 
 @query("prj11_stringified", """

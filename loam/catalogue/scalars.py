@@ -283,16 +283,6 @@ def crop_history(t):
     return rows.select("farm_id", "h.year", F.array_join("h.crops", "|").alias("crops"), "h.yield_tons")
 
 
-@query("sc26_device_fingerprint", """
-SELECT sensor_id, concat_ws(':', h[1:2], h[3:4], h[5:6], h[7:8], h[9:10], h[11:12]) AS mac,
-  concat('192.168.', CAST(('0x' || h[1:2])::INT AS STRING), '.', CAST(('0x' || h[3:4])::INT % 253 + 2 AS STRING)) AS ip
-FROM (SELECT DISTINCT sensor_id, upper(md5(sensor_id)) AS h FROM readings) x""")
-def device_fingerprint(t):
-    ids = t.readings.select("sensor_id").distinct()
-    return ids.select("sensor_id", E.device_mac(F.col("sensor_id")).alias("mac"),
-                      E.device_ip(F.col("sensor_id")).alias("ip"))
-
-
 @query("sc27_millis_timestamp", "SELECT event_id, date_trunc('millisecond', event_time) AS event_time FROM readings")
 def millis_timestamp(t):
     millis = F.unix_millis("event_time")

@@ -8,7 +8,7 @@ from loam.catalogue.aggregates import windowed
 from loam.functions import envelope as E
 from loam.operators import readings
 from loam.session import scratch
-from loam.sources import avro, catalog, lake, streams, tables
+from loam.sources import avro, lake, streams, tables
 from loam.streaming import counters, ingest, runs, windows
 
 
@@ -38,9 +38,8 @@ def topic_table(t):
 
 
 @query("src4_log_tail", """
-SELECT m.topic, m.partition, m."offset" FROM messages m JOIN (
-  SELECT topic, partition, max("offset") + 1 AS high FROM messages GROUP BY 1, 2) h
-ON m.topic = h.topic AND m.partition = h.partition AND m."offset" >= h.high - 10""")
+SELECT topic, partition, "offset" FROM messages
+QUALIFY row_number() OVER (PARTITION BY topic, partition ORDER BY "offset" DESC) <= 10""")
 def log_tail(t):
     return readings.log_tail(t.messages).select("topic", "partition", "offset")
 
@@ -73,7 +72,8 @@ def reference_tables(t):
 
 
 LEGACY_RECORD = """{"type": "record", "name": "soil_moisture", "fields": [
-  {"name": "farm_id", "type": "string"}, {"name": "timestamp", "type": "long"},
+  {"name": "farm_id", "type": "string"},
+  {"name": "timestamp", "type": {"type": "long", "logicalType": "timestamp-millis"}},
   {"name": "moisture", "type": "float"}, {"name": "ph", "type": ["null", "float"]}]}"""
 
 
@@ -87,7 +87,7 @@ def registry_record(t):
         F.when(F.col("event_id") % 4 == 0, F.lit(6.5)).alias("ph")))
     rows = t.readings.select(avro.decode(record, LEGACY_RECORD).alias("r")).select("r.*")
     return rows.groupBy("farm_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.timestamp_millis("timestamp")).alias("last_at"),
+        F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_at"),
         F.round(F.sum(F.col("moisture").cast("double")), 3).alias("moisture"),
         F.count("ph").alias("with_ph"))
 
@@ -124,7 +124,7 @@ _CLOSED = """WHERE window_end <= (SELECT date_trunc('millisecond', max(event_tim
 
 @query("snk2_bronze_counts", f"SELECT * FROM ({windowed('farm_id, sensor_type')}) w {_CLOSED}")
 def bronze_counts(t):
-    return runs.append_now(windows.sliding_counts(t.streamed("readings"), ["farm_id", "sensor_type"]), "snk2")
+    return runs.append_now(windows.closed_sliding_counts(t.streamed("readings"), ["farm_id", "sensor_type"]), "snk2")
 
 
 @query("snk3_routed_stream", """
@@ -164,48 +164,6 @@ def added_column(t):
     return merged.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.count("farm_id").alias("with_farm"))
 
 
-_COLUMNS = """(SELECT table_name, ordinal_position AS position, column_name, CASE data_type WHEN 'VARCHAR' THEN 'string'
-  WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-  WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS data_type FROM information_schema.columns
-  WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
-    'embeddings', 'pages', 'benchmark', 'labels', 'conversations') AND table_schema NOT IN ('information_schema')) c"""
-
-
-def driver_catalog(t):
-    """A session that sees the driver tables as views and nothing else."""
-    from loam.session import configure
-    session = configure(t.spark.newSession())
-    for name in tables.TABLES:
-        tables.parquet_table(session, t.folder, name).createOrReplaceTempView(name)
-    return session
-
-
-@query("ddl3_catalog_tree", f"""
-SELECT table_name, string_agg(concat(column_name, ' ', data_type), ', ' ORDER BY position) AS columns
-FROM {_COLUMNS} GROUP BY table_name""")
-def catalog_tree(t):
-    text = F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"]))
-    return catalog.tree(driver_catalog(t)).select("table_name", F.array_join(text, ", ").alias("columns"))
-
-
-@query("flt8_catalog_search", f"""
-SELECT table_name, count(*) AS columns FROM {_COLUMNS} WHERE contains(lower(table_name), 'er') GROUP BY table_name""")
-def catalog_search(t):
-    return catalog.tree(driver_catalog(t), search="ER").select(
-        "table_name", F.size("columns").cast("long").alias("columns"))
-
-
-@query("ord6_catalog_order", f"""
-SELECT table_name, CAST(position AS INT) AS position, column_name, data_type FROM {_COLUMNS} ORDER BY table_name, position""")
-def catalog_order(t):
-    return catalog.columns(driver_catalog(t)).orderBy("schema_name", "table_name", "position").drop("schema_name")
-
-
-@query("flt10_system_schemas", f"SELECT count(DISTINCT table_name) AS n FROM {_COLUMNS}")
-def system_schemas(t):
-    return catalog.columns(driver_catalog(t)).agg(F.count_distinct("table_name").alias("n"))
-
-
 @query("ddl4_retention", """
 SELECT event_id, event_time FROM readings WHERE event_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY""")
 def retention(t):

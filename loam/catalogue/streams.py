@@ -15,7 +15,7 @@ from loam.streaming import billing_fold, counters, ingest, runs, windows
 @query("str1_watermark", f"SELECT * FROM ({windowed('tenant_id')}) w {_CLOSED}")
 def watermark(t):
     """Append mode: only windows the watermark has passed come out."""
-    return runs.append_now(windows.sliding_counts(t.streamed("readings"), ["tenant_id"]), "str1")
+    return runs.append_now(windows.closed_sliding_counts(t.streamed("readings"), ["tenant_id"]), "str1")
 
 
 @query("str2_sliding_window", windowed("sensor_type"))
@@ -25,10 +25,24 @@ def sliding_window(t):
     return runs.update_now(counts, ["window_start", "window_end", "sensor_type"], "str2")
 
 
-@query("str3_late_rows", f"SELECT * FROM ({windowed('farm_id')}) w {_CLOSED}")
+_LATE = """(SELECT r.* FROM readings r, (SELECT date_trunc('millisecond', max(event_time)) - INTERVAL 10 MINUTE AS mark
+  FROM readings WHERE farm_id NOT IN ('f-7', 'f-8')) m
+WHERE r.farm_id <> 'f-7' OR time_bucket(INTERVAL 15 SECOND, r.event_time, TIMESTAMP '1970-01-01') + INTERVAL 15 SECOND > m.mark)"""
+
+
+@query("str3_late_rows", f"SELECT * FROM ({windowed('farm_id').replace('readings', _LATE)}) w {_CLOSED}")
 def late_rows(t):
-    """Rows in time order are never late, so the stream must keep all of them."""
-    return runs.append_now(windows.sliding_counts(t.streamed("readings"), ["farm_id"]), "str3")
+    """The readings of two farms come in a second and a third file, after all others.
+
+    A batch drops what the watermark of the batch before had passed. So those of the third
+    file are dropped whose pane lies before the mark of the first; the rest is counted.
+    """
+    root = scratch(t.spark, "str3")
+    farm = F.col("farm_id")
+    for nth, farm in enumerate((~farm.isin("f-7", "f-8"), farm == "f-8", farm == "f-7")):
+        t.readings.filter(farm).coalesce(1).write.parquet(f"{root}/in/part={nth}")
+    stream = streams.file_stream(t.spark, f"{root}/in/*", t.readings.schema, files_per_trigger=1)
+    return runs.append_now(windows.closed_sliding_counts(stream, ["farm_id"]), "str3")
 
 
 @query("str4_ingest_by_type", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} GROUP BY 1")
@@ -70,19 +84,30 @@ def dead_letter_table(t):
     return t.spark.table(ingested(t, "str7").dead_letters).drop("commit_id", "arrival_date")
 
 
+def newest_first(t, purpose, parts=3):
+    """All messages as one file a micro-batch, the latest times first, an empty file between."""
+    root = scratch(t.spark, purpose)
+    messages = t.messages.drop("event_id").withColumn("value", F.col("value").cast("binary"))
+    times = messages.agg(F.min(F.unix_seconds("timestamp")), F.max(F.unix_seconds("timestamp"))).first()
+    step = (times[1] - times[0]) // parts + 1
+    part = F.floor((F.unix_seconds("timestamp") - times[0]) / step)
+    for nth in [*range(parts - 1, 0, -1), parts, 0]:  # no message falls into the last part but one
+        messages.filter(part == nth).coalesce(1).write.parquet(f"{root}/in/part={nth}")
+    return streams.file_stream(t.spark, f"{root}/in/*", messages.schema, files_per_trigger=1)
+
+
 @query("str9_replayed_messages", f"""
 SELECT CAST(e.user_id % 7 AS STRING) AS tenant_id, count(*) AS n {_ACCEPTED} GROUP BY 1""")
 def replayed_messages(t):
-    """Every message arrives twice, and the sink is called twice for the same batch."""
+    """Every message arrives twice, the newest days first, and the sink is called twice for each batch."""
     target = new_lake(t, "str9")
-    once = t.streamed("messages").select("topic", "value", "partition", "offset", "timestamp")
-    twice = once.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    twice = newest_first(t, "str9").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     write = ingest.write_batch(target)
 
     def write_again(batch, batch_id):
         write(batch, batch_id)
         write(batch, batch_id)
-    stream = ingest.without_replays(twice).writeStream.foreachBatch(write_again)
+    stream = twice.writeStream.foreachBatch(write_again)
     runs.start(stream, scratch(t.spark, "str9-state"), None).awaitTermination()
     return t.spark.table(target.readings).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -134,15 +159,11 @@ def billing_history(t):
         .withColumn("amount_due", F.round("amount_due", 6))
 
 
-@query("str8_empty_batches", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} AND e.ts < TIMESTAMP '2024-01-10' GROUP BY 1")
+@query("str8_empty_batches", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} GROUP BY 1")
 def empty_batches(t):
-    """One file per week; the later weeks leave nothing to store and write no files."""
-    root, target = scratch(t.spark, "str8"), new_lake(t, "str8-lake")
-    messages = t.messages.drop("event_id").withColumn("value", F.col("value").cast("binary"))
-    messages.repartitionByRange(5, "timestamp").write.parquet(f"{root}/in")
-    stream = streams.file_stream(t.spark, f"{root}/in", messages.schema, files_per_trigger=1)
-    early = stream.filter(F.col("timestamp") < F.lit("2024-01-10").cast("timestamp"))
-    ingest.ingest(early, target, f"{root}/state", None).awaitTermination()
+    """Late files and an empty one: every message is kept, the empty batch writes nothing."""
+    target = new_lake(t, "str8-lake")
+    ingest.ingest(newest_first(t, "str8"), target, scratch(t.spark, "str8-state"), None).awaitTermination()
     return t.spark.table(target.readings).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -165,14 +165,16 @@ _TENANTS = """(SELECT tenant_id FROM (SELECT tenant_id, arg_min(balance, billing
 
 @query("win11_suspension", f"""
 SELECT sensor_id, tenant_id, 'status_changed' AS action, 'inactive' AS status, 'sensor_suspended' AS event_type,
+  'system' AS performed_by, 'active>inactive: billing_suspended' AS details,
   concat(CASE WHEN TRUE THEN 'billing_suspended=true;' END, 'model=m-', farm_id) AS metadata
 FROM sensors WHERE status = 'active' AND tenant_id IN (SELECT tenant_id FROM {_TENANTS} y)""")
 def suspension(t):
     from loam.catalogue.scalars import _map_text
     rows, audit, events = registry.suspend(flagged_sensors(t), suspended_tenants(t))
     return (rows.select("sensor_id", "status", _map_text(F.col("metadata")).alias("metadata"))
-            .join(audit.select("sensor_id", "action"), "sensor_id")
-            .join(events.select("sensor_id", "tenant_id", "event_type"), "sensor_id"))
+            .join(audit.select("sensor_id", "action", "performed_by"), "sensor_id")
+            .join(events.select("sensor_id", "tenant_id", "event_type", F.concat(
+                F.col("details.old_status"), F.lit(">"), F.col("details.new_status"), F.lit(": "), F.col("details.reason")).alias("details")), "sensor_id"))
 
 
 @query("win12_reactivation", f"""

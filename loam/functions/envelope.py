@@ -74,18 +74,6 @@ def decode_path(path: Column) -> Column:
     return F.replace(path, F.lit("__"), F.lit("/"))
 
 
-def device_mac(seed: Column) -> Column:
-    digest = F.upper(F.md5(seed.cast("binary")))
-    return F.concat_ws(":", *[F.substring(digest, 1 + 2 * i, 2) for i in range(6)])
-
-
-def device_ip(seed: Column) -> Column:
-    digest = F.md5(seed.cast("binary"))
-    third, fourth = (F.conv(F.substring(digest, at, 2), 16, 10).cast("int") for at in (1, 3))
-    return F.concat(F.lit("192.168."), third.cast("string"), F.lit("."),
-                    (fourth % 253 + 2).cast("string"))
-
-
 def age_label(ts: Column, now: Column) -> Column:
     """Relative age such as `5m ago`."""
     seconds = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 1_000_000)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import money
-from loam.plans.ordered import GROUP_ROW_LIMIT, Ordered, last_known, running_min, running_sum
+from loam.plans.ordered import Ordered, last_known, running_min, running_sum
 from loam.schemas import PRICES, Prices
 from loam.session import checkpoint_root, scratch
 
@@ -27,8 +27,7 @@ SETTLED = ("tenant_id string, status string, balance double, amount_due double,
 FROZEN = "tenant_id string, stretch long, frozen double"
 
 
-def event_series(events: DataFrame, prices: Prices = PRICES,
-                 row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
     """Events with their stretch, the counters and the amount due of an active billing.
 
     Before the first counter event of a stretch the amount due is only known
@@ -38,7 +37,7 @@ def event_series(events: DataFrame, prices: Prices = PRICES,
     control = kind.isin("topup", "cycle")
     counter = kind.isin("messages", "sensors")
     charge = F.when(kind == "query", money.micros(F.col("amount"))).otherwise(0)
-    sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"], row_limit).scan(
+    sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"]).scan(
         stretch=running_sum(F.when(control, 1).otherwise(0)),
         _messages=running_sum(F.when(kind == "messages", quantity).otherwise(0)),
         _sensors=running_sum(F.when(kind == "sensors", quantity).otherwise(0)),
@@ -113,12 +112,11 @@ def _settle_tenant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(key[0], *settle(rows))], columns=names)
 
 
-def account_states(events: DataFrame, prices: Prices = PRICES,
-                   row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def account_states(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
     spark = events.sparkSession
     checkpoint_root(spark)
     path = scratch(spark, "account-series")
-    event_series(events, prices, row_limit).write.parquet(path)
+    event_series(events, prices).write.parquet(path)
     series = spark.read.parquet(path)
     reduced = stretches(series).checkpoint()
     frozen = spark.createDataFrame([], FROZEN)

@@ -6,41 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import money
-from loam.plans.ordered import (
-    GROUP_ROW_LIMIT, Ordered, last_known, running_min, running_sum,
-)
+from loam.plans.ordered import Ordered, last_known, running_min, running_sum
 from loam.schemas import PRICES, Prices
 
 
-def balance_after(topups: DataFrame, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def balance_after(topups: DataFrame) -> DataFrame:
     """Top-ups with the billing's balance after each."""
-    rows = Ordered.of(topups, ["billing_id"], ["created_at", "id"], row_limit) \
+    rows = Ordered.of(topups, ["billing_id"], ["created_at", "id"]) \
         .scan(_total=running_sum(money.micros(F.col("amount")))).result()
     return rows.withColumn("balance_after", money.from_micros(F.col("_total"))).drop("_total")
 
 
-def clamped_counts(changes: DataFrame, keys: list[str], order: list[str], delta: str,
-                   row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def clamped_counts(changes: DataFrame, keys: list[str], order: list[str], delta: str) -> DataFrame:
     """Running count that never falls below zero.
 
     With S the plain running sum, the clamped count is S less the lowest value S
     has had so far, counting the start at zero.
     """
-    plain = Ordered.of(changes, keys, order, row_limit).scan(_sum=running_sum(F.col(delta)))
+    plain = Ordered.of(changes, keys, order).scan(_sum=running_sum(F.col(delta)))
     low = plain.scan(_low=running_min(F.col("_sum"))).result()
     return low.withColumn("sensor_count", F.col("_sum") - F.least(F.lit(0), F.col("_low"))) \
               .drop("_sum", "_low")
 
 
 def amount_due_series(events: DataFrame, subscriptions: DataFrame, mode: str = "reference",
-                      prices: Prices = PRICES, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                      prices: Prices = PRICES) -> DataFrame:
     """Amount due after every event of a billing that stays active.
 
     In `reference` mode a counter event recomputes the amount from the counters,
     so query charges count only since the last counter event; `additive` keeps them.
     """
     counter = F.col("kind") != "query"
-    sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"], row_limit).scan(
+    sums = Ordered.of(events, ["tenant_id"], ["happened_at", "id"]).scan(
         cum_messages=running_sum(F.col("messages")), _sensors=running_sum(F.col("sensors")),
         _cost=running_sum(money.micros(F.col("cost"))))
     marks = sums.scan(_low=running_min(F.col("_sensors")),
@@ -57,8 +54,7 @@ def amount_due_series(events: DataFrame, subscriptions: DataFrame, mode: str = "
 
 
 def overdraft_freeze(events: DataFrame, balances: DataFrame, subscriptions: DataFrame,
-                     mode: str = "reference", prices: Prices = PRICES,
-                     row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                     mode: str = "reference", prices: Prices = PRICES) -> DataFrame:
     """State of each billing after one epoch.
 
     The first event whose amount due exceeds the balance suspends the billing and
@@ -67,7 +63,7 @@ def overdraft_freeze(events: DataFrame, balances: DataFrame, subscriptions: Data
     """
     rank = F.struct("happened_at", "id")
     over = F.col("due") > F.col("balance")
-    series = amount_due_series(events, subscriptions, mode, prices, row_limit)
+    series = amount_due_series(events, subscriptions, mode, prices)
     state = series.join(balances, "tenant_id").groupBy("tenant_id").agg(
         F.min_by(F.struct("id", "due"), F.when(over, rank)).alias("_hit"),
         F.max_by(F.struct("due", "cum_messages", "cum_sensors"), rank).alias("_end"))
@@ -147,15 +143,14 @@ def effective_rates(overrides: DataFrame, prices: Prices = PRICES) -> DataFrame:
                                            for name, value in known.items()])
 
 
-def deactivate_over_budget(readings: DataFrame, sensors: DataFrame, prices: Prices = PRICES,
-                           row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def deactivate_over_budget(readings: DataFrame, sensors: DataFrame, prices: Prices = PRICES) -> DataFrame:
     """First reading at which an active sensor's cost reaches its budget."""
     watched = sensors.filter((F.col("status") == "active") & (F.col("budget") > 0)) \
                      .select("sensor_id", "budget")
     counted = Ordered.of(
         readings.select("sensor_id", "event_time", "event_id", "increment")
         .join(watched, "sensor_id"),
-        ["sensor_id"], ["event_time", "event_id"], row_limit,
+        ["sensor_id"], ["event_time", "event_id"],
     ).scan(messages=running_sum(F.col("increment"))).result()
     cost = money.message_cost(F.col("messages"), prices)
     reached = counted.withColumn("cost", cost).filter(F.col("cost") >= F.col("budget"))

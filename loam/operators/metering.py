@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import money
-from loam.plans.ordered import GROUP_ROW_LIMIT
 from loam.plans.paging import paged_lists
 from loam.schemas import PRICES, Prices
 
@@ -83,11 +82,10 @@ def over_budget(sensors: DataFrame, prices: Prices = PRICES) -> DataFrame:
             .filter((F.col("budget") > 0) & (F.col("cost") >= F.col("budget"))))
 
 
-def over_budget_names(sensors: DataFrame, page_size: int = 1000,
-                      row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def over_budget_names(sensors: DataFrame, page_size: int = 1000) -> DataFrame:
     """Names of exhausted sensors as bounded lists per tenant."""
     return paged_lists(over_budget(sensors), ["tenant_id"], ["sensor_name", "sensor_id"],
-                       F.col("sensor_name"), page_size, row_limit)
+                       F.col("sensor_name"), page_size)
 
 
 def stored_volume(sensors: DataFrame) -> DataFrame:
@@ -126,34 +124,40 @@ def query_spend(ledger: DataFrame, sensor_id: str | None = None,
     return charges.groupBy("billing_id").agg(*_spend())
 
 
-def mentioned_ids(charges: DataFrame, shape: str, shortest: int) -> DataFrame:
-    """Charges with one row per id their text contains.
+ID_SHAPE = r"[a-z0-9][a-z0-9_-]*"
+"""How an id looks in a lower-cased text: UUIDs and short names alike."""
 
-    Ids look like `shape` (a fixed start, then digits). Containment also holds
-    for every shorter id a match begins with, so all of a match's beginnings
-    count. This turns the containment join into an equi join.
+
+def mentioned_ids(charges: DataFrame, shape: str = ID_SHAPE) -> DataFrame:
+    """Charges with one row per word of their text that could be an id.
+
+    An id counts as mentioned if it stands there as a whole word, whatever its case; the
+    beginning of a longer id is no mention. So the search is an equi join.
     """
-    matches = F.regexp_extract_all(F.lower("description"), F.lit(f"({shape})"), F.lit(1))
-    starts = F.flatten(F.transform(matches, lambda m: F.transform(
-        F.sequence(F.lit(shortest), F.length(m)), lambda n: F.substr(m, F.lit(1), n))))
-    return charges.withColumn("mentioned", F.explode(F.array_distinct(starts)))
+    found = F.regexp_extract_all(F.lower("description"), F.lit(f"({shape})"), F.lit(1))
+    return charges.withColumn("mentioned", F.explode(F.array_distinct(found)))
 
 
-def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Charges that mention each sensor, or its farm when none mentions the sensor."""
-    charges = _query_charges(ledger).select("amount", "data_points", "description")
+def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame, billings: DataFrame, shape: str = ID_SHAPE) -> DataFrame:
+    """Charges of a tenant that mention each of its sensors, or its farm when none does.
+
+    Charges belong to the tenant of their billing; the same id at two tenants keeps its
+    spend apart.
+    """
+    owner = billings.select("billing_id", "tenant_id").distinct()
+    charges = _query_charges(ledger).select("billing_id", "amount", "data_points", "description").join(owner, "billing_id")
 
     # One pass finds both kinds of id; Spark reuses the exchange for the second join.
-    found = mentioned_ids(charges, r"[sf]-\d+", 3).groupBy("mentioned").agg(*_spend())
+    found = mentioned_ids(charges, shape).groupBy("tenant_id", "mentioned").agg(*_spend())
 
     def spend_of(key: str, prefix: str) -> DataFrame:
-        return found.select(F.col("mentioned").alias(key), *[
+        return found.select("tenant_id", F.col("mentioned").alias(f"_{key}"), *[
             F.col(c).alias(f"{prefix}_{c}") for c in ("query_count", "total_qu", "total_cost")])
-    joined = (sensors.select("sensor_id", "farm_id")
-              .join(spend_of("sensor_id", "own"), "sensor_id", "left")
-              .join(spend_of("farm_id", "farm"), "farm_id", "left"))
+    joined = sensors.select("tenant_id", "sensor_id", "farm_id", F.lower("sensor_id").alias("_sensor_id"), F.lower("farm_id").alias("_farm_id"))
+    joined = (joined.join(spend_of("sensor_id", "own"), ["tenant_id", "_sensor_id"], "left")
+              .join(spend_of("farm_id", "farm"), ["tenant_id", "_farm_id"], "left"))
     pick = lambda c, zero: F.coalesce(f"own_{c}", f"farm_{c}", F.lit(zero)).alias(c)
-    return joined.select("sensor_id", "farm_id", pick("query_count", 0),
+    return joined.select("tenant_id", "sensor_id", "farm_id", pick("query_count", 0),
                          pick("total_qu", 0.0), pick("total_cost", 0.0))
 
 
@@ -192,16 +196,26 @@ def cycle_items(ledger: DataFrame) -> DataFrame:
             .orderBy("billing_id", "usage_period", "created_at", "id"))
 
 
-def gate_queries(requests: DataFrame, billings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests of tenants with an active billing, and the refused rest."""
-    active = billings.filter(F.col("status") == "active").select("tenant_id").distinct()
-    return (requests.join(active, "tenant_id", "left_semi"),
-            requests.join(active, "tenant_id", "left_anti"))
+def gate_queries(requests: DataFrame, billings: DataFrame) -> DataFrame:
+    """Requests with `allowed`: whether their tenant has an active billing."""
+    active = billings.filter(F.col("status") == "active").select("tenant_id").distinct().withColumn("_active", F.lit(True))
+    return (requests.join(active, "tenant_id", "left")
+            .withColumn("allowed", F.coalesce("_active", F.lit(False))).drop("_active"))
+
+
+def metered_runs(requests: DataFrame, billings: DataFrame, prices: Prices = PRICES) -> DataFrame:
+    """Console runs that pass the billing gate, each with its ledger row.
+
+    One job for all runs: gate, units, cost, charge text and period. The history and the
+    last statement of a user are views of it (`console.query_history`, `last_statement`).
+    """
+    run = with_query_cost(gate_queries(requests, billings).filter("allowed"), prices)
+    return charges(run, "user_id", "run_at", "qu", "sql")
 
 
-def charges(stats: DataFrame) -> DataFrame:
+def charges(stats: DataFrame, *also: str) -> DataFrame:
     """Ledger rows for metered queries; expects qu, cost, data_points, sql and run_at."""
     return stats.select(
-        "tenant_id", "query_id", F.lit("usage").alias("type"), F.col("cost").alias("amount"),
+        *also, "tenant_id", "query_id", F.lit("usage").alias("type"), F.col("cost").alias("amount"),
         money.charge_text(F.col("qu"), F.col("sql")).alias("description"), "data_points",
         money.period_key(F.col("run_at")).alias("usage_period"))

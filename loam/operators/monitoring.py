@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.plans.ordered import GROUP_ROW_LIMIT, Ordered, previous, running_sum
+from loam.plans.ordered import Ordered, previous, running_sum
 
 
 def lag_by_partition(samples: DataFrame) -> DataFrame:
@@ -14,13 +14,13 @@ def lag_by_partition(samples: DataFrame) -> DataFrame:
 
 
 def counter_rate(samples: DataFrame, series: list[str], counter: str, by: list[str],
-                 window_s: int, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                 window_s: int) -> DataFrame:
     """Per-second increase of a counter over each window, summed to `by`.
 
     A counter that falls has been reset, so its new value is the increase. The
     first sample of a series has nothing to compare with and adds nothing.
     """
-    stepped = Ordered.of(samples, series, ["ts"], row_limit).scan(
+    stepped = Ordered.of(samples, series, ["ts"]).scan(
         _before=previous(F.col(counter))).result()
     value, before = F.col(counter), F.col("_before")
     increase = F.when(before.isNull(), 0).when(value < before, value).otherwise(value - before)
@@ -30,7 +30,8 @@ def counter_rate(samples: DataFrame, series: list[str], counter: str, by: list[s
 
 
 def gauges(samples: DataFrame, gauge: str) -> DataFrame:
-    return samples.groupBy("topic").agg(
+    """Sum and mean of a gauge over the partitions of a topic at every instant."""
+    return samples.groupBy("ts", "topic").agg(
         F.sum(gauge).alias("sum_value"), F.avg(gauge).alias("avg_value"),
         F.count_distinct("kafka_partition").alias("partitions"))
 
@@ -40,10 +41,10 @@ def highest_by_partition(samples: DataFrame, gauge: str) -> DataFrame:
 
 
 def sustained_alerts(samples: DataFrame, series: list[str], gauge: str, threshold: float,
-                     for_s: int, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                     for_s: int) -> DataFrame:
     """Runs of samples above the threshold that last at least `for_s` seconds."""
     breach = F.col(gauge) > threshold
-    runs = Ordered.of(samples, series, ["ts"], row_limit).scan(
+    runs = Ordered.of(samples, series, ["ts"]).scan(
         _run=running_sum(F.when(breach, 0).otherwise(1))).result()
     spans = runs.filter(breach).groupBy(*series, "_run").agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("last_breach_at"),

@@ -33,7 +33,8 @@ def parsed(messages: DataFrame) -> DataFrame:
         E.metric_block(env, F.col("sensor_type")).alias("metrics"),
         topic.alias("raw_topic"),
         *[part.alias(name) for name, part in E.calendar_parts(F.col("event_time")).items()],
-        "sensor_type", F.to_date("event_time").alias("event_date"),
+        # What tells no readable time is kept under the day it came, so that it expires too.
+        "sensor_type", F.to_date(F.coalesce("event_time", "timestamp")).alias("event_date"),
         F.col("partition").alias("_partition"), F.col("offset").alias("_offset"),
         F.to_date("timestamp").alias("arrival_date"), F.col("_json").alias("_raw"),
         reason.alias("reject_reason"))
@@ -78,10 +79,11 @@ def last_messages(readings: DataFrame, n: int = 5) -> DataFrame:
 
 
 def log_tail(messages: DataFrame, n: int = 10) -> DataFrame:
-    """Records at the last `n` offsets of each partition, found without sorting any."""
-    start = messages.groupBy("topic", "partition").agg((F.max("offset") + 1 - n).alias("_start"))
-    return (messages.join(start, ["topic", "partition"])
-            .filter(F.col("offset") >= F.col("_start")).drop("_start"))
+    """The last `n` records of each partition; the rank limit applies before the shuffle too.
+
+    On Kafka itself read from start offsets instead (`sources.streams.tail_offsets`).
+    """
+    return newest(messages, ["topic", "partition"], [F.col("offset").desc()], n)
 
 
 def terminal_lines(messages: DataFrame) -> DataFrame:
@@ -130,10 +132,13 @@ def topic_message_counts(messages: DataFrame) -> DataFrame:
         F.sum(F.col("_high") - F.col("_low")).alias("retained_count"))
 
 
-def latest_hardware(messages: DataFrame) -> DataFrame:
-    """Last non-null hardware_info object of each topic."""
+def latest_hardware(messages: DataFrame, n: int = 10) -> DataFrame:
+    """Last hardware_info object among the newest `n` records of each partition, by topic.
+
+    The tail is taken first, so only a few messages are parsed.
+    """
     text = F.get_json_object(F.col("value").cast("string"), "$.hardware_info")
-    seen = messages.withColumn("_hw", text)
+    seen = log_tail(messages, n).withColumn("_hw", text)
     rank = F.when(F.col("_hw").startswith("{"), F.struct("timestamp", "partition", "offset"))
     return (seen.groupBy("topic").agg(F.max_by("_hw", rank).alias("_hw"))
             .filter(F.col("_hw").isNotNull())
@@ -145,6 +150,11 @@ def distinct_topics(messages: DataFrame) -> DataFrame:
     return messages.select("topic").distinct()
 
 
+def distinct_types(messages: DataFrame) -> DataFrame:
+    """Sensor types that accepted messages of a batch hold."""
+    return accepted(parsed(messages)).select("sensor_type").distinct()
+
+
 def first_field(messages: DataFrame) -> DataFrame:
     """Distinct first comma field of the raw value."""
     field = F.split(F.col("value").cast("string"), ",", 2)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import records
-from loam.plans.ordered import GROUP_ROW_LIMIT, Ordered, last_known, previous
+from loam.plans.ordered import Ordered, last_known, previous
 from loam.plans.paging import paged_lists
 
 
@@ -87,11 +87,10 @@ def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return incoming.dropDuplicates(keys).join(existing, keys, "left_anti")
 
 
-def device_snapshot(sensors: DataFrame, page_size: int = 1000,
-                    row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def device_snapshot(sensors: DataFrame, page_size: int = 1000) -> DataFrame:
     """Devices of each tenant as pages of (sensor_id, name, status)."""
     device = F.struct("sensor_id", F.col("sensor_name").alias("name"), "status")
-    return paged_lists(sensors, ["tenant_id"], ["sensor_id"], device, page_size, row_limit)
+    return paged_lists(sensors, ["tenant_id"], ["sensor_id"], device, page_size)
 
 
 def current_registry(changes: DataFrame) -> DataFrame:
@@ -102,9 +101,9 @@ def current_registry(changes: DataFrame) -> DataFrame:
             .select("sensor_id", "_row.*").filter("op <> 'delete'").drop("op"))
 
 
-def audit_trail(changes: DataFrame, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def audit_trail(changes: DataFrame) -> DataFrame:
     """One audit row per change, with the name as it was known at that time."""
-    seen = Ordered.of(changes, ["sensor_id"], ["changed_at", "change_id"], row_limit).scan(
+    seen = Ordered.of(changes, ["sensor_id"], ["changed_at", "change_id"]).scan(
         _op=previous(F.col("op")), old_name=previous(F.col("sensor_name")),
         old_status=previous(F.col("status")), _name=last_known(F.col("sensor_name")))
     fresh = F.col("_op").isNull() | (F.col("_op") == "delete")
@@ -128,16 +127,18 @@ def _stamped(sensors: DataFrame, status: str, metadata: Column) -> DataFrame:
     return sensors.withColumn("status", F.lit(status)).withColumn("metadata", metadata)
 
 
-def suspend(sensors: DataFrame, tenants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def suspend(sensors: DataFrame, tenants: DataFrame, performed_by: str = "system") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Active sensors of suspended tenants: new rows, audit rows, event rows."""
     hit = sensors.filter(F.col("status") == "active").join(tenants, "tenant_id", "left_semi")
     flagged = records.with_key(F.col("metadata"), "billing_suspended", F.lit("true"))
     audit = hit.select("tenant_id", "sensor_id", "sensor_name",
                        F.lit("status_changed").alias("action"),
                        F.lit("active").alias("old_status"), F.lit("inactive").alias("new_status"),
-                       F.lit("billing_suspended").alias("reason"))
+                       F.lit("billing_suspended").alias("reason"), F.lit(performed_by).alias("performed_by"))
+    details = F.create_map(F.lit("old_status"), F.lit("active"), F.lit("new_status"), F.lit("inactive"),
+                           F.lit("reason"), F.lit("billing_suspended"))
     events = hit.select("tenant_id", "sensor_id", F.lit("sensor_suspended").alias("event_type"),
-                        F.lit("success").alias("status"), F.lit(SUSPENDED_TEXT).alias("message"))
+                        F.lit("success").alias("status"), F.lit(SUSPENDED_TEXT).alias("message"), details.alias("details"))
     return _stamped(hit, "inactive", flagged), audit, events
 
 

@@ -1,30 +1,25 @@
 """Running values per key that survive one key holding most of the rows.
 
-A plain window puts every row of a key into one task. Here keys with more rows
-than a task should hold are looked for first (one map-side combined count that
-reads the key columns only). All other keys go through the plain window. Rows of
-the big keys are range partitioned on (keys, order), which cuts each key into
-consecutive chunks of bounded size; every chunk is scanned on its own and the
-value carried in from the chunks before it is added. The result is the same
-either way.
+A plain window puts every row of a key into one task. Here rows are scanned per key
+and stretch of the order (an hour, a block of numbers, a run of names with the same
+beginning). Every stretch is reduced to one row of totals, a window over those rows
+gives what each stretch takes over from the ones before, and that is joined back. All
+keys go the same way, nothing is computed while the plan is built, and the rows are
+shuffled once: the local windows, the totals and the join share one partitioning.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loam.session import checkpoint_root
-
-# Rows of one key that a single window task may hold.
-GROUP_ROW_LIMIT = 5_000_000
-# Big keys listed one by one; with more of them all rows are cut into chunks.
-MAX_LISTED_KEYS = 10_000
-MAX_CHUNKS = 20_000
-CHUNK = "_chunk"
+SECONDS = 6 * 3600
+NUMBERS = 1 << 20
+LETTERS = 12
+GROUP = "_group"
 
 
 @dataclass(frozen=True)
@@ -52,92 +47,45 @@ def previous(value: Column) -> Measure:
     return Measure("previous", value, False)
 
 
-@dataclass(frozen=True)
-class Part:
-    """Rows whose groups fit a task: whole keys, or chunks of keys."""
-
-    frame: DataFrame
-    chunked: bool
+def stretch_of(column: Column, kind: T.DataType) -> Column:
+    """A number or text that never falls along the order and is shared by neighbours."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_seconds(column.cast("timestamp")) / SECONDS)
+    if isinstance(kind, T.StringType):
+        return F.substring(column, 1, LETTERS)
+    if isinstance(kind, T.IntegralType):
+        return F.floor(column / NUMBERS)
+    return column
 
 
 class Ordered:
     """A frame with a total order inside each key; `order` must end in a unique column."""
 
-    def __init__(self, keys: list[str], order: list[str], parts: list[Part]):
-        self.keys, self.order, self.parts = keys, order, parts
+    def __init__(self, frame: DataFrame, keys: list[str], order: list[str]):
+        self.frame, self.keys, self.order = frame, keys, order
 
     @classmethod
-    def of(cls, frame: DataFrame, keys: list[str], order: list[str],
-           row_limit: int = GROUP_ROW_LIMIT) -> Ordered:
-        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        big = sizes.filter(F.col("_n") > row_limit)
-        listed = big.limit(MAX_LISTED_KEYS + 1).collect()
-        if not listed:
-            return cls(keys, order, [Part(frame, False)])
-        if len(listed) > MAX_LISTED_KEYS:
-            rows = sizes.agg(F.sum("_n")).first()[0]
-            return cls(keys, order, [Part(_cut(frame, keys, order, rows, row_limit), True)])
-        rows = sum(r["_n"] for r in listed)
-        names = frame.sparkSession.createDataFrame(listed, sizes.schema).drop("_n")
-        # At most MAX_LISTED_KEYS rows, so safe to broadcast.
-        small = F.broadcast(names.select(*[F.col(k).alias(f"_big_{k}") for k in keys]))
-        same = [F.col(k).eqNullSafe(F.col(f"_big_{k}")) for k in keys]
-        hot = _cut(frame.join(small, same, "left_semi"), keys, order, rows, row_limit)
-        return cls(keys, order, [Part(frame.join(small, same, "left_anti"), False), Part(hot, True)])
+    def of(cls, frame: DataFrame, keys: list[str], order: list[str], stretch: Column | None = None) -> Ordered:
+        """`stretch` may name another non-falling value of the order to cut keys at."""
+        cut = stretch if stretch is not None else stretch_of(F.col(order[0]), frame.schema[order[0]].dataType)
+        # A struct, so that null keys are equal and one partitioning serves all steps.
+        group = F.struct(F.struct(*keys).alias("key"), cut.alias("stretch"))
+        return cls(frame.withColumn(GROUP, group), keys, order)
 
     def scan(self, **measures: Measure) -> Ordered:
-        scanned = [Part(self._chunks(p.frame, measures) if p.chunked else self._whole(p.frame, measures),
-                        p.chunked) for p in self.parts]
-        return Ordered(self.keys, self.order, scanned)
-
-    def result(self) -> DataFrame:
-        whole, *rest = [p.frame.drop(CHUNK) for p in self.parts]
-        for frame in rest:
-            whole = whole.unionByName(frame)
-        return whole
-
-    def _whole(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
-        base = Window.partitionBy(*self.keys).orderBy(*self.order)
-        return frame.select("*", *[_finish(m, _over(m, base), None).alias(n) for n, m in measures.items()])
-
-    def _chunks(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
-        groups = self.keys + [CHUNK]
-        base = Window.partitionBy(*groups).orderBy(*self.order)
-        carried = self._carry(frame, measures)
-        scanned = frame.select("*", *[_over(m, base).alias(f"_local_{n}") for n, m in measures.items()])
-        # At most one key continues across each chunk border, so `carried` has
-        # fewer rows than there are chunks and is safe to broadcast.
-        same = [scanned[k].eqNullSafe(carried[f"_key_{k}"]) for k in groups]
-        joined = scanned.join(F.broadcast(carried), same, "left")
-        kept = [scanned[c] for c in frame.columns]
-        values = [_finish(m, scanned[f"_local_{n}"], carried[f"_carry_{n}"]).alias(n)
-                  for n, m in measures.items()]
-        return joined.select(*kept, *values)
-
-    def _carry(self, frame: DataFrame, measures: dict[str, Measure]) -> DataFrame:
-        rank = F.struct(*self.order)
-        totals = frame.groupBy(*self.keys, CHUNK).agg(
-            *[_total(m, rank).alias(n) for n, m in measures.items()])
-        before = (Window.partitionBy(*self.keys).orderBy(CHUNK)
+        frame, rank = self.frame, F.struct(*self.order)
+        totals = frame.groupBy(GROUP).agg(*[_total(m, rank).alias(n) for n, m in measures.items()])
+        before = (Window.partitionBy(f"{GROUP}.key").orderBy(f"{GROUP}.stretch")
                   .rowsBetween(Window.unboundedPreceding, -1))
-        return (totals.select(
-            *[F.col(k).alias(f"_key_{k}") for k in self.keys + [CHUNK]],
-            *[_combine(m, F.col(n)).over(before).alias(f"_carry_{n}")
-              for n, m in measures.items()],
-            F.count(F.lit(1)).over(before).alias("_chunks_before"))
-            .filter("_chunks_before > 0").drop("_chunks_before"))
-
-
-def _cut(frame: DataFrame, keys: list[str], order: list[str], rows: int, row_limit: int) -> DataFrame:
-    """Rows with the number of their chunk.
+        carried = totals.select(GROUP, *[_combine(m, F.col(n)).over(before).alias(f"_carry_{n}") for n, m in measures.items()])
+        base = Window.partitionBy(GROUP).orderBy(*self.order)
+        scanned = frame.select("*", *[_over(m, base).alias(f"_local_{n}") for n, m in measures.items()])
+        joined = scanned.join(carried, GROUP, "left").select(
+            *frame.columns, *[_finish(m, F.col(f"_local_{n}"), F.col(f"_carry_{n}")).alias(n) for n, m in measures.items()])
+        return Ordered(joined, self.keys, self.order)
 
-    The number must not change when a task is run again, so the assignment is
-    frozen on shared storage.
-    """
-    checkpoint_root(frame.sparkSession)
-    chunks = min(max(2, math.ceil(2 * rows / row_limit)), MAX_CHUNKS)
-    return (frame.repartitionByRange(chunks, *keys, *order)
-            .withColumn(CHUNK, F.spark_partition_id()).checkpoint())
+    def result(self) -> DataFrame:
+        return self.frame.drop(GROUP)
 
 
 def _over(m: Measure, base) -> Column:
@@ -163,15 +111,9 @@ def _total(m: Measure, rank: Column) -> Column:
     return _combine(m, m.value)
 
 
-def _finish(m: Measure, local: Column, carried: Column | None) -> Column:
+def _finish(m: Measure, local: Column, carried: Column) -> Column:
     if m.kind == "sum":
-        parts = [local] if carried is None else [local, carried]
-        value = F.coalesce(parts[0], F.lit(0))
-        for part in parts[1:]:
-            value = value + F.coalesce(part, F.lit(0))
-        return value
-    if carried is None:
-        return local["v"] if m.kind == "previous" else local
+        return F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
     if m.kind == "min":
         return F.least(local, carried)
     merged = F.coalesce(local, carried)

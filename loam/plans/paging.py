@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.records import page_count
-from loam.plans.ordered import GROUP_ROW_LIMIT, Ordered, running_sum
+from loam.plans.ordered import Ordered, running_sum
 
 
 def page(frame: DataFrame, newest: str, tie: str, number: int, per_page: int) -> DataFrame:
@@ -24,9 +24,9 @@ def newest(frame: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
 
 
 def paged_lists(frame: DataFrame, keys: list[str], order: list[str], item: Column,
-                page_size: int = 1000, row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                page_size: int = 1000) -> DataFrame:
     """Items of each key as ordered lists of at most `page_size`, numbered from 1."""
-    numbered = Ordered.of(frame, keys, order, row_limit).scan(_at=running_sum(F.lit(1))).result()
+    numbered = Ordered.of(frame, keys, order).scan(_at=running_sum(F.lit(1))).result()
     paged = numbered.withColumn("page", (F.floor((F.col("_at") - 1) / page_size) + 1).cast("long"))
     entry = F.struct(F.col("_at"), item.alias("item"))
     return (paged.groupBy(*keys, "page")

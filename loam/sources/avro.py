@@ -26,7 +26,7 @@ def spark_type(declared) -> tuple[T.DataType, bool]:
         return _PRIMITIVES[declared], False
     kind = declared["type"]
     if declared.get("logicalType") == "timestamp-millis":
-        return T.LongType(), False
+        return T.TimestampType(), False
     if kind == "record":
         return record_schema(declared), False
     if kind == "map":
@@ -47,8 +47,23 @@ def record_schema(declared) -> T.StructType:
 
 
 def decode(value: Column, declared: str) -> Column:
-    """JSON text of a registry record as a struct; malformed text gives null fields."""
-    return F.from_json(value.cast("string"), record_schema(declared))
+    """JSON text of a registry record as a struct; malformed text gives null fields.
+
+    Times in milliseconds at the top level become timestamps.
+    """
+    schema = record_schema(declared)
+    timed = {f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)}
+    if not timed:
+        return F.from_json(value.cast("string"), schema)
+    plain = T.StructType([T.StructField(f.name, T.LongType(), f.nullable) if f.name in timed else f for f in schema.fields])
+    read = F.from_json(value.cast("string"), plain)
+    return F.struct(*[(F.timestamp_millis(read[f.name]) if f.name in timed else read[f.name]).alias(f.name) for f in schema.fields])
+
+
+def decode_binary(value: Column, declared: str) -> Column:
+    """Avro bytes of a registry record as a struct; needs Spark's Avro module on the class path."""
+    from pyspark.sql.avro.functions import from_avro
+    return from_avro(value, declared, {"mode": "PERMISSIVE"})
 
 
 def is_backward_compatible(old: str, new: str) -> bool:

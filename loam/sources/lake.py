@@ -55,8 +55,8 @@ class Lake:
     def append(self, rows: DataFrame, commit_id: str, repeated: bool = False) -> None:
         """One write for all types and tenants; `rows` should be persisted.
 
-        With `repeated` the commit may have been tried before: rows of it that are
-        stored already, found by topic, partition and offset, are left out.
+        With `repeated` the commit may have been tried before: rows that are stored
+        already, found by topic, partition and offset, are left out.
         """
         self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING)
 
@@ -72,36 +72,45 @@ class Lake:
             return
         stored = rows.sparkSession.table(table)
         if repeated:
-            # Folders outside the commit's days are not listed, other commits' row
-            # groups not read.
+            # Folders outside the commit's days are not listed.
             days = day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"]))
-            known = stored.filter(days & (F.col("commit_id") == commit_id)).select(*IDENTITY)
+            known = stored.filter(days).select(*IDENTITY)
             rows = rows.join(known, IDENTITY, "left_anti")
         # A small commit gets one file per folder. In a large one the rows of a
         # folder are dealt out evenly, so neither a busy type nor a busy tenant
         # or sensor ends up in a single task.
         pieces = math.ceil(extent.n / ROWS_PER_FILE)
-        piece = F.pmod(F.xxhash64(*IDENTITY), F.lit(pieces))
-        (rows.withColumn("commit_id", F.lit(commit_id)).select(*stored.columns)
-         .repartition(*layout, piece).sortWithinPartitions(*layout, *clustering)
+        piece = F.pmod(F.xxhash64(*IDENTITY), F.lit(pieces)).alias("_piece")
+        # Copies of a record meet in one partition, so dropping them moves nothing again.
+        (rows.withColumn("commit_id", F.lit(commit_id)).select(*stored.columns, piece)
+         .repartition(*layout, "_piece").dropDuplicates([*layout, "_piece", *IDENTITY])
+         .sortWithinPartitions(*layout, *clustering).drop("_piece")
          .write.insertInto(table))
 
-    def expired_dates(self, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
-        """Partitions whose whole day is older than the kept time."""
-        spec = self.spark.sql(f"SHOW PARTITIONS {self.readings}")
-        day = F.regexp_extract("partition", r"event_date=([0-9-]{10})", 1)
+    def expired_partitions(self, table: str, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
+        """Partitions of a table whose whole day is older than the kept time.
+
+        A reading counts by the day it tells; one without a readable time, and a dead
+        letter, by the day it arrived.
+        """
+        spec = self.spark.sql(f"SHOW PARTITIONS {table}")
         limit = F.date_sub(F.lit(now).cast("date"), days)
-        return spec.filter(F.try_to_date(day) < limit)
+        day = F.coalesce(*[F.try_to_date(F.regexp_extract("partition", rf"{name}=([0-9-]{{10}})", 1))
+                           for name in ("event_date", "arrival_date")])
+        return spec.filter(day < limit)
 
     def expire(self, now: str, days: int = SNAPSHOT_DAYS) -> int:
         """Drop expired partitions; only catalog entries pass through here, never rows."""
-        expired = [r.partition for r in self.expired_dates(now, days).toLocalIterator()]
-        for at in range(0, len(expired), PARTITIONS_PER_DROP):
-            specs = [", ".join("{}='{}'".format(*part.split("=", 1)) for part in name.split("/"))
-                     for name in expired[at:at + PARTITIONS_PER_DROP]]
-            self.spark.sql(f"ALTER TABLE {self.readings} DROP "
-                           + ", ".join(f"PARTITION ({spec})" for spec in specs))
-        return len(expired)
+        dropped = 0
+        for table in (self.readings, self.dead_letters):
+            expired = [r.partition for r in self.expired_partitions(table, now, days).toLocalIterator()]
+            for at in range(0, len(expired), PARTITIONS_PER_DROP):
+                specs = [", ".join("{}='{}'".format(*part.split("=", 1)) for part in name.split("/"))
+                         for name in expired[at:at + PARTITIONS_PER_DROP]]
+                self.spark.sql(f"ALTER TABLE {table} DROP "
+                               + ", ".join(f"PARTITION ({spec})" for spec in specs))
+            dropped += len(expired)
+        return dropped
 
 
 def retained(rows: DataFrame, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:

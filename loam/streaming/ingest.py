@@ -11,21 +11,15 @@ from loam.operators.readings import accepted, dead_letters, parsed
 from loam.sources.lake import Lake
 from loam.streaming import runs
 
-REPLAY_HORIZON = "10 minutes"
-
-
-def without_replays(messages: DataFrame, horizon: str = REPLAY_HORIZON) -> DataFrame:
-    """Drop a record that arrives again with the same topic, partition and offset."""
-    return (messages.withWatermark("timestamp", horizon)
-            .dropDuplicatesWithinWatermark(["topic", "partition", "offset"]))
-
 
 def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
     """Micro-batch sink: parse once, then one lake write and one dead-letter write.
 
-    A micro-batch is only ever repeated by a fresh start of the stream, so the
-    first one this sink sees, and any that does not follow the last one, is
-    checked against what is stored. Batches without rows write nothing.
+    Every message is stored or becomes a dead letter, however late it comes. A record
+    (topic, partition, offset) that is twice in a batch is written once. A micro-batch is
+    only ever repeated by a fresh start of the stream, so the first one this sink sees,
+    and any that does not follow the last one, is checked against what is stored for its
+    days. Batches without rows write nothing.
     """
     done: list[int] = []
 
@@ -42,7 +36,5 @@ def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def ingest(messages: DataFrame, lake: Lake, checkpoint: str, every: str | None = "5 seconds",
-           drop_replays: bool = True):
-    stream = without_replays(messages) if drop_replays else messages
-    return runs.start(stream.writeStream.foreachBatch(write_batch(lake)), checkpoint, every)
+def ingest(messages: DataFrame, lake: Lake, checkpoint: str, every: str | None = "5 seconds"):
+    return runs.start(messages.writeStream.foreachBatch(write_batch(lake)), checkpoint, every)

@@ -108,7 +108,14 @@ def test_console_refuses(spark):
     "WITH c AS (SELECT * FROM {db}.dead_letters) SELECT * FROM c", "TABLE {db}.readings",
     "SELECT 1 WHERE EXISTS (SELECT 1 FROM spark_catalog.{db}.readings)", "USE {db}", "SHOW TABLES IN {db}",
     "SELECT v FROM readings WHERE v IN (SELECT _offset FROM {db}.readings)",
-    "FROM readings INSERT INTO {db}.dead_letters SELECT *", "DROP VIEW readings"])
+    "FROM readings INSERT INTO {db}.dead_letters SELECT *", "DROP VIEW readings",
+    "SELECT * FROM IDENTIFIER('{db}.readings')", "SELECT * FROM IDENTIFIER('{db}' || '.readings')",
+    "SELECT (SELECT max(_offset) FROM IDENTIFIER('{db}.readings')) AS m",
+    "WITH x AS (SELECT 1 a) INSERT OVERWRITE DIRECTORY '/tmp/loam-refused' USING parquet SELECT * FROM x",
+    "FROM readings INSERT OVERWRITE DIRECTORY '/tmp/loam-refused' USING parquet SELECT *",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT reflect('java.lang.System', 'nanoTime')",
+    "SELECT upper(try_reflect('java.lang.System', 'getProperty', 'user.dir')) FROM readings",
+    "SELECT v FROM readings WHERE EXISTS (WITH dead_letters AS (SELECT 1) SELECT * FROM dead_letters) AND v IN (SELECT _offset FROM {db}.dead_letters)"])
 def test_console_cannot_leave_the_tenants_views(spark, text):
     console = Console(spark, 1, own_tables)
     with pytest.raises(ValueError):

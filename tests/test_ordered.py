@@ -1,4 +1,4 @@
-"""Chunked scans give what a plain window gives, also when one key holds most rows."""
+"""Scans in stretches give what a plain window gives, also when one key holds most rows."""
 
 import random
 
@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.operators import billing, monitoring, registry
-from loam.plans import paging, panes
-from loam.plans.ordered import CHUNK, Ordered, last_known, previous, running_min, running_sum
+from loam.plans import ordered, paging, panes
+from loam.plans.ordered import GROUP, Ordered, last_known, previous, running_min, running_sum
 
 
 def skewed(spark, n=3000, seed=5):
@@ -34,72 +34,79 @@ def expected(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("row_limit", [10 ** 9, 400, 50])
-def test_scan_matches_brute_force(spark, rows, row_limit):
+@pytest.mark.parametrize("width", [None, 10, 1])
+def test_scan_matches_brute_force(spark, rows, width):
     data, frame = skewed(spark)
-    scanned = Ordered.of(frame, ["k"], ["t", "id"], row_limit)
-    assert [p.chunked for p in scanned.parts] == ([False] if row_limit == 10 ** 9 else [False, True])
+    scanned = Ordered.of(frame, ["k"], ["t", "id"], F.floor(F.col("t") / width) if width else None)
     v = F.col("v")
     got = scanned.scan(s=running_sum(v), before=running_sum(v, inclusive=False), low=running_min(v),
                        known=last_known(v), known_before=last_known(v, inclusive=False),
                        prev=previous(v)).result()
-    assert CHUNK not in got.columns
+    assert GROUP not in got.columns
     assert rows(got, "k", "id", "s", "before", "low", "known", "known_before", "prev") == expected(data)
 
 
-def test_no_chunk_holds_a_hot_key_whole(spark):
+def test_a_hot_key_is_spread_over_tasks(spark):
+    data = [("hot", i, i) for i in range(4000)]
+    frame = spark.createDataFrame(data, "k string, t int, id int").repartition(4)
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = Ordered.of(frame, ["k"], ["t", "id"], F.floor(F.col("t") / 100)).scan(n=running_sum(F.lit(1))).result()
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 3 and max(sizes) < 2500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
+
+
+def test_building_a_scan_starts_no_job(spark):
     _, frame = skewed(spark)
-    cut = Ordered.of(frame, ["k"], ["t", "id"], 200).parts[1].frame
-    sizes = cut.groupBy("k", CHUNK).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 600
-    assert sizes.filter("k = 'hot'").count() > 3
+    spark.sparkContext.setJobGroup("scan", "scan")
+    try:
+        Ordered.of(frame, ["k"], ["t", "id"]).scan(s=running_sum(F.col("v"))).scan(low=running_min(F.col("s"))).result()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("scan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_many_big_keys_are_all_cut(spark, rows, monkeypatch):
-    from loam.plans import ordered
-    monkeypatch.setattr(ordered, "MAX_LISTED_KEYS", 2)
-    data, frame = skewed(spark)
-    scanned = Ordered.of(frame, ["k"], ["t", "id"], 100)
-    assert [p.chunked for p in scanned.parts] == [True]
-    got = scanned.scan(s=running_sum(F.col("v"))).result()
-    assert rows(got, "k", "id", "s") == sorted([e[:3] for e in expected(data)], key=repr)
+def test_rows_are_shuffled_once(spark, plan):
+    _, frame = skewed(spark)
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(Ordered.of(frame, ["k"], ["t", "id"]).scan(s=running_sum(F.col("v"))).result())
+        # rows, totals by key and stretch, totals by key, and those back by key and stretch
+        assert text.count("ENSURE_REQUIREMENTS") <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
 
 
 def test_scans_can_follow_each_other(spark, rows):
     data, frame = skewed(spark)
     frame = frame.na.fill({"v": 0, "k": "none"})
-    plain = billing.clamped_counts(frame, ["k"], ["t", "id"], "v")
-    cut = billing.clamped_counts(frame, ["k"], ["t", "id"], "v", row_limit=100)
-    assert rows(plain, "k", "id", "sensor_count") == rows(cut, "k", "id", "sensor_count")
+    got = billing.clamped_counts(frame, ["k"], ["t", "id"], "v")
     count, want = {}, []
     for k, t, i, v in sorted(data, key=lambda r: (r[1], r[2])):
         k = k or "none"
         count[k] = max(0, count.get(k, 0) + (v or 0))
         want.append((k, i, count[k]))
-    assert rows(cut, "k", "id", "sensor_count") == sorted(want, key=repr)
-
-
-def test_operators_agree_on_both_paths(tables, rows):
-    small = 40
-    pairs = [
-        (billing.balance_after(tables.ledger), billing.balance_after(tables.ledger, small)),
-        (registry.audit_trail(tables.changes), registry.audit_trail(tables.changes, small)),
-        (billing.deactivate_over_budget(tables.readings, tables.sensors),
-         billing.deactivate_over_budget(tables.readings, tables.sensors, row_limit=small)),
-        (registry.device_snapshot(tables.sensors, 4), registry.device_snapshot(tables.sensors, 4, 3)),
-        (monitoring.sustained_alerts(tables.samples, ["topic", "kafka_partition"], "consumer_lag", 300, 7200),
-         monitoring.sustained_alerts(tables.samples, ["topic", "kafka_partition"], "consumer_lag", 300, 7200,
-                                     small)),
-        (monitoring.counter_rate(tables.samples, ["topic", "kafka_partition"], "consumer_lag", ["topic"], 7200),
-         monitoring.counter_rate(tables.samples, ["topic", "kafka_partition"], "consumer_lag", ["topic"], 7200,
-                                 small)),
-    ]
-    for mode in ("reference", "additive"):
-        args = (tables.epoch_events, tables.balances, tables.subscriptions, mode)
-        pairs.append((billing.overdraft_freeze(*args), billing.overdraft_freeze(*args, row_limit=small)))
-    for plain, cut in pairs:
-        want = rows(plain)
-        assert want and rows(cut, *plain.columns) == want
+    assert rows(got, "k", "id", "sensor_count") == sorted(want, key=repr)
+
+
+def test_operators_agree_whatever_the_stretches(tables, rows, monkeypatch):
+    def all_results():
+        series = ["topic", "kafka_partition"]
+        found = [billing.balance_after(tables.ledger), registry.audit_trail(tables.changes),
+                 billing.deactivate_over_budget(tables.readings, tables.sensors), registry.device_snapshot(tables.sensors, 4),
+                 monitoring.sustained_alerts(tables.samples, series, "consumer_lag", 300, 7200),
+                 monitoring.counter_rate(tables.samples, series, "consumer_lag", ["topic"], 7200)]
+        found += [billing.overdraft_freeze(tables.epoch_events, tables.balances, tables.subscriptions, mode)
+                  for mode in ("reference", "additive")]
+        return [rows(f) for f in found]
+    short = all_results()
+    monkeypatch.setattr(ordered, "SECONDS", 10 ** 11)
+    monkeypatch.setattr(ordered, "LETTERS", 1)
+    assert all(short) and all_results() == short
 
 
 def test_paged_lists_are_bounded_and_ordered(spark):
