@@ -18,7 +18,7 @@ QUERY_NODES = frozenset("""
     UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction
     UnresolvedWith Unpivot Window WithCTE WithWindowDefinition""".split())
 LEAVES = frozenset("CTERelationRef LocalRelation OneRowRelation Range".split())
-SUBQUERIES = frozenset("Exists InSubquery LateralSubquery ListQuery ScalarSubquery FunctionTableSubqueryArgumentExpression".split())
+SUBQUERIES = frozenset("Exists LateralSubquery ListQuery ScalarSubquery FunctionTableSubqueryArgumentExpression".split())
 REFLECTIVE = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length".split())
 
 
@@ -70,6 +70,8 @@ class Console:
             kind = node.getClass().getSimpleName().rstrip("$")
             if kind not in QUERY_NODES:
                 raise ValueError(f"not allowed in a query: {kind}")
+            if kind == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
+                raise ValueError("not a table of this tenant")
             for expression in _expressions(node):
                 kind = expression.getClass().getSimpleName().rstrip("$")
                 if "Identifier" in kind:

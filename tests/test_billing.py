@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import money
 from loam.operators import account_history, billing, metering
+from loam.plans import ordered
 from loam.streaming import billing_fold
 
 EVENT = "tenant_id string, happened_at timestamp, id long, kind string, messages long, sensors int, cost double"
@@ -119,19 +120,31 @@ def test_two_decimals_is_exact(spark, values):
     assert got == [f"{v:.2f}" for v in values]
 
 
-def test_mentions_count_by_containment(spark, rows):
-    data = [("QRY-1", 1.0, 2, "Query on S-123 and s-9"), ("QRY-2", 2.0, 3, "select 's-12'"), ("TXN-3", 9.0, 9, "s-12"),
-            ("QRY-4", 4.0, 1, "farm F-7 only"), ("QRY-5", 5.0, 1, "s-12 s-12 s-1")]
-    ledger = spark.createDataFrame(data, "reference string, amount double, data_points long, description string")
-    sensors = spark.createDataFrame([("s-1", "f-7"), ("s-12", "f-7"), ("s-123", "f-7"), ("s-5", "f-7"), ("s-6", "f-1")],
-                                    "sensor_id string, farm_id string")
-    got = rows(metering.query_spend_by_sensor(ledger, sensors), "sensor_id", "query_count", "total_qu", "total_cost")
-    charges = [d for d in data if d[0].startswith("QRY-")]
-    want = []
-    for sensor, farm in [("s-1", "f-7"), ("s-12", "f-7"), ("s-123", "f-7"), ("s-5", "f-7"), ("s-6", "f-1")]:
-        hit = [c for c in charges if sensor in c[3].lower()] or [c for c in charges if farm in c[3].lower()]
-        want.append((sensor, len(hit), float(sum(c[2] for c in hit)), float(sum(c[1] for c in hit))))
-    assert got == sorted(want, key=repr)
+UUID = "0d9f6a3e-52f1-4c1b-9a57-3f0a2b7c8d9e"
+
+
+def test_mentions_count_by_whole_id_and_tenant(spark, rows):
+    data = [("QRY-1", 1.0, 2, "Query on S-123 and s-9", 1), ("QRY-2", 2.0, 3, "select 's-12'", 1), ("TXN-3", 9.0, 9, "s-12", 1),
+            ("QRY-4", 4.0, 1, "farm F-7 only", 1), ("QRY-5", 5.0, 1, "s-12 s-12 s-1", 1), ("QRY-6", 7.5, 75, "on s-1", 2),
+            ("QRY-7", 3.0, 4, f"WHERE id='{UUID.upper()}'", 2), ("QRY-8", 6.0, 1, "s-1", 99)]
+    ledger = spark.createDataFrame(data, "reference string, amount double, data_points long, description string, billing_id long")
+    billings = spark.createDataFrame([(1, "a"), (2, "b")], "billing_id long, tenant_id string")
+    own = [("a", "s-1", "f-7"), ("a", "s-12", "f-7"), ("a", "s-123", "f-7"), ("a", "s-5", "f-7"), ("a", "s-6", "f-1"),
+           ("b", "s-1", "f-7"), ("b", UUID, "f-7"), ("b", "s-5", "f-7")]
+    sensors = spark.createDataFrame(own, "tenant_id string, sensor_id string, farm_id string")
+    got = rows(metering.query_spend_by_sensor(ledger, sensors, billings), "tenant_id", "sensor_id", "query_count", "total_qu", "total_cost")
+    assert got == sorted([
+        ("a", "s-1", 1, 1.0, 5.0), ("a", "s-12", 2, 4.0, 7.0), ("a", "s-123", 1, 2.0, 1.0), ("a", "s-5", 1, 1.0, 4.0), ("a", "s-6", 0, 0.0, 0.0),
+        ("b", "s-1", 1, 75.0, 7.5), ("b", UUID, 1, 4.0, 3.0), ("b", "s-5", 0, 0.0, 0.0)], key=repr)
+
+
+def test_metered_runs_pass_the_gate_once(spark, rows):
+    stats = spark.createDataFrame([(1, "a", 5, 0, 0, 0, 0, T0, "SELECT 1"), (2, "b", 5, 0, 0, 0, 0, T0, "SELECT 2")],
+                                  "query_id long, tenant_id string, user_id long, processed_bytes long, cpu_ms long, peak_mem_bytes long, wall_ms long, "
+                                  "run_at timestamp, sql string")
+    billings = spark.createDataFrame([("a", "active"), ("a", "active"), ("b", "suspended")], "tenant_id string, status string")
+    assert rows(metering.gate_queries(stats, billings), "query_id", "allowed") == [(1, True), (2, False)]
+    assert rows(metering.metered_runs(stats, billings), "query_id", "type", "amount", "data_points", "usage_period") == [(1, "usage", 0.01, 1, "2026-01")]
 
 
 def one_by_one(state, events):
@@ -221,12 +234,13 @@ def random_accounts(seed, tenants=12, n=60):
     return data
 
 
-@pytest.mark.parametrize("seed,row_limit", [(1, 10 ** 9), (2, 10 ** 9), (3, 15), (4, 15)])
-def test_history_equals_the_rules_one_by_one(spark, seed, row_limit):
+@pytest.mark.parametrize("seed,seconds", [(1, 10 ** 11), (2, 10 ** 11), (3, 86400), (4, 3600)])
+def test_history_equals_the_rules_one_by_one(spark, seed, seconds, monkeypatch):
+    monkeypatch.setattr(ordered, "SECONDS", seconds)
     data = random_accounts(seed)
     events = spark.createDataFrame(
         data, "tenant_id string, happened_at timestamp, id long, kind string, quantity long, amount double")
-    got = {r.tenant_id: r for r in account_history.account_states(events, row_limit=row_limit).collect()}
+    got = {r.tenant_id: r for r in account_history.account_states(events).collect()}
     assert set(got) == {e[0] for e in data}
     for tenant, row in got.items():
         own = sorted((e for e in data if e[0] == tenant), key=lambda e: (e[1], e[2]))

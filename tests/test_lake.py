@@ -40,6 +40,16 @@ def test_expiry_drops_whole_old_days(spark):
     assert target.expire("2026-01-20 00:00:00") == 0
 
 
+def test_rows_without_a_time_and_dead_letters_expire_by_arrival(spark):
+    target = fresh_lake(spark)
+    data = [message("s-1", 0, timestamp="yesterday"), ("iot.x", bytearray(b"{}"), 0, 1, message("s-1", 0)[4])]
+    ingest.write_batch(target)(spark.createDataFrame(data, schemas.MESSAGE), 0)
+    assert spark.table(target.readings).filter("event_time IS NULL").count() == spark.table(target.dead_letters).count() == 1
+    assert target.expire("2026-01-05 00:00:00") == 0
+    assert target.expire("2026-01-20 00:00:00") == 2
+    assert spark.table(target.readings).count() == spark.table(target.dead_letters).count() == 0
+
+
 def test_time_and_type_prune_folders(spark, plan):
     target = fresh_lake(spark)
     ingest.write_batch(target)(spark.createDataFrame([day_message(i, i + 1) for i in range(5)], schemas.MESSAGE), 0)

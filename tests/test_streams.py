@@ -62,6 +62,33 @@ def test_replayed_file_does_not_change_the_lake(spark):
     assert spark.table(target.readings).count() == 3
 
 
+def test_no_message_is_lost_however_late(spark):
+    """Three files, one a batch, the oldest last: stored and dead together are all of them."""
+    folder, target = scratch(spark, "late-ingest"), fresh_lake(spark)
+    n = 0
+    for nth, day in enumerate([20, 10, 1]):
+        rows = [(topic, value, partition, 1000 * nth + offset, when + datetime.timedelta(days=day))
+                for topic, value, partition, offset, when in [message(f"s-{i % 3}", i) for i in range(40)]]
+        rows += [("iot.x", bytearray(b"{}"), 0, 1000 * nth + 900, rows[0][4])]
+        n += len(rows)
+        write(spark, folder, f"{nth}", rows, schemas.MESSAGE)
+    stream = streams.message_stream(spark, "files", path=f"{folder}/*", files_per_trigger=1)
+    ingest.ingest(stream, target, scratch(spark, "late-ingest-state"), None).awaitTermination()
+    assert (spark.table(target.readings).count(), spark.table(target.dead_letters).count()) == (n - 3, 3)
+
+
+def test_late_row_is_dropped_from_closed_panes(spark):
+    folder = scratch(spark, "late-panes")
+    for i, minute in enumerate([0, 30, 31, 5]):
+        write(spark, folder, f"{i}", [(at(minute), "t")], READING)
+    write(spark, folder, "9", [(at(59, 23), "t")], READING)
+    schema = spark.createDataFrame([], READING).schema
+    stream = streams.file_stream(spark, f"{folder}/*", schema, files_per_trigger=1)
+    counts = windows.closed_sliding_counts(stream, ["tenant_id"], window="5 minutes", slide="5 minutes")
+    kept = {(r.window_start, r.event_count) for r in runs.append_now(counts, "late-out").collect()}
+    assert kept == {(at(0), 1), (at(30), 2)}
+
+
 def test_repeated_batch_replaces_its_rows_and_new_files_are_added(spark):
     folder, target, state = scratch(spark, "again"), fresh_lake(spark), scratch(spark, "again-state")
     write(spark, folder, "a", [message("s-1", 0), message("s-1", 1)], schemas.MESSAGE)
