@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm import mixing
+from loam.llm import mixing, oracles
 from loam.llm.embedding_dedup import near_duplicates
 from loam.llm.html_text import extract
 from loam.llm.jaccard_join import jaccard_join
@@ -67,4 +67,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": oracles.OP1, "op3_embedding_dedup": oracles.OP3, "op6_warc": oracles.OP6, "op7_mixing": mixing.ORACLE,
+            "op9_jaccard_join": oracles.OP9}
