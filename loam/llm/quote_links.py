@@ -61,13 +61,15 @@ def previous(turns: DataFrame) -> DataFrame:
 def depths(replies: DataFrame) -> DataFrame:
     """(conv, turn, depth): replies between a turn and the one that answers none.
 
-    Pointers are doubled, so the rounds are the logarithm of the longest chain.
+    Pointers are doubled, so the rounds are the logarithm of the longest chain; turns
+    whose chain has ended take no part in further rounds.
     """
     at = stored(replies.select("conv", "turn", F.col("reply_to").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("depth")), "depth")
     while at.where("up is not null").limit(1).count():
         far = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        at = stored(at.join(far, ["conv", "up"], "left").select(
-            "conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
+        open_ = at.where("up is not null").join(far, ["conv", "up"]).select(
+            "conv", "turn", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        at = stored(open_.union(at.where("up is null").select("conv", "turn", "up", "depth")), "depth")
     return at.select("conv", "turn", "depth")
 
 
