@@ -39,7 +39,7 @@ def ingest_rate(spark, folder: str) -> tuple[float, int]:
     tables = Tables(spark, folder)
     target, state = new_lake(tables, "bench"), scratch(spark, "bench-state")
     began = time.perf_counter()
-    ingest.ingest(tables.streamed("messages"), target, state, None).awaitTermination()
+    ingest.ingest(tables.streamed("messages"), target, state, None, drop_replays=False).awaitTermination()
     took = time.perf_counter() - began
     stored = spark.table(target.readings).count() + spark.table(target.dead_letters).count()
     return took, stored

@@ -9,7 +9,7 @@ from loam.catalogue.sources import _ACCEPTED, _CLOSED, _TYPE, ingested, new_lake
 from loam.operators import account_history, billing
 from loam.session import scratch
 from loam.sources import streams
-from loam.streaming import billing_fold, counters, ingest, runs, windows
+from loam.streaming import billing_log, counters, ingest, runs, windows
 
 
 @query("str1_watermark", f"SELECT * FROM ({windowed('tenant_id')}) w {_CLOSED}")
@@ -146,9 +146,9 @@ SELECT tenant_id, status, round(balance, 6) AS balance, round(due, 6) AS amount_
 
 @query("str11_billing_fold", _FOLD)
 def folded_billing(t):
-    states = billing_fold.billing_states(t.streamed("account_events"))
-    latest = runs.update_now(states, ["tenant_id"], "str11")
-    return latest.withColumn("balance", F.round("balance", 6)) \
+    path = scratch(t.spark, "str11")
+    billing_log.record_events(t.streamed("account_events"), f"{path}/events", f"{path}/state", None).awaitTermination()
+    return billing_log.billing_states(t.spark, f"{path}/events").withColumn("balance", F.round("balance", 6)) \
         .withColumn("amount_due", F.round("amount_due", 6))
 
 

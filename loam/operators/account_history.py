@@ -3,15 +3,15 @@
 Only top-ups and cycle ends have to be taken in order; they are few. The events
 between two of them form a stretch. One distributed pass computes what each
 stretch would cost if the billing stayed active and reduces it to one row. The
-stretches of a tenant are then settled in order. That needs single events only
-for the amount at which a suspended stretch was frozen, and only where a top-up
-lets that amount live on; such amounts are looked up for all tenants at once and
-the settling is repeated, once per look-up a tenant needs in a row.
+stretches of a tenant are then settled in order, in one pass. That needs single
+events only for the amount at which a suspended stretch was frozen, and only
+where a top-up or the end of the history follows: the first amount above any
+balance is one of the running maxima of the amount due, so those are kept there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,11 +20,8 @@ from pyspark.sql import functions as F
 from loam.functions import money
 from loam.plans.ordered import Ordered, last_known, running_min, running_sum
 from loam.schemas import PRICES, Prices
-from loam.session import checkpoint_root, scratch
 
-SETTLED = ("tenant_id string, status string, balance double, amount_due double, message_count long, "
-           "sensor_count long, last_id long, wanted_stretch long, wanted_base double, wanted_above double")
-FROZEN = "tenant_id string, stretch long, frozen double"
+SETTLED = "tenant_id string, status string, balance double, amount_due double, message_count long, sensor_count long, last_id long"
 
 
 def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
@@ -62,49 +59,60 @@ def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
         F.when(~control & ~known, money.from_micros(begun)).alias("charged"))
 
 
-def stretches(series: DataFrame) -> DataFrame:
-    """One row per stretch; what begins it, its highest and last amounts, its end counters."""
+def stretches(series: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per stretch: what begins it, its highest and last amounts, its end counters.
+
+    Where the amount at which it may have been frozen can matter later, `records` holds
+    the running maxima of the amount due, and `charges` the amounts before the first
+    counter event.
+    """
+    key = ["tenant_id", "stretch"]
+    controls = Ordered.of(events.filter(F.col("kind").isin("topup", "cycle")), ["tenant_id"], ["happened_at", "id"])
+    ends = controls.scan(_nth=running_sum(F.lit(1))).result().select(
+        "tenant_id", (F.col("_nth") - 1).alias("stretch"), F.col("kind").alias("ended_by"))
+    high = Ordered.of(series.join(ends, key, "left"), key, ["happened_at", "id"]).scan(_low=running_min(-F.col("due"))).result()
+    matters = F.coalesce("ended_by", F.lit("topup")) == "topup"
     rank = F.struct("happened_at", "id")
     end = F.max_by(F.struct("message_count", "sensor_count", "id"), rank)
     last = F.max_by("due", F.when(F.col("due").isNotNull(), rank))
-    return series.groupBy("tenant_id", "stretch").agg(
+    return high.groupBy(*key).agg(
         F.max("control").alias("control"), F.max("paid").alias("paid"),
         F.max("charged").alias("charged"), F.max("due").alias("highest"), last.alias("last_due"),
+        F.sort_array(F.collect_set(F.when(matters, -F.col("_low")))).alias("records"),
+        F.sort_array(F.collect_set(F.when(matters, F.col("charged")))).alias("charges"),
         end.alias("_end")).select("*", "_end.*").drop("_end")
 
 
+def _first_above(values, limit: float, base: float = 0.0) -> float | None:
+    at = bisect_right([base + v for v in values], limit)
+    return base + values[at] if at < len(values) else None
+
+
 def settle(rows: pd.DataFrame) -> tuple:
-    """State after a tenant's stretches, or the frozen amount that is wanted first."""
+    """State after a tenant's stretches, taken in order."""
     status, balance, due = "active", 0.0, 0.0
-    # Where an amount was frozen that is not known yet: the stretch, the amount due
-    # when it began, and the balance the frozen amount is the first to exceed.
-    unknown = None
     for row in rows.sort_values("stretch").itertuples():
         if row.control == "topup":
             balance, status = balance + row.paid, "active"
         elif row.control == "cycle":
-            if unknown and status == "active":
-                break
-            # An amount frozen under this balance exceeds it, whatever it is.
-            balance -= balance if unknown else min(due, balance)
-            due, unknown = 0.0, None
+            # An amount frozen under this balance exceeds it, known or not.
+            balance -= min(due, balance)
+            due = 0.0
             status = "suspended" if balance <= 0 else "active"
         if status != "active":
             continue
         began, over = due, False
         if pd.notna(row.charged):
-            if unknown:
-                break
             due = began + row.charged
             over = due > balance
         if not over and pd.notna(row.highest):
-            over, due, unknown = row.highest > balance, row.last_due, None
+            over, due = row.highest > balance, row.last_due
         if over:
-            status = "suspended"
-            due, unknown = (row.frozen, None) if pd.notna(row.frozen) else (due, (row.stretch, began, balance))
+            frozen = _first_above(row.charges, balance, began)
+            frozen = _first_above(row.records, balance) if frozen is None else frozen
+            status, due = "suspended", float("inf") if frozen is None else frozen
     final = rows.loc[rows["stretch"].idxmax()]
-    return (status, balance, due, final["message_count"], final["sensor_count"], final["id"],
-            *(unknown or (None, None, None)))
+    return status, balance, due, final["message_count"], final["sensor_count"], final["id"]
 
 
 def _settle_tenant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -113,26 +121,6 @@ def _settle_tenant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def account_states(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
-    spark = events.sparkSession
-    checkpoint_root(spark)
-    path = scratch(spark, "account-series")
-    event_series(events, prices).write.parquet(path)
-    series = spark.read.parquet(path)
-    reduced = stretches(series).checkpoint()
-    frozen = spark.createDataFrame([], FROZEN)
-    while True:
-        known = reduced.join(frozen, ["tenant_id", "stretch"], "left")
-        states = known.groupBy("tenant_id").applyInPandas(_settle_tenant, SETTLED).checkpoint()
-        wanted = states.filter(F.col("wanted_stretch").isNotNull())
-        if wanted.isEmpty():
-            return states.drop("wanted_stretch", "wanted_base", "wanted_above")
-        frozen = frozen.unionByName(_frozen_amounts(series, wanted)).checkpoint()
-
-
-def _frozen_amounts(series: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first amount above the balance of its time in each wanted stretch."""
-    asked = wanted.select("tenant_id", F.col("wanted_stretch").alias("stretch"), "wanted_base", "wanted_above")
-    amount = F.coalesce("due", F.col("wanted_base") + F.col("charged"))
-    over = series.join(asked, ["tenant_id", "stretch"]).withColumn("_amount", amount)
-    return (over.filter(F.col("_amount") > F.col("wanted_above")).groupBy("tenant_id", "stretch")
-            .agg(F.min_by("_amount", F.struct("happened_at", "id")).alias("frozen")))
+    """State of every tenant; a tenant's stretches, not its events, meet in one task."""
+    reduced = stretches(event_series(events, prices), events)
+    return reduced.groupBy("tenant_id").applyInPandas(_settle_tenant, SETTLED)

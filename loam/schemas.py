@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 TOPIC_NAMESPACE = "iot"
 
+# Fields every message carries.
 ENVELOPE = T.StructType([
     T.StructField(name, T.StringType())
     for name in ("device_id", "timestamp", "sensor_id", "tenant_id", "farm_id", "sensor_type")
@@ -23,6 +24,7 @@ MESSAGE = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
 ])
 
+# Columns of the lake tables.
 LAKE_COLUMNS = [
     ("tenant_id", "string"), ("farm_id", "string"), ("sensor_id", "string"),
     ("device_id", "string"), ("event_time", "timestamp"), ("location", "string"),
@@ -30,6 +32,7 @@ LAKE_COLUMNS = [
     ("year", "int"), ("month", "int"), ("day", "int"), ("hour", "int"),
 ]
 
+# Fields of a message's hardware report.
 HARDWARE = T.StructType([
     T.StructField("firmware_version", T.StringType()),
     T.StructField("mac_address", T.StringType()),

@@ -12,19 +12,19 @@ from loam.sources.lake import Lake
 from loam.streaming import runs
 
 
-def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
+def write_batch(lake: Lake, drop_replays: bool = False) -> Callable[[DataFrame, int], None]:
     """Micro-batch sink: parse once, then one lake write and one dead-letter write.
 
     Every message is stored or becomes a dead letter, however late it comes. A record
     (topic, partition, offset) that is twice in a batch is written once. A micro-batch is
     only ever repeated by a fresh start of the stream, so the first one this sink sees,
     and any that does not follow the last one, is checked against what is stored for its
-    days. Batches without rows write nothing.
+    days; with `drop_replays` every one is. Batches without rows write nothing.
     """
     done: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        repeated = not done or batch_id <= done[-1]
+        repeated = drop_replays or not done or batch_id <= done[-1]
         rows = parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             commit = runs.commit_id(batch, batch_id)
@@ -36,5 +36,10 @@ def write_batch(lake: Lake) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def ingest(messages: DataFrame, lake: Lake, checkpoint: str, every: str | None = "5 seconds"):
-    return runs.start(messages.writeStream.foreachBatch(write_batch(lake)), checkpoint, every)
+def ingest(messages: DataFrame, lake: Lake, checkpoint: str, every: str | None = "5 seconds",
+           drop_replays: bool = True):
+    """`drop_replays` looks up the identities stored for a batch's days.
+
+    A source that never delivers a record in two batches, such as Kafka, does not need it.
+    """
+    return runs.start(messages.writeStream.foreachBatch(write_batch(lake, drop_replays)), checkpoint, every)

@@ -3,7 +3,6 @@
 import datetime
 import random
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from loam.functions import money
 from loam.operators import account_history, billing, metering
 from loam.plans import ordered
-from loam.streaming import billing_fold
 
 EVENT = "tenant_id string, happened_at timestamp, id long, kind string, messages long, sensors int, cost double"
 T0 = datetime.datetime(2026, 1, 1)
@@ -166,56 +164,58 @@ def one_by_one(state, events):
     return status, balance, due, messages, sensors, last
 
 
-def frame_of(events):
-    return pd.DataFrame(events, columns=["kind", "quantity", "amount", "id"])
-
-
 def same(folded, wanted):
     assert (folded.status, folded.message_count, folded.sensor_count, folded.last_id) == (wanted[0], *wanted[3:])
     assert folded.balance == pytest.approx(wanted[1], abs=1e-6)
     assert folded.amount_due == pytest.approx(wanted[2], abs=1e-6)
 
 
-def test_fold_on_literal_events():
-    def run(*events):
-        return billing_fold.fold(billing_fold.Billing(), frame_of([(*e, i) for i, e in enumerate(events)]))
-    row = run(("topup", 0, 0.10), ("messages", 200_000, 0.0), ("messages", 50_000, 0.0))
-    assert (row.status, row.message_count) == ("suspended", 250_000) and row.amount_due == pytest.approx(0.20)
-    row = run(("topup", 0, 0.10), ("messages", 200_000, 0.0), ("cycle", 0, 0.0))
-    assert (row.status, row.balance, row.amount_due, row.message_count) == ("suspended", 0.0, 0.0, 0)
-    row = run(("topup", 0, 20.0), ("sensors", 5, 0.0), ("query", 0, 1.0), ("cycle", 0, 0.0))
-    assert (row.status, row.balance, row.amount_due) == ("active", 14.0, 0.0)
-    assert run(("sensors", -3, 0.0), ("sensors", 2, 0.0)).sensor_count == 2
-    assert billing_fold.fold(billing_fold.Billing(), frame_of([])) == billing_fold.Billing()
+ACCOUNT = "tenant_id string, happened_at timestamp, id long, kind string, quantity long, amount double"
+NEW = ("active", 0.0, 0.0, 0, 0, -1)
+
+
+def states_of(spark, feeds):
+    """States of tenants 0, 1, ... after their lists of (kind, quantity, amount)."""
+    data = [(str(t), T0, i, *e) for t, events in enumerate(feeds) for i, e in enumerate(events)]
+    return {int(r.tenant_id): r for r in account_history.account_states(spark.createDataFrame(data, ACCOUNT)).collect()}
 
 
-# Amounts off the sensor fee's grid, so that no sum lands exactly on a balance.
-EVENTS = st.lists(st.one_of(
-    st.tuples(st.just("messages"), st.integers(0, 400_000), st.just(0.0)),
-    st.tuples(st.just("sensors"), st.integers(-3, 3), st.just(0.0)),
-    st.tuples(st.just("query"), st.just(0), st.integers(1, 3000).map(lambda n: n / 1000)),
-    st.tuples(st.just("topup"), st.just(0), st.integers(1, 8).map(lambda n: n + 0.0001234)),
-    st.tuples(st.just("cycle"), st.just(0), st.just(0.0))), max_size=60)
+def test_states_on_literal_events(spark):
+    got = states_of(spark, [
+        [("topup", 0, 0.10), ("messages", 200_000, 0.0), ("messages", 50_000, 0.0)],
+        [("topup", 0, 0.10), ("messages", 200_000, 0.0), ("cycle", 0, 0.0)],
+        [("topup", 0, 20.0), ("sensors", 5, 0.0), ("query", 0, 1.0), ("cycle", 0, 0.0)],
+        [("sensors", -3, 0.0), ("sensors", 2, 0.0)],
+        [("topup", 0, 1.0), ("query", 0, 0.7), ("query", 0, 0.7), ("query", 0, 0.7), ("topup", 0, 1.0), ("query", 0, 0.2)]])
+    assert (got[0].status, got[0].message_count) == ("suspended", 250_000) and got[0].amount_due == pytest.approx(0.20)
+    assert (got[1].status, got[1].balance, got[1].amount_due, got[1].message_count) == ("suspended", 0.0, 0.0, 0)
+    assert (got[2].status, got[2].balance, got[2].amount_due) == ("active", 14.0, 0.0)
+    assert got[3].sensor_count == 2
+    assert (got[4].status, got[4].amount_due) == ("active", pytest.approx(1.6))
 
 
-@settings(max_examples=400, deadline=None)
-@given(EVENTS, st.integers(0, 60))
-def test_fold_equals_the_rules_one_by_one(events, cut):
-    events = [(*e, i) for i, e in enumerate(events)]
-    first = billing_fold.fold(billing_fold.Billing(), frame_of(events[:cut]))
-    same(billing_fold.fold(first, frame_of(events[cut:])), one_by_one(billing_fold.Billing(), events))
+def test_states_equal_the_rules_one_by_one_over_many_feeds(spark):
+    """Amounts off the sensor fee's grid, so that no sum lands exactly on a balance."""
+    rng = random.Random(11)
+    make = [lambda: ("messages", rng.randrange(400_000), 0.0), lambda: ("sensors", rng.randrange(-3, 4), 0.0),
+            lambda: ("query", 0, rng.randrange(1, 3000) / 1000), lambda: ("topup", 0, rng.randrange(1, 9) + 0.0001234), lambda: ("cycle", 0, 0.0)]
+    feeds = [[rng.choice(make)() for _ in range(rng.randrange(1, 60))] for _ in range(400)]
+    got = states_of(spark, feeds)
+    for t, events in enumerate(feeds):
+        same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
 
 
-def test_fold_equals_the_freeze_of_one_epoch(tables):
-    """The fold in order and the set-based freeze agree for every tenant."""
+def test_states_equal_the_freeze_of_one_epoch(tables):
+    """The settled history and the set-based freeze agree for every tenant."""
     frozen = {r.tenant_id: r for r in billing.overdraft_freeze(
         tables.epoch_events, tables.balances, tables.subscriptions.withColumn("subscription_cost", F.lit(0.0))).collect()}
-    balances = {r.tenant_id: r.balance for r in tables.balances.collect()}
-    events = tables.epoch_events.select(
-        "tenant_id", "happened_at", "id", "kind", (F.col("messages") + F.col("sensors")).alias("quantity"),
-        F.col("cost").alias("amount")).toPandas().sort_values(["happened_at", "id"])
-    for tenant, group in events.groupby("tenant_id"):
-        row, want = billing_fold.fold(billing_fold.Billing(balance=balances[tenant]), group), frozen[tenant]
+    opening = tables.balances.select("tenant_id", F.lit("1900-01-01").cast("timestamp").alias("happened_at"), F.lit(-1).cast("long").alias("id"),
+                                     F.lit("topup").alias("kind"), F.lit(0).cast("long").alias("quantity"), F.col("balance").alias("amount"))
+    events = tables.epoch_events.select("tenant_id", "happened_at", "id", "kind", (F.col("messages") + F.col("sensors")).cast("long").alias("quantity"),
+                                        F.col("cost").alias("amount"))
+    got = {r.tenant_id: r for r in account_history.account_states(opening.union(events)).collect()}
+    for tenant, want in frozen.items():
+        row = got[tenant]
         assert (row.status, row.message_count, row.sensor_count) == (want.status, want.message_count, want.sensor_count)
         assert row.amount_due == pytest.approx(want.amount_due, abs=1e-9)
 
@@ -244,4 +244,4 @@ def test_history_equals_the_rules_one_by_one(spark, seed, seconds, monkeypatch):
     assert set(got) == {e[0] for e in data}
     for tenant, row in got.items():
         own = sorted((e for e in data if e[0] == tenant), key=lambda e: (e[1], e[2]))
-        same(row, one_by_one(billing_fold.Billing(), [(e[3], e[4], e[5], e[2]) for e in own]))
+        same(row, one_by_one(NEW, [(e[3], e[4], e[5], e[2]) for e in own]))
