@@ -76,3 +76,37 @@ links AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near), nodes AS (SELE
 SELECT w.id AS doc_id, coalesce(size.n, 0) AS n_shingles, c.c AS component_id FROM w LEFT JOIN size ON w.id = size.id
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON w.id = c.a
 """
+
+OP8 = r"""
+WITH RECURSIVE m AS (SELECT conv_id AS conv, turn, role, coalesce(text, '') AS raw FROM conversations),
+u AS (SELECT DISTINCT conv, turn, raw FROM m),
+l AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS body FROM (
+  SELECT *, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS marks FROM (
+    SELECT *, unnest(regexp_split_to_array(raw, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(raw, '\r?\n'), 1) AS i FROM u) a) b),
+n AS (SELECT *, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM l),
+o AS (SELECT *, lag(norm) OVER w AS last_norm, lag(level) OVER w AS last_level, lead(level) OVER w AS next_level
+  FROM n WINDOW w AS (PARTITION BY conv, turn, raw ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN norm <> '' AND last_norm <> '' AND last_level = level THEN 0 ELSE 1 END) OVER (PARTITION BY conv, turn, raw ORDER BY i) AS part FROM o),
+p AS (SELECT conv, turn, raw, part, level, string_agg(norm, ' ' ORDER BY i) AS norm FROM g WHERE norm <> '' GROUP BY ALL),
+wrote AS (SELECT conv, turn, norm FROM p WHERE level = 0 UNION SELECT conv, turn, norm FROM g WHERE level = 0 AND norm <> ''
+  UNION SELECT conv, turn, string_agg(norm, ' ' ORDER BY i) FROM g WHERE level = 0 AND norm <> '' GROUP BY conv, turn, raw),
+source AS (SELECT conv, norm, min(turn) AS source FROM wrote GROUP BY ALL),
+quoted AS (SELECT conv, turn, raw, part, level, norm FROM p WHERE level > 0
+  UNION SELECT conv, turn, raw, part, level, norm FROM g WHERE level > 0 AND norm <> ''),
+found AS (SELECT q.*, source FROM quoted q JOIN source s ON q.conv = s.conv AND q.norm = s.norm WHERE source < turn),
+linked AS (SELECT conv, turn, raw, count(DISTINCT part) AS n FROM found GROUP BY ALL),
+best AS (SELECT conv, turn, arg_max(source, (-level, chars, source)) AS answers FROM (
+  SELECT conv, turn, level, source, sum(length(norm)) AS chars FROM found GROUP BY ALL) x GROUP BY ALL),
+replies AS (SELECT t.conv, t.turn, coalesce(answers, lag(t.turn) OVER (PARTITION BY t.conv ORDER BY t.turn)) AS reply_to
+  FROM (SELECT DISTINCT conv, turn FROM u WHERE conv IS NOT NULL AND turn IS NOT NULL) t LEFT JOIN best b ON t.conv = b.conv AND t.turn = b.turn),
+deep(conv, turn, depth) AS (SELECT conv, turn, 0 FROM replies WHERE reply_to IS NULL
+  UNION ALL SELECT r.conv, r.turn, d.depth + 1 FROM deep d JOIN replies r ON r.conv = d.conv AND r.reply_to = d.turn),
+own AS (SELECT conv, turn, raw, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(next_level, 0) > 0
+    AND regexp_matches(body, '(?i)(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY ALL),
+quotes AS (SELECT conv, turn, raw, count(*) AS n FROM p WHERE level > 0 GROUP BY ALL)
+SELECT m.conv AS conv_id, m.turn, m.role, reply_to, coalesce(depth, 0) AS depth, coalesce(q.n, 0) AS n_quotes, coalesce(k.n, 0) AS n_linked, o.text
+FROM m JOIN own o ON m.conv IS NOT DISTINCT FROM o.conv AND m.turn IS NOT DISTINCT FROM o.turn AND m.raw = o.raw
+LEFT JOIN quotes q ON m.conv IS NOT DISTINCT FROM q.conv AND m.turn IS NOT DISTINCT FROM q.turn AND m.raw = q.raw
+LEFT JOIN linked k ON m.conv = k.conv AND m.turn = k.turn AND m.raw = k.raw LEFT JOIN replies r ON m.conv = r.conv AND m.turn = r.turn
+LEFT JOIN deep d ON m.conv = d.conv AND m.turn = d.turn
+"""

@@ -68,4 +68,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {"op1_quality_rules": oracles.OP1, "op3_embedding_dedup": oracles.OP3, "op6_warc": oracles.OP6, "op7_mixing": mixing.ORACLE,
-            "op9_jaccard_join": oracles.OP9}
+            "op8_quote_links": oracles.OP8, "op9_jaccard_join": oracles.OP9}

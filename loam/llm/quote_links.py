@@ -11,7 +11,7 @@ QUOTE = r"^((?:[ \t]*>)+)"
 CREDIT = r"(?i)(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
 """A line that names the author of the quote below it."""
 STRETCH = 1024
-BREAK = "\n"
+BREAK, LINE = "\n", "\t"
 
 
 def normalised(line: Column) -> Column:
@@ -28,18 +28,20 @@ def parsed(text: Column) -> Column:
 
 
 def stretches(lines: Column) -> Column:
-    """(level, norm) of every stretch of lines of one level, blank lines ending it.
+    """(level, norm, norms) of every stretch of lines of one level, blank lines ending it.
 
     Lines are joined with a mark where level or blankness changes, then cut there, so the
-    cost is linear in the text.
+    cost is linear in the text. `norms` are the single lines, `norm` all of them.
     """
     before = F.concat(F.array(F.struct(F.lit(-1).alias("level"), F.lit("").alias("body"), F.lit("").alias("norm"))), lines)
     parts = F.zip_with(lines, before, lambda a, b: F.when(
         a["level"].isNull() | (a["norm"] == ""), F.lit("")).when(
-        (a["level"] == b["level"]) & (b["norm"] != ""), F.concat(F.lit(" "), a["norm"])).otherwise(
+        (a["level"] == b["level"]) & (b["norm"] != ""), F.concat(F.lit(LINE), a["norm"])).otherwise(
         F.concat(F.lit(BREAK), a["level"].cast("string"), F.lit(":"), a["norm"])))
     cut = F.filter(F.split(F.array_join(parts, ""), BREAK), lambda s: s != "")
-    return F.transform(cut, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("level"), F.regexp_replace(s, "^[0-9]+:", "").alias("norm")))
+    said = F.transform(cut, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("level"), F.regexp_replace(s, "^[0-9]+:", "").alias("said")))
+    return F.transform(said, lambda s: F.struct(s["level"].alias("level"), F.replace(s["said"], F.lit(LINE), F.lit(" ")).alias("norm"),
+                                                F.split(s["said"], LINE).alias("norms")))
 
 
 def own_words(lines: Column) -> Column:
@@ -104,11 +106,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     source = units.select("conv", "turn", F.explode(F.array_distinct(wrote)).alias("norm")).where("norm <> ''") \
         .groupBy("conv", F.md5("norm").alias("hash")).agg(F.min("turn").alias("source"))
     quoting = units.where(F.exists("parts", lambda x: x["level"] > 0)).select(
-        "conv", "turn", F.posexplode(F.filter("parts", lambda x: x["level"] > 0)).alias("nth", "part"), "lines", F.md5("raw").alias("row"))
-    said = F.filter(F.col("lines"), lambda x: (x["level"] == F.col("part.level")) & (x["norm"] != "")
-                    & F.contains(F.concat(F.lit(" "), F.col("part.norm"), F.lit(" ")), F.concat(F.lit(" "), x["norm"], F.lit(" "))))
+        "conv", "turn", F.posexplode(F.filter("parts", lambda x: x["level"] > 0)).alias("nth", "part"), F.md5("raw").alias("row"))
     quoted = quoting.select("conv", "turn", "row", "nth", F.col("part.level").alias("level"), F.explode(F.array_distinct(
-        F.concat(F.array("part.norm"), F.transform(said, norm)))).alias("norm"))
+        F.concat(F.array("part.norm"), F.col("part.norms")))).alias("norm"))
     found = quoted.distinct().withColumn("hash", F.md5("norm")).join(source, ["conv", "hash"]).where("source < turn")
     linked = found.groupBy("conv", "turn", "row").agg(F.countDistinct("nth").alias("n_linked"))
     best = found.groupBy("conv", "turn", "level", "source").agg(F.sum(F.length("norm")).alias("chars")).groupBy("conv", "turn").agg(

@@ -5,9 +5,12 @@ import html
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loam.llm import oracles
 from loam.llm.html_text import extract, main_text
 from loam.llm.quote_links import link_quotes
 from loam.llm.warc import archived, read_warc, write_warc
@@ -137,7 +140,11 @@ def test_quotes_are_linked_to_what_they_quote(spark):
     assert got[2, 10, "a"].reply_to is None and got[2, 30, "b"].reply_to == 10 and got[2, 30, "b"].text == ""
     assert got[2, 31, "b"].depth == 2 and got[2, 31, "b"].n_quotes == 0
     assert (got[None, 1, "z"].reply_to, got[None, 1, "z"].depth) == (None, 0) and got[3, None, "z"].reply_to is None
-    assert link_quotes(chat(spark, rows)).count() == len(rows)
+    everything = link_quotes(chat(spark, rows))
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    found = duckdb.connect().execute("CREATE TABLE conversations AS SELECT * FROM conversations").execute(oracles.OP8).fetchall()
+    assert sorted(map(repr, map(tuple, everything.collect()))) == sorted(map(repr, found))
+    assert everything.count() == len(rows)
     assert link_quotes(chat(spark, [])).collect() == []
 
 
