@@ -99,7 +99,7 @@ best AS (SELECT conv, turn, arg_max(source, (-level, chars, source)) AS answers
   SELECT conv, turn, level, source, sum(length(norm)) AS chars FROM found GROUP BY ALL) x GROUP BY ALL),
 replies AS (SELECT t.conv, t.turn, coalesce(answers, lag(t.turn) OVER (PARTITION BY t.conv ORDER BY t.turn)) AS reply_to
   FROM (SELECT DISTINCT conv, turn FROM u WHERE conv IS NOT NULL AND turn IS NOT NULL) t LEFT JOIN best b ON t.conv = b.conv AND t.turn = b.turn),
-deep(conv, turn, depth) AS (SELECT conv, turn, 0 FROM replies WHERE reply_to IS NULL
+deep(conv, turn, depth) AS (SELECT conv, turn, 0::BIGINT FROM replies WHERE reply_to IS NULL
   UNION ALL SELECT r.conv, r.turn, d.depth + 1 FROM deep d JOIN replies r ON r.conv = d.conv AND r.reply_to = d.turn),
 own AS (SELECT conv, turn, raw, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (coalesce(next_level, 0) > 0
     AND regexp_matches(body, '(?i)(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY ALL),
