@@ -52,29 +52,32 @@ class Lake:
         if name not in self.spark.table(table).columns:
             self.spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({name} {kind})")
 
-    def append(self, rows: DataFrame, commit_id: str, repeated: bool = False) -> None:
+    def append(self, rows: DataFrame, commit_id: str, repeated: bool = False, drop_replays: bool = False) -> None:
         """One write for all types and tenants; `rows` should be persisted.
 
-        With `repeated` the commit may have been tried before: rows that are stored
-        already, found by topic, partition and offset, are left out.
+        With `repeated` the commit may have been tried before: rows of it that are
+        stored already, found by topic, partition and offset, are left out. With
+        `drop_replays` those that any commit has stored are.
         """
-        self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING)
+        self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING, drop_replays)
 
-    def append_dead(self, rows: DataFrame, commit_id: str, repeated: bool = False) -> None:
-        self._commit(rows, self.dead_letters, commit_id, repeated, ["arrival_date"], IDENTITY)
+    def append_dead(self, rows: DataFrame, commit_id: str, repeated: bool = False, drop_replays: bool = False) -> None:
+        self._commit(rows, self.dead_letters, commit_id, repeated, ["arrival_date"], IDENTITY, drop_replays)
 
     def _commit(self, rows: DataFrame, table: str, commit_id: str, repeated: bool,
-                layout: list[str], clustering: list[str]) -> None:
+                layout: list[str], clustering: list[str], drop_replays: bool) -> None:
         day = F.col(layout[-1])
         extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first"),
                           F.max(day).alias("last")).first()
         if not extent.n:
             return
         stored = rows.sparkSession.table(table)
-        if repeated:
+        if repeated or drop_replays:
             # Folders outside the commit's days are not listed.
-            days = day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"]))
-            known = stored.filter(days).select(*IDENTITY)
+            known = stored.filter(day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"])))
+            if not drop_replays:  # other commits' row groups are not read
+                known = known.filter(F.col("commit_id") == commit_id)
+            known = known.select(*IDENTITY)
             rows = rows.join(known, IDENTITY, "left_anti")
         # A small commit gets one file per folder. In a large one the rows of a
         # folder are dealt out evenly, so neither a busy type nor a busy tenant

@@ -18,18 +18,19 @@ def write_batch(lake: Lake, drop_replays: bool = False) -> Callable[[DataFrame,
     Every message is stored or becomes a dead letter, however late it comes. A record
     (topic, partition, offset) that is twice in a batch is written once. A micro-batch is
     only ever repeated by a fresh start of the stream, so the first one this sink sees,
-    and any that does not follow the last one, is checked against what is stored for its
-    days; with `drop_replays` every one is. Batches without rows write nothing.
+    and any that does not follow the last one, is checked against what its commit has
+    stored; with `drop_replays` every one is, against all that is stored for its days.
+    Batches without rows write nothing.
     """
     done: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        repeated = drop_replays or not done or batch_id <= done[-1]
+        repeated = not done or batch_id <= done[-1]
         rows = parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             commit = runs.commit_id(batch, batch_id)
-            lake.append(accepted(rows), commit, repeated)
-            lake.append_dead(dead_letters(rows), commit, repeated)
+            lake.append(accepted(rows), commit, repeated, drop_replays)
+            lake.append_dead(dead_letters(rows), commit, repeated, drop_replays)
         finally:
             rows.unpersist()
         done[:] = [batch_id]
