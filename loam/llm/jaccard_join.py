@@ -56,11 +56,18 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def parities(sets: list[np.ndarray]) -> pa.Array:
-    """For every set, whether the number of its hashes in each of 1,024 ranges is odd, as 16 longs."""
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) * PARITY_BITS
-    at = (np.concatenate(sets) >> np.uint64(54)).astype(np.int64) if sets else of
-    odd = np.packbits((np.bincount(of + at, minlength=len(sets) * PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, PARITY_BITS // 64), pa.int32()), pa.array(odd))
+    """For every set, whether it has an odd number of hashes in each of some classes, as longs.
+
+    There are 1,024 classes or the power of two from 2 to 4 times the size of a larger
+    set; a class is the low bits of the hash, so halving their number joins two halves.
+    """
+    sizes = np.array([max(PARITY_BITS, 1 << (2 * len(s)).bit_length()) for s in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    low = [(s & np.uint64(m - 1)).astype(np.int64) + e - m for s, m, e in zip(sets, sizes, ends)]
+    total = int(ends[-1]) if sets else 0
+    odd = np.bincount(np.concatenate(low), minlength=total) & 1 if total else np.zeros(0, dtype=np.int64)
+    odd = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]) // 64, pa.int32()), pa.array(odd))
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
@@ -179,13 +186,23 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that can reach num / den going by their sketches.
 
-    Every range of hashes in which one set has an odd and the other an even number holds
-    a difference, so the ranges that differ bound the symmetric difference from below.
+    Every class of hashes in which one set has an odd and the other an even number holds
+    a difference, so the classes that differ bound the symmetric difference from below.
+    Sketches of different length meet at the shorter one.
     """
     left, right = (rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o")) for x in "ab")
-    apart = F.aggregate(F.zip_with("ao", "bo", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def halved(own: str, other: str) -> Column:
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), xor)).otherwise(F.col(own))
+
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(apart <= F.col("an") + F.col("bn") - 2 * least_overlap(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
+    both = both.withColumn("x", halved("ao", "bo")).withColumn("y", halved("bo", "ao"))
+    # linked sets are of like size: one halving brings them together unless num / den is under a half
+    counted = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    differ = F.when(F.size("x") == F.size("y"), counted).otherwise(0)
+    return both.where(differ <= F.col("an") + F.col("bn") - 2 * least_overlap(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
 
 
 def id_places(ids: np.ndarray) -> np.ndarray:
@@ -229,6 +246,18 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, s array<long>")
 
 
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components, with these as (ca, cb)."""
+    of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")), "merged")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): groups linked by a Jaccard similarity of num / den or more.
 
@@ -236,13 +265,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their prefix in an order that puts frequent shingles last; how frequent a shingle is
     comes from counters over all documents. Lists of one set are dropped.
 
-    Set relations save most comparisons. First every set of a list is compared with one
-    hub only, the set with the largest part of its prefix in lists. Sets linked to a hub
+    Set relations save most comparisons. First every set is compared with one hub only:
+    the set with the largest part of its prefix in lists is the hub of a list, and a set
+    takes the hub of most of its lists. Sets linked to a hub
     share its answers: a pair within a component adds nothing and is never made. Only
     pairs across components are left, and of them only those that sizes and positions
     allow; a list whose sets all lie in one component is skipped whole. Within a list
-    only sets outside its largest component look for partners. Candidate pairs pass a
-    sketch of 1,024 bits, which rules out no link, before whole sets are compared.
+    only sets outside its largest component look for partners. Of all candidates between
+    two components one is compared first, the others only if it fails. Candidate pairs
+    pass a sketch, which rules out no link, before whole sets are compared.
 
     Ids are integers. Null or empty texts, and texts without words, have no shingles and
     are linked with nothing, like null ids; each is its own component. Rows that repeat
@@ -268,7 +299,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max_by(F.struct("id", "n", "pos"), F.struct("shown", (-F.col("id")).alias("low"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
     star = lists.alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
         .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", num, den))
-    star = stored(plausible(star.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct(), sketches, num, den), "star")
+    star = star.groupBy(F.col("x.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("times"))
+    star = star.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b"))
+    star = stored(plausible(star, sketches, num, den), "star")
     sets = lambda pairs: stored(shingle_sets(source, pairs, k), "sets")
     links = stored(verified(star, sets(star), num, den).select("a", "b").union(same_id), "links")
 
@@ -283,7 +316,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(plausible(rest.join(tried, ["a", "b"], "left_anti"), sketches, num, den), "rest")
-    more = verified(rest, sets(rest), num, den).select("a", "b")
-    merged = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "merged")
+    one = apart(rest, groups).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("a", "b")).alias("p"))
+    one = stored(one.select("p.a", "p.b"), "one")
+    merged = joined(groups, verified(one, sets(one), num, den))
+    last = stored(apart(rest.join(one, ["a", "b"], "left_anti"), merged).select("a", "b"), "last")
+    merged = joined(merged, verified(last, sets(last), num, den))
     return members.join(merged, F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
