@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ COUNTERS = 1 << 21
 CHUNK = 1 << 16
 PARITY_BITS = 1024
 FILTER_BITS = 1 << 23
+BLOCK = 256
 KNOWN = 300_000
 _known: dict[bytes, int] = {}
 
@@ -165,22 +167,71 @@ def least_overlap(n: Column, m: Column, num: int, den: int) -> Column:
 
 
 def possible(a: str, b: str, num: int, den: int) -> Column:
-    """Whether two entries of one index list can belong to a linked pair.
+    """Whether two entries of one index list can be the first shingle that a linked pair shares.
 
-    Position skipping: what lies before both entries and what is left after them bounds
-    the overlap, so blocks of sizes and positions that cannot reach it are passed over.
+    Position skipping: no more can be shared than what is left from the first shared
+    shingle on, so blocks of sizes and positions that cannot reach the overlap are passed over.
     """
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    most = F.least(i, j) + F.least(n - i, m - j)
+    most = F.least(n - i, m - j)
     return (n * num <= m.cast("long") * den) & (m * num <= n.cast("long") * den) & (most >= least_overlap(n, m, num, den))
 
 
+def reaches(shared: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    return den * shared.cast("long") >= num * (n.cast("long") + m - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach num / den, with both sizes and the overlap."""
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("as").alias("n"), F.size("bs").alias("m"),
                                                         F.size(F.array_intersect("as", "bs")).alias("shared"))
-    return both.where(den * F.col("shared").cast("long") >= num * (F.col("n").cast("long") + F.col("m") - F.col("shared")))
+    return both.where(reaches(F.col("shared"), F.col("n"), F.col("m"), num, den))
+
+
+def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, hub, n, m, diff) of the pairs (a, b) that reach num / den: the sizes, and what only one of both sets holds."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select(
+        F.col("a").alias("id"), F.col("b").alias("hub"), F.size("as").alias("n"), F.size("bs").alias("m"),
+        F.concat(F.array_except("as", "bs"), F.array_except("bs", "as")).alias("diff"))
+    shared = ((F.col("n") + F.col("m") - F.size("diff")) / 2).cast("long")
+    return both.where(reaches(shared, F.col("n"), F.col("m"), num, den))
+
+
+def around_hubs(refs: DataFrame, num: int, den: int) -> DataFrame:
+    """All links (a, b, n, m, shared) between sets of one hub, the hub included.
+
+    Answers are derived from the hub's: two sets differ in what one of them alone does not
+    share with the hub. The sets of a hub are cut into blocks and the pairs of blocks dealt
+    out, so a large group is not one task.
+    """
+    rows = refs.select("id", "hub", "n", "diff").union(
+        refs.groupBy("hub").agg(F.max("m").alias("n")).select(F.col("hub").alias("id"), "hub", "n", F.array().cast("array<long>").alias("diff")))
+    parts = rows.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(parts, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+
+    def side(x: str, lo: Column, hi: Column, others: Column) -> DataFrame:
+        return rows.withColumn("other", F.explode(others)).select("hub", lo.alias("lo"), hi.alias("hi"), *[F.col(c).alias(f"{x}{c}") for c in ("id", "n", "diff")])
+
+    block, other = F.col("block"), F.col("other")
+    left = side("x", block, other, F.sequence("block", F.col("blocks") - 1))
+    right = side("y", other, block, F.sequence(F.lit(0).cast("long"), "block"))
+    n, m = F.col("xn"), F.col("yn")
+    most = n + m - 2 * least_overlap(n, m, num, den)
+    both = left.join(right, ["hub", "lo", "hi"]).where(
+        ((F.col("lo") < F.col("hi")) | (F.col("xid") < F.col("yid"))) & (F.abs(F.size("xdiff") - F.size("ydiff")) <= most))
+    apart = F.size("xdiff") + F.size("ydiff") - 2 * F.size(F.array_intersect("xdiff", "ydiff"))
+    both = both.select(F.col("xid").alias("a"), F.col("yid").alias("b"), n.alias("n"), m.alias("m"), ((n + m - apart) / 2).cast("int").alias("shared"))
+    both = both.where(reaches(F.col("shared"), F.col("n"), F.col("m"), num, den))
+    return ordered(both)
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    """Links with the smaller id first."""
+    turn = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return links.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n", "m").alias("n"), pick("m", "n").alias("m"), "shared")
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,39 +297,30 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, s array<long>")
 
 
-def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (a, b) that lie in different components, with these as (ca, cb)."""
-    of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+class Joined(NamedTuple):
+    members: DataFrame
+    """(id, n, rep) of every row; equal sets have one rep, those without shingles or id none."""
+    links: DataFrame
+    """(a, b, n, m, shared): every linked pair of reps, a < b, with both sizes and the overlap."""
+    same_id: DataFrame
+    """(a, b) of reps that hold texts of one id."""
 
 
-def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links."""
-    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")), "merged")
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id): groups linked by a Jaccard similarity of num / den or more.
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> Joined:
+    """All pairs of different sets with a Jaccard similarity of num / den or more.
 
     Exact. Equal sets become one by fingerprint (128 bits). All sets enter index lists by
     their prefix in an order that puts frequent shingles last; how frequent a shingle is
     comes from counters over all documents. Lists of one set are dropped.
 
-    Set relations save most comparisons. First every set is compared with one hub only:
-    the set with the largest part of its prefix in lists is the hub of a list, and a set
-    takes the hub of most of its lists. Sets linked to a hub
-    share its answers: a pair within a component adds nothing and is never made. Only
-    pairs across components are left, and of them only those that sizes and positions
-    allow; a list whose sets all lie in one component is skipped whole. Within a list
-    only sets outside its largest component look for partners. Of all candidates between
-    two components one is compared first, the others only if it fails. Candidate pairs
-    pass a sketch, which rules out no link, before whole sets are compared.
-
-    Ids are integers. Null or empty texts, and texts without words, have no shingles and
-    are linked with nothing, like null ids; each is its own component. Rows that repeat
-    an id get a row each and share a component, whatever their texts. Empty input gives
-    no rows; other columns are ignored. Texts are read whole. Hashes have 64 bits.
+    Set relations save most comparisons. Every set is compared with one hub first: the set
+    with the largest part of its prefix in lists is the hub of a list, and a set takes the
+    hub of most of its lists. Sets near a hub get their links among each other from their
+    differences to it, without lists and without whole sets. Only pairs of different hubs
+    are looked up in lists, and of them only those that sizes and positions allow; a list
+    whose sets all have one hub is skipped whole, and within a list only sets outside its
+    largest hub look for partners. These candidates pass a sketch, which rules out no link,
+    before whole sets are compared.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     scan = stored(sketched(source, k), "sketch")
@@ -286,40 +328,61 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), COUNTERS))
     sketches = rows.where("n > 0 and id is not null").select("id", "n", "odd")
     first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep"), "members")
+    members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep", "f1", "f2"), "members")
     named = members.where("rep is not null").select("id", "rep").distinct()
     twice = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same_id = named.join(twice.select("id", "a"), "id").where("a < rep").select("a", F.col("rep").alias("b"))
+    # the set of such an id is not one, so nothing is derived from it
+    several = stored(members.where("rep is not null").select("id", "n", "f1", "f2").distinct().groupBy("id").count().where("count > 1").select("id"), "several")
 
     listed = postings(source, classes, k, num, den)
     lists = listed.withColumn("size", F.count("*").over(Window.partitionBy("s"))).where("size > 1")
-    lists = stored(lists.join(named, "id").groupBy("s", F.col("rep").alias("id")).agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
-    shown = lists.groupBy("id").agg((F.count("*") / F.max("n")).alias("shown"))
+    lists = stored(lists.join(named, "id").groupBy("s", F.col("rep").alias("id"), "n").agg(F.min("pos").alias("pos")), "lists")
+    shown = lists.join(several, "id", "left_anti").groupBy("id").agg((F.count("*") / F.max("n")).alias("shown"))
     hubs = lists.join(shown, "id").groupBy("s").agg(
         F.max_by(F.struct("id", "n", "pos"), F.struct("shown", (-F.col("id")).alias("low"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    star = lists.alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
-        .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", num, den))
+    near = max(2 * num - den, num // 2)
+    star = lists.join(several, "id", "left_anti").alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
+        .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", near, den))
     star = star.groupBy(F.col("x.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("times"))
     star = star.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b"))
-    star = stored(plausible(star, sketches, num, den), "star")
+    star = stored(plausible(star, sketches, near, den), "star")
     sets = lambda pairs: stored(shingle_sets(source, pairs, k), "sets")
-    links = stored(verified(star, sets(star), num, den).select("a", "b").union(same_id), "links")
+    refs = stored(differences(star, sets(star), near, den), "refs")
+    refs = refs.join(refs.select(F.col("hub").alias("id")).distinct(), "id", "left_anti")  # a hub has none itself
 
-    groups = components(links, "groups")
-    known = stored(lists.join(groups, F.col("id") == F.col("node"), "left").select(
-        "s", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "known")
+    hub_of = refs.select(F.col("id").alias("node"), "hub")
+    known = stored(lists.join(hub_of, F.col("id") == F.col("node"), "left").select(
+        "s", "id", "n", "pos", F.coalesce("hub", "id").alias("c")), "known")
     parts = known.groupBy("s", "c").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("s").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = known.join(mixed, "s").select("s", "id", "n", "pos", "c", "main")
     rest = open_.where("c <> main").alias("x").join(open_.alias("y"), F.col("x.s") == F.col("y.s")) \
-        .where((F.col("x.c") != F.col("y.c")) & possible("x", "y", num, den))
+        .where((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & possible("x", "y", num, den))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(plausible(rest.join(tried, ["a", "b"], "left_anti"), sketches, num, den), "rest")
-    one = apart(rest, groups).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("a", "b")).alias("p"))
-    one = stored(one.select("p.a", "p.b"), "one")
-    merged = joined(groups, verified(one, sets(one), num, den))
-    last = stored(apart(rest.join(one, ["a", "b"], "left_anti"), merged).select("a", "b"), "last")
-    merged = joined(merged, verified(last, sets(last), num, den))
-    return members.join(merged, F.col("rep") == F.col("node"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    rest = stored(plausible(rest, sketches, num, den), "rest")
+    links = around_hubs(refs, num, den).union(ordered(verified(rest, sets(rest), num, den))).dropDuplicates(["a", "b"])
+    return Joined(members.select("id", "n", "rep"), stored(links, "links"), same_id)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id, n_links): groups linked by a Jaccard similarity of num / den or more.
+
+    All links are found (`jaccard_links`) and the groups are made from them. n_links counts
+    the other ids that hold an equal or a linked set.
+
+    Ids are integers. Null or empty texts, and texts without words, have no shingles and
+    are linked with nothing, like null ids; each is its own component. Rows that repeat
+    an id get a row each and share a component, whatever their texts. Empty input gives
+    no rows; other columns are ignored. Texts are read whole. Hashes have 64 bits.
+    """
+    members, links, same_id = jaccard_links(docs, id_col, text_col, k, num, den)
+    merged = components(links.select("a", "b").union(same_id), "groups")
+    held = members.where("rep is not null").groupBy("rep").agg(F.count_distinct("id").alias("ids"))
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(held, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("ids").alias("others"))
+    counts = held.join(others, F.col("rep") == F.col("a"), "left").select(
+        F.col("rep").alias("of"), (F.col("ids") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = members.join(merged, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("of"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"),
+                      F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -55,7 +55,7 @@ def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join(table(spark, folder, "documents"), k=3, num=90, den=100)
+    return jaccard_join(table(spark, folder, "documents"), k=3, num=90, den=100).drop("n_links")  # the comparison SQL has none
 
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
 
 from loam.llm import embedding_dedup
 from loam.llm.embedding_dedup import near_duplicates
-from loam.llm.jaccard_join import jaccard_join
+from loam.llm.jaccard_join import jaccard_join, jaccard_links
 from loam.llm.shared import components
 
 
@@ -79,6 +80,31 @@ def test_a_group_around_one_text(make_docs):
     assert {r.doc_id: r.component_id for r in jaccard_join(make_docs(rows), k=3, num=90).collect()} == want
 
 
+@pytest.mark.parametrize("k,num,seed", [(3, 90, 1), (5, 80, 2), (1, 50, 3)])
+def test_no_link_is_lost(make_docs, monkeypatch, k, num, seed):
+    """Every linked pair is given, also within a group; a large group in more than one block."""
+    monkeypatch.setattr(sys.modules["loam.llm.jaccard_join"], "BLOCK", 8)
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    texts = corpus(rng) + [" ".join(f"x{i}" if j == at else w for j, w in enumerate(base)) for i, at in enumerate(rng.choices(range(100), k=40))]
+    ids = rng.sample(range(10 ** 6), len(texts))
+    sets = {i: shingle_set(t, k) for i, t in zip(ids, texts)}
+    rep, linked, links = {}, set(), dict.fromkeys(ids, 0)
+    for i in sorted(ids):
+        if sets[i]:
+            rep.setdefault(frozenset(sets[i]), i)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                if rep[frozenset(sets[a])] == a and rep[frozenset(sets[b])] == b:
+                    linked.add((a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])))
+    docs = make_docs([(i, t, "en", "a") for i, t in zip(ids, texts)])
+    got = [tuple(r) for r in jaccard_links(docs, k=k, num=num).links.collect()]
+    assert len(linked) > 10 and len(got) == len(linked) and set(got) == linked
+    assert {r.doc_id: r.n_links for r in jaccard_join(docs, k=k, num=num).collect()} == links
+
+
 def test_repeated_and_null_ids(make_docs):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(7, long, None, None), (7, long, None, None), (8, long, None, None), (7, "quite another text than that one", None, None),
