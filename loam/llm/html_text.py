@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML by their role.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|audio|video|xmp"
+RAW = "script|style|noscript|template|textarea|title|iframe|select|object|canvas|audio|video|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td "
@@ -28,27 +28,38 @@ MAIN = ("article", "main")
 
 _ATTRIBUTES = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*){_ATTRIBUTES}>"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<svg(?=[\s/>]){_ATTRIBUTES.replace('((', '(?:(', 1)}(?<!/)>.*?</svg\s*>|<(/?)([a-zA-Z][^\s/>]*){_ATTRIBUTES}>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_EDGE, _STOP = r"(?:^|[\s_-])", r"(?=$|[\s_-])"
-_OUT = re.compile(
-    rf"{_EDGE}(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|masthead|comments?|"
-    r"commentlist|disqus\w*|replies|respond|cookies?|consent|gdpr|notices?|alert|disclaimer|newsletter|subscribe\w*|signup|login|share|"
-    rf"sharing|social\w*|related|recommended|popup|modal|overlay|widgets?|search\w*|pagination|pager|copyright|skip-?link|toolbar){_STOP}", re.I)
-_HEADER = re.compile(rf"{_EDGE}(?:site|page|top|main)?-?header{_STOP}", re.I)
-_COMMENTS = re.compile(rf"{_EDGE}comments?{_STOP}", re.I)
+# A class or id is left out if it is one of these names, alone or with words that only say where or in what.
+_REPLIES = r"comments?|commentlist|disqus\w*|replies|respond"
+_NAME = (rf"ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsors?|sponsored|promos?|promotions?|promoted|nav|navbar|navigation|menus?|menubar|"
+         rf"breadcrumbs?|side[-_]?bars?|footer|masthead|{_REPLIES}|cookies?|consent|gdpr|notices?|alert|disclaimer|newsletter|subscribe|subscription|signup|login|"
+         r"share|sharing|social|related|recommended|popup|modal|overlay|widgets?|search|searchbox|searchbar|searchform|pagination|pager|copyright|skip[-_]?link|toolbar")
+_PLACE = (r"site|page|global|main|primary|secondary|top|bottom|left|right|upper|lower|inner|outer|sticky|fixed|mobile|desktop|box|wrap|wrapper|container|block|section|"
+          r"area|bar|list|item|items|body|form|slot|unit|panel|links?|buttons?|icons?|media|posts?|articles?|stories|\d+")
+
+
+def _named(names: str, others: str = _NAME) -> re.Pattern[str]:
+    return re.compile(rf"(?<!\S)(?:(?:{_PLACE}|{others})[-_]+)*(?:{names})(?:[-_]+(?:{_PLACE}|{others}))*(?!\S)", re.I)
+
+
+_OUT, _COMMENTS = _named(_NAME), _named(_REPLIES)
+_HEADER = re.compile(r"(?<!\S)(?:(?:site|page|top|main)[-_]?)?header(?!\S)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "link", "inner", "score", "text", "linked", "links")
+    __slots__ = ("tag", "up", "out", "named", "link", "inner", "score", "text", "linked", "links")
 
-    def __init__(self, tag: str, attributes: str = "", up: Node | None = None):
+    def __init__(self, tag: str, attributes: str = "", up: Node | None = None, spared: bool = False):
         self.tag, self.up = tag, up
         self.link = tag == "a" or up is not None and up.link
         self.inner = tag in MAIN or up is not None and up.inner
-        self.out = up is not None and (up.out or unwanted(tag, attributes, up))
+        why = unwanted(tag, attributes, up) if up is not None else ""
+        self.named = why == "name"
+        self.out = up is not None and (up.out or bool(why) and not (self.named and spared))
         self.score, self.text, self.linked, self.links = 0.0, 0, 0, 0
 
     def above(self) -> Iterator[Node]:
@@ -64,23 +75,54 @@ class Node:
         return (self.score + (25 if self.tag in MAIN else 0)) * (1 - self.density())
 
 
-def unwanted(tag: str, attributes: str, up: Node) -> bool:
-    """Whether an element is left out by its name, role, class, id or because it is hidden."""
+def unwanted(tag: str, attributes: str, up: Node) -> str:
+    """Why an element is left out: "kind" (its name, role, hidden, comments), "name" (its class or id), or not at all."""
     if tag in LEFT_OUT or tag == "header" and not up.inner:
-        return True
+        return "kind"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
     said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in said or said.get("aria-hidden", "").lower() == "true" or said.get("role", "").lower() in ROLES or _HIDDEN.search(said.get("style", "")):
-        return True
+        return "kind"
     names = said.get("class", "") + " " + said.get("id", "")
-    if tag in MAIN:
-        return bool(_COMMENTS.search(names))
-    return bool(_OUT.search(names)) or not up.inner and bool(_HEADER.search(names))
+    if _COMMENTS.search(names):
+        return "kind"
+    return "name" if tag not in MAIN and (_OUT.search(names) or not up.inner and _HEADER.search(names)) else ""
+
+
+def points_of(node: Node, text: str, linked: int) -> float:
+    if len(text) < 25 and node.tag not in LEAF:
+        return 0.0
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
 
+def spared(page: str) -> frozenset[int]:
+    """Places of the elements that stay although their class or id is an unwanted one.
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(block element, text, characters in links) of all that is not left out, in page order."""
+    They hold an article or main element with text, or most points of the page's text.
+    """
+    places: dict[Node, int] = {}
+    found = blocks(page, None, places)
+    held: dict[Node, float] = dict.fromkeys(places, 0.0)
+    total, stay = 0.0, set()
+    for node, text, linked in found:
+        points, inner = points_of(node, text, linked), False
+        total += points
+        for n in node.above():
+            if n in held:
+                held[n] += points
+                if inner:
+                    stay.add(places[n])
+            inner = inner or n.tag in MAIN
+    return frozenset(stay | {places[n] for n, points in held.items() if points > total / 2})
+
+
+def blocks(page: str, stay: frozenset[int] | None = frozenset(), places: dict[Node, int] | None = None) -> list[tuple[Node, str, int]]:
+    """(block element, text, characters in links) of all that is not left out, in page order.
+
+    Elements at the places `stay` (None: all) are not left out for their class or id; `places`
+    gets where elements with such a class or id begin.
+    """
     at = root = Node("html")
     opened: Counter[str] = Counter()
     found: list[tuple[Node, str, int]] = []
@@ -136,7 +178,11 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 close({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "body"})
             if tag in ENDS:
                 close(*ENDS[tag])
-            at = Node(tag, m[5], at)
+            if tag in ("svg", "math") and m[5].endswith("/"):
+                continue
+            at = Node(tag, m[5], at, stay is None or m.start() in stay)
+            if at.named and places is not None:
+                places[at] = m.start()
             opened[tag] += 1
             if tag == "a":
                 for n in at.above():
@@ -157,14 +203,13 @@ def main_text(page: str) -> str:
     container takes its place. Otherwise siblings with a fifth of its points are kept too,
     and paragraphs beside it that read like text. Lists that are nearly all links are left out.
     """
-    found = blocks(page)
+    found = blocks(page, spared(page))
     for node, text, linked in found:
         for n in node.above():
             n.text += len(text)
             n.linked += linked
     for node, text, linked in found:
-        if len(text) >= 25 or node.tag in LEAF:
-            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        if points := points_of(node, text, linked):
             holder = node.up if node.tag in LEAF and node.up else node
             for depth, n in enumerate(holder.above()):
                 n.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)

@@ -47,6 +47,25 @@ def test_parts_of_a_page(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "market-share", "search-results", "widget", "modal", "navy"])
+def test_a_wrapper_is_not_lost_for_its_class(name):
+    assert main_text(f"<div class='{name}'><article><p>{LONG}</p></article></div>") == LONG
+    assert main_text(f"<div class='{name}'><p>{LONG}</p><p>{LONG} Two.</p></div><div class='left-sidebar'><p>{LONG} no</p></div>") == f"{LONG}\n{LONG} Two."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "comments-section", "ad-slot-1", "share_buttons", "box related-posts"])
+def test_known_parts_are_left_out(name):
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG} Two.</p><div class='{name}'><p>{LONG} no</p></div></div>") == f"{LONG}\n{LONG} Two."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<p>one</p><svg class='i'/><p>{LONG}</p>", f"one\n{LONG}"), (f"<p>one</p><svg/><svg><text>no</text></svg><p>{LONG}</p>", f"one\n{LONG}"),
+    (f"<p>one</p><svg><p>{LONG}</p>", f"one\n{LONG}"), (f"<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, {LONG}</p><math/><p>end.</p>", f"As x=2, {LONG}\nend."),
+])
+def test_drawings_and_formulas(page, text):
+    assert main_text(page) == text
+
+
 def test_broken_and_long_pages(spark):
     rng = random.Random(1)
     tags = ["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<b", "&amp", "<!--", "-->", "<li>", "</ul>", "<table><tr><td>", "text, more ", "<"]
