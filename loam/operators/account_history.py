@@ -3,16 +3,14 @@
 Only top-ups and cycle ends have to be taken in order; they are few. The events
 between two of them form a stretch. One distributed pass computes what each
 stretch would cost if the billing stayed active and reduces it to one row. The
-stretches of a tenant are then settled in order, in one pass. That needs single
-events only for the amount at which a suspended stretch was frozen, and only
-where a top-up or the end of the history follows: the first amount above any
-balance is one of the running maxima of the amount due, so those are kept there.
+stretches of a tenant are then settled in order, from a fixed number of values each.
+Single events are needed only for the amount at which a suspended stretch was frozen,
+and only where that amount is used later: it is looked up as the first amount above the
+balance, for all tenants at once, and these tenants are settled again.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +18,10 @@ from pyspark.sql import functions as F
 from loam.functions import money
 from loam.plans.ordered import Ordered, last_known, running_min, running_sum
 from loam.schemas import PRICES, Prices
+from loam.session import scratch
 
 SETTLED = "tenant_id string, status string, balance double, amount_due double, message_count long, sensor_count long, last_id long"
+ASKED = "stretch long, above double, base double"
 
 
 def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
@@ -59,68 +59,100 @@ def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
         F.when(~control & ~known, money.from_micros(begun)).alias("charged"))
 
 
-def stretches(series: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per stretch: what begins it, its highest and last amounts, its end counters.
-
-    Where the amount at which it may have been frozen can matter later, `records` holds
-    the running maxima of the amount due, and `charges` the amounts before the first
-    counter event.
-    """
-    key = ["tenant_id", "stretch"]
-    controls = Ordered.of(events.filter(F.col("kind").isin("topup", "cycle")), ["tenant_id"], ["happened_at", "id"])
-    ends = controls.scan(_nth=running_sum(F.lit(1))).result().select(
-        "tenant_id", (F.col("_nth") - 1).alias("stretch"), F.col("kind").alias("ended_by"))
-    high = Ordered.of(series.join(ends, key, "left"), key, ["happened_at", "id"]).scan(_low=running_min(-F.col("due"))).result()
-    matters = F.coalesce("ended_by", F.lit("topup")) == "topup"
+def stretches(series: DataFrame) -> DataFrame:
+    """One row per stretch: what begins it, its highest and last amounts, its end counters."""
     rank = F.struct("happened_at", "id")
     end = F.max_by(F.struct("message_count", "sensor_count", "id"), rank)
     last = F.max_by("due", F.when(F.col("due").isNotNull(), rank))
-    return high.groupBy(*key).agg(
+    return series.groupBy("tenant_id", "stretch").agg(
         F.max("control").alias("control"), F.max("paid").alias("paid"),
         F.max("charged").alias("charged"), F.max("due").alias("highest"), last.alias("last_due"),
-        F.sort_array(F.collect_set(F.when(matters, -F.col("_low")))).alias("records"),
-        F.sort_array(F.collect_set(F.when(matters, F.col("charged")))).alias("charges"),
         end.alias("_end")).select("*", "_end.*").drop("_end")
 
 
-def _first_above(values, limit: float, base: float = 0.0) -> float | None:
-    at = bisect_right([base + v for v in values], limit)
-    return base + values[at] if at < len(values) else None
+def _of_tenant(frame: DataFrame, other: DataFrame, how: str, also: list[str]) -> DataFrame:
+    """Joins by tenant, a null one included, and `also`; keeps the columns of `frame` and those only `other` has."""
+    named = other.select(*[F.col(c).alias(f"_{c}" if c in ("tenant_id", *also) else c) for c in other.columns])
+    on = F.col("tenant_id").eqNullSafe(F.col("_tenant_id"))
+    for c in also:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    joined = frame.join(named, on, how)
+    return joined if how == "left_semi" else joined.drop("_tenant_id", *[f"_{c}" for c in also])
+
+
+def frozen_amounts(series: DataFrame, asked: DataFrame) -> DataFrame:
+    """(tenant_id, stretch, frozen) of the stretches asked for: the first amount above the balance."""
+    amount = F.coalesce("due", F.col("base") + F.col("charged"))
+    over = F.when(amount > F.col("above"), F.struct("happened_at", "id"))
+    return _of_tenant(series.select("tenant_id", "stretch", "happened_at", "id", "due", "charged"), asked, "inner", ["stretch"]) \
+        .groupBy("tenant_id", "stretch").agg(F.min_by(amount, over).alias("frozen"))
 
 
 def settle(rows: pd.DataFrame) -> tuple:
-    """State after a tenant's stretches, taken in order."""
-    status, balance, due = "active", 0.0, 0.0
+    """State after a tenant's stretches, taken in order, or the frozen amount that is needed to go on.
+
+    `open_` is (stretch, balance, amount before it) while the amount due is a frozen one
+    that is not known; it exceeds that balance.
+    """
+    status, balance, due, open_ = "active", 0.0, 0.0, None
+    need = lambda: (None,) * 6 + open_
     for row in rows.sort_values("stretch").itertuples():
         if row.control == "topup":
             balance, status = balance + row.paid, "active"
         elif row.control == "cycle":
-            # An amount frozen under this balance exceeds it, known or not.
-            balance -= min(due, balance)
-            due = 0.0
+            if open_ and balance > open_[1]:
+                return need()
+            balance -= balance if open_ else min(due, balance)
+            due, open_ = 0.0, None
             status = "suspended" if balance <= 0 else "active"
         if status != "active":
             continue
         began, over = due, False
         if pd.notna(row.charged):
+            if open_:
+                return need()
             due = began + row.charged
             over = due > balance
         if not over and pd.notna(row.highest):
-            over, due = row.highest > balance, row.last_due
+            over, due, began, open_ = row.highest > balance, row.last_due, 0.0 if open_ else began, None
         if over:
-            frozen = _first_above(row.charges, balance, began)
-            frozen = _first_above(row.records, balance) if frozen is None else frozen
-            status, due = "suspended", float("inf") if frozen is None else frozen
+            status = "suspended"
+            if pd.notna(row.asked):
+                due = float("inf") if pd.isna(row.frozen) else row.frozen
+            else:
+                due, open_ = float("inf"), (row.stretch, balance, began)
+    if open_:
+        return need()
     final = rows.loc[rows["stretch"].idxmax()]
-    return status, balance, due, final["message_count"], final["sensor_count"], final["id"]
+    return status, balance, due, final["message_count"], final["sensor_count"], final["id"], None, None, None
 
 
 def _settle_tenant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    names = [part.split()[0] for part in SETTLED.split(", ")]
+    names = [part.split()[0] for part in f"{SETTLED}, {ASKED}".split(", ")]
     return pd.DataFrame([(key[0], *settle(rows))], columns=names)
 
 
+def _stored(frame: DataFrame, purpose: str) -> DataFrame:
+    folder = scratch(frame.sparkSession, purpose)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def account_states(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
-    """State of every tenant; a tenant's stretches, not its events, meet in one task."""
-    reduced = stretches(event_series(events, prices), events)
-    return reduced.groupBy("tenant_id").applyInPandas(_settle_tenant, SETTLED)
+    """State of every tenant; a tenant's stretches, not its events, meet in one task.
+
+    There are as many rounds as one tenant has frozen amounts that later ones depend on.
+    """
+    series = _stored(event_series(events, prices), "billing-series")
+    left = _stored(stretches(series), "billing-stretches")
+    known = left.select("tenant_id", "stretch", F.lit(None).cast("double").alias("frozen"), F.lit(True).alias("asked")).limit(0)
+    states = None
+    while True:
+        settled = _stored(_of_tenant(left, known, "left", ["stretch"]).groupBy("tenant_id").applyInPandas(_settle_tenant, f"{SETTLED}, {ASKED}"), "billing-settled")
+        ended = settled.where("stretch is null").drop("stretch", "above", "base")
+        states = ended if states is None else states.union(ended)
+        asked = settled.where("stretch is not null").select("tenant_id", "stretch", "above", "base")
+        if asked.isEmpty():
+            return states
+        known = _stored(known.union(frozen_amounts(series, asked).withColumn("asked", F.lit(True))), "billing-frozen")
+        left = _stored(_of_tenant(left, asked.select("tenant_id"), "left_semi", []), "billing-stretches")

@@ -205,6 +205,19 @@ def test_states_equal_the_rules_one_by_one_over_many_feeds(spark):
         same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
 
 
+def test_stretches_have_a_fixed_size(spark):
+    """A tenant whose events all lie in one stretch takes one row of plain values; a chain of frozen amounts is settled right."""
+    growing = [("messages", 1000, 0.0)] * 3000
+    chain = [e for i in range(5) for e in (("query", 0, 1.3), ("query", 0, 1.1 + i), ("topup", 0, 1.0001))]
+    feeds = [growing, [("topup", 0, 1.00005), *growing], chain, [*chain, ("cycle", 0, 0.0)], [*chain, ("sensors", 2, 0.0), ("topup", 0, 90.0), ("query", 0, 1.0)]]
+    data = [(str(t), T0, i, *e) for t, events in enumerate(feeds) for i, e in enumerate(events)]
+    reduced = account_history.stretches(account_history.event_series(spark.createDataFrame(data, ACCOUNT)))
+    assert not any(kind.startswith(("array", "map")) for _, kind in reduced.dtypes)
+    got = states_of(spark, feeds)
+    for t, events in enumerate(feeds):
+        same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
+
+
 def test_states_equal_the_freeze_of_one_epoch(tables):
     """The settled history and the set-based freeze agree for every tenant."""
     frozen = {r.tenant_id: r for r in billing.overdraft_freeze(
