@@ -1,5 +1,7 @@
 """SQL that the operators' queries must equal, where SQL can say it."""
 
+from loam.llm.url_filters import PATTERNS
+
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 _MEASURES = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "n_words"),
@@ -110,3 +112,17 @@ LEFT JOIN quotes q ON m.conv IS NOT DISTINCT FROM q.conv AND m.turn IS NOT DISTI
 LEFT JOIN linked k ON m.conv = k.conv AND m.turn = k.turn AND m.raw = k.raw LEFT JOIN replies r ON m.conv = r.conv AND m.turn = r.turn
 LEFT JOIN deep d ON m.conv = d.conv AND m.turn = d.turn
 """
+
+OP11 = rf"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS behind FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(behind, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(behind, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(behind, '(?s)^[^?#]*(.*)$', 1) AS rest FROM p),
+rules(verdict, h, t) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+signs(pattern) AS (VALUES {', '.join(f"('{p.rule}')" for p in PATTERNS)}),
+fitting AS (SELECT page_id, arg_max(h || t, length(h || t)) AS rule, arg_max(verdict, length(h || t)) AS verdict
+  FROM u, rules WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, t) GROUP BY page_id),
+found AS (SELECT page_id, min(pattern) AS pattern FROM u, signs WHERE regexp_matches(host || path || rest, pattern) GROUP BY page_id)
+SELECT u.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN g.pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN f.rule IS NULL THEN g.pattern END AS pattern
+FROM u LEFT JOIN fitting f ON u.page_id = f.page_id LEFT JOIN found g ON u.page_id = g.page_id
+"""

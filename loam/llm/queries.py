@@ -18,6 +18,7 @@ from loam.llm.quality_model import quality_scores
 from loam.llm.quality_rules import quality_rules
 from loam.llm.quote_links import link_quotes
 from loam.llm.shared import table
+from loam.llm.url_filters import PATTERNS, Rule, judge_urls, rule_table
 from loam.llm.warc import archived
 from loam.session import scratch
 
@@ -62,10 +63,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    hosts = [Rule("org/", "allow"), Rule("example.org/es/", "block"), Rule("example.org/en/1", "block"), Rule("com/fr/", "allow"), Rule("com/de/", "block")]
+    return judge_urls(table(spark, folder, "pages"), rule_table(spark, hosts + PATTERNS))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def all_sql() -> dict[str, str]:
     return {"op1_quality_rules": oracles.OP1, "op3_embedding_dedup": oracles.OP3, "op6_warc": oracles.OP6, "op7_mixing": mixing.ORACLE,
-            "op8_quote_links": oracles.OP8, "op9_jaccard_join": oracles.OP9}
+            "op8_quote_links": oracles.OP8, "op9_jaccard_join": oracles.OP9, "op11_url_filters": oracles.OP11}
