@@ -14,6 +14,7 @@ from loam.llm.jaccard_join import jaccard_join
 from loam.llm.language_id import language_id
 from loam.llm.mixing import mix
 from loam.llm.packing import pack
+from loam.llm.periodic_runs import periodic_runs, repeated, run_digests
 from loam.llm.quality_model import quality_scores
 from loam.llm.quality_rules import quality_rules
 from loam.llm.quote_links import link_quotes
@@ -68,6 +69,11 @@ def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), rule_table(spark, hosts + PATTERNS))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return run_digests(periodic_runs(docs.select("doc_id", repeated(docs["doc_id"], docs["text"]).alias("text"))))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
