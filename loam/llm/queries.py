@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loam.llm import mixing, oracles
 from loam.llm.embedding_dedup import near_duplicates
+from loam.llm.hard_negatives import hard_negatives
 from loam.llm.html_text import extract
 from loam.llm.jaccard_join import jaccard_join
 from loam.llm.language_id import language_id
@@ -69,6 +71,11 @@ def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), rule_table(spark, hosts + PATTERNS))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return run_digests(periodic_runs(docs.select("doc_id", repeated(docs["doc_id"], docs["text"]).alias("text"))))
@@ -80,4 +87,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {"op1_quality_rules": oracles.OP1, "op3_embedding_dedup": oracles.OP3, "op6_warc": oracles.OP6, "op7_mixing": mixing.ORACLE,
-            "op8_quote_links": oracles.OP8, "op9_jaccard_join": oracles.OP9, "op11_url_filters": oracles.OP11}
+            "op8_quote_links": oracles.OP8, "op9_jaccard_join": oracles.OP9, "op11_url_filters": oracles.OP11,
+            "op12_hard_negatives": oracles.OP12}
