@@ -34,14 +34,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group that five-word shingles link at a similarity of 0.8.
+    """Keeps one row of each group that five-word shingles link at a similarity of 0.8.
 
-    Rows with a null id stay. Of rows that repeat an id one stays.
+    Rows are told apart by a number of their own: different texts that share an id are
+    judged apart, and unrelated groups stay apart. Of a group the row with the smallest id
+    stays, of equal ids that with the smallest hash of its text; null ids come last. Rows
+    without words are in no group and stay.
     """
-    groups = jaccard_join(docs, k=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    row = "_row" + "_" * max((len(c) for c in docs.columns), default=0)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join(rows, id_col=row, k=5, num=80, den=100).select(F.col(row).alias("_of"), "component_id")
+    marks = rows.select(row, "doc_id", F.xxhash64("text").alias("_hash")).join(groups, F.col(row) == F.col("_of"))
+    first = marks.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", F.col(row).alias("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,11 +16,15 @@ from pyspark.sql.window import Window
 
 from loam.llm.shared import components, stored
 
-COUNTERS = 1 << 21
 CHUNK = 1 << 16
+COUNTERS = (1 << 21, 1 << 24)
+"""Least and most counters of shingles; up to 32 a document between."""
+FILTER_BITS = (1 << 22, 1 << 28)
+"""Least and most bits of an id filter; 16 to 32 an id between."""
 PARITY_BITS = 1024
-FILTER_BITS = 1 << 23
-BLOCK = 256
+BLOCK, WEIGHT = 1024, 1 << 20
+"""Sets, and hashes in their differences, that make a block of a hub."""
+WIDE = 4096
 KNOWN = 300_000
 _known: dict[bytes, int] = {}
 
@@ -48,8 +52,18 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+def sized(wanted: int, bounds: tuple[int, int]) -> int:
+    """The power of two that holds so many, within bounds that are powers of two."""
+    return min(max(1 << max(0, int(wanted) - 1).bit_length(), bounds[0]), bounds[1])
+
+
+def counter(hashes: np.ndarray, counters: int, part: float) -> np.ndarray:
+    """The counter of each hash; only the lowest `part` of all hashes have one, as prefixes rarely hold others.
+
+    Hashes are sorted, so those that have a counter are the first ones.
+    """
+    low = hashes[:np.searchsorted(hashes, np.uint64(min(int(part * 2.0 ** 64), 2 ** 64 - 1)))] if len(hashes) else hashes
+    return np.minimum((low.astype(np.float64) * (counters / (part * 2.0 ** 64))).astype(np.int64), counters - 1)
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
@@ -72,19 +86,19 @@ def parities(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]) // 64, pa.int32()), pa.array(odd))
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
+def sketched(docs: DataFrame, k: int, counters: int, part: float) -> DataFrame:
     """One row per document (id, n, f1, f2, odd), and how many documents hold the shingles of each counter.
 
     Counters come as compressed chunks (chunk, counts), a few for each task.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, dtype=np.uint32)
+        held = np.zeros(counters, dtype=np.uint32)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = [shingles(t or b"", k) for t in batch.column(1).to_pylist()]
                 if sets:
-                    held += np.bincount(counter(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
+                    np.add.at(held, np.concatenate([counter(s, counters, part) for s in sets]), 1)
                 prints = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()),
@@ -108,34 +122,35 @@ def chunks(held: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def merged_chunks(frame: DataFrame, size: int, combine: np.ufunc = np.add) -> np.ndarray:
-    """The arrays that tasks left as (chunk, counts), combined; only the result, of a fixed size, reaches the driver."""
+    """The arrays that tasks left as (chunk, counts), combined; only the result, of a bounded size, reaches the driver."""
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, dtype=np.uint64)
         for blob in group["counts"]:
             combine(total, np.frombuffer(zlib.decompress(blob), dtype=np.uint32), out=total)
+        total = np.minimum(total, 2 ** 32 - 1).astype(np.uint32)
         return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    held = np.zeros(size, dtype=np.uint64)
+    held = np.zeros(size, dtype=np.uint32)
     for row in frame.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        held[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint64)
+        held[row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
     return held
 
 
 def frequency_classes(held: np.ndarray) -> np.ndarray:
     """Class of each counter: 0, or more the further it stands out of what chance gives."""
     mean = held.mean()
-    often = mean + 6 * np.sqrt(mean) + 16
+    often = mean + 6 * np.sqrt(mean) + 2
     return np.where(held > often, 1 + np.floor(np.log2(np.maximum(held / often, 1))), 0).astype(np.uint8)
 
 
-def postings(docs: DataFrame, classes: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def postings(docs: DataFrame, classes: np.ndarray, part: float, k: int, num: int, den: int) -> DataFrame:
     """(shingle, id, n, pos) for the prefix of each set in the common order.
 
     The order is by frequency class, then hash, so common shingles come last. Two sets
     with a Jaccard similarity of num / den share one within their first
     n - ceil(n * num / den) + 1. Sets that a task has seen before are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # a byte for each counter, 16 MB at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = shared.value, set()
@@ -150,8 +165,10 @@ def postings(docs: DataFrame, classes: np.ndarray, k: int, num: int, den: int) -
                         continue
                     seen.add(mark[1])
                     size = n + (-n * num // den) + 1
-                    of = held[counter(s)]
-                    first = s[np.argsort(of, kind="stable")[:size]] if of.any() else s[:size]
+                    of = np.zeros(n, dtype=np.uint8)
+                    low = held[counter(s, len(held), part)]
+                    of[:len(low)] = low
+                    first = s[np.argsort(of, kind="stable")[:size]] if low.any() else s[:size]
                     out.append((first.view(np.int64), np.full(size, i), np.full(size, n), np.arange(size)))
                 if out:
                     s, i, n, p = (np.concatenate(x) for x in zip(*out))
@@ -199,39 +216,94 @@ def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return both.where(reaches(shared, F.col("n"), F.col("m"), num, den))
 
 
-def around_hubs(refs: DataFrame, num: int, den: int) -> DataFrame:
-    """All links (a, b, n, m, shared) between sets of one hub, the hub included.
-
-    Answers are derived from the hub's: two sets differ in what one of them alone does not
-    share with the hub. The sets of a hub are cut into blocks and the pairs of blocks dealt
-    out, so a large group is not one task.
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each list of x shares with each of y; a list holds a number once."""
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    sides = []
+    flat = [np.concatenate([*z, np.zeros(0, dtype=np.int64)]) for z in (x, y)]
+    both = np.intersect1d(*flat)
+    for lists, values in zip((x, y), flat):
+        at = np.searchsorted(both, values)
+        at[at == len(both)] = 0
+        hit = both[at] == values if len(both) else np.zeros(len(values), dtype=bool)
+        owner, at = np.repeat(np.arange(len(lists)), [len(z) for z in lists])[hit], at[hit]
+        by = np.argsort(at, kind="stable")
+        sides.append((owner[by], at[by]))
+    for start in range(0, len(both), WIDE):
+        grids = []
+        for lists, (owner, at) in zip((x, y), sides):
+            i, j = np.searchsorted(at, (start, start + WIDE))
+            grid = np.zeros((len(lists), WIDE), dtype=np.float32)
+            grid[owner[i:j], at[i:j] - start] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def tallied(x: pd.DataFrame, y: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(id, links, tied) of two blocks of one hub, or of one block and itself.
+
+    links: copies of the sets linked across (within, if x is y); tied: the smallest id that
+    links lead to here. Two sets differ in what one of them alone does not share with the hub.
+    """
+    sizes = [z["diff"].map(len).to_numpy(dtype=np.int64) for z in (x, y)]
+    n, m = (z["n"].to_numpy(dtype=np.int64) for z in (x, y))
+    both = n[:, None] + m[None, :]
+    shared = (both - sizes[0][:, None] - sizes[1][None, :] + 2 * common(list(x["diff"]), list(y["diff"]))) // 2
+    linked = den * shared >= num * (both - shared)
+    if x is y:
+        np.fill_diagonal(linked, False)
+    held = [z["copies"].to_numpy(dtype=np.int64) for z in (x, y)]
+    links = [linked @ held[1], held[0] @ linked]
+    tied, far = [z["id"].to_numpy(dtype=np.int64).copy() for z in (x, y)], np.iinfo(np.int64).max
+    while True:
+        down = np.minimum(tied[1], np.where(linked, tied[0][:, None], far).min(axis=0, initial=far))
+        if x is y:
+            down = np.minimum(down, tied[0])
+        up = np.minimum(tied[0], np.where(linked, down[None, :], far).min(axis=1, initial=far))
+        if (up == tied[0]).all() and (down == tied[1]).all():
+            break
+        tied = [np.minimum(up, down)] * 2 if x is y else [up, down]
+    out = [pd.DataFrame({"id": z["id"], "links": k, "tied": t})[k > 0] for z, k, t in zip((x, y), links, tied)]
+    return out[0] if x is y else pd.concat(out)
+
+
+def around_hubs(refs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, links, tied): the links between sets of one hub, the hub included, as sums and ties.
+
+    Answers are derived from the hub's: see `tallied`. The sets of a hub are cut into blocks
+    and the pairs of blocks dealt out, so a large group is not one task; hubs of one block
+    share tasks. No pair of sets leaves a task: a set has a row for each pair of blocks at most.
     """
     rows = refs.select("id", "hub", "n", "diff").union(
         refs.groupBy("hub").agg(F.max("m").alias("n")).select(F.col("hub").alias("id"), "hub", "n", F.array().cast("array<long>").alias("diff")))
-    parts = rows.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(parts, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-
-    def side(x: str, lo: Column, hi: Column, others: Column) -> DataFrame:
-        return rows.withColumn("other", F.explode(others)).select("hub", lo.alias("lo"), hi.alias("hi"), *[F.col(c).alias(f"{x}{c}") for c in ("id", "n", "diff")])
-
-    block, other = F.col("block"), F.col("other")
-    left = side("x", block, other, F.sequence("block", F.col("blocks") - 1))
-    right = side("y", other, block, F.sequence(F.lit(0).cast("long"), "block"))
-    n, m = F.col("xn"), F.col("yn")
-    most = n + m - 2 * least_overlap(n, m, num, den)
-    both = left.join(right, ["hub", "lo", "hi"]).where(
-        ((F.col("lo") < F.col("hi")) | (F.col("xid") < F.col("yid"))) & (F.abs(F.size("xdiff") - F.size("ydiff")) <= most))
-    apart = F.size("xdiff") + F.size("ydiff") - 2 * F.size(F.array_intersect("xdiff", "ydiff"))
-    both = both.select(F.col("xid").alias("a"), F.col("yid").alias("b"), n.alias("n"), m.alias("m"), ((n + m - apart) / 2).cast("int").alias("shared"))
-    both = both.where(reaches(F.col("shared"), F.col("n"), F.col("m"), num, den))
-    return ordered(both)
+    parts = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("diff")) / WEIGHT)).alias("blocks"))
+    rows = rows.join(parts, "hub").join(held.select(F.col("rep").alias("id"), F.col("ids").alias("copies")), "id")
+    buckets = max(1, refs.count() // BLOCK)
+    one, block, other = F.col("blocks") <= 1, F.col("block"), F.col("other")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
+        .withColumn("other", F.explode(F.when(one, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    dealt = rows.select(F.when(one, F.pmod(F.xxhash64("hub"), F.lit(buckets))).alias("bucket"), F.when(~one, F.col("hub")).alias("of"),
+                        F.least(block, other).alias("lo"), F.greatest(block, other).alias("hi"), "block", "hub", "id", "n", "copies", "diff")
+
+    def tally(group: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "links": [], "tied": []}, dtype=np.int64)]
+        for _, sets in group.groupby("hub"):
+            lo, hi = sets["lo"].iloc[0], sets["hi"].iloc[0]
+            if lo == hi:
+                out.append(tallied(sets, sets, num, den))
+            else:
+                out.append(tallied(sets[sets["block"] == lo], sets[sets["block"] == hi], num, den))
+        return pd.concat(out)
+
+    return dealt.groupBy("bucket", "of", "lo", "hi").applyInPandas(tally, "id long, links long, tied long")
 
 
 def ordered(links: DataFrame) -> DataFrame:
     """Links with the smaller id first."""
     turn = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    return links.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("n", "m").alias("n"), pick("m", "n").alias("m"), "shared")
+    return links.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"))
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -256,37 +328,41 @@ def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFram
     return both.where(differ <= F.col("an") + F.col("bn") - 2 * least_overlap(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
 
 
-def id_places(ids: np.ndarray) -> np.ndarray:
+def id_places(ids: np.ndarray, bits: int) -> np.ndarray:
     h = (ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.stack([h >> np.uint64(41), (h >> np.uint64(18)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+    return np.stack([h >> np.uint64(65 - bits.bit_length()), (h >> np.uint64(7)) & np.uint64(bits - 1)]).astype(np.int64)
+
 
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of ids, sized by their number up to 32 MB: lets all of them pass, and few others."""
+    ids = stored(ids, "wanted")
+    bits = sized(16 * ids.count(), FILTER_BITS)
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (1 MB) of ids: lets all of them pass, and few others while they are few."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+        held = np.zeros(bits // 32, dtype=np.uint32)
         for batch in batches:
-            at = id_places(batch.column(0).to_numpy()).ravel()
+            at = id_places(batch.column(0).to_numpy(), bits).ravel()
             np.bitwise_or.at(held, at // 32, np.uint32(1) << (at % 32).astype(np.uint32))
         for chunk, blob in chunks(held):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "counts"])
 
-    return merged_chunks(ids.mapInArrow(mark, "chunk int, counts binary"), FILTER_BITS // 32, np.bitwise_or)
+    return merged_chunks(ids.mapInArrow(mark, "chunk int, counts binary"), bits // 32, np.bitwise_or), bits
 
 
 def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(id, s): the sets of at least the documents in pairs (a, b). Texts are not shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    held, bits = id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 batch = batch.filter(batch.column(0).is_valid())
-                places = id_places(batch.column(0).to_numpy())
-                known = shared.value[places // 32] >> (places % 32).astype(np.uint64) & np.uint64(1)
+                places = id_places(batch.column(0).to_numpy(), bits)
+                known = shared.value[places // 32] >> (places % 32).astype(np.uint32) & np.uint32(1)
                 batch = batch.filter(pa.array(known.all(axis=0)))
                 sets = [shingles(t or b"", k).view(np.int64) for t in batch.column(1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -300,16 +376,18 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 class Joined(NamedTuple):
     members: DataFrame
     """(id, n, rep) of every row; equal sets have one rep, those without shingles or id none."""
-    links: DataFrame
-    """(a, b, n, m, shared): every linked pair of reps, a < b, with both sizes and the overlap."""
+    held: DataFrame
+    """(rep, ids): how many ids hold the set."""
+    tallies: DataFrame
+    """(id, links, tied): ids that hold a set linked with that of a rep, in parts to be summed, and reps that links tie it to."""
     same_id: DataFrame
     """(a, b) of reps that hold texts of one id."""
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> Joined:
-    """All pairs of different sets with a Jaccard similarity of num / den or more.
+    """The links between different sets with a Jaccard similarity of num / den or more, as counts and ties.
 
-    Exact. Equal sets become one by fingerprint (128 bits). All sets enter index lists by
+    Exact: every link is found and counted, though pairs within a hub are not written out. Equal sets become one by fingerprint (128 bits). All sets enter index lists by
     their prefix in an order that puts frequent shingles last; how frequent a shingle is
     comes from counters over all documents. Lists of one set are dropped.
 
@@ -323,9 +401,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before whole sets are compared.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    scan = stored(sketched(source, k), "sketch")
+    counters, part = sized(32 * source.count(), COUNTERS), min(1.0, 1.5 * (1 - num / den) + 0.02)
+    scan = stored(sketched(source, k, counters, part), "sketch")
     rows = scan.where("chunk is null").select("id", "n", "f1", "f2", "odd")
-    classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), COUNTERS))
+    classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), counters))
     sketches = rows.where("n > 0 and id is not null").select("id", "n", "odd")
     first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep", "f1", "f2"), "members")
@@ -335,7 +414,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the set of such an id is not one, so nothing is derived from it
     several = stored(members.where("rep is not null").select("id", "n", "f1", "f2").distinct().groupBy("id").count().where("count > 1").select("id"), "several")
 
-    listed = postings(source, classes, k, num, den)
+    listed = postings(source, classes, part, k, num, den)
     lists = listed.withColumn("size", F.count("*").over(Window.partitionBy("s"))).where("size > 1")
     lists = stored(lists.join(named, "id").groupBy("s", F.col("rep").alias("id"), "n").agg(F.min("pos").alias("pos")), "lists")
     shown = lists.join(several, "id", "left_anti").groupBy("id").agg((F.count("*") / F.max("n")).alias("shown"))
@@ -361,8 +440,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & possible("x", "y", num, den))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = stored(plausible(rest, sketches, num, den), "rest")
-    links = around_hubs(refs, num, den).union(ordered(verified(rest, sets(rest), num, den))).dropDuplicates(["a", "b"])
-    return Joined(members.select("id", "n", "rep"), stored(links, "links"), same_id)
+    between = ordered(verified(rest, sets(rest), num, den)).distinct()
+    between = stored(between.union(between.select("b", "a")), "between")
+    held = stored(members.where("rep is not null").groupBy("rep").agg(F.count_distinct("id").alias("ids")), "held")
+    tallies = around_hubs(refs, held, num, den).union(
+        between.join(held, F.col("b") == F.col("rep")).select("a", F.col("ids").alias("links"), "b"))
+    return Joined(members.select("id", "n", "rep"), held, stored(tallies, "tallies"), same_id)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -376,11 +459,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an id get a row each and share a component, whatever their texts. Empty input gives
     no rows; other columns are ignored. Texts are read whole. Hashes have 64 bits.
     """
-    members, links, same_id = jaccard_links(docs, id_col, text_col, k, num, den)
-    merged = components(links.select("a", "b").union(same_id), "groups")
-    held = members.where("rep is not null").groupBy("rep").agg(F.count_distinct("id").alias("ids"))
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(held, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("ids").alias("others"))
+    members, held, tallies, same_id = jaccard_links(docs, id_col, text_col, k, num, den)
+    merged = components(tallies.select(F.col("id").alias("a"), F.col("tied").alias("b")).union(same_id), "groups")
+    others = tallies.groupBy("id").agg(F.sum("links").alias("others")).withColumnRenamed("id", "a")
     counts = held.join(others, F.col("rep") == F.col("a"), "left").select(
         F.col("rep").alias("of"), (F.col("ids") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     out = members.join(merged, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("of"), "left")

@@ -75,8 +75,8 @@ both_ways AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM s a JOIN s b
 near AS (SELECT x, y FROM both_ways JOIN size a ON x = a.id JOIN size b ON y = b.id WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
 links AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near), nodes AS (SELECT id FROM w),
 {_REACH.strip()}
-SELECT w.id AS doc_id, coalesce(size.n, 0) AS n_shingles, c.c AS component_id FROM w LEFT JOIN size ON w.id = size.id
-JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON w.id = c.a
+SELECT w.id AS doc_id, coalesce(size.n, 0) AS n_shingles, c.c AS component_id, coalesce(k.n, 0) AS n_links FROM w LEFT JOIN size ON w.id = size.id
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) k ON w.id = k.x JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON w.id = c.a
 """
 
 OP8 = r"""

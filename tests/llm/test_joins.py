@@ -1,15 +1,18 @@
 """Shingle join and embedding join against comparisons of all pairs."""
 
+import collections
 import math
 import random
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loam.llm import embedding_dedup
 from loam.llm.embedding_dedup import near_duplicates
-from loam.llm.jaccard_join import jaccard_join, jaccard_links
+from loam.llm.jaccard_join import jaccard_join, jaccard_links, tallied
 from loam.llm.shared import components
 
 
@@ -89,20 +92,58 @@ def test_no_link_is_lost(make_docs, monkeypatch, k, num, seed):
     texts = corpus(rng) + [" ".join(f"x{i}" if j == at else w for j, w in enumerate(base)) for i, at in enumerate(rng.choices(range(100), k=40))]
     ids = rng.sample(range(10 ** 6), len(texts))
     sets = {i: shingle_set(t, k) for i, t in zip(ids, texts)}
-    rep, linked, links = {}, set(), dict.fromkeys(ids, 0)
-    for i in sorted(ids):
-        if sets[i]:
-            rep.setdefault(frozenset(sets[i]), i)
+    links, linked = dict.fromkeys(ids, 0), []
     for a in ids:
         for b in ids:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 links[a], links[b] = links[a] + 1, links[b] + 1
-                if rep[frozenset(sets[a])] == a and rep[frozenset(sets[b])] == b:
-                    linked.add((a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])))
+                linked.append((a, b))
+    want = groups(ids, linked)
     docs = make_docs([(i, t, "en", "a") for i, t in zip(ids, texts)])
-    got = [tuple(r) for r in jaccard_links(docs, k=k, num=num).links.collect()]
-    assert len(linked) > 10 and len(got) == len(linked) and set(got) == linked
-    assert {r.doc_id: r.n_links for r in jaccard_join(docs, k=k, num=num).collect()} == links
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join(docs, k=k, num=num).collect()}
+    assert len(linked) > 100 and got == {i: (links[i], want[i]) for i in ids}
+
+
+def test_a_large_group_stores_rows_in_proportion(make_docs):
+    """Near copies have as many links as pairs; what is stored grows with the copies."""
+    rng = random.Random(8)
+    stored = {}
+    for size in (100, 400):
+        rows = []
+        for i in range(size):
+            copy = [f"w{j}" for j in range(400)]
+            copy[rng.randrange(400)] = f"x{i}"
+            rows.append((i, " ".join(copy), None, None))
+        found = jaccard_links(make_docs(rows), k=5, num=80)
+        stored[size] = found.tallies.count()
+        summed = {r["id"]: r["n"] for r in found.tallies.groupBy("id").agg(F.sum("links").alias("n")).collect()}
+        assert summed == dict.fromkeys(range(size), size - 1)
+    assert stored[400] <= 4 * stored[100] + 10 <= 500
+
+
+def test_counts_and_ties_of_blocks():
+    """The sums of a pair of blocks against its sets, compared one by one."""
+    rng = random.Random(12)
+    hub = set(range(60))
+    sets = []
+    for i in range(50):
+        gone = set(rng.sample(sorted(hub), rng.randrange(12)))
+        sets.append((hub - gone) | {1000 + rng.randrange(30) for _ in range(rng.randrange(8))})
+    frame = pd.DataFrame({"id": rng.sample(range(1000), 50), "n": [len(s) for s in sets], "copies": [1 + i % 3 for i in range(50)],
+                          "diff": [np.array(sorted(s ^ hub), dtype=np.int64) for s in sets]})
+    for x, y in ((frame, frame), (frame[:20], frame[20:]), (frame[:0], frame)):
+        cut = len(x) if x is not y else 0
+        linked = [(a, b) for a in range(len(x)) for b in range(len(y))
+                  if (x is not y or a != b) and 10 * len(sets[a] & sets[b + cut]) >= 8 * len(sets[a] | sets[b + cut])]
+        ids = list(frame["id"])
+        want = groups(ids, [(ids[a], ids[b + cut]) for a, b in linked])
+        links = collections.Counter()
+        for a, b in linked:
+            links[ids[a]] += int(y["copies"].iloc[b])
+            if x is not y:
+                links[ids[b + cut]] += int(x["copies"].iloc[a])
+        got = tallied(x, y, 8, 10)
+        assert dict(zip(got["id"], got["links"])) == links and {i: want[i] for i in links} == dict(zip(got["id"], got["tied"]))
 
 
 def test_repeated_and_null_ids(make_docs):

@@ -55,6 +55,25 @@ def test_near_copy_stage(stages):
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted({least[i] for i in sets})
 
 
+def test_near_copies_of_repeated_ids(spark, make_docs):
+    """Texts of one id are judged apart, and do not tie groups together."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(5, one, "en", "s"), (5, two, "en", "s"), (6, one + " x", "en", "s"), (7, two + " y", "en", "s"), (8, three, "en", "s"), (8, three, "en", "s"),
+            (None, three + " z", "en", "s"), (None, "words of no other", "en", "s"), (4, None, "en", "s"), (4, None, "en", "s"), (3, "", "en", "s")]
+    got = P.near_copies(spark, make_docs(rows), SMALL)
+    assert got.columns == make_docs([]).columns
+    want = [(5, one), (5, two), (8, three), (None, "words of no other"), (4, None), (4, None), (3, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert P.near_copies(spark, make_docs([]), SMALL).count() == 0
+
+
+def test_no_documents(spark, stages):
+    found = stages[0].limit(0)
+    for _, stage in P.STAGES:
+        found = stage(spark, found, SMALL)
+        assert found.count() == 0
+
+
 def test_mixture_stage(stages):
     want = {r.doc_id: r.copies for r in mix(stages[3]).collect() if r.copies}
     assert collections.Counter(r.doc_id for r in stages[4].collect()) == want
@@ -71,5 +90,5 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in all_queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in all_queries()) == list(range(1, 14))
     assert all_sql().keys() <= all_queries().keys()
