@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loam.llm.shared import components, stored
+from loam.llm.shared import components, let, stored
 
 CHUNK = 1 << 16
 COUNTERS = (1 << 21, 1 << 24)
@@ -22,10 +22,10 @@ COUNTERS = (1 << 21, 1 << 24)
 FILTER_BITS = (1 << 22, 1 << 28)
 """Least and most bits of an id filter; 16 to 32 an id between."""
 PARITY_BITS = 1024
-BLOCK, WEIGHT = 1024, 1 << 20
+BLOCK, WEIGHT = 512, 1 << 18
 """Sets, and hashes in their differences, that make a block of a hub."""
-WIDE = 4096
-KNOWN = 300_000
+WIDE = 2048
+KNOWN = 100_000
 _known: dict[bytes, int] = {}
 
 
@@ -57,13 +57,8 @@ def sized(wanted: int, bounds: tuple[int, int]) -> int:
     return min(max(1 << max(0, int(wanted) - 1).bit_length(), bounds[0]), bounds[1])
 
 
-def counter(hashes: np.ndarray, counters: int, part: float) -> np.ndarray:
-    """The counter of each hash; only the lowest `part` of all hashes have one, as prefixes rarely hold others.
-
-    Hashes are sorted, so those that have a counter are the first ones.
-    """
-    low = hashes[:np.searchsorted(hashes, np.uint64(min(int(part * 2.0 ** 64), 2 ** 64 - 1)))] if len(hashes) else hashes
-    return np.minimum((low.astype(np.float64) * (counters / (part * 2.0 ** 64))).astype(np.int64), counters - 1)
+def counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
@@ -86,7 +81,7 @@ def parities(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]) // 64, pa.int32()), pa.array(odd))
 
 
-def sketched(docs: DataFrame, k: int, counters: int, part: float) -> DataFrame:
+def sketched(docs: DataFrame, k: int, counters: int) -> DataFrame:
     """One row per document (id, n, f1, f2, odd), and how many documents hold the shingles of each counter.
 
     Counters come as compressed chunks (chunk, counts), a few for each task.
@@ -98,7 +93,7 @@ def sketched(docs: DataFrame, k: int, counters: int, part: float) -> DataFrame:
                 batch = whole.slice(at, 512)
                 sets = [shingles(t or b"", k) for t in batch.column(1).to_pylist()]
                 if sets:
-                    np.add.at(held, np.concatenate([counter(s, counters, part) for s in sets]), 1)
+                    np.add.at(held, counter(np.concatenate(sets), counters), 1)
                 prints = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()),
@@ -143,7 +138,7 @@ def frequency_classes(held: np.ndarray) -> np.ndarray:
     return np.where(held > often, 1 + np.floor(np.log2(np.maximum(held / often, 1))), 0).astype(np.uint8)
 
 
-def postings(docs: DataFrame, classes: np.ndarray, part: float, k: int, num: int, den: int) -> DataFrame:
+def postings(docs: DataFrame, classes: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """(shingle, id, n, pos) for the prefix of each set in the common order.
 
     The order is by frequency class, then hash, so common shingles come last. Two sets
@@ -165,10 +160,8 @@ def postings(docs: DataFrame, classes: np.ndarray, part: float, k: int, num: int
                         continue
                     seen.add(mark[1])
                     size = n + (-n * num // den) + 1
-                    of = np.zeros(n, dtype=np.uint8)
-                    low = held[counter(s, len(held), part)]
-                    of[:len(low)] = low
-                    first = s[np.argsort(of, kind="stable")[:size]] if low.any() else s[:size]
+                    of = held[counter(s, len(held))]
+                    first = s[np.argsort(of, kind="stable")[:size]] if of.any() else s[:size]
                     out.append((first.view(np.int64), np.full(size, i), np.full(size, n), np.arange(size)))
                 if out:
                     s, i, n, p = (np.concatenate(x) for x in zip(*out))
@@ -198,14 +191,6 @@ def reaches(shared: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return den * shared.cast("long") >= num * (n.cast("long") + m - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach num / den, with both sizes and the overlap."""
-    left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("as").alias("n"), F.size("bs").alias("m"),
-                                                        F.size(F.array_intersect("as", "bs")).alias("shared"))
-    return both.where(reaches(F.col("shared"), F.col("n"), F.col("m"), num, den))
-
-
 def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, hub, n, m, diff) of the pairs (a, b) that reach num / den: the sizes, and what only one of both sets holds."""
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "ab")
@@ -268,64 +253,115 @@ def tallied(x: pd.DataFrame, y: pd.DataFrame, num: int, den: int) -> pd.DataFram
     return out[0] if x is y else pd.concat(out)
 
 
-def around_hubs(refs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+def _tally(num: int, den: int):
+    """Function of a group: its pairs of blocks, one after another, as sums and ties.
+
+    Rows of side 0 and 1 are sets by their differences to a hub each; one of side 2 is the
+    difference between the two hubs, by which side 0 is brought to the hub of side 1.
+    """
+    def tally(group: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "links": [], "tied": []}, dtype=np.int64)]
+        for _, sets in group.groupby(["c", "d", "lo", "hi"]):
+            x, y, apart = (sets[sets["side"] == i] for i in range(3))
+            if len(x) and (len(y) or sets["c"].iloc[0] == sets["d"].iloc[0]):
+                if len(apart) and len(between := apart["diff"].iloc[0]):
+                    x = x.assign(diff=[np.setxor1d(own, between, assume_unique=True) for own in x["diff"]])
+                out.append(tallied(x, y if len(y) else x, num, den))
+        return pd.concat(out)
+    return tally
+
+
+TALLIED = "id long, links long, tied long"
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows with c, d, lo, hi and `one` (both sides have one block): those share tasks, the others have their own."""
+    pair = F.xxhash64("c", "d")
+    return rows.withColumn("bucket", F.when(F.col("one"), F.pmod(pair, F.lit(buckets))).otherwise(-1)) \
+        .withColumn("of", F.when(~F.col("one"), F.struct("c", "d", "lo", "hi"))).drop("one").groupBy("bucket", "of")
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+
+def around_hubs(placed: DataFrame, stats: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
     """(id, links, tied): the links between sets of one hub, the hub included, as sums and ties.
 
     Answers are derived from the hub's: see `tallied`. The sets of a hub are cut into blocks
     and the pairs of blocks dealt out, so a large group is not one task; hubs of one block
     share tasks. No pair of sets leaves a task: a set has a row for each pair of blocks at most.
     """
-    rows = refs.select("id", "hub", "n", "diff").union(
-        refs.groupBy("hub").agg(F.max("m").alias("n")).select(F.col("hub").alias("id"), "hub", "n", F.array().cast("array<long>").alias("diff")))
-    parts = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("diff")) / WEIGHT)).alias("blocks"))
-    rows = rows.join(parts, "hub").join(held.select(F.col("rep").alias("id"), F.col("ids").alias("copies")), "id")
-    buckets = max(1, refs.count() // BLOCK)
-    one, block, other = F.col("blocks") <= 1, F.col("block"), F.col("other")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
-        .withColumn("other", F.explode(F.when(one, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    dealt = rows.select(F.when(one, F.pmod(F.xxhash64("hub"), F.lit(buckets))).alias("bucket"), F.when(~one, F.col("hub")).alias("of"),
-                        F.least(block, other).alias("lo"), F.greatest(block, other).alias("hi"), "block", "hub", "id", "n", "copies", "diff")
+    rows = placed.join(stats.where("sets > 1").select("c", "blocks"), "c").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.select("*", _every(F.col("blocks")).alias("other"))
+    rows = rows.select("c", F.col("c").alias("d"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                       F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "copies", "diff", (F.col("blocks") <= 1).alias("one"))
+    return _dealt(rows, buckets).applyInPandas(_tally(num, den), TALLIED)
 
-    def tally(group: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id": [], "links": [], "tied": []}, dtype=np.int64)]
-        for _, sets in group.groupby("hub"):
-            lo, hi = sets["lo"].iloc[0], sets["hi"].iloc[0]
-            if lo == hi:
-                out.append(tallied(sets, sets, num, den))
-            else:
-                out.append(tallied(sets[sets["block"] == lo], sets[sets["block"] == hi], num, den))
-        return pd.concat(out)
 
-    return dealt.groupBy("bucket", "of", "lo", "hi").applyInPandas(tally, "id long, links long, tied long")
+def between_hubs(near: DataFrame, placed: DataFrame, stats: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(id, links, tied): the links between sets of two hubs (c, d, diff, allowed), as sums and ties.
 
+    A set takes part if its own distance to its hub allows a link with one around the other hub.
+    """
+    own, others = (stats.select(F.col("c").alias(x), F.col("blocks").alias(f"{x}blocks"), F.col("radius").alias(f"{x}radius")) for x in "cd")
+    near = near.join(own, "c").join(others, "d").withColumn("one", (F.col("cblocks") <= 1) & (F.col("dblocks") <= 1))
+    sets = placed.select(F.col("c").alias("at"), "id", "n", "copies", F.col("diff").alias("own"))
 
-def ordered(links: DataFrame) -> DataFrame:
-    """Links with the smaller id first."""
-    turn = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    return links.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"))
+    def side(i: int, x: str, other: str) -> DataFrame:
+        rows = near.select("*", F.size("diff").alias("apart")).drop("diff")
+        rows = rows.join(sets, F.col(x) == F.col("at")).where(F.abs(F.size("own") - F.col("apart")) <= F.col(f"{other}radius") + F.col("allowed"))
+        block, each = F.pmod(F.xxhash64("id"), F.col(f"{x}blocks")), _every(F.col(f"{other}blocks"))
+        lo, hi = (block.alias("lo"), each.alias("hi")) if i == 0 else (each.alias("lo"), block.alias("hi"))
+        return rows.select("c", "d", lo, hi, F.lit(i).alias("side"), "id", "n", "copies", F.col("own").alias("diff"), "one")
 
+    apart = near.select("*", _every(F.col("cblocks")).alias("lo")).select("*", _every(F.col("dblocks")).alias("hi")).select(
+        "c", "d", "lo", "hi", F.lit(2).alias("side"), F.lit(0).cast("long").alias("id"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("copies"), "diff", "one")
+    rows = side(0, "c", "d").union(side(1, "d", "c")).union(apart)
+    return _dealt(rows, buckets).applyInPandas(_tally(num, den), TALLIED)
 
-def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that can reach num / den going by their sketches.
+
+def sketch_distance(x: str, y: str) -> Column:
+    """At most as many as the shingles that only one of two sets holds, going by their sketches.
 
     Every class of hashes in which one set has an odd and the other an even number holds
-    a difference, so the classes that differ bound the symmetric difference from below.
-    Sketches of different length meet at the shorter one.
+    a difference. Sketches of different length meet at the shorter one.
     """
-    left, right = (rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o")) for x in "ab")
-    xor = lambda x, y: x.bitwiseXOR(y)
+    xor = lambda p, q: p.bitwiseXOR(q)
 
     def halved(own: str, other: str) -> Column:
         half = (F.size(own) / 2).cast("int")
         return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), xor)).otherwise(F.col(own))
 
+    # one halving brings sets of like size together; others are not told apart
+    counted = let(F.struct(halved(x, y).alias("p"), halved(y, x).alias("q")), lambda z: F.when(F.size(z["p"]) == F.size(z["q"]), F.aggregate(
+        F.zip_with(z["p"], z["q"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)).otherwise(0))
+    return counted
+
+
+def allowed(n: Column, m: Column, num: int, den: int) -> Column:
+    """Shingles that only one of two linked sets of n and m may hold; more for larger sets."""
+    return F.floor((n + m).cast("long") * (den - num) / (den + num))
+
+
+def plausible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that can reach num / den going by their sketches."""
+    left, right = (rows.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("x", halved("ao", "bo")).withColumn("y", halved("bo", "ao"))
-    # linked sets are of like size: one halving brings them together unless num / den is under a half
-    counted = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    differ = F.when(F.size("x") == F.size("y"), counted).otherwise(0)
-    return both.where(differ <= F.col("an") + F.col("bn") - 2 * least_overlap(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
+    return both.where(sketch_distance("ao", "bo") <= allowed(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct()
+
+
+def near_hubs(pairs: DataFrame, stats: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, d, reach, allowed) of the pairs of hubs that sets around them may be linked across, going by the hubs' sketches.
+
+    Triangle inequality: linked sets differ by `allowed` at most, and each from its hub by
+    its radius at most; so the hubs differ by no more than all of these together.
+    """
+    sides = [stats.join(sketches.select("id", "odd"), F.col("c") == F.col("id")).select(
+        F.col("c").alias(x), F.col("odd").alias(f"{x}o"), F.col("radius").alias(f"{x}r"), F.col("most").alias(f"{x}n")) for x in "cd"]
+    both = pairs.join(sides[0], "c").join(sides[1], "d").withColumn("allowed", allowed(F.col("cn"), F.col("dn"), num, den))
+    both = both.withColumn("reach", F.col("cr") + F.col("dr") + F.col("allowed"))
+    return both.where(sketch_distance("co", "do") <= F.col("reach")).select("c", "d", "reach", "allowed")
 
 
 def id_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -377,51 +413,47 @@ class Joined(NamedTuple):
     members: DataFrame
     """(id, n, rep) of every row; equal sets have one rep, those without shingles or id none."""
     held: DataFrame
-    """(rep, ids): how many ids hold the set."""
+    """(rep, copies): how many ids hold the set."""
     tallies: DataFrame
     """(id, links, tied): ids that hold a set linked with that of a rep, in parts to be summed, and reps that links tie it to."""
-    same_id: DataFrame
-    """(a, b) of reps that hold texts of one id."""
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> Joined:
     """The links between different sets with a Jaccard similarity of num / den or more, as counts and ties.
 
-    Exact: every link is found and counted, though pairs within a hub are not written out. Equal sets become one by fingerprint (128 bits). All sets enter index lists by
-    their prefix in an order that puts frequent shingles last; how frequent a shingle is
-    comes from counters over all documents. Lists of one set are dropped.
+    Ids that are not null do not repeat. Exact: every link is found and counted, though no
+    pairs are written out. Equal sets become one by fingerprint (128 bits). All sets enter
+    index lists by their prefix in an order that puts frequent shingles last; how frequent a
+    shingle is comes from counters over all documents. Lists of one set are dropped.
 
     Set relations save most comparisons. Every set is compared with one hub first: the set
     with the largest part of its prefix in lists is the hub of a list, and a set takes the
-    hub of most of its lists. Sets near a hub get their links among each other from their
-    differences to it, without lists and without whole sets. Only pairs of different hubs
-    are looked up in lists, and of them only those that sizes and positions allow; a list
-    whose sets all have one hub is skipped whole, and within a list only sets outside its
-    largest hub look for partners. These candidates pass a sketch, which rules out no link,
-    before whole sets are compared.
+    hub of most of its lists; one that is not near it is a hub by itself. Sets of a hub get
+    their answers among each other from their differences to it, without lists and without
+    whole sets. Lists are joined by hub only, not by set, and skipped where sizes and
+    positions of a hub's sets allow no link. Pairs of hubs are ruled out by their sketches,
+    then by their whole sets, as far as the radii of their sets allow; what is left is
+    answered from the differences between the hubs, like sets of one hub.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    counters, part = sized(32 * source.count(), COUNTERS), min(1.0, 1.5 * (1 - num / den) + 0.02)
-    scan = stored(sketched(source, k, counters, part), "sketch")
+    counters = sized(32 * source.count(), COUNTERS)
+    scan = stored(sketched(source, k, counters), "sketch")
     rows = scan.where("chunk is null").select("id", "n", "f1", "f2", "odd")
     classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), counters))
     sketches = rows.where("n > 0 and id is not null").select("id", "n", "odd")
-    first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep", "f1", "f2"), "members")
-    named = members.where("rep is not null").select("id", "rep").distinct()
-    twice = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    same_id = named.join(twice.select("id", "a"), "id").where("a < rep").select("a", F.col("rep").alias("b"))
-    # the set of such an id is not one, so nothing is derived from it
-    several = stored(members.where("rep is not null").select("id", "n", "f1", "f2").distinct().groupBy("id").count().where("count > 1").select("id"), "several")
-
-    listed = postings(source, classes, part, k, num, den)
+    first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep"), "members")
+    held = stored(first.select("rep", "copies"), "held")
+
+    listed = postings(source, classes, k, num, den)
     lists = listed.withColumn("size", F.count("*").over(Window.partitionBy("s"))).where("size > 1")
-    lists = stored(lists.join(named, "id").groupBy("s", F.col("rep").alias("id"), "n").agg(F.min("pos").alias("pos")), "lists")
-    shown = lists.join(several, "id", "left_anti").groupBy("id").agg((F.count("*") / F.max("n")).alias("shown"))
+    lists = stored(lists.join(members.where("rep is not null").select("id", "rep"), "id")
+                   .groupBy("s", F.col("rep").alias("id"), "n").agg(F.min("pos").alias("pos")), "lists")
+    shown = lists.groupBy("id").agg((F.count("*") / F.max("n")).alias("shown"))
     hubs = lists.join(shown, "id").groupBy("s").agg(
         F.max_by(F.struct("id", "n", "pos"), F.struct("shown", (-F.col("id")).alias("low"))).alias("hub"), F.count("*").alias("size")).where("size > 1")
     near = max(2 * num - den, num // 2)
-    star = lists.join(several, "id", "left_anti").alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
+    star = lists.alias("x").join(hubs.select("s", "hub.*").alias("h"), F.col("x.s") == F.col("h.s")) \
         .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", near, den))
     star = star.groupBy(F.col("x.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("times"))
     star = star.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b"))
@@ -430,40 +462,61 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     refs = stored(differences(star, sets(star), near, den), "refs")
     refs = refs.join(refs.select(F.col("hub").alias("id")).distinct(), "id", "left_anti")  # a hub has none itself
 
-    hub_of = refs.select(F.col("id").alias("node"), "hub")
-    known = stored(lists.join(hub_of, F.col("id") == F.col("node"), "left").select(
-        "s", "id", "n", "pos", F.coalesce("hub", "id").alias("c")), "known")
-    parts = known.groupBy("s", "c").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("s").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = known.join(mixed, "s").select("s", "id", "n", "pos", "c", "main")
-    rest = open_.where("c <> main").alias("x").join(open_.alias("y"), F.col("x.s") == F.col("y.s")) \
-        .where((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & possible("x", "y", num, den))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = stored(plausible(rest, sketches, num, den), "rest")
-    between = ordered(verified(rest, sets(rest), num, den)).distinct()
-    between = stored(between.union(between.select("b", "a")), "between")
-    held = stored(members.where("rep is not null").groupBy("rep").agg(F.count_distinct("id").alias("ids")), "held")
-    tallies = around_hubs(refs, held, num, den).union(
-        between.join(held, F.col("b") == F.col("rep")).select("a", F.col("ids").alias("links"), "b"))
-    return Joined(members.select("id", "n", "rep"), held, stored(tallies, "tallies"), same_id)
+    found = lists.groupBy("id").agg(F.max("n").alias("n")).join(refs.select("id", "hub", "diff"), "id", "left")
+    placed = stored(found.join(held.select(F.col("rep").alias("id"), "copies"), "id").select(
+        "id", F.coalesce("hub", "id").alias("c"), "n", "copies", F.coalesce("diff", F.array().cast("array<long>")).alias("diff")), "placed")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("diff")) / WEIGHT)).alias("blocks")
+    stats = stored(placed.groupBy("c").agg(F.count("*").alias("sets"), F.max(F.size("diff")).alias("radius"), F.max("n").alias("most"), blocks), "hubs")
+    buckets = max(1, placed.count() // BLOCK)
+
+    parts = lists.join(placed.select("id", "c"), "id").groupBy("s", "c").agg(
+        F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("least"), F.max("n").alias("most"))
+    parts = stored(parts.join(parts.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi"), "parts")
+    x, y = parts.select("s", *[F.col(c).alias(f"x{c}") for c in parts.columns[1:]]), parts.select("s", *[F.col(c).alias(f"y{c}") for c in parts.columns[1:]])
+    met = x.join(y, "s").where(
+        (F.col("xc") < F.col("yc")) & (F.col("xleast") * num <= F.col("ymost").cast("long") * den) & (F.col("yleast") * num <= F.col("xmost").cast("long") * den)
+        & (F.least("xleft", "yleft") >= least_overlap(F.col("xleast"), F.col("yleast"), num, den)))
+    close = stored(near_hubs(met.select(F.col("xc").alias("c"), F.col("yc").alias("d")).distinct(), stats, sketches, num, den), "close")
+    whole = sets(close.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    one, two = (whole.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "cd")
+    pairs = close.join(one, "c").join(two, "d").select(
+        "c", "d", "allowed", "reach", F.concat(F.array_except("cs", "ds"), F.array_except("ds", "cs")).alias("diff"))
+    pairs = stored(pairs.where(F.size("diff") <= F.col("reach")).drop("reach"), "pairs")
+    tallies = around_hubs(placed, stats, buckets, num, den).union(between_hubs(pairs, placed, stats, buckets, num, den))
+    return Joined(members, held, stored(tallies, "tallies"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id, n_links): groups linked by a Jaccard similarity of num / den or more.
 
     All links are found (`jaccard_links`) and the groups are made from them. n_links counts
-    the other ids that hold an equal or a linked set.
+    the other rows that hold an equal or a linked set.
 
     Ids are integers. Null or empty texts, and texts without words, have no shingles and
     are linked with nothing, like null ids; each is its own component. Rows that repeat
-    an id get a row each and share a component, whatever their texts. Empty input gives
-    no rows; other columns are ignored. Texts are read whole. Hashes have 64 bits.
+    an id are told apart by a number of their own and share a component, whatever their
+    texts. Empty input gives no rows; other columns are ignored. Texts are read whole.
+    Hashes have 64 bits.
     """
-    members, held, tallies, same_id = jaccard_links(docs, id_col, text_col, k, num, den)
-    merged = components(tallies.select(F.col("id").alias("a"), F.col("tied").alias("b")).union(same_id), "groups")
+    rows, key = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), "id"
+    if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        rows, key = stored(rows.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "rows"), "row"
+    members, held, tallies = jaccard_links(rows, key, "t", k, num, den)
+    ties = tallies.select(F.col("id").alias("a"), F.col("tied").alias("b"))
+    if key == "row":
+        named = members.join(rows.select("row", F.col("id").alias("name")), F.col("id") == F.col("row"), "left")
+        of_name = named.where("rep is not null").groupBy("name").agg(F.min("rep").alias("b"))
+        ties = ties.union(named.where("rep is not null").join(of_name, "name").select(F.col("rep").alias("a"), "b"))
+    merged = components(ties, "groups")
     others = tallies.groupBy("id").agg(F.sum("links").alias("others")).withColumnRenamed("id", "a")
     counts = held.join(others, F.col("rep") == F.col("a"), "left").select(
-        F.col("rep").alias("of"), (F.col("ids") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    out = members.join(merged, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("of"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"),
-                      F.coalesce("links", F.lit(0)).alias("n_links"))
+        F.col("rep").alias("of"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = members.join(merged, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("of"), "left").select(
+        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    if key == "row":  # rows back to ids; a component is named by its smallest id
+        out = out.withColumnRenamed("id", "of").join(rows.select("row", "id"), F.col("of") == F.col("row"), "left")
+        least = out.where("id is not null").groupBy(F.col("component_id").alias("group")).agg(F.min("id").alias("least"))
+        # those without words have no group but share the id's
+        of_id = out.where("id is not null").join(least, F.col("component_id") == F.col("group")).groupBy(F.col("id").alias("name")).agg(F.min("least").alias("component"))
+        out = out.join(of_id, F.col("id") == F.col("name"), "left").select("id", "n_shingles", F.col("component").alias("component_id"), "n_links")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
