@@ -3,14 +3,17 @@
 Only top-ups and cycle ends have to be taken in order; they are few. The events
 between two of them form a stretch. One distributed pass computes what each
 stretch would cost if the billing stayed active and reduces it to one row. The
-stretches of a tenant are then settled in order, from a fixed number of values each.
-Single events are needed only for the amount at which a suspended stretch was frozen,
-and only where that amount is used later: it is looked up as the first amount above the
-balance, for all tenants at once, and these tenants are settled again.
+stretches of a tenant are then settled in order, from a bounded number of values each:
+besides its totals a stretch has the highest amounts of up to 256 blocks of its events. The
+amount at which a suspended stretch was frozen is the first one above the balance, so these
+tell the block that holds it; where a block is one event, they tell the amount itself. In
+longer stretches the events of that one block are looked up, only where the amount is used
+later, for all tenants at once, and these tenants are settled again.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +24,9 @@ from loam.schemas import PRICES, Prices
 from loam.session import scratch
 
 SETTLED = "tenant_id string, status string, balance double, amount_due double, message_count long, sensor_count long, last_id long"
-ASKED = "stretch long, above double, base double"
+ASKED = "stretch long, above double, base double, lo long, hi long"
+BLOCKS = 256
+"""Blocks of events that a stretch keeps the highest amounts of."""
 
 
 def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
@@ -38,6 +43,7 @@ def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
         stretch=running_sum(F.when(control, 1).otherwise(0)),
         _messages=running_sum(F.when(kind == "messages", quantity).otherwise(0)),
         _sensors=running_sum(F.when(kind == "sensors", quantity).otherwise(0)),
+        number=running_sum(F.lit(1)),
         _cost=running_sum(charge))
     marks = sums.scan(
         _low=running_min(F.col("_sensors")),
@@ -52,7 +58,7 @@ def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
            + money.from_micros(F.col("_cost") - F.col("_counted")))
     begun = F.col("_cost") - F.coalesce("_begun", F.lit(0))
     return marks.result().select(
-        "tenant_id", "stretch", "happened_at", "id",
+        "tenant_id", "stretch", "happened_at", "id", "number",
         F.when(control, kind).alias("control"), F.when(control, F.col("amount")).alias("paid"),
         messages.alias("message_count"), sensors.alias("sensor_count"),
         F.when(~control & known, due).alias("due"),
@@ -60,14 +66,25 @@ def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
 
 
 def stretches(series: DataFrame) -> DataFrame:
-    """One row per stretch: what begins it, its highest and last amounts, its end counters."""
+    """One row per stretch: what begins it, its highest and last amounts, its end counters, and its blocks.
+
+    The events of a stretch, from number `begin` on, are cut into blocks of `size`; `dues`
+    and `charges` are the highest amounts of each, lowest of all where a block has none.
+    """
     rank = F.struct("happened_at", "id")
     end = F.max_by(F.struct("message_count", "sensor_count", "id"), rank)
     last = F.max_by("due", F.when(F.col("due").isNotNull(), rank))
-    return series.groupBy("tenant_id", "stretch").agg(
-        F.max("control").alias("control"), F.max("paid").alias("paid"),
+    totals = series.groupBy("tenant_id", "stretch").agg(
+        F.min("number").alias("begin"), F.ceil(F.count("*") / BLOCKS).alias("size"), F.max("control").alias("control"), F.max("paid").alias("paid"),
         F.max("charged").alias("charged"), F.max("due").alias("highest"), last.alias("last_due"),
         end.alias("_end")).select("*", "_end.*").drop("_end")
+    none = F.lit(float("-inf"))
+    blocks = _of_tenant(series.select("tenant_id", "stretch", "number", "due", "charged"), totals.select("tenant_id", "stretch", "begin", "size"), "inner", ["stretch"]) \
+        .groupBy("tenant_id", "stretch", F.floor((F.col("number") - F.col("begin")) / F.col("size")).alias("block")) \
+        .agg(F.coalesce(F.max("due"), none).alias("due"), F.coalesce(F.max("charged"), none).alias("charge"))
+    blocks = blocks.groupBy("tenant_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("block", "due", "charge"))).alias("blocks"))
+    blocks = blocks.select("tenant_id", "stretch", F.col("blocks.due").alias("dues"), F.col("blocks.charge").alias("charges"))
+    return _of_tenant(totals, blocks, "inner", ["stretch"])
 
 
 def _of_tenant(frame: DataFrame, other: DataFrame, how: str, also: list[str]) -> DataFrame:
@@ -81,18 +98,27 @@ def _of_tenant(frame: DataFrame, other: DataFrame, how: str, also: list[str]) ->
 
 
 def frozen_amounts(series: DataFrame, asked: DataFrame) -> DataFrame:
-    """(tenant_id, stretch, frozen) of the stretches asked for: the first amount above the balance."""
+    """(tenant_id, stretch, frozen) of the blocks asked for: the first amount above the balance."""
     amount = F.coalesce("due", F.col("base") + F.col("charged"))
     over = F.when(amount > F.col("above"), F.struct("happened_at", "id"))
-    return _of_tenant(series.select("tenant_id", "stretch", "happened_at", "id", "due", "charged"), asked, "inner", ["stretch"]) \
+    found = _of_tenant(series.select("tenant_id", "stretch", "happened_at", "id", "number", "due", "charged"), asked, "inner", ["stretch"])
+    return found.where((F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi"))) \
         .groupBy("tenant_id", "stretch").agg(F.min_by(amount, over).alias("frozen"))
 
 
+def first_above(row, balance: float, began: float) -> tuple[float | None, int, int]:
+    """The first amount of a stretch above the balance, or None and the numbers of the events it is among."""
+    amounts = np.maximum(row.dues, began + np.asarray(row.charges))
+    block = int(np.argmax(amounts > balance))
+    begin = row.begin + block * row.size
+    return (float(amounts[block]) if row.size == 1 else None), begin, begin + row.size
+
+
 def settle(rows: pd.DataFrame) -> tuple:
     """State after a tenant's stretches, taken in order, or the frozen amount that is needed to go on.
 
-    `open_` is (stretch, balance, amount before it) while the amount due is a frozen one
-    that is not known; it exceeds that balance.
+    `open_` is (stretch, balance, amount before it, numbers of the events it is among) while
+    the amount due is a frozen one that is not known; it exceeds that balance.
     """
     status, balance, due, open_ = "active", 0.0, 0.0, None
     need = lambda: (None,) * 6 + open_
@@ -117,14 +143,17 @@ def settle(rows: pd.DataFrame) -> tuple:
             over, due, began, open_ = row.highest > balance, row.last_due, 0.0 if open_ else began, None
         if over:
             status = "suspended"
-            if pd.notna(row.asked):
+            amount, lo, hi = first_above(row, balance, began)
+            if amount is not None:
+                due = amount
+            elif pd.notna(row.asked):
                 due = float("inf") if pd.isna(row.frozen) else row.frozen
             else:
-                due, open_ = float("inf"), (row.stretch, balance, began)
+                due, open_ = float("inf"), (row.stretch, balance, began, lo, hi)
     if open_:
         return need()
     final = rows.loc[rows["stretch"].idxmax()]
-    return status, balance, due, final["message_count"], final["sensor_count"], final["id"], None, None, None
+    return status, balance, due, final["message_count"], final["sensor_count"], final["id"], None, None, None, None, None
 
 
 def _settle_tenant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,18 +170,20 @@ def _stored(frame: DataFrame, purpose: str) -> DataFrame:
 def account_states(events: DataFrame, prices: Prices = PRICES) -> DataFrame:
     """State of every tenant; a tenant's stretches, not its events, meet in one task.
 
-    There are as many rounds as one tenant has frozen amounts that later ones depend on.
+    There are as many rounds as one tenant has frozen amounts that later ones depend on in
+    stretches of more than 256 events; a tenant without such is settled at once. The states
+    of each round are added to one table.
     """
     series = _stored(event_series(events, prices), "billing-series")
     left = _stored(stretches(series), "billing-stretches")
     known = left.select("tenant_id", "stretch", F.lit(None).cast("double").alias("frozen"), F.lit(True).alias("asked")).limit(0)
-    states = None
+    states = scratch(events.sparkSession, "billing-states")
     while True:
         settled = _stored(_of_tenant(left, known, "left", ["stretch"]).groupBy("tenant_id").applyInPandas(_settle_tenant, f"{SETTLED}, {ASKED}"), "billing-settled")
-        ended = settled.where("stretch is null").drop("stretch", "above", "base")
-        states = ended if states is None else states.union(ended)
-        asked = settled.where("stretch is not null").select("tenant_id", "stretch", "above", "base")
+        ended = settled.where("stretch is null").drop("stretch", "above", "base", "lo", "hi")
+        ended.write.mode("append").parquet(states)
+        asked = settled.where("stretch is not null").select("tenant_id", "stretch", "above", "base", "lo", "hi")
         if asked.isEmpty():
-            return states
+            return events.sparkSession.read.schema(ended.schema).parquet(states)
         known = _stored(known.union(frozen_amounts(series, asked).withColumn("asked", F.lit(True))), "billing-frozen")
         left = _stored(_of_tenant(left, asked.select("tenant_id"), "left_semi", []), "billing-stretches")

@@ -194,8 +194,10 @@ def test_states_on_literal_events(spark):
     assert (got[4].status, got[4].amount_due) == ("active", pytest.approx(1.6))
 
 
-def test_states_equal_the_rules_one_by_one_over_many_feeds(spark):
+@pytest.mark.parametrize("blocks", [256, 4, 1])
+def test_states_equal_the_rules_one_by_one_over_many_feeds(spark, monkeypatch, blocks):
     """Amounts off the sensor fee's grid, so that no sum lands exactly on a balance."""
+    monkeypatch.setattr(account_history, "BLOCKS", blocks)
     rng = random.Random(11)
     make = [lambda: ("messages", rng.randrange(400_000), 0.0), lambda: ("sensors", rng.randrange(-3, 4), 0.0),
             lambda: ("query", 0, rng.randrange(1, 3000) / 1000), lambda: ("topup", 0, rng.randrange(1, 9) + 0.0001234), lambda: ("cycle", 0, 0.0)]
@@ -205,17 +207,24 @@ def test_states_equal_the_rules_one_by_one_over_many_feeds(spark):
         same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
 
 
-def test_stretches_have_a_fixed_size(spark):
-    """A tenant whose events all lie in one stretch takes one row of plain values; a chain of frozen amounts is settled right."""
+def test_stretches_have_a_bounded_size(spark, monkeypatch):
+    """A tenant whose events all lie in one stretch takes one row of bounded length; a chain of frozen amounts is settled right."""
     growing = [("messages", 1000, 0.0)] * 3000
     chain = [e for i in range(5) for e in (("query", 0, 1.3), ("query", 0, 1.1 + i), ("topup", 0, 1.0001))]
     feeds = [growing, [("topup", 0, 1.00005), *growing], chain, [*chain, ("cycle", 0, 0.0)], [*chain, ("sensors", 2, 0.0), ("topup", 0, 90.0), ("query", 0, 1.0)]]
     data = [(str(t), T0, i, *e) for t, events in enumerate(feeds) for i, e in enumerate(events)]
-    reduced = account_history.stretches(account_history.event_series(spark.createDataFrame(data, ACCOUNT)))
-    assert not any(kind.startswith(("array", "map")) for _, kind in reduced.dtypes)
-    got = states_of(spark, feeds)
-    for t, events in enumerate(feeds):
-        same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
+    reduced = account_history.stretches(account_history.event_series(spark.createDataFrame(data, ACCOUNT))).collect()
+    assert max(len(r.dues) for r in reduced) == max(len(r.charges) for r in reduced) == 251  # the top-up and 3,000 events by 12
+    for blocks in (256, 1):
+        rounds = []
+        asked = account_history.frozen_amounts
+        monkeypatch.setattr(account_history, "BLOCKS", blocks)
+        monkeypatch.setattr(account_history, "frozen_amounts", lambda *a: rounds.append(1) or asked(*a))
+        got = states_of(spark, feeds)
+        monkeypatch.setattr(account_history, "frozen_amounts", asked)
+        assert len(rounds) <= 1 if blocks == 256 else len(rounds) > 1  # only the long stretch is looked up
+        for t, events in enumerate(feeds):
+            same(got[t], one_by_one(NEW, [(*e, i) for i, e in enumerate(events)]))
 
 
 def test_states_equal_the_freeze_of_one_epoch(tables):
