@@ -91,13 +91,12 @@ def new_farms(t):
 
 
 @query("jn9_query_spend_by_sensor", """
-WITH c AS (SELECT b.tenant_id, CAST(round(l.amount * 1e6) AS BIGINT) AS amount, data_points,
-    regexp_extract_all(lower(description), '[a-z0-9][a-z0-9_-]*') AS d
+WITH c AS (SELECT b.tenant_id, CAST(round(l.amount * 1e6) AS BIGINT) AS amount, data_points, lower(description) AS d
   FROM ledger l JOIN billings b ON l.billing_id = b.billing_id WHERE reference LIKE 'QRY-%'),
 own AS (SELECT s.tenant_id, s.sensor_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
-  FROM sensors s JOIN c ON s.tenant_id = c.tenant_id AND list_contains(c.d, s.sensor_id) GROUP BY 1, 2),
+  FROM sensors s JOIN c ON s.tenant_id = c.tenant_id AND contains(c.d, lower(s.sensor_id)) GROUP BY 1, 2),
 farm AS (SELECT f.tenant_id, f.farm_id, count(*) AS n, sum(data_points) AS qu, sum(amount) AS cost
-  FROM (SELECT DISTINCT tenant_id, farm_id FROM sensors) f JOIN c ON f.tenant_id = c.tenant_id AND list_contains(c.d, f.farm_id) GROUP BY 1, 2)
+  FROM (SELECT DISTINCT tenant_id, farm_id FROM sensors) f JOIN c ON f.tenant_id = c.tenant_id AND contains(c.d, lower(f.farm_id)) GROUP BY 1, 2)
 SELECT s.tenant_id, s.sensor_id, s.farm_id, coalesce(o.n, f.n, 0) AS query_count,
   CAST(coalesce(o.qu, f.qu, 0) AS DOUBLE) AS total_qu, CAST(coalesce(o.cost, f.cost, 0) AS DOUBLE) / 1e6 AS total_cost
 FROM sensors s LEFT JOIN own o ON s.tenant_id = o.tenant_id AND s.sensor_id = o.sensor_id

@@ -124,34 +124,49 @@ def query_spend(ledger: DataFrame, sensor_id: str | None = None,
     return charges.groupBy("billing_id").agg(*_spend())
 
 
-ID_SHAPE = r"[a-z0-9][a-z0-9_-]*"
-"""How an id looks in a lower-cased text: UUIDs and short names alike."""
+GRAM = 4
+"""Letters of the pieces by which ids and texts meet."""
 
 
-def mentioned_ids(charges: DataFrame, shape: str = ID_SHAPE) -> DataFrame:
-    """Charges with one row per word of their text that could be an id.
+def grams(text: Column, size: Column) -> Column:
+    """The different pieces of so many letters of a text; none if it is shorter."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(text, at, size)))).otherwise(F.array().cast("array<string>"))
 
-    An id counts as mentioned if it stands there as a whole word, whatever its case; the
-    beginning of a longer id is no mention. So the search is an equi join.
+
+def mentions(charges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(charge, tenant_id, id): the ids of a charge's tenant that its text contains, letter by letter, whatever their case.
+
+    `charges` has charge, tenant_id and text, `ids` has tenant_id and id, both lower-cased.
+    Every id is kept under one piece of four letters, the one that the fewest ids of its
+    tenant have (shorter ids under themselves). Texts meet ids by an equal join on tenant
+    and piece, and only these are searched for the whole id. Ids without letters count nowhere.
     """
-    found = F.regexp_extract_all(F.lower("description"), F.lit(f"({shape})"), F.lit(1))
-    return charges.withColumn("mentioned", F.explode(F.array_distinct(found)))
+    ids = ids.where(F.length("id") > 0).distinct()
+    pieces = ids.select("tenant_id", "id", F.explode(grams(F.col("id"), F.least(F.length("id"), F.lit(GRAM)))).alias("piece"))
+    common = pieces.groupBy("tenant_id", "piece").agg(F.count("*").alias("n"))
+    kept = pieces.join(common, ["tenant_id", "piece"]).groupBy("tenant_id", "id").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    lengths = F.sequence(F.lit(1), F.lit(GRAM))
+    texts = charges.select("charge", "tenant_id", "text", F.explode(F.flatten(F.transform(lengths, lambda n: grams(F.col("text"), n)))).alias("piece"))
+    return texts.join(kept, ["tenant_id", "piece"]).where(F.contains("text", "id")).select("charge", "tenant_id", "id")
 
 
-def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame, billings: DataFrame, shape: str = ID_SHAPE) -> DataFrame:
+def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame, billings: DataFrame) -> DataFrame:
     """Charges of a tenant that mention each of its sensors, or its farm when none does.
 
-    Charges belong to the tenant of their billing; the same id at two tenants keeps its
-    spend apart.
+    A charge mentions an id if its text contains it, also inside a longer id, whatever its
+    case; `_` and `%` are letters like others. Charges belong to the tenant of their
+    billing; the same id at two tenants keeps its spend apart.
     """
     owner = billings.select("billing_id", "tenant_id").distinct()
-    charges = _query_charges(ledger).select("billing_id", "amount", "data_points", "description").join(owner, "billing_id")
-
-    # One pass finds both kinds of id; Spark reuses the exchange for the second join.
-    found = mentioned_ids(charges, shape).groupBy("tenant_id", "mentioned").agg(*_spend())
+    charges = _query_charges(ledger).select("billing_id", "amount", "data_points", F.lower("description").alias("text")).join(owner, "billing_id")
+    # equal texts of a tenant are searched once
+    texts = charges.select("tenant_id", "text", F.col("text").alias("charge")).distinct()
+    ids = sensors.select("tenant_id", F.lower("sensor_id").alias("id")).union(sensors.select("tenant_id", F.lower("farm_id").alias("id")))
+    found = mentions(texts, ids).withColumnRenamed("charge", "text").join(charges, ["tenant_id", "text"]).groupBy("tenant_id", "id").agg(*_spend())
 
     def spend_of(key: str, prefix: str) -> DataFrame:
-        return found.select("tenant_id", F.col("mentioned").alias(f"_{key}"), *[
+        return found.select("tenant_id", F.col("id").alias(f"_{key}"), *[
             F.col(c).alias(f"{prefix}_{c}") for c in ("query_count", "total_qu", "total_cost")])
     joined = sensors.select("tenant_id", "sensor_id", "farm_id", F.lower("sensor_id").alias("_sensor_id"), F.lower("farm_id").alias("_farm_id"))
     joined = (joined.join(spend_of("sensor_id", "own"), ["tenant_id", "_sensor_id"], "left")

@@ -121,19 +121,20 @@ def test_two_decimals_is_exact(spark, values):
 UUID = "0d9f6a3e-52f1-4c1b-9a57-3f0a2b7c8d9e"
 
 
-def test_mentions_count_by_whole_id_and_tenant(spark, rows):
+def test_mentions_count_by_letters_and_tenant(spark, rows):
+    """An id inside a longer one counts, as it does for one sensor's spend; signs of patterns are letters."""
     data = [("QRY-1", 1.0, 2, "Query on S-123 and s-9", 1), ("QRY-2", 2.0, 3, "select 's-12'", 1), ("TXN-3", 9.0, 9, "s-12", 1),
             ("QRY-4", 4.0, 1, "farm F-7 only", 1), ("QRY-5", 5.0, 1, "s-12 s-12 s-1", 1), ("QRY-6", 7.5, 75, "on s-1", 2),
-            ("QRY-7", 3.0, 4, f"WHERE id='{UUID.upper()}'", 2), ("QRY-8", 6.0, 1, "s-1", 99)]
+            ("QRY-9", 2.5, 1, "q 100%_x", 2), ("QRY-10", 1.5, 1, None, 2), ("QRY-7", 3.0, 4, f"WHERE id='{UUID.upper()}'", 2), ("QRY-8", 6.0, 1, "s-1", 99)]
     ledger = spark.createDataFrame(data, "reference string, amount double, data_points long, description string, billing_id long")
     billings = spark.createDataFrame([(1, "a"), (2, "b")], "billing_id long, tenant_id string")
     own = [("a", "s-1", "f-7"), ("a", "s-12", "f-7"), ("a", "s-123", "f-7"), ("a", "s-5", "f-7"), ("a", "s-6", "f-1"),
-           ("b", "s-1", "f-7"), ("b", UUID, "f-7"), ("b", "s-5", "f-7")]
+           ("b", "q", "f-9"), ("b", "0%_x", ""), ("b", "1_0", None), ("b", "s-1", "f-7"), ("b", UUID, "f-7"), ("b", "s-5", "f-7")]
     sensors = spark.createDataFrame(own, "tenant_id string, sensor_id string, farm_id string")
     got = rows(metering.query_spend_by_sensor(ledger, sensors, billings), "tenant_id", "sensor_id", "query_count", "total_qu", "total_cost")
     assert got == sorted([
-        ("a", "s-1", 1, 1.0, 5.0), ("a", "s-12", 2, 4.0, 7.0), ("a", "s-123", 1, 2.0, 1.0), ("a", "s-5", 1, 1.0, 4.0), ("a", "s-6", 0, 0.0, 0.0),
-        ("b", "s-1", 1, 75.0, 7.5), ("b", UUID, 1, 4.0, 3.0), ("b", "s-5", 0, 0.0, 0.0)], key=repr)
+        ("a", "s-1", 3, 6.0, 8.0), ("a", "s-12", 3, 6.0, 8.0), ("a", "s-123", 1, 2.0, 1.0), ("a", "s-5", 1, 1.0, 4.0), ("a", "s-6", 0, 0.0, 0.0),
+        ("b", "q", 1, 1.0, 2.5), ("b", "0%_x", 1, 1.0, 2.5), ("b", "1_0", 0, 0.0, 0.0), ("b", "s-1", 1, 75.0, 7.5), ("b", UUID, 1, 4.0, 3.0), ("b", "s-5", 0, 0.0, 0.0)], key=repr)
 
 
 def test_metered_runs_pass_the_gate_once(spark, rows):
