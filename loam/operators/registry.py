@@ -82,9 +82,14 @@ def first_allocation(allocations: DataFrame) -> DataFrame:
             .select("sensor_id", "_a.*"))
 
 
-def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `incoming` whose key is not there yet, one per key."""
-    return incoming.dropDuplicates(keys).join(existing, keys, "left_anti")
+def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """Rows of `incoming` whose key is not there yet, one per key.
+
+    Of rows that repeat a key the least stays, by the columns in `order`, then by the others in turn.
+    """
+    ranked = [*order, *[c for c in incoming.columns if c not in (*keys, *order)]]
+    first = incoming.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_first")).select(*keys, "_first.*") if ranked else incoming.distinct()
+    return first.select(*incoming.columns).join(existing, keys, "left_anti")
 
 
 def device_snapshot(sensors: DataFrame, page_size: int = 1000) -> DataFrame:
