@@ -195,5 +195,5 @@ SELECT s.sensor_id, s.budget, 'inactive' AS status FROM sensors s JOIN (
   SELECT sensor_id, sum(increment) AS messages FROM readings GROUP BY 1) r ON s.sensor_id = r.sensor_id
 WHERE s.status = 'active' AND s.budget > 0 AND r.messages * 0.0005e0 >= s.budget""")
 def budget_stream(t):
-    reached = counters.over_budget(t.streamed("readings"), t.sensors)
-    return runs.update_now(reached, ["sensor_id"], "str12").select("sensor_id", "budget", "status")
+    reached = counters.first_crossings(t.streamed("readings"), t.sensors)
+    return runs.append_now(reached, "str12").select("sensor_id", "budget", "status")  # a row for each sensor, ever

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +19,36 @@ def message_counters(readings: DataFrame, keys: list[str]) -> DataFrame:
                                        F.max("event_time").alias("last_message_at"))
 
 
-def over_budget(readings: DataFrame, sensors: DataFrame, prices: Prices = PRICES) -> DataFrame:
-    """Active sensors whose running cost has reached their budget, for update mode."""
-    watched = sensors.filter((F.col("status") == "active") & (F.col("budget") > 0)) \
-                     .select("sensor_id", "budget")
-    cost = money.message_cost(F.col("message_count"), prices)
-    return (message_counters(readings, ["sensor_id"]).join(watched, "sensor_id")
-            .withColumn("cost", cost).filter(F.col("cost") >= F.col("budget"))
-            .withColumn("status", F.lit("inactive")))
+CROSSING = "sensor_id string, event_id long, event_time timestamp, messages long, cost double, budget double, status string"
+
+
+def first_crossings(readings: DataFrame, sensors: DataFrame, prices: Prices = PRICES) -> DataFrame:
+    """The reading at which an active sensor's running cost reaches its budget, once per sensor, for append mode.
+
+    Kept for every watched sensor: its messages so far and whether it has crossed; the state
+    store carries both through restarts. Readings of one micro-batch are taken in order of
+    time and id, micro-batches in order of arrival. Rows with null increments count nothing.
+    """
+    watched = sensors.filter((F.col("status") == "active") & (F.col("budget") > 0)).select("sensor_id", "budget")
+    rows = readings.select("sensor_id", "event_id", "event_time", F.coalesce("increment", F.lit(0)).cast("long").alias("increment")).join(watched, "sensor_id")
+    price = prices.message
+
+    def cross(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        messages, crossed = state.get if state.exists else (0, False)
+        found = pd.concat(frames, ignore_index=True)
+        if crossed:
+            return
+        found = found.sort_values(["event_time", "event_id"], ignore_index=True)
+        upto = messages + found["increment"].cumsum()
+        over = (upto * price >= found["budget"]).to_numpy()
+        state.update((int(upto.iloc[-1]), bool(over.any())))
+        if over.any():
+            at = int(over.argmax())
+            row = found.iloc[at]
+            yield pd.DataFrame({"sensor_id": [key[0]], "event_id": [row["event_id"]], "event_time": [row["event_time"]], "messages": [int(upto[at])],
+                                "cost": [upto[at] * price], "budget": [row["budget"]], "status": ["inactive"]})
+
+    return rows.groupBy("sensor_id").applyInPandasWithState(cross, CROSSING, "messages long, crossed boolean", "append", "NoTimeout")
 
 
 def route(messages: DataFrame, routes: DataFrame) -> DataFrame:

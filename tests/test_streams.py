@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam import schemas
-from loam.operators import account_history, readings
+from loam.operators import account_history, billing, readings
 from loam.session import scratch
 from loam.sources import lake, streams
 from loam.streaming import billing_log, counters, ingest, runs, windows
@@ -192,3 +192,24 @@ def test_first_message_activates_once(spark, rows):
 def test_unknown_source_kind(spark):
     with pytest.raises(ValueError):
         streams.message_stream(spark, "carrier pigeon")
+
+
+def test_a_sensor_crosses_its_budget_once(spark, tmp_path):
+    """The first crossing in order of events, over several batches and a restart; equal to the one of the whole history."""
+    schema = "sensor_id string, event_id long, event_time timestamp, increment int"
+    sensors = spark.createDataFrame([("a", "active", schemas.PRICES.message * 5), ("b", "active", schemas.PRICES.message * 900), ("c", "inactive", schemas.PRICES.message), ("d", "active", 0.0),
+                                     ("e", "active", schemas.PRICES.message * 7)], "sensor_id string, status string, budget double")
+    began = datetime.datetime(2026, 1, 1)
+    data = [(s, i, began + datetime.timedelta(seconds=i // 2), 1 + i % 2) for i in range(60) for s in ("a", "b", "c", "d", "e") if s != "e" or i < 50]
+    result = None
+    for part in range(3):  # the second and third start go on from the state of the first
+        own = data[part * len(data) // 3:(part + 1) * len(data) // 3]
+        spark.createDataFrame(own[::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = counters.first_crossings(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), sensors)
+        writer = found.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+        runs.start(writer, str(tmp_path / "state"), None).awaitTermination()
+        result = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
+    columns = ["sensor_id", "event_id", "event_time", "messages", "cost", "budget", "status"]
+    want = billing.deactivate_over_budget(spark.createDataFrame(data, schema), sensors).select(*columns)
+    assert sorted(map(tuple, result.select(*columns).collect())) == sorted(map(tuple, want.collect()))
+    assert [r.sensor_id for r in result.orderBy("sensor_id").collect()] == ["a", "e"]
