@@ -247,12 +247,31 @@ SELECT topic, time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 1 SECOND, TIMESTAMP '19
 FROM (SELECT *, lag(counter) OVER (PARTITION BY topic, kafka_partition ORDER BY ts) AS before FROM {_counter()} c) x
 GROUP BY 1, 2""")
 def counter_rate(t):
+    return monitoring.counter_rate(_restarted(t), ["topic", "kafka_partition"], "counter", ["topic"], 6 * 3600) \
+        .withColumn("rate", F.round("rate", 9))
+
+
+@query("agg20_rates_at_steps", f"""
+WITH d AS (SELECT topic, kafka_partition, ts, counter, lag(counter) OVER (PARTITION BY topic, kafka_partition ORDER BY ts) AS before
+    FROM {_counter()} c),
+  x AS (SELECT *, sum(CASE WHEN before IS NULL THEN 0 WHEN counter < before THEN counter ELSE counter - before END)
+    OVER (PARTITION BY topic, kafka_partition ORDER BY ts) AS total FROM d),
+  steps AS (SELECT unnest(generate_series(min(ts), max(ts) + INTERVAL 6 HOUR, INTERVAL 1 HOUR)) AS step FROM samples),
+  r AS (SELECT x.topic, x.kafka_partition, g.range_s, steps.step, max(total) - min(total) AS rise
+    FROM steps CROSS JOIN (VALUES (CAST(7200 AS BIGINT)), (CAST(21600 AS BIGINT))) g(range_s)
+    JOIN x ON x.ts > steps.step - to_seconds(g.range_s) AND x.ts <= steps.step
+    GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+SELECT topic, range_s, step, round(CAST(sum(rise) AS DOUBLE) / range_s, 9) AS rate FROM r GROUP BY topic, range_s, step""")
+def rates_at_steps(t):
+    """A short and a long range at every hour, the step of the samples."""
+    return monitoring.rates_at_steps(_restarted(t), ["topic", "kafka_partition"], "counter", ["topic"], [2 * 3600, 6 * 3600], 3600) \
+        .withColumn("rate", F.round("rate", 9))
+
+
+def _restarted(t):
     day = t.samples.withColumn("day", F.to_date("ts"))
     start = day.groupBy("topic", "kafka_partition", "day").agg(F.min("messages_in_total").alias("start"))
-    restarted = day.join(start, ["topic", "kafka_partition", "day"]) \
-        .withColumn("counter", F.col("messages_in_total") - F.col("start"))
-    return monitoring.counter_rate(restarted, ["topic", "kafka_partition"], "counter", ["topic"], 6 * 3600) \
-        .withColumn("rate", F.round("rate", 9))
+    return day.join(start, ["topic", "kafka_partition", "day"]).withColumn("counter", F.col("messages_in_total") - F.col("start"))
 
 
 @query("agg21_gauges", """

@@ -29,6 +29,33 @@ def counter_rate(samples: DataFrame, series: list[str], counter: str, by: list[s
             .agg((F.sum(increase) / window_s).alias("rate")))
 
 
+def rates_at_steps(samples: DataFrame, series: list[str], counter: str, by: list[str], ranges_s: list[int], step_s: int) -> DataFrame:
+    """Per-second increase of a counter over the last `range_s` seconds at every step, summed to `by`.
+
+    Steps are the multiples of `step_s`; a range takes the samples after its beginning up
+    to the step. Resets are corrected in a running total, so the increase within a range is
+    the highest total less the lowest. Samples are reduced to one row per series and step
+    first, and only these are copied into the ranges that cover them. A series with one
+    sample in a range has no rate there.
+    """
+    if any(r <= 0 or r % step_s for r in ranges_s):
+        raise ValueError("a range must be a whole number of steps")
+    value, before = F.col(counter), F.col("_before")
+    rise = F.when(before.isNull(), 0).when(value < before, value).otherwise(value - before)
+    known = samples.filter(value.isNotNull() & F.col("ts").isNotNull())
+    total = (Ordered.of(known, series, ["ts"]).scan(_before=previous(value))
+             .scan(_total=running_sum(rise)).result())
+    pane = F.ceil(F.unix_micros("ts") / (step_s * 1_000_000)) * step_s
+    panes = total.groupBy(*series, pane.alias("_pane")).agg(
+        F.min("_total").alias("_low"), F.max("_total").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    reach = F.explode(F.array(*[F.lit(r).cast("long") for r in ranges_s])).alias("range_s")
+    steps = F.explode(F.sequence("_pane", F.col("_pane") + F.col("range_s") - step_s, F.lit(step_s).cast("long"))).alias("_step")
+    of_series = (panes.select("*", reach).select("*", steps).groupBy(*series, "range_s", "_step")
+                 .agg((F.max("_high") - F.min("_low")).alias("_rise"), F.sum("_n").alias("_n")))
+    return (of_series.filter("_n > 1").groupBy(*by, "range_s", F.timestamp_seconds("_step").alias("step"))
+            .agg((F.sum("_rise") / F.col("range_s")).alias("rate")))
+
+
 def gauges(samples: DataFrame, gauge: str) -> DataFrame:
     """Sum and mean of a gauge over the partitions of a topic at every instant."""
     return samples.groupBy("ts", "topic").agg(

@@ -1,5 +1,6 @@
 """Scans in stretches give what a plain window gives, also when one key holds most rows."""
 
+import datetime
 import random
 
 import pytest
@@ -133,3 +134,30 @@ def test_trailing_stats_include_both_ends(spark, rows):
     assert rows(got, "k", F.col("second") - start, "min_value", "max_value", "avg_value") == sorted([
         ("a", 0, 1.0, 5.0, 3.0), ("a", 100, 1.0, 9.0, 5.0), ("a", 101, 2.0, 9.0, 5.5), ("b", 50, 4.0, 4.0, 4.0)],
         key=repr)
+
+
+def test_rates_at_every_step(spark):
+    """Overlapping ranges with resets, gaps and samples off the grid, against every pair of samples."""
+    rng = random.Random(5)
+    data = []
+    for series in ("a", "b", "c"):
+        at, value = 0, 0
+        for _ in range(0 if series == "c" else 120):
+            at += rng.choice([1, 7, 15, 60, 400])
+            value = rng.randrange(5) if rng.random() < 0.1 else value + rng.randrange(50)
+            data.append(("t", series, datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=at), value))
+    data += [("t", "c", datetime.datetime(2026, 1, 1), 4), ("t", "a", None, 9), ("t", "b", data[0][2], None)]
+    want = {}
+    for series in ("a", "b", "c"):
+        own = sorted((int((when - datetime.datetime(2026, 1, 1)).total_seconds()), v) for _, s, when, v in data if s == series and when and v is not None)
+        for reach in (60, 300):
+            for step in range(0, own[-1][0] + reach + 15, 15):
+                inside = [i for i, (at, _) in enumerate(own) if step - reach < at <= step]
+                if len(inside) > 1:
+                    rise = sum(own[i][1] if own[i][1] < own[i - 1][1] else own[i][1] - own[i - 1][1] for i in inside[1:])
+                    want[reach, step] = want.get((reach, step), 0) + rise
+    frame = spark.createDataFrame(data, "topic string, part string, ts timestamp, counter long")
+    got = monitoring.rates_at_steps(frame, ["topic", "part"], "counter", ["topic"], [60, 300], 15).collect()
+    assert {(r.range_s, int((r.step - datetime.datetime(2026, 1, 1)).total_seconds())): round(r.rate * r.range_s) for r in got} == want
+    with pytest.raises(ValueError):
+        monitoring.rates_at_steps(frame, ["part"], "counter", ["topic"], [100], 15)
