@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.session import scratch
+from loam.streaming.snapshots import Snapshots, upserts
 
 TRIGGER_SECONDS = 5
 
@@ -33,14 +34,6 @@ def changelog(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_of_changelog(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row of each key in a changelog."""
-    rows = spark.read.parquet(path)
-    row = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "_batch")]),
-                   F.col("_batch"))
-    return rows.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*")
-
-
 def append_now(rows: DataFrame, purpose: str) -> DataFrame:
     """Run an append-mode stream over what is there now; returns the table it wrote."""
     spark = rows.sparkSession
@@ -52,8 +45,8 @@ def append_now(rows: DataFrame, purpose: str) -> DataFrame:
 
 def update_now(rows: DataFrame, keys: list[str], purpose: str) -> DataFrame:
     """Run an update-mode stream over what is there now; returns the newest row per key."""
-    spark = rows.sparkSession
-    root = scratch(spark, purpose)
-    writer = rows.writeStream.foreachBatch(changelog(f"{root}/rows")).outputMode("update")
+    root = scratch(rows.sparkSession, purpose)
+    table = Snapshots(rows.sparkSession, f"{root}/rows", rows.schema, keys)
+    writer = rows.writeStream.foreachBatch(upserts(table)).outputMode("update")
     start(writer, f"{root}/checkpoint", None).awaitTermination()
-    return latest_of_changelog(spark, f"{root}/rows", keys)
+    return table.read()
