@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam import schemas
+from loam.sources.offsets import IDENTITY, OffsetLog
 
 # Folders. Tenant, farm and hour stay ordinary columns: as folders they would leave
 # a swarm of tiny files with every micro-batch. Files are sorted by tenant and
@@ -15,7 +16,6 @@ from loam import schemas
 LAYOUT = ["sensor_type", "event_date"]
 CLUSTERING = ["tenant_id", "sensor_id", "event_time"]
 ROWS_PER_FILE = 2_000_000
-IDENTITY = ["raw_topic", "_partition", "_offset"]
 SOURCE_COLUMNS = [("_partition", "int"), ("_offset", "bigint"), ("commit_id", "string")]
 SNAPSHOT_DAYS = 7
 PARTITIONS_PER_DROP = 500
@@ -26,6 +26,7 @@ class Lake:
         self.spark, self.database, self.root = spark, database, root.rstrip("/")
         self.readings = f"{database}.readings"
         self.dead_letters = f"{database}.dead_letters"
+        self.offsets = OffsetLog(spark, f"{self.root}/offset_log", self.readings, self.dead_letters)
 
     def create(self) -> Lake:
         """Create what is missing; existing tables are left alone."""
@@ -52,33 +53,32 @@ class Lake:
         if name not in self.spark.table(table).columns:
             self.spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({name} {kind})")
 
-    def append(self, rows: DataFrame, commit_id: str, repeated: bool = False, drop_replays: bool = False) -> None:
+    def append(self, rows: DataFrame, commit_id: str, repeated: bool = False, logged: bool = False) -> None:
         """One write for all types and tenants; `rows` should be persisted.
 
         With `repeated` the commit may have been tried before: rows of it that are
-        stored already, found by topic, partition and offset, are left out. With
-        `drop_replays` those that any commit has stored are.
+        stored already, found by topic, partition and offset, are left out. `logged`
+        says that the caller has announced the commit to `offsets` and will record it.
         """
-        self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING, drop_replays)
+        self._commit(rows, self.readings, commit_id, repeated, LAYOUT, CLUSTERING, logged)
 
-    def append_dead(self, rows: DataFrame, commit_id: str, repeated: bool = False, drop_replays: bool = False) -> None:
-        self._commit(rows, self.dead_letters, commit_id, repeated, ["arrival_date"], IDENTITY, drop_replays)
+    def append_dead(self, rows: DataFrame, commit_id: str, repeated: bool = False, logged: bool = False) -> None:
+        self._commit(rows, self.dead_letters, commit_id, repeated, ["arrival_date"], IDENTITY, logged)
 
     def _commit(self, rows: DataFrame, table: str, commit_id: str, repeated: bool,
-                layout: list[str], clustering: list[str], drop_replays: bool) -> None:
+                layout: list[str], clustering: list[str], logged: bool) -> None:
         day = F.col(layout[-1])
         extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first"),
                           F.max(day).alias("last")).first()
         if not extent.n:
             return
+        if not logged:
+            self.offsets.forget()
         stored = rows.sparkSession.table(table)
-        if repeated or drop_replays:
-            # Folders outside the commit's days are not listed.
+        if repeated:
+            # Folders outside the commit's days are not listed, row groups of others not read.
             known = stored.filter(day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"])))
-            if not drop_replays:  # other commits' row groups are not read
-                known = known.filter(F.col("commit_id") == commit_id)
-            known = known.select(*IDENTITY)
-            rows = rows.join(known, IDENTITY, "left_anti")
+            rows = rows.join(known.filter(F.col("commit_id") == commit_id).select(*IDENTITY), IDENTITY, "left_anti")
         # A small commit gets one file per folder. In a large one the rows of a
         # folder are dealt out evenly, so neither a busy type nor a busy tenant
         # or sensor ends up in a single task.

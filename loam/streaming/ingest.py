@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loam.operators.readings import accepted, dead_letters, parsed
 from loam.sources.lake import Lake
@@ -19,8 +20,8 @@ def write_batch(lake: Lake, drop_replays: bool = False) -> Callable[[DataFrame,
     (topic, partition, offset) that is twice in a batch is written once. A micro-batch is
     only ever repeated by a fresh start of the stream, so the first one this sink sees,
     and any that does not follow the last one, is checked against what its commit has
-    stored; with `drop_replays` every one is, against all that is stored for its days.
-    Batches without rows write nothing.
+    stored; with `drop_replays` every one is, against the runs of offsets that the lake
+    holds. Batches without rows write nothing.
     """
     done: list[int] = []
 
@@ -29,17 +30,37 @@ def write_batch(lake: Lake, drop_replays: bool = False) -> Callable[[DataFrame,
         rows = parsed(batch).persist(StorageLevel.DISK_ONLY)
         try:
             commit = runs.commit_id(batch, batch_id)
-            lake.append(accepted(rows), commit, repeated, drop_replays)
-            lake.append_dead(dead_letters(rows), commit, repeated, drop_replays)
+            if drop_replays:
+                _write_new(lake, rows, commit)
+            else:
+                lake.append(accepted(rows), commit, repeated)
+                lake.append_dead(dead_letters(rows), commit, repeated)
         finally:
             rows.unpersist()
         done[:] = [batch_id]
     return write
 
 
+def _write_new(lake: Lake, rows: DataFrame, commit: str) -> None:
+    """Writes the records that the lake does not hold, between announcing and recording them."""
+    days = F.least("event_date", "arrival_date"), F.greatest("event_date", "arrival_date")
+    extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min(days[0]).alias("since"), F.max(days[1]).alias("until")).first()
+    if not extent.n:
+        return
+    new = lake.offsets.begin(rows, commit, extent.since, extent.until)
+    kept = rows if new is None else new.persist(StorageLevel.DISK_ONLY)
+    try:
+        lake.append(accepted(kept), commit, logged=True)
+        lake.append_dead(dead_letters(kept), commit, logged=True)
+    finally:
+        if new is not None:
+            kept.unpersist()
+    lake.offsets.finish(rows)
+
+
 def ingest(messages: DataFrame, lake: Lake, checkpoint: str, every: str | None = "5 seconds",
            drop_replays: bool = True):
-    """`drop_replays` looks up the identities stored for a batch's days.
+    """`drop_replays` leaves out records whose offsets the lake holds already.
 
     A source that never delivers a record in two batches, such as Kafka, does not need it.
     """

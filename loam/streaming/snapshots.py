@@ -49,8 +49,17 @@ class Snapshots:
 
     def read(self) -> DataFrame:
         """What is kept now: one snapshot and the deltas since."""
+        return self.merge(self.unmerged()).select(*self.schema.names)
+
+    def unmerged(self) -> DataFrame:
+        """The rows that `read` merges, with their batch."""
         upto, versions = self.manifest()
-        return self.merge(self._rows(versions).unionByName(self.deltas(upto))).select(*self.schema.names)
+        deltas = self._deltas(upto, max(self._batches(), default=upto)).drop(_BUCKET)
+        return self._rows(versions).unionByName(deltas)
+
+    def last(self) -> int:
+        """Number of the last micro-batch that is kept, -1 before the first."""
+        return max([-1, *self._complete("manifests")[-1:], *self._batches()[-1:]])
 
     def compact(self) -> int:
         """Merges the deltas into the buckets they touch; returns how many were rewritten."""
@@ -87,10 +96,6 @@ class Snapshots:
         done = self._complete("manifests")
         return (done[-1], self._versions(done[-1])) if done else (-1, {})
 
-    def deltas(self, upto: int) -> DataFrame:
-        """Rows of the batches after `upto`, with their batch."""
-        return self._deltas(upto, max(self._batches(), default=upto)).drop(_BUCKET)
-
     def _deltas(self, after: int, last: int) -> DataFrame:
         """Only the folders of these batches are listed and read."""
         schema = T.StructType([*self.schema.fields, T.StructField(_BUCKET, T.IntegerType()), T.StructField(_BATCH, T.LongType())])
