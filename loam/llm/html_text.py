@@ -6,6 +6,7 @@ import html as markup
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +28,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 MAIN = ("article", "main")
 
 _ATTRIBUTES = r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<svg(?=[\s/>]){_ATTRIBUTES.replace('((', '(?:(', 1)}(?<!/)>.*?</svg\s*>|<(/?)([a-zA-Z][^\s/>]*){_ATTRIBUTES}>"
-    r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+_UNSEEN = rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+_DRAWING = rf"|<svg(?=[\s/>]){_ATTRIBUTES.replace('((', '(?:(', 1)}(?<!/)>.*?</svg\s*>"
+_TAG = rf"|<(/?)([a-zA-Z][^\s/>]*){_ATTRIBUTES}>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
+_TOKEN = re.compile(_UNSEEN + _DRAWING + _TAG, re.S | re.I)
+_NO_DRAWING = re.compile(_UNSEEN + _TAG, re.S | re.I)
+_DRAWING_ENDS = re.compile(r"</svg\s*>", re.I)
+# Points of a text reach this many ancestors; further ones would get less than a thirtieth.
+REACH = 12
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # A class or id is left out if it is one of these names, alone or with words that only say where or in what.
 _REPLIES = r"comments?|commentlist|disqus\w*|replies|respond"
@@ -51,7 +56,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "named", "link", "inner", "score", "text", "linked", "links")
+    __slots__ = ("tag", "up", "out", "named", "link", "inner", "score", "text", "linked", "links", "mark")
 
     def __init__(self, tag: str, attributes: str = "", up: Node | None = None, spared: bool = False):
         self.tag, self.up = tag, up
@@ -60,7 +65,7 @@ class Node:
         why = unwanted(tag, attributes, up) if up is not None else ""
         self.named = why == "name"
         self.out = up is not None and (up.out or bool(why) and not (self.named and spared))
-        self.score, self.text, self.linked, self.links = 0.0, 0, 0, 0
+        self.score, self.text, self.linked, self.links, self.mark = 0.0, 0, 0, 0, False
 
     def above(self) -> Iterator[Node]:
         node: Node | None = self
@@ -102,28 +107,38 @@ def spared(page: str) -> frozenset[int]:
     They hold an article or main element with text, or most points of the page's text.
     """
     places: dict[Node, int] = {}
-    found = blocks(page, None, places)
-    held: dict[Node, float] = dict.fromkeys(places, 0.0)
-    total, stay = 0.0, set()
+    found, nodes = blocks(page, None, places)
+    total = 0.0
     for node, text, linked in found:
-        points, inner = points_of(node, text, linked), False
+        points = points_of(node, text, linked)
         total += points
-        for n in node.above():
-            if n in held:
-                held[n] += points
-                if inner:
-                    stay.add(places[n])
-            inner = inner or n.tag in MAIN
-    return frozenset(stay | {places[n] for n, points in held.items() if points > total / 2})
+        node.score += points
+        node.text += len(text)
+    for n in reversed(nodes):  # children come before their parents; `mark`: holds an article or main
+        if n.up:
+            n.up.score += n.score
+            n.up.text += n.text
+            n.up.mark |= n.mark or n.text > 0 and n.tag in MAIN
+    return frozenset(place for n, place in places.items() if n.mark or n.score > total / 2)
+
+
+def tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tags, comments and raw elements in order. Drawings are looked for up to the last end of one."""
+    ends = max((m.start() for m in _DRAWING_ENDS.finditer(page)), default=-1)
+    at = 0
+    while m := (_TOKEN if at <= ends else _NO_DRAWING).search(page, at):
+        yield m
+        at = m.end()
 
 
-def blocks(page: str, stay: frozenset[int] | None = frozenset(), places: dict[Node, int] | None = None) -> list[tuple[Node, str, int]]:
-    """(block element, text, characters in links) of all that is not left out, in page order.
+def blocks(page: str, stay: frozenset[int] | None = frozenset(), places: dict[Node, int] | None = None) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """(block element, text, characters in links) of all that is not left out, in page order, and all elements in order of their start.
 
     Elements at the places `stay` (None: all) are not left out for their class or id; `places`
     gets where elements with such a class or id begin.
     """
     at = root = Node("html")
+    nodes = [root]
     opened: Counter[str] = Counter()
     found: list[tuple[Node, str, int]] = []
     held: list[str] = []
@@ -161,7 +176,7 @@ def blocks(page: str, stay: frozenset[int] | None = frozenset(), places: dict[No
                     at = node.up or root
                     return
 
-    for m in _TOKEN.finditer(page):
+    for m in tokens(page):
         put(page[last:m.start()])
         last = m.end()
         tag = (m[4] or "").lower()
@@ -181,15 +196,15 @@ def blocks(page: str, stay: frozenset[int] | None = frozenset(), places: dict[No
             if tag in ("svg", "math") and m[5].endswith("/"):
                 continue
             at = Node(tag, m[5], at, stay is None or m.start() in stay)
+            nodes.append(at)
             if at.named and places is not None:
                 places[at] = m.start()
             opened[tag] += 1
             if tag == "a":
-                for n in at.above():
-                    n.links += 1
+                at.links = 1
     put(page[last:])
     end_block()
-    return found
+    return found, nodes
 
 
 def main_text(page: str) -> str:
@@ -199,39 +214,52 @@ def main_text(page: str) -> str:
     point, one a comma and one for each 100 characters up to three, less the share of its
     text that is links; the next ancestor gets half, further ones a third of that by their
     distance. Articles and main elements get 25 more. Points of a container count by the
-    share of its text outside links. An article (else a main element) around the best
-    container takes its place. Otherwise siblings with a fifth of its points are kept too,
-    and paragraphs beside it that read like text. Lists that are nearly all links are left out.
+    share of its text outside links. The article (else the main element) nearest
+    around the best container takes its place. Otherwise siblings with a fifth of its points are kept too,
+    and paragraphs beside it that read like text. Outside articles, lists that are nearly all
+    links are left out. The work grows with the page, however deep its tree.
     """
-    found = blocks(page, spared(page))
-    for node, text, linked in found:
-        for n in node.above():
-            n.text += len(text)
-            n.linked += linked
+    found, tree = blocks(page, spared(page))
     for node, text, linked in found:
+        node.text += len(text)
+        node.linked += linked
         if points := points_of(node, text, linked):
             holder = node.up if node.tag in LEAF and node.up else node
-            for depth, n in enumerate(holder.above()):
+            for depth, n in enumerate(islice(holder.above(), REACH)):
                 n.score += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-    lists = {n for node, _, _ in found for n in node.above() if n.links >= 3 and n.density() >= 0.8 and n.tag not in ("html", "body", *MAIN)}
-    nodes = dict.fromkeys(n for node, _, _ in found for n in node.above() if n.tag not in LEAF and n.tag in BLOCK)
+    for n in reversed(tree):  # children come before their parents
+        if n.up:
+            n.up.text += n.text
+            n.up.linked += n.linked
+            n.up.links += n.links
+    holders: dict[Node, None] = {}
+    for node, _, _ in found:
+        for n in node.above():
+            if n in holders:
+                break
+            holders[n] = None
+    nodes = [n for n in holders if n.tag not in LEAF and n.tag in BLOCK]
     if not nodes:
         return ""
     best = max(nodes, key=Node.value)
-    for tag in reversed(MAIN):
-        best = next((n for n in best.above() if n.tag == tag), best)
+    for tag in MAIN:
+        if around := next((n for n in best.above() if n.tag == tag), None):
+            best = around
+            break
     keep = {best}
     if best.tag not in MAIN and best.up:
         enough = 0.2 * best.value()
         keep |= {n for n in nodes if n.up is best.up and n.value() >= enough}
         keep |= {node for node, text, linked in found if node.up is best.up and node.tag in LEAF and (
             len(text) > 80 and linked < 0.25 * len(text) or not linked and text[-1:] in ".!?")}
-    kept = []
-    for node, text, _ in found:
-        above = list(node.above())
-        if not keep.isdisjoint(above) and lists.isdisjoint(above):
-            kept.append(text)
-    return "\n".join(kept)
+    article, lists = set(), set()
+    for n in tree:  # parents come before their children; `mark`: is or lies in what is kept
+        n.mark = n in keep or n.up is not None and n.up.mark
+        if n.tag == "article" or n.up in article:
+            article.add(n)
+        elif n.up in lists or n.links >= 3 and n.density() >= 0.8 and n.tag not in ("html", "body", *MAIN):
+            lists.add(n)
+    return "\n".join(text for node, text, _ in found if node.mark and node not in lists)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -4,13 +4,15 @@ import hashlib
 import html
 import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm import oracles
+from loam.llm import html_text, oracles
 from loam.llm.html_text import extract, main_text
 from loam.llm.quote_links import link_quotes
 from loam.llm.warc import archived, read_warc, write_warc
@@ -179,3 +181,68 @@ def test_native_operators_stay_native(spark, plan):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for frame in (link_quotes(spark.read.parquet(f"{SMALL}/conversations.parquet")), measured(docs, "text", F.col("doc_id"))):
         assert not re.search("Python|Pandas|Arrow", plan(frame))
+
+
+def test_the_article_comes_before_main_and_keeps_its_lists():
+    words = "one, two, three and more of a text that is read. " * 4
+    links = "".join(f"<li><a href='/{i}'>reference number {i}</a></li>" for i in range(3))
+    teaser = "<div><p>A teaser of some other text.</p></div>"
+    assert html_text.main_text(f"<main><article><p>{words}</p></article>{teaser}</main>") == words.strip()
+    inside = html_text.main_text(f"<body><article><p>{words}</p><ul>{links}</ul></article><ul>{links}</ul></body>")
+    assert inside.split("\n") == [words.strip()] + [f"reference number {i}" for i in range(3)]
+    outside = html_text.main_text(f"<main><p>{words}</p>{teaser}<ul>{links}</ul></main>")
+    assert outside.split("\n") == [words.strip(), "A teaser of some other text."]
+
+
+@pytest.mark.parametrize("part", ["<div><a href=x>link</a>", "<svg a>", "<div>some text that is long enough, for points",
+                                  "<svg a></svg><svg b>", "<p><span>text", "<ul><li><a href=x>one</a>"])
+def test_time_grows_with_the_page_only(part):
+    began = time.process_time()
+    html_text.main_text(part * 20_000)
+    assert time.process_time() - began < 10
+
+
+def plain_text(page):
+    """The same scoring with a climb to the root for every block."""
+    found, _ = html_text.blocks(page, html_text.spared(page))
+    text, linked, score = Counter(), Counter(), Counter()
+    for node, words, in_links in found:
+        for n in node.above():
+            text[n] += len(words)
+            linked[n] += in_links
+        holder = node.up if node.tag in html_text.LEAF and node.up else node
+        for depth, n in enumerate(list(holder.above())[:html_text.REACH]):
+            score[n] += html_text.points_of(node, words, in_links) / [1, 2, *(3 * d for d in range(2, 99))][depth]
+    value = {n: (score[n] + 25 * (n.tag in ("article", "main"))) * (1 - linked[n] / text[n]) for n in text
+             if n.tag in html_text.BLOCK and n.tag not in html_text.LEAF}
+    if not value:
+        return ""
+    best = max(value, key=value.get)
+    around = [n for tag in ("article", "main") for n in best.above() if n.tag == tag]
+    best = around[0] if around else best
+    kept = []
+    for node, words, in_links in found:
+        above = list(node.above())
+        beside = best.tag not in ("article", "main") and best.up and (
+            any(n.up is best.up and value.get(n, -1) >= value[best] / 5 for n in above)
+            or node.up is best.up and node.tag in html_text.LEAF and (
+                len(words) > 80 and in_links < len(words) / 4 or not in_links and words[-1] in ".!?"))
+        if best in above or beside:
+            kept.append(words)
+    return "\n".join(kept)
+
+
+def test_scoring_equals_a_plain_one():
+    rng = random.Random(11)
+    for _ in range(300):
+        page, opened = "", []
+        for _ in range(rng.randrange(1, 60)):
+            if opened and rng.random() < 0.4:
+                page += f"</{opened.pop()}>"
+            else:
+                opened.append(rng.choice(["div"] * 4 + ["section", "article", "main", "p", "ul", "li", "h2", "blockquote"]))
+                page += f"<{opened[-1]}>" + rng.choice(["", "", "word. ", "some words, and more of them. " * rng.randrange(1, 9)])
+            if rng.random() < 0.04:
+                page += "<a href=x>a link, as it is</a>"
+        if page.count("<a ") < 3:  # no list of links
+            assert html_text.main_text(page) == plain_text(page), page
