@@ -13,8 +13,11 @@ later, for all tenants at once, and these tenants are settled again.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ SETTLED = "tenant_id string, status string, balance double, amount_due double, m
 ASKED = "stretch long, above double, base double, lo long, hi long"
 BLOCKS = 256
 """Blocks of events that a stretch keeps the highest amounts of."""
+# What workers run is sent to them, so that they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def event_series(events: DataFrame, prices: Prices = PRICES) -> DataFrame:

@@ -49,15 +49,43 @@ def record_schema(declared) -> T.StructType:
 def decode(value: Column, declared: str) -> Column:
     """JSON text of a registry record as a struct; malformed text gives null fields.
 
-    Times in milliseconds at the top level become timestamps.
+    Times in milliseconds become timestamps wherever they stand: in records, arrays and maps.
     """
     schema = record_schema(declared)
-    timed = {f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)}
-    if not timed:
-        return F.from_json(value.cast("string"), schema)
-    plain = T.StructType([T.StructField(f.name, T.LongType(), f.nullable) if f.name in timed else f for f in schema.fields])
-    read = F.from_json(value.cast("string"), plain)
-    return F.struct(*[(F.timestamp_millis(read[f.name]) if f.name in timed else read[f.name]).alias(f.name) for f in schema.fields])
+    read = F.from_json(value.cast("string"), _with_millis(schema))
+    return F.struct(*[_timed(read[f.name], f.dataType).alias(f.name) for f in schema.fields]) if _has_time(schema) else read
+
+
+def _has_time(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_time(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_time(kind.elementType)
+    return _has_time(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, T.TimestampType)
+
+
+def _with_millis(kind: T.DataType) -> T.DataType:
+    """The type as it is written: times are whole numbers."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_millis(f.dataType), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_millis(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _with_millis(kind.valueType), kind.valueContainsNull)
+    return T.LongType() if isinstance(kind, T.TimestampType) else kind
+
+
+def _timed(column: Column, kind: T.DataType) -> Column:
+    """A value as it was written, with its times as timestamps; a null record stays null."""
+    if not _has_time(kind):
+        return column
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[_timed(column[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda item: _timed(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, item: _timed(item, kind.valueType))
+    return F.timestamp_millis(column)
 
 
 def decode_binary(value: Column, declared: str) -> Column:

@@ -1,5 +1,6 @@
 """Options of connectors whose drivers are not on the class path, by a recording reader."""
 
+import datetime
 import json
 
 import pytest
@@ -87,3 +88,21 @@ def test_times_in_milliseconds_become_timestamps(spark):
     frame = spark.createDataFrame([('{"at": 1704067200123, "v": 2.5}',), ("broken",)], "j string")
     got = frame.select(avro.decode(F.col("j"), declared).alias("r")).select(F.col("r.at").cast("string"), "r.v").collect()
     assert [tuple(r) for r in got] == [("2024-01-01 00:00:00.123", 2.5), (None, None)]
+
+
+def test_times_in_milliseconds_are_found_at_any_depth(spark):
+    time = {"type": "long", "logicalType": "timestamp-millis"}
+    inner = {"type": "record", "name": "i", "fields": [{"name": "at", "type": ["null", time]}, {"name": "n", "type": "int"}]}
+    declared = json.dumps({"type": "record", "name": "r", "fields": [
+        {"name": "one", "type": ["null", inner]}, {"name": "many", "type": {"type": "array", "items": inner}},
+        {"name": "times", "type": {"type": "array", "items": time}}, {"name": "named", "type": {"type": "map", "values": ["null", inner]}}]})
+    data = [{"one": {"at": 1704067200123, "n": 1}, "many": [{"at": 0, "n": 2}, {"at": None, "n": 3}], "times": [1, 1704067200000],
+             "named": {"a": {"at": 1000, "n": 4}, "b": None}}, {"one": None, "many": [], "times": [], "named": {}}]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(data)], "i int, j string")
+    full, empty = frame.select("i", avro.decode(F.col("j"), declared).alias("r")).orderBy("i").select("r.*").collect()
+    when = lambda ms: datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms)
+    assert tuple(full.one) == (when(1704067200123), 1)
+    assert [tuple(r) for r in full.many] == [(when(0), 2), (None, 3)]
+    assert full.times == [when(1), when(1704067200000)]
+    assert tuple(full.named["a"]) == (when(1000), 4) and full.named["b"] is None
+    assert empty.one is None and empty.many == [] and empty.named == {}

@@ -34,3 +34,24 @@ def test_entry_without_optional_parts(tmp_path, gone):
                          capture_output=True, text=True, timeout=280)
     assert run.returncode == 0, run.stderr[-2000:]
     assert "pipeline" not in run.stdout and ("op1_" not in run.stdout or "llm" not in gone)
+
+
+ELSEWHERE = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from loam.bindings import Tables
+from loam.operators import account_history
+from loam.session import build_session
+from loam.streaming import counters, runs
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.showConsoleProgress": "false"}})
+tables = Tables(spark, "{SMALL}")
+assert account_history.account_states(tables.account_events).count() == 25
+assert runs.append_now(counters.first_crossings(tables.streamed("readings"), tables.sensors), "crossings").count() > 0
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The repository is on the driver's path only."""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", ELSEWHERE], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=280)
+    assert run.returncode == 0, run.stderr[-2000:]
