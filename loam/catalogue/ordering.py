@@ -8,6 +8,7 @@ from loam.catalogue.aggregates import _OVERLAID, _STORED, overlaid
 from loam.catalogue.projections import TOKENS, tenant_console, tokens
 from loam.operators import metering, readings, registry
 from loam.plans.paging import page
+from loam.plans.ranks import RankIndex
 
 
 @query("ord1_ledger_page", """
@@ -19,6 +20,21 @@ def ledger_page(t):
     return page(rows, "created_at", "id", 2, 20).select("id", "created_at", "type", "total", "pages")
 
 
+@query("ord1_far_pages", """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY billing_id ORDER BY created_at DESC, id DESC) AS rn,
+  count(*) OVER (PARTITION BY billing_id) AS total FROM ledger)
+SELECT billing_id, id, created_at, total, CAST(greatest(1, ceil(total / 20.0)) AS BIGINT) AS pages FROM n
+WHERE billing_id IN (7, 11) AND rn > (ceil(total / 20.0) - 1) * 20""")
+def far_pages(t):
+    """The last pages of two billings, read from one index of the whole ledger."""
+    index = RankIndex.build(t.ledger, ["billing_id"], [F.desc("created_at"), F.desc("id")])
+
+    def last(billing):
+        total = index.ranges.where(F.col("billing_id") == billing).agg(F.sum("n")).first()[0] or 0
+        return index.page(max(1, -(-total // 20)), 20, billing_id=billing)
+    return last(7).unionByName(last(11)).select("billing_id", "id", "created_at", "total", "pages")
+
+
 @query("ord2_latest_of_sensor", """
 SELECT event_id, event_time, metrics FROM readings WHERE sensor_id = 's-10' AND tenant_id = '3'
 ORDER BY event_time DESC, event_id DESC LIMIT 100""")

@@ -1,8 +1,7 @@
 """Running values per key that survive one key holding most of the rows.
 
 A plain window puts every row of a key into one task. Here rows are scanned per key
-and stretch of the order (an hour, a block of numbers, a run of names with the same
-beginning). Every stretch is reduced to one row of totals, a window over those rows
+and stretch of the order (six hours, a block of numbers, or a part of a `RankIndex`). Every stretch is reduced to one row of totals, a window over those rows
 gives what each stretch takes over from the ones before, and that is joined back. All
 keys go the same way, nothing is computed while the plan is built, and the rows are
 shuffled once: the local windows, the totals and the join share one partitioning.
@@ -16,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.plans.ranks import PART, PLACE, RankIndex
+
 SECONDS = 6 * 3600
 NUMBERS = 1 << 20
-LETTERS = 12
 GROUP = "_group"
 
 
@@ -48,14 +48,12 @@ def previous(value: Column) -> Measure:
 
 
 def stretch_of(column: Column, kind: T.DataType) -> Column:
-    """A number or text that never falls along the order and is shared by neighbours."""
+    """A number that never falls along the order and is shared by neighbours."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.floor(F.unix_seconds(column.cast("timestamp")) / SECONDS)
-    if isinstance(kind, T.StringType):
-        return F.substring(column, 1, LETTERS)
     if isinstance(kind, T.IntegralType):
         return F.floor(column / NUMBERS)
-    return column
+    raise ValueError(f"no stretches of {kind.simpleString()}: name some, or let Ordered.dealt find them")
 
 
 class Ordered:
@@ -72,6 +70,13 @@ class Ordered:
         group = F.struct(F.struct(*keys).alias("key"), cut.alias("stretch"))
         return cls(frame.withColumn(GROUP, group), keys, order)
 
+    @classmethod
+    def dealt(cls, frame: DataFrame, keys: list[str], order: list[str]) -> Ordered:
+        """Stretches bounded by rows, for texts and for bursts at one time: sorts and writes the rows first."""
+        rows = RankIndex.build(frame, keys, order).rows
+        ordered = cls.of(rows, keys, order, F.col(PART))
+        return cls(ordered.frame.drop(PART, PLACE), keys, order)
+
     def scan(self, **measures: Measure) -> Ordered:
         frame, rank = self.frame, F.struct(*self.order)
         totals = frame.groupBy(GROUP).agg(*[_total(m, rank).alias(n) for n, m in measures.items()])

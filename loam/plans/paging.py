@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.records import page_count
-from loam.plans.ordered import Ordered, running_sum
+from loam.plans.ranks import RankIndex
 
 
 def page(frame: DataFrame, newest: str, tie: str, number: int, per_page: int) -> DataFrame:
-    """One page, newest first, with the total and page count beside every row."""
+    """One page, newest first, with the total and page count beside every row.
+
+    For pages near the front; those far down are read from a `RankIndex`.
+    """
     total = frame.agg(F.count(F.lit(1))).scalar()
     ordered = frame.orderBy(F.col(newest).desc(), F.col(tie).desc())
     rows = ordered.offset((number - 1) * per_page).limit(per_page)
@@ -25,8 +28,12 @@ def newest(frame: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
 
 def paged_lists(frame: DataFrame, keys: list[str], order: list[str], item: Column,
                 page_size: int = 1000) -> DataFrame:
-    """Items of each key as ordered lists of at most `page_size`, numbered from 1."""
-    numbered = Ordered.of(frame, keys, order).scan(_at=running_sum(F.lit(1))).result()
+    """Items of each key as ordered lists of at most `page_size`, numbered from 1.
+
+    Rows are numbered by ranges of the order, so neither a tenant with a third of all rows
+    nor texts that begin alike end up in one task.
+    """
+    numbered = RankIndex.build(frame, keys, order).numbered("_at")
     paged = numbered.withColumn("page", (F.floor((F.col("_at") - 1) / page_size) + 1).cast("long"))
     entry = F.struct(F.col("_at"), item.alias("item"))
     return (paged.groupBy(*keys, "page")

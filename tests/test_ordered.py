@@ -106,7 +106,6 @@ def test_operators_agree_whatever_the_stretches(tables, rows, monkeypatch):
         return [rows(f) for f in found]
     short = all_results()
     monkeypatch.setattr(ordered, "SECONDS", 10 ** 11)
-    monkeypatch.setattr(ordered, "LETTERS", 1)
     assert all(short) and all_results() == short
 
 
@@ -161,3 +160,14 @@ def test_rates_at_every_step(spark):
     assert {(r.range_s, int((r.step - datetime.datetime(2026, 1, 1)).total_seconds())): round(r.rate * r.range_s) for r in got} == want
     with pytest.raises(ValueError):
         monitoring.rates_at_steps(frame, ["part"], "counter", ["topic"], [100], 15)
+
+
+def test_stretches_of_texts_are_dealt_or_named(spark, rows):
+    data, frame = skewed(spark)
+    texts = frame.withColumn("t", F.format_string("sensor-in-a-long-row-%05d", "t"))
+    got = Ordered.dealt(texts, ["k"], ["t", "id"]).scan(
+        s=running_sum(F.col("v")), low=running_min(F.col("v")), prev=previous(F.col("v"))).result()
+    want = [(k, i, s, low, prev) for k, i, s, _, low, _, _, prev in expected(data)]
+    assert got.columns == [*texts.columns, "s", "low", "prev"] and rows(got, "k", "id", "s", "low", "prev") == want
+    with pytest.raises(ValueError):
+        Ordered.of(texts, ["k"], ["t", "id"])
