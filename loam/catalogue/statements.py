@@ -1,7 +1,10 @@
 """User SQL: one statement per category, run through the console."""
 
+from pyspark.sql import functions as F
+
 from loam.catalogue import query
 from loam.operators.console import Console
+from loam.plans.intervals import interval_join
 from loam.sources.tables import TABLES, parquet_table
 
 
@@ -40,6 +43,24 @@ statement("sql4_range_join", f"""
 SELECT b.band, count(*) AS n, round(sum(e.value), 3) AS total FROM events e JOIN ({_BANDS}) b
 ON e.value >= b.lo AND e.value < b.hi GROUP BY b.band""")
 
+
+_HELD = """SELECT o_orderkey, o_orderpriority, o_totalprice / 1000e0 AS lo, o_totalprice / 1000e0
+  + CASE WHEN o_orderkey % 1000 = 0 THEN 100e0 ELSE (o_custkey % 40) / 1000e0 END AS hi FROM orders"""
+
+
+@query("sql4_many_bands", f"""
+SELECT o_orderpriority, event_type, count(*) AS n, count(DISTINCT o_orderkey) AS bands, round(sum(value), 3) AS total
+FROM events JOIN ({_HELD}) b ON value >= lo AND value < hi GROUP BY o_orderpriority, event_type""")
+def many_bands(t):
+    """Events in one band for every order, narrow and wide ones, without a nested loop."""
+    start = F.col("o_totalprice") / F.lit(1000.0)
+    width = F.when(F.col("o_orderkey") % 1000 == 0, 100.0).otherwise((F.col("o_custkey") % 40) / F.lit(1000.0))
+    bands = t.table("orders").select("o_orderkey", "o_orderpriority", start.alias("lo"), (start + width).alias("hi"))
+    found = interval_join(t.table("events").select("event_type", "value"), "value", bands, "lo", "hi")
+    return found.groupBy("o_orderpriority", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("bands"), F.round(F.sum("value"), 3).alias("total"))
+
+
 statement("sql5_grouping_sets", """
 SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS quantity, count(*) AS n, 'cube' AS kind
 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
