@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from loam.catalogue import query
 from loam.operators.console import Console
+from loam.operators.sketches import DailySketches
 from loam.plans.intervals import interval_join
+from loam.session import scratch
 from loam.sources.tables import TABLES, parquet_table
 
 
@@ -88,6 +90,35 @@ SELECT e.event_type, count(*) AS n,
 FROM events e JOIN a ON e.event_type = a.event_type GROUP BY e.event_type""", """
 SELECT event_type, count(*) AS n, TRUE AS users_close, TRUE AS median_close FROM events GROUP BY event_type""")
 
+
+@query("sql7_stored_sketches", """
+SELECT event_type, date_trunc('month', ts)::DATE AS month, count(*) AS n, TRUE AS users_close, TRUE AS quartiles_close
+FROM events GROUP BY 1, 2""")
+def stored_sketches(t):
+    """Users and quartiles per type and month from sketches stored by day, held against the rows.
+
+    The bounds are four deviations of the distinct sketch (and one user), and 3% of rank.
+    """
+    events = t.table("events").select("event_type", "ts", "user_id", "value")
+    kept = DailySketches(t.spark, scratch(t.spark, "sql7"), ["event_type"], ["user_id"], ["value"])
+    kept.refresh(events, "ts")
+    month = F.trunc("day", "month").alias("month")
+    told = kept.estimates(["event_type", month], [0.25, 0.5, 0.75]).select(
+        "event_type", "month", F.col("n").alias("told_n"), "user_id_distinct", "value_at")
+    rows = events.withColumn("month", F.trunc("ts", "month")).join(told, ["event_type", "month"])
+    below = lambda i: F.avg((F.col("value") < F.col("value_at")[i]).cast("int"))
+    up_to = lambda i: F.avg((F.col("value") <= F.col("value_at")[i]).cast("int"))
+    held = F.lit(True)
+    for i, rank in enumerate((0.25, 0.5, 0.75)):
+        # one row more or less decides in a small month
+        slack = F.lit(0.03) + 1 / F.count(F.lit(1))
+        held &= (below(i) <= rank + slack) & (up_to(i) >= rank - slack)
+    users = F.count_distinct("user_id")
+    return rows.groupBy("event_type", "month").agg(
+        F.max("told_n").alias("n"), (F.abs(F.max("user_id_distinct") - users) <= 1 + 0.065 * users).alias("users_close"),
+        held.alias("quartiles_close"))
+
+
 statement("sql8_ranking", """
 SELECT o_orderkey, o_custkey, row_number() OVER w AS rn, rank() OVER d AS rk, dense_rank() OVER d AS dr, ntile(4) OVER w AS quarter
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey),
