@@ -9,6 +9,7 @@ from loam.catalogue.projections import TOKENS, tenant_console, tokens
 from loam.operators import metering, readings, registry
 from loam.plans.paging import page
 from loam.plans.ranks import RankIndex
+from loam.session import scratch
 
 
 @query("ord1_ledger_page", """
@@ -42,6 +43,19 @@ def latest_of_sensor(t):
     return readings.latest_of_sensor(t.readings, "s-10", "3").select("event_id", "event_time", "metrics")
 
 
+@query("ord2_newest_days", """
+SELECT event_id, event_time, metrics FROM readings WHERE sensor_id = 's-10' AND tenant_id = '3'
+ORDER BY event_time DESC, event_id DESC LIMIT 5""")
+def newest_days(t):
+    """The same from a table laid out by day, of which only the newest days are read."""
+    root = scratch(t.spark, "ord2")
+    database = "loam_" + root.rsplit("-", 1)[1]
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{root}'")
+    dated = t.readings.withColumn("event_date", F.to_date("event_time")).repartition("event_date")
+    dated.sortWithinPartitions("tenant_id", "sensor_id").write.partitionBy("event_date").saveAsTable(f"{database}.readings")
+    return readings.newest_of_sensor(t.spark, f"{database}.readings", "s-10", "3", 5).select("event_id", "event_time", "metrics")
+
+
 @query("ord3_result_limit", """
 SELECT CAST(event_id AS STRING) AS event_id, sensor_id FROM readings WHERE tenant_id = '1'
 ORDER BY readings.event_id LIMIT 1000""")

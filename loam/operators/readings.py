@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam import schemas
@@ -67,6 +67,28 @@ def latest_of_sensor(readings: DataFrame, sensor_id: str, tenant_id: str, n: int
             .orderBy(F.col("event_time").desc(), F.col("event_id").desc()).limit(n))
 
 
+def newest_of_sensor(spark: SparkSession, table: str, sensor_id: str, tenant_id: str, n: int = 100) -> DataFrame:
+    """`latest_of_sensor` of a table partitioned by event_date that reads only its newest days.
+
+    Days are taken newest first, each time twice as many, until they hold `n` readings of
+    the sensor, so the files read do not grow with the history. Days come from the catalog.
+    Readings without a time come last, so they matter only if there are fewer than `n` others.
+    """
+    spec = spark.sql(f"SHOW PARTITIONS {table}").select(F.try_to_date(
+        F.regexp_extract("partition", r"event_date=([0-9-]{10})", 1)).alias("day"))
+    days = [r.day for r in spec.where("day is not null").distinct().orderBy(F.desc("day")).collect()]
+    own = spark.table(table).filter((F.col("sensor_id") == sensor_id) & (F.col("tenant_id") == tenant_id))
+    timed = own.filter(F.col("event_time").isNotNull())
+    taken, step, have = 0, 1, 0
+    while taken < len(days) and have < n:
+        batch = days[taken:taken + step]
+        have += timed.filter(F.col("event_date").between(batch[-1], batch[0])).limit(n).count()
+        taken, step = taken + len(batch), step * 2
+    if have >= n:
+        own = timed.filter(F.col("event_date") >= days[taken - 1])
+    return own.orderBy(F.col("event_time").desc(), F.col("event_id").desc()).limit(n)
+
+
 def latest_per_sensor(events: DataFrame, keys: list[str], order: list[str],
                       columns: list[str]) -> DataFrame:
     """The newest row of each key by a map-side combined maximum, no sort of the input."""
