@@ -84,31 +84,36 @@ def dead_letter_table(t):
     return t.spark.table(ingested(t, "str7").dead_letters).drop("commit_id", "arrival_date")
 
 
-def newest_first(t, purpose, parts=3):
-    """All messages as one file a micro-batch, the latest times first, an empty file between."""
+def newest_first(t, purpose, run, parts=3):
+    """Hands all messages to a stream in parts, one a start, the latest times first, an empty one between.
+
+    A part is what has come in since the last start; it is written and read in parallel.
+    """
     root = scratch(t.spark, purpose)
     messages = t.messages.drop("event_id").withColumn("value", F.col("value").cast("binary"))
     times = messages.agg(F.min(F.unix_seconds("timestamp")), F.max(F.unix_seconds("timestamp"))).first()
     step = (times[1] - times[0]) // parts + 1
     part = F.floor((F.unix_seconds("timestamp") - times[0]) / step)
     for nth in [*range(parts - 1, 0, -1), parts, 0]:  # no message falls into the last part but one
-        messages.filter(part == nth).coalesce(1).write.parquet(f"{root}/in/part={nth}")
-    return streams.file_stream(t.spark, f"{root}/in/*", messages.schema, files_per_trigger=1)
+        messages.filter(part == nth).write.parquet(f"{root}/in/part={nth}")
+        run(streams.file_stream(t.spark, f"{root}/in/*", messages.schema))
 
 
 @query("str9_replayed_messages", f"""
 SELECT CAST(e.user_id % 7 AS STRING) AS tenant_id, count(*) AS n {_ACCEPTED} GROUP BY 1""")
 def replayed_messages(t):
     """Every message arrives twice, the newest days first, and the sink is called twice for each batch."""
-    target = new_lake(t, "str9")
-    twice = newest_first(t, "str9").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    target, state = new_lake(t, "str9"), scratch(t.spark, "str9-state")
     write = ingest.write_batch(target)
 
     def write_again(batch, batch_id):
         write(batch, batch_id)
         write(batch, batch_id)
-    stream = twice.writeStream.foreachBatch(write_again)
-    runs.start(stream, scratch(t.spark, "str9-state"), None).awaitTermination()
+
+    def run(part):
+        twice = part.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+        runs.start(twice.writeStream.foreachBatch(write_again), state, None).awaitTermination()
+    newest_first(t, "str9", run)
     return t.spark.table(target.readings).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -162,8 +167,8 @@ def billing_history(t):
 @query("str8_empty_batches", f"SELECT {_TYPE} AS sensor_type, count(*) AS n {_ACCEPTED} GROUP BY 1")
 def empty_batches(t):
     """Late files and an empty one: every message is kept, the empty batch writes nothing."""
-    target = new_lake(t, "str8-lake")
-    ingest.ingest(newest_first(t, "str8"), target, scratch(t.spark, "str8-state"), None).awaitTermination()
+    target, state = new_lake(t, "str8-lake"), scratch(t.spark, "str8-state")
+    newest_first(t, "str8", lambda part: ingest.ingest(part, target, state, None).awaitTermination())
     return t.spark.table(target.readings).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("n"))
 
 
