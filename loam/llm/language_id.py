@@ -73,31 +73,48 @@ def size_class(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), 15)
 
 
+def few_hashes(ids: DataFrame, group: str, n: int) -> DataFrame:
+    """The different ids with the least hashes of each group, at least `n` of them and about 2n.
+
+    An id is taken if its hash lies in the lowest 2n-th of m, of m ids in the group; of that
+    many even hashes fewer than n are met with a chance under 1e-13 for 100 and more. Small
+    groups (up to 4n) and small `n` are kept whole.
+    """
+    sizes = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_m")).withColumnRenamed(group, "_group")
+    share = F.when((F.col("_m") > 4 * n) & F.lit(n >= 100), 2.0 * n / F.col("_m")).otherwise(1.0)
+    at = F.xxhash64("id").cast("double") / 2.0 ** 64 + 0.5
+    return ids.join(sizes, F.col(group) == F.col("_group")).where(at <= share).select(*ids.columns)
+
+
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = 600, clusters: int = 4, reach: float = 0.6) -> Centroids:
-    """Centroids from at most `per_language` rows of each language: those with the least hash.
+    """Centroids from at most `per_language` ids of each language: those with the least hash.
 
-    Only their n-gram counts (at most 4,096 each) reach the driver. The least cosine that
+    Languages are counted first, so only ids under about twice the hash that is needed are
+    ranked. Of rows that share an id and a language one counts. So `per_language` rows of
+    n-gram counts (at most 4,096 each) reach the driver for a language, whatever repeats. The least cosine that
     a text of a language and size class (powers of two of letters) is accepted at is
     `reach` times the lowest one among training texts of that and the next classes; where
     there are fewer than five, none is rejected.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct() \
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct()
+    picked = few_hashes(ids, "lang", per_language) \
         .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(t) for t in batch.column(1).to_pylist()]
+            found = [grams(t) for t in batch.column(2).to_pylist()]
             keep = [c.nonzero()[0].astype("<u2") for c, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in found], pa.int64()), pa.array([k.tobytes() for k in keep], pa.binary()),
-                 pa.array([c[k].astype("<f4").tobytes() for (c, _), k in zip(found, keep)], pa.binary())], ["lang", "n", "at", "count"])
+                [batch.column(0), batch.column(1), pa.array([n for _, n in found], pa.int64()), pa.array([k.tobytes() for k in keep], pa.binary()),
+                 pa.array([c[k].astype("<f4").tobytes() for (c, _), k in zip(found, keep)], pa.binary())], ["id", "lang", "n", "at", "count"])
 
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(picked), ["id", "lang"]).select("lang", "text") \
-        .mapInArrow(counted, "lang string, n long, at binary, count binary").where("n > 0").collect()
+    sample = texts.join(F.broadcast(picked), ["id", "lang"]).select(F.col("id").cast("string"), "lang", "text") \
+        .mapInArrow(counted, "id string, lang string, n long, at binary, count binary").where("n > 0") \
+        .groupBy("id", "lang").agg(F.min(F.struct("n", "at", "count")).alias("row")).select("lang", "row.*").collect()
     sample.sort(key=lambda r: (r["lang"], r["at"], r["count"]))
     languages = sorted({r["lang"] for r in sample})
     counts = np.zeros((len(sample), DIMS), dtype=np.float32)

@@ -96,8 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         chars_col: str | None = "n_chars", label_col: str = "quality", most_rows: int = 3000, rank: int = 4) -> Machine:
     """A machine learnt from at most `most_rows` labelled rows, those with the least hash of the id.
 
-    Ids labelled more than once count by the mean of their labels. The sample's features
-    (at most 8,206 numbers a row) are computed in tasks and learnt from in the driver.
+    Ids labelled more than once count by the mean of their labels; of rows that share an id
+    one counts. The sample's features (at most 8,206 numbers a row, `most_rows` rows) are
+    computed in tasks and learnt from in the driver.
     Without labelled rows every score is a half.
     """
     told = labels.where(train & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")) \
@@ -106,16 +107,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     def told_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t or "", n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            made = [features(t or "", n) for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a.astype("<u2").tobytes() for a, _ in made], pa.binary()),
-                 pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], ["y", "at", "x"])
+                [batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a, _ in made], pa.binary()),
+                 pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], ["id", "y", "at", "x"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _chars(docs, chars_col))
-    sample = texts.join(F.broadcast(picked), "id").select("y", "text", "n_chars") \
-        .mapInArrow(told_features, "y int, at binary, x binary").collect()
+    sample = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("string"), "y", "text", "n_chars") \
+        .mapInArrow(told_features, "id string, y int, at binary, x binary") \
+        .groupBy("id", "y").agg(F.min(F.struct("at", "x")).alias("row")).select("y", "row.*").collect()
     sample.sort(key=lambda r: (r["y"], r["at"], r["x"]))
-    sample = sample[:: max(1, -(-len(sample) // most_rows))]  # repeated rows of the picked ids
     y = np.array([r["y"] for r in sample], dtype=np.float64)
     return learn([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in sample], y, rank)
 

@@ -75,3 +75,25 @@ def test_linear_time_identity():
     at, x = np.array(rng.sample(range(30), 8)), draw.normal(size=8) * 0.2
     pairs = sum((m.v[at[i]] @ m.v[at[j]]) * x[i] * x[j] for i in range(8) for j in range(i))
     assert np.isclose(m.score(at, x), 1 / (1 + np.exp(-(m.w[at] @ x + pairs))))
+
+
+def test_few_hashes_hold_the_least_ones(spark):
+    ids = spark.range(40000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 300 == 0, "rare").otherwise("b").alias("lang"))
+    got = [(r.lang, r.h) for r in language_id.few_hashes(ids, "lang", 150).select("lang", F.xxhash64("id").alias("h")).collect()]
+    everything = [(r.lang, r.h) for r in ids.select("lang", F.xxhash64("id").alias("h")).collect()]
+    for lang in ("hot", "b", "rare"):
+        own, full = (sorted(h for name, h in rows if name == lang) for rows in (got, everything))
+        assert own[:150] == full[:150] and len(own) <= 600
+    assert language_id.few_hashes(ids, "lang", 99).count() == 40000
+
+
+def test_rows_that_repeat_a_picked_id_count_once(spark, make_docs):
+    """One id holds most of the rows: the samples, so the models, are those of one row an id."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    docs = list({d[0]: d for d in docs}.values())
+    once, often = make_docs(docs), make_docs(docs + [docs[0]] * 2000 + [docs[1]] * 300)
+    a, b = (language_id.fit(frame, F.lit(True)) for frame in (once, often))
+    assert a.languages == b.languages and np.array_equal(a.matrix, b.matrix) and np.array_equal(a.floor, b.floor)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    a, b = (quality_model.score(once, quality_model.fit(frame, labels, F.lit(True)), F.col("doc_id")).collect() for frame in (once, often))
+    assert sorted(a, key=repr) == sorted(b, key=repr)
