@@ -4,8 +4,10 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
-from loam.plans.intervals import interval_join
+from loam.plans import intervals as plans
+from loam.plans.intervals import interval_join, interval_totals
 
 
 def joined(spark, values, intervals):
@@ -43,3 +45,43 @@ def test_odd_tables(spark):
         joined(spark, [(1, 0.5)], [(1, 0.0, float("inf"))]).collect()
     with pytest.raises(ValueError):
         interval_join(spark.range(1), "id", spark.range(1), "id", "id")
+
+
+def totals(values, intervals):
+    return interval_totals(values, "v", "kind", intervals, "lo", "hi", "level", "name")
+
+
+@pytest.mark.parametrize("at_once", [32, 2])
+def test_totals_are_those_of_the_joined_pairs(spark, rows, monkeypatch, at_once):
+    """Null and repeated names, kinds and levels; ends on values; signed zeros; rows that come twice."""
+    monkeypatch.setattr(plans, "AT_ONCE", at_once)
+    rng = random.Random(5)
+    spot = lambda: rng.choice([rng.uniform(-9, 9), float(rng.randrange(-4, 5)), 0.0, -0.0])
+    data = [(rng.choice("abc") if rng.random() < 0.9 else None, spot()) for _ in range(400)]
+    data += data[:40] + [("a", None), ("b", float("nan")), ("c", float("inf")), ("only", 100.0)]
+    ends = [spot() for _ in range(300)]
+    held_by = [(rng.choice([None, *range(40)]), rng.choice(["low", "mid", "high", "top", None]), lo,
+                lo + rng.choice([0.0, -1.0, 0.5, 1.0, rng.uniform(0, 6)])) for lo in ends]
+    held_by += held_by[:20] + [(1, "low", None, 1.0), (2, "low", 0.0, float("nan")), (None, "no name", 99.0, 101.0)]
+    values = spark.createDataFrame(data, "kind string, v double").repartition(3)
+    intervals = spark.createDataFrame(held_by, "name int, level string, lo double, hi double").repartition(3)
+    pairs = interval_join(values, "v", intervals, "lo", "hi").groupBy("level", "kind").agg(
+        F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.round(F.sum("v"), 6).alias("total"))
+    got = totals(values, intervals).withColumn("total", F.round("total", 6))
+    assert got.columns == pairs.columns
+    assert rows(got) == rows(pairs)
+
+
+def test_totals_do_not_list_pairs(spark, rows):
+    """Every value in every interval: 4 * 10^10 pairs."""
+    values = spark.range(200_000).selectExpr("'x' AS kind", "double(id % 1000) AS v")
+    intervals = spark.range(200_000).selectExpr("id AS name", "'y' AS level", "double(-id) AS lo", "1000e0 AS hi")
+    assert rows(totals(values, intervals)) == [("y", "x", 40_000_000_000, 200_000, 200_000 * 200 * 499_500.0)]
+
+
+def test_totals_of_odd_tables(spark):
+    none = spark.createDataFrame([], "kind string, v double"), spark.createDataFrame([], "name int, level string, lo double, hi double")
+    some = spark.createDataFrame([("a", 0.5)], none[0].schema), spark.createDataFrame([(1, "b", 0.0, 1.0)], none[1].schema)
+    assert totals(none[0], some[1]).count() == totals(some[0], none[1]).count() == totals(*none).count() == 0
+    with pytest.raises(PySparkException):
+        totals(some[0], spark.createDataFrame([(1, "b", 0.0, float("inf"))], none[1].schema)).collect()
