@@ -124,31 +124,34 @@ def query_spend(ledger: DataFrame, sensor_id: str | None = None,
     return charges.groupBy("billing_id").agg(*_spend())
 
 
-GRAM = 4
-"""Letters of the pieces by which ids and texts meet."""
+HEAD, HEADS = 4, 1 << 20
+"""Letters by which a place in a text is told to begin like some id, and the hashes that may be kept of them."""
 
 
-def grams(text: Column, size: Column) -> Column:
-    """The different pieces of so many letters of a text; none if it is shorter."""
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(text, at, size)))).otherwise(F.array().cast("array<string>"))
+def _head(text: Column, at: Column, size: Column) -> Column:
+    """Hash of the first letters of the piece of `size` letters at a place, and of its size."""
+    return F.pmod(F.xxhash64(F.substring(text, at, F.least(size, F.lit(HEAD))), size), F.lit(HEADS)).cast("int")
 
 
 def mentions(charges: DataFrame, ids: DataFrame) -> DataFrame:
     """(charge, tenant_id, id): the ids of a charge's tenant that its text contains, letter by letter, whatever their case.
 
     `charges` has charge, tenant_id and text, `ids` has tenant_id and id, both lower-cased.
-    Every id is kept under one piece of four letters, the one that the fewest ids of its
-    tenant have (shorter ids under themselves). Texts meet ids by an equal join on tenant
-    and piece, and only these are searched for the whole id. Ids without letters count nowhere.
+    The pieces of a text that are as long as some id meet the ids by an equal join, so
+    nothing is compared but what is found, however many ids there are. Only pieces that
+    begin like an id of their length are shuffled: those are told by hashes of the first four
+    letters, of which there are at most a million, so they are broadcast. A piece that a text
+    holds more than once counts at its first place. Ids without letters count nowhere.
     """
     ids = ids.where(F.length("id") > 0).distinct()
-    pieces = ids.select("tenant_id", "id", F.explode(grams(F.col("id"), F.least(F.length("id"), F.lit(GRAM)))).alias("piece"))
-    common = pieces.groupBy("tenant_id", "piece").agg(F.count("*").alias("n"))
-    kept = pieces.join(common, ["tenant_id", "piece"]).groupBy("tenant_id", "id").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
-    lengths = F.sequence(F.lit(1), F.lit(GRAM))
-    texts = charges.select("charge", "tenant_id", "text", F.explode(F.flatten(F.transform(lengths, lambda n: grams(F.col("text"), n)))).alias("piece"))
-    return texts.join(kept, ["tenant_id", "piece"]).where(F.contains("text", "id")).select("charge", "tenant_id", "id")
+    size, at = F.col("_size"), F.col("_at")
+    heads = ids.select(_head(F.col("id"), F.lit(1), F.length("id")).alias("_head")).distinct()
+    lengths = ids.agg(F.sort_array(F.collect_set(F.length("id")))).scalar()
+    pieces = (charges.withColumn("_size", lengths).withColumn("_size", F.explode("_size")).where(size <= F.length("text"))
+              .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("text") - size + 1)))
+              .withColumn("_head", _head(F.col("text"), at, size)).join(F.broadcast(heads), "_head", "left_semi")
+              .withColumn("id", F.substring("text", at, size)).where(F.position("id", "text") == at))
+    return pieces.select("charge", "tenant_id", "id").join(ids, ["tenant_id", "id"]).select("charge", "tenant_id", "id")
 
 
 def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame, billings: DataFrame) -> DataFrame:
@@ -160,10 +163,13 @@ def query_spend_by_sensor(ledger: DataFrame, sensors: DataFrame, billings: DataF
     """
     owner = billings.select("billing_id", "tenant_id").distinct()
     charges = _query_charges(ledger).select("billing_id", "amount", "data_points", F.lower("description").alias("text")).join(owner, "billing_id")
-    # equal texts of a tenant are searched once
-    texts = charges.select("tenant_id", "text", F.col("text").alias("charge")).distinct()
+    # equal texts of a tenant are searched once, and go on as their sums
+    texts = charges.groupBy("tenant_id", "text").agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.sum("data_points").alias("qu"), F.sum(money.micros(F.col("amount"))).alias("cost")).alias("charge"))
     ids = sensors.select("tenant_id", F.lower("sensor_id").alias("id")).union(sensors.select("tenant_id", F.lower("farm_id").alias("id")))
-    found = mentions(texts, ids).withColumnRenamed("charge", "text").join(charges, ["tenant_id", "text"]).groupBy("tenant_id", "id").agg(*_spend())
+    found = mentions(texts, ids).groupBy("tenant_id", "id").agg(
+        F.sum("charge.n").alias("query_count"), F.coalesce(F.sum("charge.qu"), F.lit(0)).cast("double").alias("total_qu"),
+        F.coalesce(money.from_micros(F.sum("charge.cost")), F.lit(0.0)).alias("total_cost"))
 
     def spend_of(key: str, prefix: str) -> DataFrame:
         return found.select("tenant_id", F.col("id").alias(f"_{key}"), *[

@@ -137,6 +137,42 @@ def test_mentions_count_by_letters_and_tenant(spark, rows):
         ("b", "q", 1, 1.0, 2.5), ("b", "0%_x", 1, 1.0, 2.5), ("b", "1_0", 0, 0.0, 0.0), ("b", "s-1", 1, 75.0, 7.5), ("b", UUID, 1, 4.0, 3.0), ("b", "s-5", 0, 0.0, 0.0)], key=repr)
 
 
+def shuffled_records(node):
+    """Records that the exchanges of a plan wrote, once it has run."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_records(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return shuffled_records(node.plan())
+    own = node.metrics().get("shuffleRecordsWritten")
+    children = node.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(shuffled_records(children.apply(i)) for i in range(children.size()))
+
+
+def test_mentions_shuffle_only_what_begins_like_an_id(spark):
+    """Long texts have many pieces, ids much in common; without broadcasts by size, as where there are many ids."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.range(300).selectExpr("id AS charge", "'a' AS tenant_id", "concat(repeat('select all rows of the table, ', 8), 's-', 100000 + id) AS text")
+        ids = spark.range(3000).selectExpr("'a' AS tenant_id", "concat('s-', 100000 + id) AS id")
+        found = metering.mentions(texts, ids)
+        assert sorted(r.id for r in found.collect()) == [f"s-{100000 + n}" for n in range(300)]
+        assert shuffled_records(found._jdf.queryExecution().executedPlan()) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_mentions_match_brute_force(spark, rows):
+    """Few letters, so that ids lie inside each other and come more than once in a text."""
+    rng = random.Random(3)
+    word = lambda most: "".join(rng.choice("ab\u00e9\U0001f600%") for _ in range(rng.randrange(most + 1)))
+    texts = [(n, rng.choice("xy"), rng.choice([None, *[word(14)] * 9])) for n in range(120)] + [(200, None, "ab"), (201, "x", "")]
+    texts += texts[:5]
+    ids = [(rng.choice("xy"), word(7)) for _ in range(80)] + [(None, "a"), ("x", None), ("x", ""), ("z", "a")]
+    got = metering.mentions(spark.createDataFrame(texts, "charge int, tenant_id string, text string"),
+                            spark.createDataFrame(ids, "tenant_id string, id string").repartition(3))
+    assert rows(got) == sorted([(c, t, i) for c, t, text in texts for u, i in set(ids) if i and t and t == u and text and i in text], key=repr)
+
+
 def test_metered_runs_pass_the_gate_once(spark, rows):
     stats = spark.createDataFrame([(1, "a", 5, 0, 0, 0, 0, T0, "SELECT 1"), (2, "b", 5, 0, 0, 0, 0, T0, "SELECT 2")],
                                   "query_id long, tenant_id string, user_id long, processed_bytes long, cpu_ms long, peak_mem_bytes long, wall_ms long, "
