@@ -84,10 +84,15 @@ def dead_letter_table(t):
     return t.spark.table(ingested(t, "str7").dead_letters).drop("commit_id", "arrival_date")
 
 
+FILE_ROWS = 50_000
+"""Messages of one file at most: a file has one row group, which one task reads and parses."""
+
+
 def newest_first(t, purpose, run, parts=3):
     """Hands all messages to a stream in parts, one a start, the latest times first, an empty one between.
 
-    A part is what has come in since the last start; it is written and read in parallel.
+    A part is what has come in since the last start; it is written and read in parallel, in
+    as many files as its rows ask for: texts pack so well that their bytes would make few.
     """
     root = scratch(t.spark, purpose)
     messages = t.messages.drop("event_id").withColumn("value", F.col("value").cast("binary"))
@@ -95,7 +100,7 @@ def newest_first(t, purpose, run, parts=3):
     step = (times[1] - times[0]) // parts + 1
     part = F.floor((F.unix_seconds("timestamp") - times[0]) / step)
     for nth in [*range(parts - 1, 0, -1), parts, 0]:  # no message falls into the last part but one
-        messages.filter(part == nth).write.parquet(f"{root}/in/part={nth}")
+        messages.filter(part == nth).write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/in/part={nth}")
         run(streams.file_stream(t.spark, f"{root}/in/*", messages.schema))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam import schemas
+from loam.catalogue import streams as streaming_queries
 from loam.operators import account_history, billing, readings
 from loam.session import scratch
 from loam.sources import lake, streams
@@ -213,3 +214,17 @@ def test_a_sensor_crosses_its_budget_once(spark, tmp_path):
     want = billing.deactivate_over_budget(spark.createDataFrame(data, schema), sensors).select(*columns)
     assert sorted(map(tuple, result.select(*columns).collect())) == sorted(map(tuple, want.collect()))
     assert [r.sensor_id for r in result.orderBy("sensor_id").collect()] == ["a", "e"]
+
+
+def test_parts_are_handed_over_in_files_of_bounded_rows(spark, tables, monkeypatch):
+    """A file is read and parsed by one task, however many rows it has."""
+    monkeypatch.setattr(streaming_queries, "FILE_ROWS", 40)
+    files = []
+
+    def run(part):
+        def look(batch, _):
+            files.extend(r["count"] for r in batch.groupBy(F.input_file_name().alias("file")).count().collect())
+        runs.start(part.writeStream.foreachBatch(look), state, None).awaitTermination()
+    state = scratch(spark, "bounded-files-state")
+    streaming_queries.newest_first(tables, "bounded-files", run)
+    assert sum(files) == tables.messages.count() and max(files) <= 40
