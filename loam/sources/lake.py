@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loam import schemas
@@ -26,6 +26,7 @@ class Lake:
         self.spark, self.database, self.root = spark, database, root.rstrip("/")
         self.readings = f"{database}.readings"
         self.dead_letters = f"{database}.dead_letters"
+        self.written: dict[str, tuple[str, Row]] = {}   # by table: the last commit of this writer and its days
         self.offsets = OffsetLog(spark, f"{self.root}/offset_log", self.readings, self.dead_letters)
 
     def create(self) -> Lake:
@@ -71,14 +72,13 @@ class Lake:
         extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first"),
                           F.max(day).alias("last")).first()
         if not extent.n:
+            self.written[table] = commit_id, extent
             return
         if not logged:
             self.offsets.forget()
         stored = rows.sparkSession.table(table)
         if repeated:
-            # Folders outside the commit's days are not listed, row groups of others not read.
-            known = stored.filter(day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"])))
-            rows = rows.join(known.filter(F.col("commit_id") == commit_id).select(*IDENTITY), IDENTITY, "left_anti")
+            rows = rows.join(_stored_of(stored, day, extent, commit_id), IDENTITY, "left_anti")
         # A small commit gets one file per folder. In a large one the rows of a
         # folder are dealt out evenly, so neither a busy type nor a busy tenant
         # or sensor ends up in a single task.
@@ -89,6 +89,22 @@ class Lake:
          .repartition(*layout, "_piece").dropDuplicates([*layout, "_piece", *IDENTITY])
          .sortWithinPartitions(*layout, *clustering).drop("_piece")
          .write.insertInto(table))
+        self.written[table] = commit_id, extent
+
+    def holds(self, messages: DataFrame, commit_id: str) -> bool:
+        """Whether every message of the commit that this writer wrote last is stored.
+
+        They are found by topic, partition and offset in the days the commit wrote, so nothing
+        is parsed. False for another commit; a message without a full identity is never found.
+        """
+        known = []
+        for table, day in ((self.readings, "event_date"), (self.dead_letters, "arrival_date")):
+            last, extent = self.written.get(table, (None, None))
+            if last != commit_id:
+                return False
+            known.append(_stored_of(messages.sparkSession.table(table), F.col(day), extent, commit_id))
+        asked = messages.select(F.col("topic").alias("raw_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"))
+        return asked.join(known[0].unionByName(known[1]), IDENTITY, "left_anti").isEmpty()
 
     def expired_partitions(self, table: str, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
         """Partitions of a table whose whole day is older than the kept time.
@@ -116,6 +132,12 @@ class Lake:
         return dropped
 
 
+def _stored_of(stored: DataFrame, day: Column, extent: Row, commit_id: str) -> DataFrame:
+    """Identities of a commit. Folders outside its days are not listed, row groups of others not read."""
+    known = stored.filter(day.isNull() | day.between(F.lit(extent["first"]), F.lit(extent["last"])))
+    return known.filter(F.col("commit_id") == commit_id).select(*IDENTITY)
+
+
 def retained(rows: DataFrame, now: str, days: int = SNAPSHOT_DAYS) -> DataFrame:
     """Rows not older than `days`; on a lake table the bound prunes partitions."""
     start = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))

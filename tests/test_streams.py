@@ -131,6 +131,24 @@ def test_batches_in_a_row_are_not_checked_again(spark):
     assert spark.table(target.readings).count() == 2
 
 
+def test_batch_that_comes_again_is_parsed_only_if_a_row_is_missing(spark, monkeypatch):
+    """A stored row that went missing comes back; a dead letter and a reading of an early day count as stored."""
+    target, seen = fresh_lake(spark), []
+    plain = ingest.parsed
+    monkeypatch.setattr(ingest, "parsed", lambda batch: (seen.append(batch.count()), plain(batch))[1])
+    write_one = ingest.write_batch(target)
+    rows = [message("s-1", 0), message("s-1", 1, 1), ("iot.x", bytearray(b"{}"), 0, 3, at(1))]
+    batch = lambda some: spark.createDataFrame(some, schemas.MESSAGE)
+    for some in (rows, rows * 2, [*rows, message("s-1", 9)], [("iot.y", None, None, None, None)], [("iot.y", None, None, None, None)]):
+        write_one(batch(some), 5)
+    assert seen == [3, 0, 4, 1, 1]
+    assert spark.table(target.readings).count() == 3
+    write_one(batch([message("s-1", 20)]), 6)
+    write_one(batch(rows), 5)
+    assert seen == [3, 0, 4, 1, 1, 1, 3]
+    assert spark.table(target.readings).count() == 4
+
+
 def test_empty_batch_writes_nothing(spark):
     target = fresh_lake(spark)
     ingest.write_batch(target)(spark.createDataFrame([], schemas.MESSAGE), 0)
