@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loam.llm.shared import components, let, stored
+from loam.llm.shared import components, in_few_files, let, stored
 
 CHUNK = 1 << 16
 COUNTERS = (1 << 21, 1 << 24)
@@ -441,9 +441,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = scan.where("chunk is null").select("id", "n", "f1", "f2", "odd")
     classes = frequency_classes(merged_chunks(scan.where("chunk is not null").select("chunk", "counts"), counters))
     sketches = rows.where("n > 0 and id is not null").select("id", "n", "odd")
-    first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    first = rows.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     members = stored(rows.join(first, ["n", "f1", "f2"], "left").select("id", "n", "rep"), "members")
-    held = stored(first.select("rep", "copies"), "held")
+    held = members.where("rep is not null and id is not null").groupBy("rep").agg(F.count("*").alias("copies"))
 
     listed = postings(source, classes, k, num, den)
     lists = listed.withColumn("size", F.count("*").over(Window.partitionBy("s"))).where("size > 1")
@@ -457,9 +457,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where((F.col("x.id") != F.col("h.id")) & possible("x", "h", near, den))
     star = star.groupBy(F.col("x.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("times"))
     star = star.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b"))
-    star = stored(plausible(star, sketches, near, den), "star")
-    sets = lambda pairs: stored(shingle_sets(source, pairs, k), "sets")
-    refs = stored(differences(star, sets(star), near, den), "refs")
+    star = stored(in_few_files(plausible(star, sketches, near, den), "a"), "star")
+    sets = lambda pairs: stored(in_few_files(shingle_sets(source, pairs, k), "id"), "sets")
+    refs = stored(in_few_files(differences(star, sets(star), near, den), "id"), "refs")
     refs = refs.join(refs.select(F.col("hub").alias("id")).distinct(), "id", "left_anti")  # a hub has none itself
 
     found = lists.groupBy("id").agg(F.max("n").alias("n")).join(refs.select("id", "hub", "diff"), "id", "left")
@@ -471,19 +471,21 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     parts = lists.join(placed.select("id", "c"), "id").groupBy("s", "c").agg(
         F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("least"), F.max("n").alias("most"))
-    parts = stored(parts.join(parts.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi"), "parts")
+    parts = parts.join(parts.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi")
+    parts = stored(in_few_files(parts, "s", "c"), "parts")
     x, y = parts.select("s", *[F.col(c).alias(f"x{c}") for c in parts.columns[1:]]), parts.select("s", *[F.col(c).alias(f"y{c}") for c in parts.columns[1:]])
     met = x.join(y, "s").where(
         (F.col("xc") < F.col("yc")) & (F.col("xleast") * num <= F.col("ymost").cast("long") * den) & (F.col("yleast") * num <= F.col("xmost").cast("long") * den)
         & (F.least("xleft", "yleft") >= least_overlap(F.col("xleast"), F.col("yleast"), num, den)))
-    close = stored(near_hubs(met.select(F.col("xc").alias("c"), F.col("yc").alias("d")).distinct(), stats, sketches, num, den), "close")
+    close = near_hubs(met.select(F.col("xc").alias("c"), F.col("yc").alias("d")).distinct(), stats, sketches, num, den)
+    close = stored(in_few_files(close, "c", "d"), "close")
     whole = sets(close.select(F.col("c").alias("a"), F.col("d").alias("b")))
     one, two = (whole.select(F.col("id").alias(x), F.col("s").alias(f"{x}s")) for x in "cd")
     pairs = close.join(one, "c").join(two, "d").select(
         "c", "d", "allowed", "reach", F.concat(F.array_except("cs", "ds"), F.array_except("ds", "cs")).alias("diff"))
-    pairs = stored(pairs.where(F.size("diff") <= F.col("reach")).drop("reach"), "pairs")
+    pairs = stored(in_few_files(pairs.where(F.size("diff") <= F.col("reach")).drop("reach"), "c", "d"), "pairs")
     tallies = around_hubs(placed, stats, buckets, num, den).union(between_hubs(pairs, placed, stats, buckets, num, den))
-    return Joined(members, held, stored(tallies, "tallies"))
+    return Joined(members, held, stored(in_few_files(tallies, "id"), "tallies"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

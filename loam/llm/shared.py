@@ -22,6 +22,15 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
+def in_few_files(frame: DataFrame, *key: str) -> DataFrame:
+    """The frame dealt out anew by a key of its rows, so that what is stored has files by its size.
+
+    A scan or join leaves a file for each of its tasks, however little they keep; adaptive
+    execution merges and splits what is dealt out here.
+    """
+    return frame.hint("rebalance", *key)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the driver has it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

@@ -121,6 +121,24 @@ def test_a_large_group_stores_rows_in_proportion(make_docs):
     assert stored[400] <= 4 * stored[100] + 10 <= 500
 
 
+def test_steps_are_stored_in_files_by_size(make_docs, monkeypatch):
+    """Steps that keep little of what their tasks read do not leave a file for each task."""
+    module = sys.modules["loam.llm.jaccard_join"]
+    files, original = collections.defaultdict(list), module.stored
+
+    def counted(frame, purpose):
+        out = original(frame, purpose)
+        files[purpose].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    rng = random.Random(5)
+    docs = make_docs([(i, t, None, None) for i, t in enumerate(corpus(rng))]).repartition(16)
+    assert jaccard_links(docs, k=3, num=90).tallies.count() > 0
+    assert max(files["rows"] + files["sketch"]) > 4
+    assert [files[p] for p in ("star", "sets", "refs", "parts", "close", "pairs", "tallies")] == [[1], [1, 1], [1], [1], [1], [1], [1]]
+
+
 def test_counts_and_ties_of_blocks():
     """The sums of a pair of blocks against its sets, compared one by one."""
     rng = random.Random(12)

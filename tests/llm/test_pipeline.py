@@ -67,6 +67,15 @@ def test_near_copies_of_repeated_ids(spark, make_docs):
     assert P.near_copies(spark, make_docs([]), SMALL).count() == 0
 
 
+@pytest.mark.parametrize("stage", [P.language, P.near_copies])
+def test_a_stage_alone_has_workers_that_import_the_package(spark, make_docs, monkeypatch, stage):
+    """All stages share workers: none starts with an environment of its own."""
+    known = dict(spark.sparkContext.environment)
+    monkeypatch.setattr(spark.sparkContext, "environment", {k: v for k, v in known.items() if k != "PYTHONPATH"})
+    assert stage(spark, make_docs([(1, "some words of a text", "en", "s")]), SMALL).columns == make_docs([]).columns
+    assert "PYTHONPATH" in spark.sparkContext.environment
+
+
 def test_no_documents(spark, stages):
     found = stages[0].limit(0)
     for _, stage in P.STAGES:
