@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -248,3 +249,91 @@ def test_cover_trees_are_nested():
             assert (np.linalg.norm(y[a:b] - y[a], axis=1) <= radius + 1e-3).all()
         if finer is not None:
             assert set(nodes[:, 0]) <= set(finer[:, 0])
+
+
+def block(x, axes=16):
+    """A tree of some vectors, and the vectors in its order."""
+    v = np.ascontiguousarray(x, dtype="<f4")
+    dim = v.shape[1]
+    order, levels = embedding_dedup.cover(embedding_dedup.units(v.tobytes(), dim))
+    first = np.full(len(v), len(levels))
+    for k in reversed(range(len(levels))):
+        first[levels[k][:, 0]] = k
+    return embedding_dedup.Tree(v[order], first, np.linalg.svd(np.random.default_rng(1).normal(size=(axes, dim)), full_matrices=False)[2][:axes])
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 1 << 10])
+@pytest.mark.parametrize("least", [0.95, 0.6])
+def test_links_of_blocks_equal_all_pairs(monkeypatch, at_once, least):
+    """Of vectors with any depth of nesting, products in one slice or many."""
+    monkeypatch.setattr(embedding_dedup, "AT_ONCE", at_once)
+    draw = np.random.default_rng(9)
+
+    def nested(dim, *parts):
+        x = np.zeros((1, dim))
+        for n, spread in parts:
+            x = np.repeat(x, n, axis=0) + draw.normal(size=(len(x) * n, dim)) * spread / dim ** 0.5
+        return x
+
+    kinds = [(nested(64, (400, 1)), nested(64, (300, 1))), (nested(3, (500, 1)), nested(3, (300, 1))), (nested(16, (1, 1)), nested(16, (50, 1))),
+             (nested(16, (1, 1), (6, 0.5), (8, 0.3), (9, 0.1)),) * 2, (nested(64, (1, 1), (10, 0.8), (60, 0.15)),) * 2, (nested(32, (1, 1), (700, 0.05)),) * 2,
+             (nested(24, (1, 1), (4, 0.4), (100, 0.35)),) * 2, (nested(5, (1, 1), (3, 0.9), (200, 0.2)), nested(5, (300, 1)))]
+    found = 0
+    for x, y in kinds:
+        a, b = block(x), block(y)
+        cosines = a.units(slice(None)) @ b.units(slice(None)).T
+        assert (abs(cosines - least) > 1e-12).all()
+        got = [pair for p, q in embedding_dedup.linked(a, b, least) for pair in zip(p.tolist(), q.tolist())]
+        assert sorted(got) == list(zip(*(k.tolist() for k in np.nonzero(cosines >= least))))
+        found += len(got)
+    assert found > 100_000
+
+
+def test_a_block_of_near_copies_takes_bounded_memory():
+    """Its pairs are counted in parts, not held together: they are 9 million and took 16 bytes each, several times."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=64) + draw.normal(size=(3000, 64)) * 0.01
+    tree, ids = block(x), draw.permutation(3000)
+    tracemalloc.start()
+    got = embedding_dedup.answers([tree], iter([(0, 0)]), ids, np.ones(3000, dtype=np.int64), 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    assert sorted(got["id"].to_pylist()) == list(range(3000)) and set(got["links"].to_pylist()) == {2999} and set(got["tied"].to_pylist()) == {0}
+
+
+def test_short_vectors_make_no_larger_blocks(spark, monkeypatch):
+    """A block's tree takes the square of its rows, whatever their length."""
+    sizes, original = [], embedding_dedup._block_links
+    monkeypatch.setattr(embedding_dedup, "_block_links", lambda own, dim, n, least, size, most: sizes.append(size) or original(own, dim, n, least, size, most))
+    got = near_duplicates(spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(9)], "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 9 and 256 <= max(sizes) <= 4096
+
+
+def test_blocks_meet_as_rows_in_tiles(spark, monkeypatch):
+    """A vector is sent as a row of its own, once for each tile that its cell may have links in."""
+    sent, original = [], type(spark.range(0)).repartition
+
+    def counted(self, n, *by):
+        if by == ("i", "j"):
+            sent.append([tuple(r) for r in self.groupBy("i", "j").agg(F.count("*"), F.max(F.octet_length("v"))).collect()])
+        return original(self, n, *by)
+
+    monkeypatch.setattr(type(spark.range(0)), "repartition", counted)
+    draw = np.random.default_rng(6)
+    x = np.repeat(np.eye(16)[:6], 200, axis=0) + draw.normal(size=(1200, 16)) * 0.05
+    x[::200] = x[0] + draw.normal(size=(6, 16)) * 0.01  # one of each two hundred is near the first
+    x = x.astype("<f4")
+    y = embedding_dedup.units(x.tobytes(), 16)
+    linked = y @ y.T >= 0.95
+    want = groups(range(1200), list(zip(*(k.tolist() for k in np.nonzero(np.triu(linked, 1))))))
+    inner = embedding_dedup._block_links
+    for tile, most in ((1, 512), (2, 512), (16, 1)):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        monkeypatch.setattr(embedding_dedup, "_block_links", lambda own, dim, n, least, size, _, most=most: inner(own, dim, n, least, 40, most))
+        got = near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()) - 1, want[i]) for i in range(1200)}
+    assert all(longest == 64 and i <= j for found in sent for i, j, _, longest in found)
+    tiles = [1 + max(j for _, j, _, _ in found) for found in sent]
+    rows = [sum(n for _, _, n, _ in found) for found in sent]
+    assert rows[0] < 1200 * tiles[0] / 2 and rows[2] == 1200 * tiles[2]  # most cells lie far apart; one cell meets all its tiles
